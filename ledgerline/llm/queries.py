@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import op1_bpe, op4_tokens, op7_rules, op8_topk, op9_packing
+from . import op1_bpe, op4_tokens, op5_pii, op6_language, op7_rules, op8_topk, op9_packing, op10_warc
 
 QUERIES = {
     "op1_bpe": op1_bpe.query,
     "op4_token_blocks": op4_tokens.query,
+    "op5_surrogates": op5_pii.query,
+    "op6_language": op6_language.query,
     "op7_rule_ledger": op7_rules.query,
     "op8_topk": op8_topk.query,
     "op9_packing": op9_packing.query,
+    "op10_warc_index": op10_warc.query,
 }
-SQL = {"op7_rule_ledger": op7_rules.SQL, "op8_topk": op8_topk.SQL}
+SQL = {"op7_rule_ledger": op7_rules.SQL, "op8_topk": op8_topk.SQL, "op10_warc_index": op10_warc.SQL}
