@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, blocks, grouped, mix, ordered, plan
+from .blocks import frequent, grouped, known, mix, ordered, plan
 from .common import table, written
 from .components import components
 
@@ -81,68 +81,19 @@ def least_overlap(n: np.ndarray | int, m: np.ndarray | int, percent: int = PERCE
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _place(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and the 32 bits that follow the bucket's."""
-    bits = np.uint64(buckets.bit_length() - 1)
-    return ((h >> (np.uint64(64) - bits)) if bits else np.zeros_like(h)).astype(np.int64), (h << bits >> np.uint64(32)).astype(np.uint32)
-
-
-def _frequent(base: DataFrame, buckets: int) -> DataFrame:
-    """bucket, g, payload: the shingles of the group's documents that two or more documents have, with their number."""
-
-    def count(rows: pa.Table) -> pa.Table:
-        _, texts, _ = ordered(rows)
-        h, _ = shingles(texts)
-        h, n = np.unique(h, return_counts=True)
-        bucket, low = _place(h, buckets)
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(cuts))
-        # hashes as steps, of which the upper bytes are zeros
-        return blocks(full, rows.column("g")[0].as_py(), [np.diff(low[a:z], prepend=np.uint32(0)).tobytes() + n[a:z].astype("<u4").tobytes() for a, z in zip(cuts[full].tolist(), cuts[full + 1].tolist(), strict=True)])
-
-    def add(rows: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(p, "<u4").reshape(2, -1) for p in rows.column("payload").to_pylist()]
-        low = np.concatenate([np.cumsum(x[0], dtype=np.uint32) for x in sent])
-        n = np.concatenate([x[1] for x in sent]).astype(np.int64)
-        order = np.argsort(low, kind="stable")
-        first = np.flatnonzero(np.diff(low[order], prepend=np.int64(-1)))
-        total = np.empty(len(low), np.int64)
-        total[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(low))))
-        out, at = [], 0
-        for x in sent:
-            some = total[at : at + x.shape[1]] > 1
-            out.append(np.diff(low[at : at + x.shape[1]][some], prepend=np.uint32(0)).tobytes() + np.minimum(total[at : at + x.shape[1]][some], 2**32 - 1).astype("<u4").tobytes())
-            at += x.shape[1]
-        return pa.table({"bucket": rows.column("bucket"), "g": rows.column("g"), "payload": pa.array(out, pa.binary())})
-
-    return base.groupBy("g").applyInArrow(count, BLOCK).groupBy("bucket").applyInArrow(add, BLOCK)
-
-
 SETS = "doc_id long, n_shingles long, digest binary, prefix int, tokens binary"
 
 
 def sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Every row's set size and, of rows that may link, the ordered set: ascending keys of frequency class and hash."""
     groups, buckets = plan(docs)
-    base = grouped(docs, groups)
+    base = grouped(docs.select("doc_id", "text"), groups)
 
     def choose(rows: pa.Table, answers: pa.Table) -> pa.Table:
         ids, texts, _ = ordered(rows)
         h, bounds = shingles(texts)
         n = np.diff(bounds)
-        known, often = [], []
-        for bucket, p in sorted(zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True)):
-            x = np.frombuffer(p, "<u4").reshape(2, -1)
-            known.append(np.cumsum(x[0], dtype=np.uint32).astype(np.int64) | bucket << 32)
-            often.append(x[1])
-        table = np.concatenate(known) if known else np.empty(0, np.int64)
-        count = np.concatenate(often) if often else np.empty(0, np.uint32)
-        df = np.ones(len(h), np.uint32)
-        if len(table):
-            bucket, low = _place(h, buckets)
-            key = bucket << 32 | low
-            at = np.minimum(np.searchsorted(table, key), len(table) - 1)
-            df = np.where(table[at] == key, count[at], 1)
+        df = known(h, answers, buckets)
         shared = np.add.reduceat(np.append(df > 1, 0), bounds[:-1]) * (n > 0) if len(n) else n
         out = []
         for k in range(len(ids)):
@@ -159,7 +110,7 @@ def sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             out.append(row)
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "n_shingles", "digest", "prefix", "tokens"]) if out else pa.table({c: pa.array([], t) for c, t in (("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("prefix", pa.int32()), ("tokens", pa.binary()))})
 
-    return written(base.groupBy("g").cogroup(_frequent(base, buckets).groupBy("g")).applyInArrow(choose, SETS), "sets")
+    return written(base.groupBy("g").cogroup(frequent(base, buckets, lambda texts: shingles(texts)[0]).groupBy("g")).applyInArrow(choose, SETS), "sets")
 
 
 class PrefixTree:

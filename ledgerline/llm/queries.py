@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op1_bpe, op3_jaccard, op4_tokens, op5_pii, op6_language, op7_rules, op8_topk, op9_packing, op10_warc
+from . import op1_bpe, op2_repeats, op3_jaccard, op4_tokens, op5_pii, op6_language, op7_rules, op8_topk, op9_packing, op10_warc
 
 QUERIES = {
     "op1_bpe": op1_bpe.query,
+    "op2_repeats": op2_repeats.query,
     "op3_jaccard": op3_jaccard.query,
     "op4_token_blocks": op4_tokens.query,
     "op5_surrogates": op5_pii.query,
