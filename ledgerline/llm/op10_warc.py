@@ -118,8 +118,8 @@ def archive(pages: DataFrame, folder: str, least: int = LEAST) -> list:
         if found:
             yield close()
 
-    # a repartition by the page's own values gives a task that runs again the same rows
-    captures = roles(pages, least).repartition(max(1, -(-n // PAGES)), "page_id", "url").sortWithinPartitions("page_id", "url", "digest").mapInArrow(write, CAPTURE)
+    # pages stay where the join dealt them, so they move once; the order gives a task that runs again the same file
+    captures = roles(pages, least).sortWithinPartitions("page_id", "url", "digest").mapInArrow(write, CAPTURE)
     table_of = scratch(spark, "captures")
     captures.write.parquet(table_of)  # the index is sorted from what was written, not from archives written twice
     captures = spark.read.schema(CAPTURE).parquet(table_of)
