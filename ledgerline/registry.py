@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import catalogue, frames, measures, operations, reference
+from .plans.dialect import Query, statement
+
 FLAGSHIP = "aum_by_region_and_class"
 
 
+@functools.cache
+def everything() -> dict[str, Query]:
+    out = {name: statement(*spec) for part in (reference, measures, operations) for name, spec in part.STATEMENTS.items()}
+    return out | frames.QUERIES | catalogue.QUERIES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q.run for name, q in everything().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q.oracle for name, q in everything().items() if q.oracle}
