@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalogue, frames, measures, operations, reference
+from .plans import catalogue, frames, measures, operations, reference, structure
 from .plans.dialect import Query, statement
 
 FLAGSHIP = "aum_by_region_and_class"
@@ -15,7 +15,7 @@ FLAGSHIP = "aum_by_region_and_class"
 
 @functools.cache
 def everything() -> dict[str, Query]:
-    out = {name: statement(*spec) for part in (reference, measures, operations) for name, spec in part.STATEMENTS.items()}
+    out = {name: statement(*spec) for part in (reference, measures, operations, structure) for name, spec in part.STATEMENTS.items()}
     return out | frames.QUERIES | catalogue.QUERIES
 
 

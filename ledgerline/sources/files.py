@@ -10,7 +10,7 @@ from ..functions import text as X
 
 def markdown_items(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """One row a Markdown file below a path: id and title from the first heading, description, content and place."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path).withColumn("source_path", F.col("_metadata.file_path"))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True).withColumn("source_path", F.col("_metadata.file_path"))
     head = X.heading(F.col("value"))
     parts = F.split(head, r"\s+[—-]\s+", 2)
     return files.select(F.trim(parts[0]).alias("id"), F.lit(kind).alias("type"), F.trim(F.coalesce(F.get(parts, F.lit(1)), parts[0])).alias("title"), X.clean_inline(F.coalesce(F.nullif(X.first_paragraph(X.section(F.col("value"), "Purpose")), F.lit("")), X.first_paragraph(F.col("value")))).alias("description"), X.clean_inline(F.col("value")).alias("content"), "source_path")
@@ -27,5 +27,5 @@ def write_catalogue(items: DataFrame, path: str) -> None:
 
 
 def graph_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Nodes or edges with a header; empty strings stay empty strings."""
-    return spark.read.option("header", "true").option("emptyValue", "").option("nullValue", "\\N").schema(schema).csv(path)
+    """Nodes or edges with a header; what is empty is an empty string, not null, where the column is a string."""
+    return spark.read.option("header", "true").schema(schema).csv(path).na.fill("")

@@ -104,3 +104,19 @@ def test_dialects():
     text = "select DAYS(d, date '2024-01-01') as n from obs where v > 0.5"
     assert "datediff(d, date '2024-01-01')" in expand(text, "n l", 0) and "date_diff('day', date '2024-01-01', d)" in expand(text, "n l", 1)
     assert "0.5e0" in expand(text, "n l", 0)
+
+
+def test_markdown_source(spark, tmp_path):
+    from ledgerline.sources.files import catalogue, graph_csv, markdown_items, write_catalogue
+
+    (tmp_path / "md" / "a").mkdir(parents=True)
+    (tmp_path / "md" / "a" / "E-01.md").write_text("# E-01 — Legal Entity\n\n## Purpose\n\nA *party* to trades.\n\n## Next\n\nx\n")
+    (tmp_path / "md" / "E-02.md").write_text("# E-02 - Asset\n\nNo purpose here.\n")
+    items = markdown_items(spark, str(tmp_path / "md"), "entity")
+    assert rows(items, "id", "title", "description") == [("E-01", "Legal Entity", "A party to trades."), ("E-02", "Asset", "No purpose here.")]
+    write_catalogue(items, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    (tmp_path / "c.json").write_text('{"items": [{"id": "a"}, {"id": "b"}]}')
+    assert rows(catalogue(spark, str(tmp_path / "c.json")), "id") == [("a",), ("b",)]
+    (tmp_path / "n.csv").write_text("id,label\na,\n")
+    assert rows(graph_csv(spark, str(tmp_path / "n.csv"), "id string, label string"), "id", "label") == [("a", "")]
