@@ -22,11 +22,11 @@ GROUP_BYTES, GROUP_MOST, GROUPS, BUCKET_BYTES = 3 << 20, 128 << 20, 4096, 4 << 2
 BLOCK = "bucket int, g int, payload binary"
 
 
-def plan(docs: DataFrame) -> tuple[int, int]:
+def plan(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[int, int]:
     """The numbers of groups and of buckets (a power of two) for the text of all rows."""
     total = text_bytes(docs)
     groups = max(1, -(-total // min(GROUP_MOST, max(GROUP_BYTES, total // GROUPS))))
-    return groups, 1 << max(0, (-(-total // BUCKET_BYTES) - 1).bit_length())
+    return groups, 1 << max(0, (-(-total // bucket_bytes) - 1).bit_length())
 
 
 def grouped(docs: DataFrame, groups: int, name: str = "g") -> DataFrame:

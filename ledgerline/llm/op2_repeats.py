@@ -38,7 +38,9 @@ from .common import table
 #: Bytes of a passage and of the strings whose least hash stands for it; occurrences of a hash that is dealt by windows.
 LENGTH, GRAM, HOT = 100, 32, 1024
 #: Bytes of text for which hashes are made at once, and windows of a run at most, which bounds a context's bytes.
-STEP, WIDE = 2 << 20, 128
+STEP, WIDE = 1 << 20, 128
+#: Bytes of the corpus for each bucket, whose contexts are held and sorted at once.
+BUCKET_BYTES = 1 << 20
 B1, B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 U8 = np.uint64
 
@@ -380,7 +382,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFr
 
     A cut may leave part of a character at its edges; such bytes go from ``text`` too, not from the digest.
     """
-    groups, buckets = plan(docs)
+    groups, buckets = plan(docs, BUCKET_BYTES)
     own = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     docs = docs.drop(*(f.name for f in own))
     fields = docs.schema.fields
