@@ -118,7 +118,8 @@ def _runs(texts: list[bytes], row: int, length: int) -> tuple[np.ndarray, ...]:
         part = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         first, last, of = np.repeat(first, n) + part * WIDE, np.repeat(last, n), np.repeat(of, n)
         last = np.minimum(last, first + WIDE - 1)
-    return of + row, first - starts[of], last - starts[of], m[first], at[first] != at[last]
+    # least hashes are small numbers: mixed again they fill the buckets evenly
+    return of + row, first - starts[of], last - starts[of], mix(m[first]), at[first] != at[last]
 
 
 #: What a bucket gets, in the payload's first byte: contexts, windows by hash, or intervals that are known.
