@@ -6,12 +6,14 @@
    link and end here. The others are ordered by (frequency class, hash), rarest first, which is one order for all.
 3. Sets that are equal become one. Two sets can only link if they have a shingle in common among their first
    n - ceil(0.75 n) + 1 (the prefix): such a shingle is a candidate group.
-4. Groups are joined without forming their pairs: in each round every set meets the one least set of other component
-   with which most of its candidate groups agree, and groups whose sets are in one component are done. What rounds leave
-   is compared in full: each two sets of different components in a group, of lengths that can link.
+4. Groups are joined without forming their pairs. A group's center is the set whose shingles are the most frequent, which
+   is what copies were made of; in each round every set meets the center on which most of its groups agree, and groups
+   whose sets are in one component are done. Groups that rounds leave, with those that share sets with them, are families;
+   a family's sets outside its largest component are compared with all of it, in blocks.
 5. Sets that meet the same set are a prefix tree in the order of frequent shingles first. It is walked in order; the
    overlap at each depth is kept, so that a set continues from the part that it has in common with the one before; a
-   subtree is left as soon as what remains of both cannot reach the overlap that a link needs.
+   subtree is left as soon as what remains of both cannot reach the overlap that a link needs. Sets that a link has
+   connected meanwhile are passed over.
 
 Sets are 64-bit hashes: two different shingles of a pair of documents collide with a chance of about 1e-12 for sets of
 1000. Results: a text without words has no set and is linked with nothing; with one to four words their sequence is its
@@ -22,19 +24,19 @@ columns are left out; no rows give no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import frequent, grouped, known, mix, ordered, plan
 from .common import table, written
 from .components import components
 
-#: Words of a shingle, the similarity as a share of hundred, and rounds against one set before pairs are compared in full.
-WORDS, PERCENT, ROUNDS = 5, 75, 3
+#: Words of a shingle, the similarity as a share of hundred, rounds against centers, and sets of a block.
+WORDS, PERCENT, ROUNDS, FAMILY = 5, 75, 2, 512
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 NO_ID = np.iinfo(np.int64).min
@@ -121,25 +123,25 @@ class PrefixTree:
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.sets = sets
         self.order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes(), reverse=True)
-
-    def join(self, probe: np.ndarray, percent: int = PERCENT) -> list[int]:
-        """The sets that link with the probe (ascending keys)."""
-        found, before, depth_overlap, dead = [], np.empty(0, np.uint64), np.zeros(1, np.int64), -1
-        for k in self.order:
+        self.shared = [0]  # keys that each set has in common with the one before in the walk
+        for i, j in zip(self.order, self.order[1:], strict=False):
+            m = min(len(sets[i]), len(sets[j]))
+            differ = sets[i][:m] != sets[j][:m]
+            self.shared.append(int(differ.argmax()) if differ.any() else m)
+
+    def join(self, probe: np.ndarray, percent: int = PERCENT, skip: Callable[[int], bool] = lambda k: False) -> Iterator[int]:
+        """The sets that link with the probe (ascending keys), less those to skip."""
+        depth_overlap, dead, common = np.zeros(1, np.int64), -1, 0
+        for place, k in enumerate(self.order):
             own = self.sets[k]
-            m = min(len(own), len(before))
-            differ = np.flatnonzero(own[:m] != before[:m])
-            common = int(differ[0]) if len(differ) else m
+            common = min(common, self.shared[place])  # with the last set that was walked
             need = least_overlap(len(own), len(probe), percent)
-            if min(len(own), len(probe)) < need:
-                continue  # by length alone; the path before stays
-            if 0 <= dead <= common:
-                # the subtree in which the walk was given up; a longer set may need more and still remain longer
-                overlap = int(depth_overlap[dead])
-                if overlap + min(len(own) - dead, self._left(probe, own, dead)) < need:
-                    continue
-            common = min(common, len(depth_overlap) - 1)
-            reached, at, dead = depth_overlap[: common + 1], common, -1
+            if min(len(own), len(probe)) < need or skip(k):
+                continue
+            if 0 <= dead <= common and int(depth_overlap[dead]) + min(len(own) - dead, self._left(probe, own, dead)) < need:
+                continue  # in a subtree that was left
+            at, dead = min(common, len(depth_overlap) - 1), -1
+            reached = depth_overlap[: at + 1]
             while at < len(own):
                 part = own[at : at + self.STEP]
                 spots = np.minimum(np.searchsorted(probe, part), len(probe) - 1)
@@ -148,10 +150,9 @@ class PrefixTree:
                 if at < len(own) and int(reached[-1]) + min(len(own) - at, self._left(probe, own, at)) < need:
                     dead = at
                     break
-            before, depth_overlap = own, reached
+            depth_overlap, common = reached, len(own)
             if dead < 0 and int(reached[-1]) >= need:
-                found.append(k)
-        return found
+                yield k
 
     @staticmethod
     def _left(probe: np.ndarray, own: np.ndarray, depth: int) -> int:
@@ -160,74 +161,148 @@ class PrefixTree:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs (a, b) of set ids. Sets that meet one set a are taken in runs of at most 1000."""
-    right = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("b_tokens"))
-    left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("a_tokens"))
+    """The links among pairs (center, rep) of set ids. Sets that meet one center are taken in runs of at most 1000."""
+    right = sets.select("rep", F.col("tokens").alias("r_tokens"))
+    left = sets.select(F.col("rep").alias("center"), F.col("tokens").alias("c_tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, np.ndarray]] = []
         center, probe = None, np.empty(0, np.uint64)
 
         def close() -> pa.RecordBatch:
-            links = PrefixTree([s[::-1] for _, s in held]).join(probe, percent)
+            links = list(PrefixTree([s[::-1] for _, s in held]).join(probe, percent))
             out = pa.record_batch([pa.array([center] * len(links), pa.int64()), pa.array([held[k][0] for k in links], pa.int64())], ["a", "b"])
             held.clear()
             return out
 
         for batch in batches:
-            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "a_tokens", "b_tokens")), strict=True):
-                if held and (a.as_py() != center or len(held) == 1000):
+            for c, r, x, y in zip(*(batch.column(n) for n in ("center", "rep", "c_tokens", "r_tokens")), strict=True):
+                if held and (c.as_py() != center or len(held) == 1000):
                     yield close()
-                if a.as_py() != center:
-                    center, probe = a.as_py(), np.frombuffer(x.as_buffer(), "<u8")
-                held.append((b.as_py(), np.frombuffer(y.as_py(), "<u8")))
+                if c.as_py() != center:
+                    center, probe = c.as_py(), np.frombuffer(x.as_py(), "<u8")
+                held.append((r.as_py(), np.frombuffer(y.as_py(), "<u8")))
         if held:
             yield close()
 
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "a_tokens", "b_tokens")
-    return joined.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+    joined = pairs.select("center", "rep").join(right, "rep").join(left, "center").select("center", "rep", "c_tokens", "r_tokens")
+    return joined.sortWithinPartitions("center").mapInArrow(run, "a long, b long")
 
 
-def links(sets: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """a, b: enough links between distinct sets (rep, n, prefix, tokens) to connect all that are connected."""
+def _entries(sets: DataFrame) -> DataFrame:
+    """token, rep and n of each prefix key that other documents have; central: the mean frequency class of the set's keys."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                keys = np.frombuffer(batch.column("tokens")[k].as_py(), "<u8")[: batch.column("prefix")[k].as_py()]
-                keys = keys[keys >> np.uint64(58) > 0].astype(np.int64)
-                yield pa.record_batch([pa.array(keys), pa.array(np.full(len(keys), batch.column("rep")[k].as_py())), pa.array(np.full(len(keys), batch.column("n")[k].as_py()))], ["token", "rep", "n"])
+            for rep, n, prefix, raw in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "prefix", "tokens")), strict=True):
+                keys = np.frombuffer(raw, "<u8")
+                level = keys >> np.uint64(58)
+                keys = keys[:prefix][level[:prefix] > 0].astype(np.int64)
+                columns = [keys, np.full(len(keys), rep), np.full(len(keys), n), np.full(len(keys), float(level.mean()))]
+                yield pa.record_batch([pa.array(c) for c in columns], ["token", "rep", "n", "central"])
+
+    return sets.select("rep", "n", "prefix", "tokens").mapInArrow(expand, "token long, rep long, n long, central double")
 
+
+def links(sets: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """a, b: enough links between distinct sets (rep, n, prefix, tokens) to connect all that are connected."""
     spark = sets.sparkSession
-    entries = sets.select("rep", "n", "prefix", "tokens").mapInArrow(expand, "token long, rep long, n long")
-    several = entries.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1").drop("members")
-    entries = written(entries.join(several, "token"), "entries")
+    entries = written(_entries(sets), "entries")
     found = spark.createDataFrame([], "a long, b long")
-    tried = found
+    tried = spark.createDataFrame([], "center long, rep long")
     for turn in range(rounds + 1):
-        entries = entries.select("token", "rep", "n")
         if turn:
-            entries = entries.join(components(found).withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+            entries = entries.select("token", "rep", "n", "central").join(components(found).withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         else:
             entries = entries.withColumn("label", F.col("rep"))
-        open_ = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("rep").alias("first"), F.min_by("rep", F.struct("label", "rep")).alias("center"), F.min_by("n", F.struct("label", "rep")).alias("center_n"), F.max_by("rep", F.struct("label", "rep")).alias("far"), F.max_by("n", F.struct("label", "rep")).alias("far_n"), F.max("label").alias("far_label")).filter("low < high")
-        entries = written(entries.join(open_.select("token", "low", "center", "center_n", "far", "far_n", "far_label"), "token"), "entries")
+        middle = F.max(F.struct("central", (-F.col("rep")).alias("m"), "n", "label"))
+        groups = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), middle.alias("c")).filter("low < high")
+        groups = groups.select("token", (-F.col("c.m")).alias("center"), F.col("c.n").alias("c_n"), F.col("c.label").alias("c_label"))
+        entries = written(entries.join(groups, "token"), "entries")
         if entries.isEmpty():
             return found
         if turn == rounds:
             break
-        # each set meets the least set of the least component, or, if it is of that, the last of the last
-        inside = F.col("label") == F.col("low")
-        met = entries.select("rep", "n", F.when(inside, F.col("far")).otherwise(F.col("center")).alias("other"), F.when(inside, F.col("far_n")).otherwise(F.col("center_n")).alias("m")).filter(_can_link("n", "m", percent))
-        votes = met.groupBy("rep", "other").agg(F.count("*").alias("votes")).withColumn("a", F.least("rep", "other")).withColumn("b", F.greatest("rep", "other")).join(tried, ["a", "b"], "left_anti")
-        best = Window.partitionBy("rep").orderBy(F.desc("votes"), "other")
-        pairs = written(votes.withColumn("r", F.row_number().over(best)).filter("r = 1").select("a", "b").distinct(), "pairs")
+        met = entries.filter("label <> c_label").filter(_can_link("n", "c_n", percent))
+        votes = met.groupBy("rep", "center").agg(F.count("*").alias("votes")).join(tried, ["center", "rep"], "left_anti")
+        best = votes.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("center")).alias("m"))).alias("b"))
+        pairs = written(best.select((-F.col("b.m")).alias("center"), "rep"), "pairs")
         found = written(found.unionByName(_verified(pairs, sets, percent)), "found")
         tried = tried.unionByName(pairs)
-    left = entries.select("token", F.col("rep").alias("a"), F.col("n").alias("n"), F.col("label").alias("la"))
-    right = entries.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"))
-    rest = left.join(right, "token").filter("la < lb").filter(_can_link("n", "m", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return written(found.unionByName(_verified(rest, sets, percent)), "found")
+    return written(found.unionByName(_families(entries, sets, percent)), "found")
+
+
+MEMBER = "family long, rep long, label long, tokens binary"
+
+
+def _families(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links that are left between components of groups, each family of groups that share sets compared in full.
+
+    Sets of a family's largest component are not compared with each other. Families of up to ``FAMILY`` sets are taken
+    several at once, larger ones by blocks of sets against blocks of sets, so no task holds more than two blocks.
+    """
+    labels = entries.select("rep", "label").distinct()
+    family = components(entries.select(F.col("rep").alias("a"), F.col("center").alias("b"))).select(F.col("node").alias("rep"), F.col("label").alias("family"))
+    own = written(labels.join(family, "rep"), "families")
+    parts = own.groupBy("family", "label").agg(F.count("*").alias("n"))
+    main = parts.groupBy("family").agg(F.sum("n").alias("size"), (-F.max(F.struct("n", (-F.col("label")).alias("m")))["m"]).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    members = written(own.join(main, "family").join(sets.select("rep", "tokens"), "rep").select("family", "rep", "label", "main", "size", "tokens"), "members")
+    few = members.filter(F.col("size") <= FAMILY)
+    bins = max(1, -(-few.count() // FAMILY))
+    small = few.withColumn("bin", F.pmod(F.xxhash64("family"), F.lit(bins)).cast("int"))
+
+    def small_families(rows: pa.Table) -> pa.Table:
+        by: dict[int, list[int]] = {}
+        for k, f in enumerate(rows.column("family").to_pylist()):
+            by.setdefault(f, []).append(k)
+        reps, label, main_of, raw = (rows.column(c).to_pylist() for c in ("rep", "label", "main", "tokens"))
+        out: list[tuple[int, int]] = []
+        for own in by.values():
+            side = [(reps[k], label[k], np.frombuffer(raw[k], "<u8")) for k in own]
+            out += _joined_blocks([x for x, k in zip(side, own, strict=True) if label[k] != main_of[k]], side, percent)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    found = small.groupBy("bin").applyInArrow(small_families, "a long, b long")
+    large = members.filter(F.col("size") > FAMILY).withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / FAMILY)).cast("int"))
+    if large.isEmpty():
+        return found
+
+    def pack(rows: pa.Table) -> pa.Table:
+        raw = rows.column("tokens").to_pylist()
+        return pa.table({"family": [rows.column("family")[0].as_py()], "block": pa.array([rows.column("block")[0].as_py()], pa.int32()), "reps": [rows.column("rep").to_pylist()], "labels": [rows.column("label").to_pylist()], "sets": pa.array([raw], pa.list_(pa.binary()))})
+
+    kind = "family long, block int, reps array<long>, labels array<long>, sets array<binary>"
+    blocks = large.select("family", "block", "rep", "label", "tokens").groupBy("family", "block").applyInArrow(pack, kind)
+    probes = large.filter("label <> main").select("family", "block", "rep", "label", "tokens").groupBy("family", "block").applyInArrow(pack, kind)
+    met = probes.join(blocks.toDF("family", "b_block", "b_reps", "b_labels", "b_sets"), "family")
+
+    def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                side = lambda p: [(i, x, np.frombuffer(t, "<u8")) for i, x, t in zip(r[p + "reps"], r[p + "labels"], r[p + "sets"], strict=True)]  # noqa: B023, E731
+                out = _joined_blocks(side(""), side("b_"), percent)
+                yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    return found.unionByName(met.mapInArrow(block_pairs, "a long, b long"))
+
+
+def _joined_blocks(probes: list[tuple], members: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links of (rep, label, set) probes with members, as many as connect what was not connected yet."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.get(x, x) != x:
+            above[x] = x = above.get(above[x], above[x])
+        return x
+
+    tree, out = PrefixTree([s[::-1] for _, _, s in members]), []
+    for rep, label, keys in probes:
+        for k in tree.join(keys, percent, lambda k: top(members[k][1]) == top(label)):  # noqa: B023
+            if (x := top(members[k][1])) != (y := top(label)):
+                above[max(x, y)] = min(x, y)
+                out.append((rep, members[k][0]))
+    return out
 
 
 def _can_link(n: str, m: str, percent: int) -> F.Column:
