@@ -71,7 +71,7 @@ QUERIES: dict[str, Query] = {
     "b02_06_unknown_member": frame("member l, docs l, chars l", lambda spark, view: with_unknown(view("documents"), view("labels"), "doc_id").groupBy((F.when(F.col("member") < 0, -1).otherwise(F.col("member") % 10)).alias("member")).agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars")), "with l as (select distinct doc_id as k from labels) select case when k is null then -1 else k % 10 end as member, count(*) as docs, sum(n_chars) as chars from documents left join l on doc_id = k group by 1"),
     "b02_08_threshold_at_date": frame("user_id l, event_id l, v l, threshold l", lambda spark, view: as_of_join(view("obs").filter("provider = 'purchase'").select("user_id", "event_id", "ts", "v"), view("obs").filter("provider = 'view'").groupBy("user_id", "ts").agg(F.max("v").alias("threshold")), ["user_id"], "ts", "ts", ["threshold"]), "select user_id, event_id, v, (select max(b.v) from obs as b where b.user_id = a.user_id and b.provider = 'view' and b.ts = (select max(c.ts) from obs as c where c.user_id = a.user_id and c.provider = 'view' and c.ts <= a.ts)) as threshold from obs as a where provider = 'purchase'"),
     "b02_09_record_date": frame("instrument_id l, record_date t, entitled l", lambda spark, view: as_of_join(view("instrument").select("instrument_id", F.expr("date '1999-12-31'").alias("record_date")), view("txn").groupBy("instrument_id", "trade_date").agg(F.sum(F.expr("side * qty")).alias("q")).selectExpr("instrument_id", "trade_date", "sum(q) over (partition by instrument_id order by trade_date) as entitled"), ["instrument_id"], "record_date", "trade_date", ["entitled"]), "select instrument_id, date '1999-12-31' as record_date, (select sum(side * qty) from txn where txn.instrument_id = instrument.instrument_id and trade_date <= date '1999-12-31') as entitled from instrument"),
-    "b05_02_irr": frame("portfolio_id l, flows l", lambda spark, view: irr(view("txn").withColumn("t", F.expr("datediff(trade_date, date '1995-01-01') / 365.25")).withColumn("a", F.expr("-side * amount")), ["portfolio_id"], "t", "a").groupBy("portfolio_id").agg(F.count("*").alias("flows")), "select portfolio_id, 1 as flows from txn group by portfolio_id"),
+    "b05_02_irr": frame("portfolio_id l, irr d", lambda spark, view: irr(view("txn").withColumn("t", F.expr("datediff(trade_date, date '1995-01-01') / 365.25")).withColumn("a", F.expr("-side * amount")), ["portfolio_id"], "t", "a"), None),
     "b08_04_look_through": frame("root s, leaf s, weight d", _look, "with o as (select portfolio_id, order_id, instrument_id, sum(qty) as q from txn where portfolio_id < 40 and side = 1 group by 1, 2, 3), f as (select portfolio_id, order_id, sum(q) as q from o group by 1, 2), t as (select portfolio_id, sum(q) as t from f group by 1) select concat('P', cast(o.portfolio_id as varchar(20))) as root, concat('I', cast(instrument_id as varchar(20))) as leaf, sum(f.q * 1.0 / t.t * (o.q * 1.0 / f.q)) as weight from o join f on o.order_id = f.order_id join t on o.portfolio_id = t.portfolio_id group by 1, 2"),
     "b09_13_breach_episodes": frame("user_id l, episode l, first_day t, last_day t, days l", lambda spark, view: episodes(view("daily"), ["user_id"], ["d"], F.col("v") > 12000).groupBy("user_id", "episode").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count("*").alias("days")), "with x as (select user_id, d, v > 12000 as f, coalesce(lag(v > 12000) over (partition by user_id order by d), false) as p from daily), y as (select *, sum(case when f and not p then 1 else 0 end) over (partition by user_id order by d) as episode from x) select user_id, episode, min(d) as first_day, max(d) as last_day, count(*) as days from y where f group by 1, 2"),
     "b11_02_pro_rata": frame("order_id l, share l, lines l", lambda spark, view: allocate(view("txn").withColumn("pot", F.lit(100001)), ["order_id"], "qty", "pot", ["line", "instrument_id", "broker_id", "trade_date", "amount"]).groupBy("order_id").agg(F.max("share").alias("share"), F.count("*").alias("lines")), "with x as (select order_id, qty, IDIV(100001 * qty, sum(qty) over (partition by order_id)) as s, row_number() over (partition by order_id order by qty desc, line, instrument_id, broker_id, trade_date, amount) as k from txn), y as (select order_id, s + case when k = 1 then 100001 - sum(s) over (partition by order_id) else 0 end as s from x) select order_id, max(s) as share, count(*) as lines from y group by 1"),
