@@ -31,8 +31,8 @@ def _lots(view, order):
 LOT_COLUMNS = "instrument_id l, pieces l, matched l, gain l"
 
 
-def _lot_query(order: list, keys: str) -> Query:
-    return frame(LOT_COLUMNS, lambda spark, view: _lots(view, order), LOTS.replace("KEYS", keys))
+def _lot_query(order, keys: str) -> Query:
+    return frame(LOT_COLUMNS, lambda spark, view: _lots(view, order()), LOTS.replace("KEYS", keys))
 
 
 def _prices(view):
@@ -77,9 +77,9 @@ QUERIES: dict[str, Query] = {
     "b11_02_pro_rata": frame("order_id l, share l, lines l", lambda spark, view: allocate(view("txn").withColumn("pot", F.lit(100001)), ["order_id"], "qty", "pot", ["line", "instrument_id", "broker_id", "trade_date", "amount"]).groupBy("order_id").agg(F.max("share").alias("share"), F.count("*").alias("lines")), "with x as (select order_id, qty, IDIV(100001 * qty, sum(qty) over (partition by order_id)) as s, row_number() over (partition by order_id order by qty desc, line, instrument_id, broker_id, trade_date, amount) as k from txn), y as (select order_id, s + case when k = 1 then 100001 - sum(s) over (partition by order_id) else 0 end as s from x) select order_id, max(s) as share, count(*) as lines from y group by 1"),
     "b12_01_reconciliation": frame("instrument_id l, left_value l, right_value l, difference l, cause s", lambda spark, view: reconcile(view("txn").filter("flag = 'A'").groupBy("instrument_id").agg(F.sum("qty").alias("q")), view("txn").filter("flag = 'N'").groupBy("instrument_id").agg(F.sum("qty").alias("q")), ["instrument_id"], "q", 25), "with a as (select instrument_id, sum(qty) as x from txn where flag = 'A' group by 1), b as (select instrument_id, sum(qty) as y from txn where flag = 'N' group by 1) select coalesce(a.instrument_id, b.instrument_id) as instrument_id, x as left_value, y as right_value, coalesce(x, 0) - coalesce(y, 0) as difference, case when x is null then 'missing_left' when y is null then 'missing_right' when abs(x - y) > 25 then 'break' when x <> y then 'within_tolerance' else 'match' end as cause from a full outer join b on a.instrument_id = b.instrument_id"),
     "b12_12_expense_allocation": frame("y i, portfolio_id l, share l", lambda spark, view: allocate(view("ord").groupBy(F.year("order_date").alias("y"), "portfolio_id").agg(F.sum("total").alias("w")).withColumn("pot", F.lit(1000003)), ["y"], "w", "pot", ["portfolio_id"]), "with x as (select year(order_date) as y, portfolio_id, sum(total) as w from ord group by 1, 2), s as (select y, portfolio_id, IDIV(1000003 * w, sum(w) over (partition by y)) as s, row_number() over (partition by y order by w desc, portfolio_id) as k from x) select y, portfolio_id, s + case when k = 1 then 1000003 - sum(s) over (partition by y) else 0 end as share from s"),
-    "b12_13_lots_fifo": _lot_query([], ""),
-    "b12_13_lots_lifo": _lot_query([F.desc("trade_date")], "trade_date desc,"),
-    "b12_13_lots_hifo": _lot_query([F.expr("amount div qty").desc()], "IDIV(amount, qty) desc,"),
+    "b12_13_lots_fifo": _lot_query(lambda: [], ""),
+    "b12_13_lots_lifo": _lot_query(lambda: [F.desc("trade_date")], "trade_date desc,"),
+    "b12_13_lots_hifo": _lot_query(lambda: [F.expr("amount div qty").desc()], "IDIV(amount, qty) desc,"),
     "b12_17_lots_to_holding": frame("instrument_id l, bought l, relieved l, open_qty l", lambda spark, view: view("txn").filter("side = 1").groupBy("instrument_id").agg(F.sum("qty").alias("bought")).join(_lots(view, []).select("instrument_id", F.col("matched").alias("relieved")), "instrument_id", "left").withColumn("relieved", F.coalesce("relieved", F.lit(0))).withColumn("open_qty", F.col("bought") - F.col("relieved")), "with b as (select instrument_id, sum(case when side = 1 then qty else 0 end) as bought, sum(case when side = -1 then qty else 0 end) as sold from txn group by 1) select instrument_id, bought, least(bought, sold) as relieved, bought - least(bought, sold) as open_qty from b where bought > 0"),
     "b12_14_wash_sale": frame("instrument_id l, washed l", lambda spark, view: view("txn").filter("side = -1").select("instrument_id", "order_id", "line", "broker_id", "qty", F.col("trade_date").alias("sold")).distinct().join(view("txn").filter("side = 1").select("instrument_id", "trade_date").distinct(), "instrument_id").filter("abs(datediff(trade_date, sold)) <= 30").select("instrument_id", "order_id", "line", "broker_id", "qty", "sold").distinct().groupBy("instrument_id").agg(F.sum("qty").alias("washed")), "select instrument_id, sum(qty) as washed from (select distinct instrument_id, order_id, line, broker_id, qty, trade_date from txn where side = -1) as s where exists (select 1 from txn as b where b.side = 1 and b.instrument_id = s.instrument_id and abs(DAYS(b.trade_date, s.trade_date)) <= 30) group by 1"),
     "b15_06_metric_formula": frame("segment s, value d", lambda spark, view: view("ord").join(view("portfolio"), "portfolio_id").groupBy("segment").agg(compile_metric('{"op": "div", "args": [{"op": "sum", "args": [{"op": "mul", "args": [{"col": "total"}, {"value": 3}]}]}, {"op": "count", "args": [{"col": "order_id"}]}]}').alias("value")), "select segment, sum(total * 3) * 1.0 / count(ord.order_id) as value from ord join portfolio on ord.portfolio_id = portfolio.portfolio_id group by segment"),
