@@ -62,8 +62,9 @@ PATTERNS: list[tuple[str, str]] = [
 ]
 ALL = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS if kind != "name"))
 NAME = re.compile(PATTERNS[-1][1])
-#: A text with none of these has no entity but names; one with none of TITLED has no name.
-NUMBERS, SECRETS = re.compile(r"\d\d|@"), ("password", "passwd", "pwd", "secret", "token", "key")
+#: A text with none of these has no entity but names; one with none of TITLED has no name. Every pattern needs one of them:
+#: addresses of mail '@', keys their prefix, secrets a word (in folded case, as "(?i:s)" also matches long s), all others a digit.
+NUMBERS, SECRETS = re.compile(r"\d|@|AKIA|ASIA"), ("password", "passwd", "pwd", "secret", "token", "key")
 TITLED = ("Mr", "Ms", "Miss", "Frau", "Herr", "Mme", "Madame", "Monsieur", "Sr", "Señor", "г-", "Г-", "κ", "Κ")
 
 
@@ -152,7 +153,7 @@ class Surrogates:
 
     def card(self, text: str, by: int) -> str:
         """All but the first and the last digit move; the last keeps its distance from the right check digit."""
-        bare = re.sub(r"\D", "", text)
+        bare = self._bare(text)
 
         def check(d: str) -> int:
             return -sum(x if k % 2 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(map(int, reversed(d)))) % 10
@@ -164,7 +165,7 @@ class Surrogates:
         """The country code stays, and digits that cannot start a number stay so."""
         head = re.match(r"\+\d{1,3}(?=[ .(-])", text)
         kept = head[0] if head else ""
-        digits = re.sub(r"\D", "", text[len(kept) :])
+        digits = self._bare(text[len(kept) :])
         new = self.spell(digits, ["23456789" if k in (0, 3) and d > "1" else "01" if k in (0, 3) else DIGITS for k, d in enumerate(digits)], f"phone{kept or '+1'}", by)
         return kept + self._put(text[len(kept) :], new)
 
@@ -205,14 +206,20 @@ class Surrogates:
         return "".join(n.upper() if c.isupper() else n for c, n in zip(word, new, strict=True)) if len(word) == len(new) else new
 
     def _digits(self, text: str, tweak: str, by: int) -> str:
-        bare = re.sub(r"\D", "", text)
+        bare = self._bare(text)
         return self._put(text, self.spell(bare, [DIGITS] * len(bare), tweak, by))
 
+    @staticmethod
+    def _bare(text: str) -> str:
+        """The digits of any script, as those of ASCII."""
+        return "".join(str(int(c)) for c in text if c.isdecimal())
+
     @staticmethod
     def _put(text: str, new: str) -> str:
-        """The new letters and digits in the places of the old."""
+        """The new letters and digits in the places of the old, digits in the script of the old."""
         it = iter(new)
-        return "".join(next(it) if c.isalnum() else c for c in text)
+        put = lambda c, n: n if c.isascii() or not c.isdecimal() else chr(ord(c) - int(c) + int(n))
+        return "".join(put(c, next(it)) if c.isalnum() else c for c in text)
 
 
 @functools.lru_cache(maxsize=4)
@@ -227,8 +234,8 @@ def canonical(kind: str, text: str) -> str:
 def find(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of each entity, in order, without overlaps."""
     out = []
-    lower = text.lower()
-    if NUMBERS.search(text) or any(x in lower for x in SECRETS):
+    folded = text.casefold()
+    if NUMBERS.search(text) or any(x in folded for x in SECRETS):
         for m in ALL.finditer(text):
             kind = m.lastgroup or ""
             out.append((*(SECRET.match(text, m.start()).span(1) if kind == "secret" else m.span()), kind))
