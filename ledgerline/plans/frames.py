@@ -45,8 +45,8 @@ def _effective(spark, view):
     return effective_at(facts, v, ["portfolio_id"], "trade_date").groupBy("priority").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
 
 
-def _look(spark, view):
-    ownership = view("txn").filter("portfolio_id < 40 and side = 1").groupBy("portfolio_id", "order_id", "instrument_id").agg(F.sum("qty").alias("q"))
+def _look(spark, view, of="portfolio_id < 40 and "):
+    ownership = view("txn").filter(f"{of}side = 1").groupBy("portfolio_id", "order_id", "instrument_id").agg(F.sum("qty").alias("q"))
     first = ownership.groupBy("portfolio_id", "order_id").agg(F.sum("q").alias("q"))
     total = first.groupBy("portfolio_id").agg(F.sum("q").alias("t"))
     name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
@@ -73,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "b02_09_record_date": frame("instrument_id l, record_date t, entitled l", lambda spark, view: as_of_join(view("instrument").select("instrument_id", F.expr("date '1999-12-31'").alias("record_date")), view("txn").groupBy("instrument_id", "trade_date").agg(F.sum(F.expr("side * qty")).alias("q")).selectExpr("instrument_id", "trade_date", "sum(q) over (partition by instrument_id order by trade_date) as entitled"), ["instrument_id"], "record_date", "trade_date", ["entitled"]), "select instrument_id, date '1999-12-31' as record_date, (select sum(side * qty) from txn where txn.instrument_id = instrument.instrument_id and trade_date <= date '1999-12-31') as entitled from instrument"),
     "b05_02_irr": frame("portfolio_id l, irr d", lambda spark, view: irr(view("txn").withColumn("t", F.expr("datediff(trade_date, date '1995-01-01') / 365.25")).withColumn("a", F.expr("-side * amount")), ["portfolio_id"], "t", "a"), None),
     "b08_04_look_through": frame("root s, leaf s, weight d", _look, "with o as (select portfolio_id, order_id, instrument_id, sum(qty) as q from txn where portfolio_id < 40 and side = 1 group by 1, 2, 3), f as (select portfolio_id, order_id, sum(q) as q from o group by 1, 2), t as (select portfolio_id, sum(q) as t from f group by 1) select concat('P', cast(o.portfolio_id as varchar(20))) as root, concat('I', cast(instrument_id as varchar(20))) as leaf, sum(f.q * 1.0 / t.t * (o.q * 1.0 / f.q)) as weight from o join f on o.order_id = f.order_id join t on o.portfolio_id = t.portfolio_id group by 1, 2"),
+    "b08_04_look_through_whole": frame("root s, leaf s, weight d", lambda spark, view: _look(spark, view, ""), "with o as (select portfolio_id, order_id, instrument_id, sum(qty) as q from txn where side = 1 group by 1, 2, 3), f as (select portfolio_id, order_id, sum(q) as q from o group by 1, 2), t as (select portfolio_id, sum(q) as t from f group by 1) select concat('P', cast(o.portfolio_id as varchar(20))) as root, concat('I', cast(instrument_id as varchar(20))) as leaf, sum(f.q * 1.0 / t.t * (o.q * 1.0 / f.q)) as weight from o join f on o.order_id = f.order_id join t on o.portfolio_id = t.portfolio_id group by 1, 2"),
     "b09_13_breach_episodes": frame("user_id l, episode l, first_day t, last_day t, days l", lambda spark, view: episodes(view("daily"), ["user_id"], ["d"], F.col("v") > 12000).groupBy("user_id", "episode").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count("*").alias("days")), "with x as (select user_id, d, v > 12000 as f, coalesce(lag(v > 12000) over (partition by user_id order by d), false) as p from daily), y as (select *, sum(case when f and not p then 1 else 0 end) over (partition by user_id order by d) as episode from x) select user_id, episode, min(d) as first_day, max(d) as last_day, count(*) as days from y where f group by 1, 2"),
     "b11_02_pro_rata": frame("order_id l, share l, lines l", lambda spark, view: allocate(view("txn").withColumn("pot", F.lit(100001)), ["order_id"], "qty", "pot", ["line", "instrument_id", "broker_id", "trade_date", "amount"]).groupBy("order_id").agg(F.max("share").alias("share"), F.count("*").alias("lines")), "with x as (select order_id, qty, IDIV(100001 * qty, sum(qty) over (partition by order_id)) as s, row_number() over (partition by order_id order by qty desc, line, instrument_id, broker_id, trade_date, amount) as k from txn), y as (select order_id, s + case when k = 1 then 100001 - sum(s) over (partition by order_id) else 0 end as s from x) select order_id, max(s) as share, count(*) as lines from y group by 1"),
     "b12_01_reconciliation": frame("instrument_id l, left_value l, right_value l, difference l, cause s", lambda spark, view: reconcile(view("txn").filter("flag = 'A'").groupBy("instrument_id").agg(F.sum("qty").alias("q")), view("txn").filter("flag = 'N'").groupBy("instrument_id").agg(F.sum("qty").alias("q")), ["instrument_id"], "q", 25), "with a as (select instrument_id, sum(qty) as x from txn where flag = 'A' group by 1), b as (select instrument_id, sum(qty) as y from txn where flag = 'N' group by 1) select coalesce(a.instrument_id, b.instrument_id) as instrument_id, x as left_value, y as right_value, coalesce(x, 0) - coalesce(y, 0) as difference, case when x is null then 'missing_left' when y is null then 'missing_right' when abs(x - y) > 25 then 'break' when x <> y then 'within_tolerance' else 'match' end as cause from a full outer join b on a.instrument_id = b.instrument_id"),

@@ -68,6 +68,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "b08_07_group_issuer": ("class s, issuer s, mv l, group_mv l", "select class, issuer, mv, sum(mv) over (partition by class) as group_mv from (select class, issuer, sum(mv) as mv from valued group by 1, 2) as x"),
     "b08_08_counterparty": ("broker_id l, netted b, exposure l", "select broker_id, broker_id % 4 <> 0 as netted, case when broker_id % 4 <> 0 then greatest(sum(side * amount), 0) else sum(greatest(side * amount, 0)) end - max(IDIV(balance, 10)) as exposure from txn join party on broker_id = party_id and kind = 'S' group by 1, 2"),
     "b08_09_manager_overlap": ("a l, b l, shared l", "with h as (select distinct broker_id, instrument_id from txn where broker_id < 12) select x.broker_id as a, y.broker_id as b, count(*) as shared from h as x join h as y on x.instrument_id = y.instrument_id and x.broker_id < y.broker_id group by 1, 2"),
+    "b08_09_manager_overlap_whole": ("a l, b l, shared l", "with h as (select distinct broker_id, instrument_id from txn) select x.broker_id as a, y.broker_id as b, count(*) as shared from h as x join h as y on x.instrument_id = y.instrument_id and x.broker_id < y.broker_id group by 1, 2"),
     "b09_01_var_es": ("user_id l, var d, es d", "with q as (select user_id, QUANTILE(r, 0.05) as var from rets group by 1) select rets.user_id, var, avg(case when r <= var then r end) as es from rets join q on rets.user_id = q.user_id group by 1, 2"),
     "b09_02_parametric_var": ("user_id l, var d", "select user_id, avg(r) - 1.645 * stddev_samp(r) as var from rets group by 1 having count(*) > 5"),
     "b09_04_var_backtest": ("user_id l, exceptions l, expected d", "with q as (select user_id, QUANTILE(r, 0.1) as var from rets where d < date '2024-01-16' group by 1) select rets.user_id, sum(case when r < var then 1 else 0 end) as exceptions, count(*) * 0.1 as expected from rets join q on rets.user_id = q.user_id where d >= date '2024-01-16' group by 1"),

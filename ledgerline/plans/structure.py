@@ -21,6 +21,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "a06_11_distinct_pairs": ("nation l, broker_nation l", "select distinct portfolio.nation, party.nation as broker_nation from txn join portfolio on txn.portfolio_id = portfolio.portfolio_id join party on broker_id = party_id and kind = 'S'"),
     "a07_01_numbering": ("conv_id l, turn l, ordinal i", "select conv_id, turn, row_number() over (partition by conv_id order by turn, role, text) as ordinal from conversations"),
     "a07_05_union_dedup": ("src l, dst l, kind s", "select portfolio_id as src, instrument_id as dst, 'buy' as kind from txn where side = 1 and portfolio_id < 200 union select portfolio_id, instrument_id, 'sell' from txn where side = -1 and portfolio_id < 200"),
+    "a07_05_union_dedup_whole": ("src l, dst l, kind s", "select portfolio_id as src, instrument_id as dst, 'buy' as kind from txn where side = 1 union select portfolio_id, instrument_id, 'sell' from txn where side = -1"),
     "a07_06_set_difference": ("instrument_id l", "select instrument_id from instrument except select instrument_id from txn where side = -1 and trade_date >= date '2001-01-01'"),
     "a10_02_index_agreement": ("source s, declared l, actual l", "with a as (select source, count(*) as actual from documents group by 1), d as (select source, count(*) as declared from documents where n_chars > 200 group by 1) select coalesce(a.source, d.source) as source, coalesce(declared, 0) as declared, coalesce(actual, 0) as actual from a full outer join d on a.source = d.source where coalesce(declared, 0) <> coalesce(actual, 0)"),
     "a10_15_deferral_language": ("doc_id l, hits l", "select doc_id, (case when lower(text) like '%later%' then 1 else 0 end) + (case when lower(text) like '%to be%' then 1 else 0 end) + (case when lower(text) like '%stupid%' then 1 else 0 end) as hits from documents where lower(text) like '%later%' or lower(text) like '%to be%' or lower(text) like '%stupid%'"),

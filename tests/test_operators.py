@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as X
+from ledgerline import registry
 from ledgerline.operators import graph
 from ledgerline.operators.catalog import Catalog
 from ledgerline.operators.hierarchy import look_through
@@ -120,3 +121,28 @@ def test_markdown_source(spark, tmp_path):
     assert rows(catalogue(spark, str(tmp_path / "c.json")), "id") == [("a",), ("b",)]
     (tmp_path / "n.csv").write_text("id,label\na,\n")
     assert rows(graph_csv(spark, str(tmp_path / "n.csv"), "id string, label string"), "id", "label") == [("a", "")]
+
+
+@pytest.fixture(scope="module")
+def far_ids(spark, tmp_path_factory):
+    """Tables with ids beyond all those that the queries over subsets take."""
+    at = tmp_path_factory.mktemp("far")
+    day = "timestamp '1999-01-01'"
+    lines = [(1, 500, 300), (1, 501, 301), (2, 500, 301), (3, 500, 300), (3, 500, 5)]  # order, part, supplier
+    made = {
+        "lineitem": f"select o as l_orderkey, p as l_partkey, s as l_suppkey, 1 as l_linenumber, 4.0D as l_quantity, 8.0D as l_extendedprice, 0.0D as l_discount, 0.0D as l_tax, if(o = 3, 'R', 'N') as l_returnflag, 'F' as l_linestatus, {day} as l_shipdate from values {', '.join(map(str, lines))} as t(o, p, s)",
+        "orders": f"select k as o_orderkey, c as o_custkey, 'F' as o_orderstatus, 8.0D as o_totalprice, {day} as o_orderdate, '1' as o_orderpriority from values (1, 700), (2, 700), (3, 701) as t(k, c)",
+        "part": "select k as p_partkey, 'x' as p_name, 'b' as p_brand, 't' as p_type, 1 as p_size, 73.0D as p_retailprice from values (5), (500), (501) as t(k)",
+    }
+    for name, text in made.items():
+        spark.sql(text).coalesce(1).write.parquet(str(at / f"{name}.parquet"))
+    return str(at)
+
+
+def test_whole_queries_leave_no_id_out(spark, far_ids):
+    found = lambda name, *c: rows(registry.queries()[name](spark, far_ids), *c)
+    assert found("b08_04_look_through_whole", "root", "leaf", "weight") == [("P700", "I500", 0.666667), ("P700", "I501", 0.333333)]
+    assert found("b08_09_manager_overlap_whole", "a", "b", "shared") == [(5, 300, 1), (5, 301, 1), (300, 301, 1)]
+    assert found("a07_05_union_dedup_whole", "src", "dst", "kind") == [(700, 500, "buy"), (700, 501, "buy"), (701, 500, "sell")]
+    accrued = found("b03_08_income_accrual_whole", "instrument_id", "accrued")
+    assert accrued == [(k, d) for k in (5, 500, 501) for d in range(1, 11)]
