@@ -4,10 +4,11 @@ Training counts the ``ORDER``-grams of characters of all padded words of all tra
 task sums the words of its batches before it expands them, and rows of (language, gram, count) are summed again before
 the shuffle. Continuation counts of the lower orders, contexts' sums and discounts are aggregations of those counts.
 
-The model that tasks get is bounded: ``GRAMS`` grams of each order and language, the most frequent ones (kept counts stay
-what all documents gave; other grams take their probability from the lower order). Grams are kept as 64-bit hashes in one
-sorted array an order, with a row of log probabilities, one for each language, found by binary search. A document's
-score for a language is its log probability by character; the language with the least cross-entropy is chosen.
+The model keeps every gram that was counted. Probabilities are joins of the counts, order by order. Grams are kept as
+64-bit hashes in shards of the hash space, files of about ``SHARD`` bytes in the shared folder: a sorted array, with a row
+of log probabilities, one for each language, found by binary search. Tasks get the names of the shards, look grams up in
+one shard after the other and hold ``HELD`` of them. A document's score for a language is its log probability by
+character; the language with the least cross-entropy is chosen.
 
 A temperature turns cross-entropies into the score, and a rejection threshold for each language says whether the choice
 is accepted; both are calibrated on a sample of at most about ``SAMPLE`` training documents.
@@ -19,19 +20,23 @@ training document every text is ``und``; other columns are left out.
 
 from __future__ import annotations
 
+import functools
+import io
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, table, written
+from .common import bounded, put, scratch, store, table, written
 
-#: Characters of the longest gram, grams kept of each order and language, documents for calibration, languages at most.
-ORDER, GRAMS, SAMPLE, LANGUAGES = 4, 100_000, 4000, 1000
+#: Characters of the longest gram, documents for calibration, languages at most.
+ORDER, SAMPLE, LANGUAGES = 4, 4000, 1000
+#: Bytes of a shard of the model, and shards that a process holds at once.
+SHARD, HELD = 1 << 20, 128
 PAD = " "
 
 
@@ -120,29 +125,40 @@ def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 class Model:
-    """Sorted hash arrays, and log probabilities by gram and language."""
+    """Shards of sorted hashes: log probabilities by gram and language, and by history the log weight that the lower order gets after it."""
 
     def __init__(self, langs: list[str], order: int) -> None:
         self.langs, self.order = langs, order
-        self.hashes: list[np.ndarray] = []  # by order, from 1
-        self.logs: list[np.ndarray] = []
-        self.contexts: list[np.ndarray] = []  # hashes of the histories, and the log weight that the lower order gets after each
-        self.weights: list[np.ndarray] = []
+        self.shards: dict[tuple[str, int], tuple[int, dict[int, str]]] = {}  # by kind and order: bits of a hash that number its shard, and the files
         self.temperature, self.accept = 1.0, np.full(len(langs), np.inf)
 
+    def _look_up(self, kind: str, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are known, and the rows of those."""
+        bits, files = self.shards.get((kind, n), (0, {}))
+        shard = _shard_of(keys, bits)
+        by = np.argsort(shard, kind="stable")
+        found, rows = np.zeros(len(keys), bool), np.zeros((len(keys), len(self.langs)))
+        for part in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1):
+            if len(part) and (file := files.get(int(shard[part[0]]))):
+                hashes, logs = _held(file)
+                known, at = _find(hashes, keys[part])
+                found[part] = known
+                rows[part[known]] = logs[at[known]]
+        return found, rows[found]
+
     def log_probabilities(self, rows: np.ndarray) -> np.ndarray:
         """Natural logs, by row of code points and language."""
         out, weight, left = np.zeros((len(rows), len(self.langs))), np.zeros((len(rows), len(self.langs))), np.arange(len(rows))
         for n in range(self.order, 0, -1):
-            found, at = _find(self.hashes[n - 1], _hash(rows[left, self.order - n :]))
+            found, logs = self._look_up("gram", n, _hash(rows[left, self.order - n :]))
             hit = left[found]
-            out[hit] = weight[hit] + self.logs[n - 1][at[found]]
+            out[hit] = weight[hit] + logs
             left = left[~found]
             if not len(left):
                 return out
             if n > 1:
-                known, at = _find(self.contexts[n - 1], _hash(rows[left, self.order - n : -1]))
-                weight[left[known]] += self.weights[n - 1][at[known]]
+                known, logs = self._look_up("context", n, _hash(rows[left, self.order - n : -1]))
+                weight[left[known]] += logs
         out[left] = weight[left] + np.log(1 / 2048)  # a character seen nowhere
         return out
 
@@ -173,7 +189,39 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table[at] == keys, at
 
 
-def train(docs: DataFrame, order: int = ORDER, grams: int = GRAMS) -> Model:
+def _shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+@functools.lru_cache(maxsize=HELD)
+def _held(file: str) -> tuple[np.ndarray, np.ndarray]:
+    files, path = store(file)
+    with files.open_input_stream(path) as f, np.load(io.BytesIO(f.read())) as own:
+        return own["hashes"], own["logs"]
+
+
+def _sharded(frame: DataFrame, size: int, width: int, base: str) -> tuple[int, dict[int, str]]:
+    """Writes rows of key, a text of ``size`` characters, and values; gives the bits of the shards' numbers and the files."""
+    bits = max(0, (frame.count() * 8 * (width + 1) - 1) // SHARD).bit_length()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = _hash_texts(b.column("key").to_pylist(), size)
+            yield pa.record_batch([pa.array(_shard_of(keys, bits)), pa.array(keys.view(np.int64)), b.column("values")], ["shard", "hash", "values"])
+
+    def put_one(t: pa.Table) -> pa.Table:
+        hashes = t.column("hash").to_numpy().view(np.uint64)
+        logs = np.log(np.maximum(t.column("values").combine_chunks().flatten().to_numpy(), 1e-12)).reshape(-1, width)
+        by, shard, out = np.argsort(hashes), t.column("shard")[0].as_py(), io.BytesIO()
+        np.savez(out, hashes=hashes[by], logs=logs[by])
+        put(f"{base}-{shard}.npz", out.getvalue())
+        return pa.table({"shard": [shard]})
+
+    done = frame.select("key", "values").mapInArrow(hashed, "shard long, hash long, values array<double>").groupBy("shard").applyInArrow(put_one, "shard long")
+    return bits, {r.shard: f"{base}-{r.shard}.npz" for r in done.collect()}
+
+
+def train(docs: DataFrame, order: int = ORDER) -> Model:
     """A model of the rows of doc_id, text and lang."""
     top = written(counts(docs, order), "grams")
     by_order = {order: top}
@@ -183,54 +231,39 @@ def train(docs: DataFrame, order: int = ORDER, grams: int = GRAMS) -> Model:
     if len(langs) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     model = Model(langs, order)
-    number = {lang: k for k, lang in enumerate(langs)}
-    levels: list[tuple[dict, dict]] = []  # by order: probabilities by gram, and the lower order's weights by context
+    if not langs:
+        return model
+    base = scratch(docs.sparkSession, "language")
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int")
+
+    def by_language(rows: DataFrame, key: list[str], value: F.Column, name: str, default: float) -> DataFrame:
+        """One row of each key with an array of values by language."""
+        own = rows.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(number, value.alias("x")))).alias("own"))
+        return own.select(*key, F.transform(F.sequence(F.lit(1), F.lit(len(langs))), lambda k: F.coalesce(F.try_element_at("own", k), F.lit(default))).alias(name))
+
+    below = None
     for n in range(1, order + 1):
         c = by_order[n].withColumn("context", F.expr(f"substring(gram, 1, {n - 1})"))
         ones = {(r.lang): (r.one, r.two) for r in c.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).collect()}
-        sums = c.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("types"))
-        # bounded: the most frequent ``grams`` of each language, ties by gram
-        rank = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-        few = c.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
-        kept = c if few <= grams else c.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= grams).drop("r")
-        kept = kept.join(sums, ["lang", "context"]).select("lang", "gram", "n", "total", "types").toArrow()
         discount = {lang: min(0.95, max(0.1, a / (a + 2 * b))) if a + b else 0.75 for lang, (a, b) in ones.items()}
-        lang_of = np.array([number[x] for x in kept.column("lang").to_pylist()], np.int64)
-        texts = kept.column("gram").to_pylist()
-        count, total, types = (kept.column(x).to_numpy().astype(np.float64) for x in ("n", "total", "types"))
-        d = np.array([discount[x] for x in langs])[lang_of] if len(lang_of) else np.empty(0)
-        distinct = sorted(set(texts))
-        at = {g: k for k, g in enumerate(distinct)}
-        row = np.array([at[g] for g in texts], np.int64)
-        own, seen = np.zeros((len(distinct), len(langs))), np.zeros((len(distinct), len(langs)), bool)
-        own[row, lang_of], seen[row, lang_of] = np.maximum(count - d, 0) / total, True
+        d = F.element_at(F.array(*[F.lit(discount[x]) for x in langs]), number)
+        sums = c.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("types"))
         # the weight of the lower order after a context; 1 where the context was never seen
-        contexts = sorted({g[:-1] for g in texts})
-        place = {g: k for k, g in enumerate(contexts)}
-        weight = np.ones((len(contexts), len(langs)))
-        weight[[place[g[:-1]] for g in texts], lang_of] = d * types / total
-        below = np.stack([_backed(levels, g[1:], len(langs)) for g in distinct]) if distinct else own
-        values = own + weight[[place[g[:-1]] for g in distinct]] * below if distinct else own
-        levels.append((dict(zip(distinct, values, strict=True)), dict(zip(contexts, weight, strict=True))))
-        hashes = _hash_texts(distinct, n)
-        by = np.argsort(hashes)
-        model.hashes.append(hashes[by])
-        model.logs.append(np.log(np.maximum(values, 1e-12))[by])
-        hashes = _hash_texts(contexts, n - 1) if n > 1 else np.empty(0, np.uint64)
-        by = np.argsort(hashes) if n > 1 else slice(0, 0)
-        model.contexts.append(hashes[by])
-        model.weights.append(np.log(np.maximum(weight, 1e-12))[by])
+        weights = written(by_language(sums, ["context"], d * F.col("types") / F.col("total"), "values", 1.0), "weights")
+        own = by_language(c.join(sums, ["lang", "context"]), ["gram", "context"], F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total"), "own", 0.0)
+        own = own.join(weights.withColumnRenamed("values", "weight"), "context")
+        if below is None:
+            own = own.withColumn("below", F.array_repeat(F.lit(1 / 2048), len(langs)))
+        else:  # what was counted in an order was counted in the one below
+            own = own.join(below.select(F.col("gram").alias("rest"), F.col("values").alias("below")), F.expr("substring(gram, 2)") == F.col("rest"))
+        both = F.zip_with("weight", "below", lambda w, p: w * p)
+        below = written(own.select("gram", F.zip_with("own", both, lambda p, q: p + q).alias("values")), "probabilities")
+        model.shards["gram", n] = _sharded(below.withColumnRenamed("gram", "key"), n, len(langs), f"{base}/gram-{n}")
+        if n > 1:
+            model.shards["context", n] = _sharded(weights.withColumnRenamed("context", "key"), n - 1, len(langs), f"{base}/context-{n}")
     return model
 
 
-def _backed(levels: list[tuple[dict, dict]], gram: str, width: int) -> np.ndarray | float:
-    """Probabilities of a gram by language: its own if kept, else weighted from the order below."""
-    if not gram:
-        return np.full(width, 1 / 2048)
-    values, weights = levels[len(gram) - 1]
-    return values[gram] if gram in values else weights.get(gram[:-1], 1.0) * _backed(levels, gram[1:], width)
-
-
 def calibrate(model: Model, docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Sets the temperature under which the right languages of a bounded sample are likeliest, and the thresholds."""
     n = docs.count()
@@ -257,7 +290,7 @@ def calibrate(model: Model, docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy and accepted of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ORDER x GRAMS x languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # names of shards
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -282,6 +282,47 @@ def test_op6(spark, none):
     assert 0.9 < total < 1.1
 
 
+def kneser_ney(texts):
+    """The probability of the last character of a gram by all counts of one language's texts."""
+    by = {4: collections.Counter(p[k : k + 4] for t in texts for w in t.split() for p in [f"   {w} "] for k in range(len(w) + 1))}
+    for n in (3, 2, 1):
+        by[n] = collections.Counter(g[1:] for g in by[n + 1])
+    total, types = collections.Counter(), collections.Counter()
+    for n, own in by.items():
+        for g, k in own.items():
+            total[n, g[:-1]] += k
+            types[n, g[:-1]] += 1
+    d = {}
+    for n, own in by.items():
+        a, b = (sum(k == x for k in own.values()) for x in (1, 2))
+        d[n] = min(0.95, max(0.1, a / (a + 2 * b))) if a + b else 0.75
+
+    def of(g):
+        n = len(g)
+        if not n:
+            return 1 / 2048
+        t = total[n, g[:-1]]
+        return (max(by[n][g] - d[n], 0) / t if g in by[n] else 0) + (d[n] * types[n, g[:-1]] / t if t else 1) * of(g[1:])
+
+    return of, by[4]
+
+
+def test_op6_keeps_all_grams(spark, monkeypatch):
+    monkeypatch.setattr(op6_language, "SHARD", 1 << 18)
+    r = random.Random(3)
+    texts = {lang: [" ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(500)) for _ in range(120)] for lang, letters in (("a", "abcdefghijklmnopqrstuvwxyz"), ("b", "abcdefgh"))}
+    frame = spark.createDataFrame([(k, t, lang) for lang, own in texts.items() for k, t in enumerate(own)], "doc_id long, text string, lang string")
+    model = op6_language.train(frame)
+    brute = [kneser_ney(texts[lang]) for lang in model.langs]
+    assert len(brute[0][1]) > 130_000
+    grams = [*r.sample(sorted(brute[0][1]), 3000), *r.sample(sorted(brute[1][1]), 1000), *("".join(r.choice("abcxyz ") for _ in range(4)) for _ in range(500))]
+    found = np.exp(model.log_probabilities(np.array([[*map(ord, g)] for g in grams], np.uint32)))
+    assert np.allclose(found, [[of(g) for of, _ in brute] for g in grams], rtol=1e-9, atol=1e-12)
+    for context in ("   ", "abc", "xyz"):
+        rows = np.array([[*map(ord, context), ord(c)] for c in "abcdefghijklmnopqrstuvwxyz "], np.uint32)
+        assert 0.97 < np.exp(model.log_probabilities(rows))[:, 0].sum() < 1.0001
+
+
 def ledger_by_brute_force(rows):
     out = []
     for i, t in rows:
