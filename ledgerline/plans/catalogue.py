@@ -50,6 +50,19 @@ def _edges(view) -> DataFrame:
 
 EDGES = "ed as (select distinct concat('P', cast(portfolio_id as varchar)) as src, concat('B', cast(broker_id as varchar)) as dst, 'trades_with' as verb from txn union select concat('B', cast(broker_id as varchar)), concat('I', cast(instrument_id as varchar)), 'makes' from txn union select concat('P', cast(portfolio_id as varchar)), concat('N', cast(nation as varchar)), 'domiciled' from portfolio)"
 
+def cited(names: DataFrame, docs: DataFrame) -> DataFrame:
+    """item_id and whether the document of that id has a prefix of two words or more of the name in its text, in any case.
+
+    A text that has a longer prefix has the first two words, so these decide.
+    """
+    words = F.regexp_extract_all("name", F.lit(r"(?U)(\S+)"), F.lit(1))
+    first = F.lower(F.array_join(F.slice(words, 1, 2), " "))
+    own = names.select("item_id", F.col("text").alias("name"))
+    has = (F.size(words) >= 2) & F.contains(F.lower("content"), first)
+    met = own.join(docs.select(F.col("doc_id").alias("item_id"), F.col("text").alias("content")), "item_id").filter(has).select("item_id", "name").distinct()
+    return own.join(met.withColumn("cited", F.lit(True)), ["item_id", "name"], "left").select("item_id", F.coalesce("cited", F.lit(False)).alias("cited"))
+
+
 RULES = [
     Rule("order_has_customer", "error", unresolved("orders", "o_custkey", "customer", "c_custkey")),
     Rule("line_has_part", "error", unresolved("lineitem", "l_partkey", "part", "p_partkey")),
@@ -62,6 +75,8 @@ RULE_TABLES = ["orders", "customer", "lineitem", "part", "labels"]
 QUERIES: dict[str, Query] = {
     "a03_02_tokens": frame("doc_id l, n l", lambda spark, view: view("documents").select("doc_id", F.size(X.tokens(F.col("text"))).alias("n")), f"select doc_id, len(list_filter(list_distinct(regexp_extract_all({FOLD.format('text')}, '([a-z0-9]+(?:\\.[0-9]+)?)', 1)), lambda t: length(t) > 1)) as n from documents"),
     "a03_08_slug": frame("item_id l, slug s", lambda spark, view: view("benchmark").select("item_id", X.slug(F.substring("text", 1, 60)).alias("slug")), f"select item_id, trim(regexp_replace({FOLD.format('substring(text, 1, 60)')}, '[^a-z0-9]+', '-', 'g'), '-') as slug from benchmark"),
+    "a03_08_slug_whole": frame("item_id l, slug s", lambda spark, view: view("benchmark").select("item_id", X.slug(F.col("text")).alias("slug")), f"select item_id, trim(regexp_replace({FOLD.format('text')}, '[^a-z0-9]+', '-', 'g'), '-') as slug from benchmark"),
+    "a05_12_cited_name_whole": frame("item_id l, cited b", lambda spark, view: cited(view("benchmark"), view("documents")), None),
     "a03_18_html_links": frame("page_id l, links l, items l", lambda spark, view: view("pages").select("page_id", F.size(X.anchors(F.col("html"))).alias("links"), F.size(X.list_items(F.col("html"))).alias("items")), "select page_id, len(regexp_extract_all(html, '(?is)<a\\s[^>]*href=[\"'']([^\"'']*)[\"'']', 1)) as links, len(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)) as items from pages"),
     "a03_20_line_number": frame("doc_id l, line i", lambda spark, view: view("documents").select("doc_id", X.line_number(F.col("text"), F.lit("stupid")).alias("line")), "select doc_id, case when instr(text, 'stupid') > 0 then len(string_split(substring(text, 1, instr(text, 'stupid') - 1), chr(10))) end as line from documents"),
     "a06_01_count_by_type": frame("type s, count l", lambda spark, view: Catalog(items(view)).counts(), "select lang as type, count(*) as count from documents group by lang"),

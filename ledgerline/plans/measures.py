@@ -92,6 +92,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         select order_id, sum(case when failed then 1 else 0 end) as rules_failed, case when max(case when failed then 1 else 0 end) = 1 then 'fail' else 'pass' end as verdict from j group by 1"""),
     "b10_02_sweep": ("portfolio_id l, rule_id s, ok b", "with r as (select 'long_only' as rule_id union all select 'top_issuer'), p as (select portfolio_id, min(mv) as low, max(mv) as high, sum(abs(mv)) as gross from valued group by 1) select portfolio_id, rule_id, case when rule_id = 'long_only' then low >= 0 else high * 100 <= 40 * gross end as ok from p cross join r"),
     "b10_03_screening": ("party_id l, listed l, distance l", "with l as (select party_id as listed, RX(name, '0', 'O') as alias from party where kind = 'S' and party_id % 25 = 0) select party_id, listed, EDIT(name, alias) as distance from party join l on substring(name, 1, 3) = substring(alias, 1, 3) and EDIT(name, alias) <= 9 where kind = 'S'"),
+    "b10_03_screening_whole": ("party_id l, listed l, distance l", "with l as (select party_id as listed, RX(name, '0', 'O') as alias from party where kind = 'S' and party_id % 25 = 0) select party_id, listed, EDIT(name, alias) as distance from party join l on abs(length(name) - length(alias)) <= 9 and EDIT(name, alias) <= 9 where kind = 'S'"),
     "b10_04_wash_pattern": ("instrument_id l, pairs l", "select a.instrument_id, count(*) as pairs from txn as a join txn as b on a.instrument_id = b.instrument_id and a.side = 1 and b.side = -1 and DAYS(b.trade_date, a.trade_date) between 0 and 10 group by 1"),
     "b10_05_esg_screen": ("lang s, docs l, flagged l, share d", "select lang, count(*) as docs, sum(toxic) as flagged, sum(toxic) * 1.0 / count(*) as share from documents join labels on documents.doc_id = labels.doc_id group by lang"),
     "b10_06_mfn": ("instrument_id l, best i, below_best l", "select instrument_id, best, sum(case when disc < best then 1 else 0 end) as below_best from (select instrument_id, disc, max(disc) over (partition by instrument_id) as best from txn) as x group by 1, 2"),

@@ -146,3 +146,23 @@ def test_whole_queries_leave_no_id_out(spark, far_ids):
     assert found("a07_05_union_dedup_whole", "src", "dst", "kind") == [(700, 500, "buy"), (700, 501, "buy"), (701, 500, "sell")]
     accrued = found("b03_08_income_accrual_whole", "instrument_id", "accrued")
     assert accrued == [(k, d) for k in (5, 500, 501) for d in range(1, 11)]
+
+
+def test_whole_queries_read_whole_texts(spark, tmp_path):
+    names = [(1, "Long " * 20 + "End"), (2, "Net  Asset Value feeds"), (3, "Net Asset"), (4, "Single"), (5, "Gone Away")]
+    texts = [(1, "xx long LONG yy"), (2, "The net asset value"), (2, "other"), (3, "Net of Asset"), (4, "Single")]
+    spark.createDataFrame(names, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = lambda name, *c: rows(registry.queries()[name](spark, str(tmp_path)), *c)
+    prefixes = lambda name: [" ".join(name.split()[:n]).lower() for n in range(2, len(name.split()) + 1)]
+    assert found("a05_12_cited_name_whole", "item_id", "cited") == [(i, any(p in t.lower() for d, t in texts if d == i for p in prefixes(name))) for i, name in names]
+    assert found("a03_08_slug_whole", "item_id", "slug")[0] == (1, "long-" * 20 + "end")
+
+
+def test_whole_screening_meets_names_edited_at_the_start(spark, tmp_path):
+    made = [(0, "Acme Holdings"), (1, "Xcme Holdings"), (2, "Entirely different and long"), (25, "Acme Holding")]
+    frame = spark.createDataFrame(made, "s_suppkey long, s_name string").selectExpr("*", "1 as s_nationkey", "0.0D as s_acctbal")
+    frame.coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    frame.filter("false").selectExpr("s_suppkey as c_custkey", "s_name as c_name", "s_nationkey as c_nationkey", "s_acctbal as c_acctbal", "'x' as c_mktsegment").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(0).selectExpr("1 as n_nationkey", "'x' as n_name", "1 as n_regionkey").coalesce(1).write.parquet(str(tmp_path / "nation.parquet"))
+    assert rows(registry.queries()["b10_03_screening_whole"](spark, str(tmp_path)), "party_id", "listed", "distance") == [(0, 0, 0), (0, 25, 1), (1, 0, 1), (1, 25, 2), (25, 0, 1), (25, 25, 0)]
