@@ -7,7 +7,7 @@ taken back. A bit per position says whether a dead end is known there, so that e
 the work is linear in the word's length.
 
 Defined results: a null text is an empty text and has no tokens; text of any length is one pass; unknown bytes cannot
-occur, as every byte is a token.
+occur, as every byte is a token. Equal texts have equal ids, however often they come.
 """
 
 from __future__ import annotations
@@ -141,8 +141,9 @@ class TextEncoder:
         self.old: dict[str, bytes] = {}
         self.letters = dict(enumerate(byte_alphabet()))
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        # In this range lower-casing and normal form need no tables, and the pre-tokenizer's classes are these:
-        self.plain = re.compile("[\t-\r -~¡-ƻǀ-ɏ]*")
+        # In this range lower-casing is one character to one, normal form needs no tables (U+0130 becomes two characters and
+        # is left out), and the pre-tokenizer's classes are these:
+        self.plain = re.compile("[\t-\r -~¡-įı-ƻǀ-ɏ]*")
         letter = "".join(sorted({c for c in map(chr, range(0x250)) if c.isalpha()}))
         digit = "".join(c for c in map(chr, range(0x250)) if c.isnumeric())
         self.pieces = f"('s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^\\s{letter}{digit}]+)"
