@@ -30,7 +30,7 @@ def plan(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[int, int]:
 
 
 def grouped(docs: DataFrame, groups: int, name: str = "g") -> DataFrame:
-    """The rows with the group of each."""
+    """The rows with the group of each in a new column."""
     return docs.withColumn(name, F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).cast("int"))
 
 
@@ -74,9 +74,9 @@ def frequent(base: DataFrame, buckets: int, hashes: Callable[[list[bytes]], np.n
     def count(rows: pa.Table) -> pa.Table:
         h, n = np.unique(hashes(ordered(rows)[1]), return_counts=True)
         bucket, low = place(h, buckets)
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(cuts))
-        return blocks(full, rows.column("g")[0].as_py(), [_steps(low[a:z]) + np.minimum(n[a:z], 2**32 - 1).astype("<u4").tobytes() for a, z in zip(cuts[full].tolist(), cuts[full + 1].tolist(), strict=True)])
+        full, first = np.unique(bucket, return_index=True)  # of as many buckets as the group has, not as there are
+        ends = np.append(first[1:], len(bucket))
+        return blocks(full, rows.column("g")[0].as_py(), [_steps(low[a:z]) + np.minimum(n[a:z], 2**32 - 1).astype("<u4").tobytes() for a, z in zip(first.tolist(), ends.tolist(), strict=True)])
 
     def add(rows: pa.Table) -> pa.Table:
         sent = [np.frombuffer(p, "<u4").reshape(2, -1) for p in rows.column("payload").to_pylist()]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,19 +21,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir, which driver and executors share; only where that is unset, as in tests, below a local one."""
+    """A new folder's URI below spark.checkpoint.dir, which driver and executors share.
+
+    Only on a local master, where all run on one machine, a folder of its own stands in for an unset one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def written(frame: DataFrame, label: str, partition: list[str] | None = None) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: cuts lineage and outlives executors."""
+#: Folders of tables by the frame that reads them, for ``forget``.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def written(frame: DataFrame, label: str, instead: DataFrame | None = None) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: cuts lineage and outlives executors.
+
+    ``instead`` is a frame that ``written`` gave and that nothing needs any more; its table is deleted.
+    """
     spark, path = frame.sparkSession, scratch(frame.sparkSession, label)
-    frame.write.partitionBy(*partition or []).parquet(path)
-    return spark.read.schema(frame.schema).parquet(path) if not partition else spark.read.parquet(path)
+    frame.write.parquet(path)
+    if instead is not None:
+        forget(instead)
+    out = spark.read.schema(frame.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes the tables behind frames that ``written`` gave."""
+    for frame in frames:
+        if path := _FOLDERS.pop(frame, None):
+            files, folder = store(path)
+            files.delete_dir(folder)
+
+
+def unused(frame: DataFrame, stem: str) -> str:
+    """A column name that the frame has not, whatever the case of its letters."""
+    taken = {c.lower() for c in frame.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
+def quoted(name: str) -> str:
+    """A column name as an expression, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+#: Tasks over which the rows of one key are dealt at most.
+SALTS = 64
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Rows joined with the one row of their key in ``one``, however many rows a key has.
+
+    A key's rows are dealt by a hash of ``by`` over up to ``SALTS`` tasks; the one row is repeated for those salts of its
+    key that occur, so a key of few rows costs no more copies than it has rows.
+    """
+    salt = unused(rows, "_salt")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return salted.join(salted.select(key, salt).distinct().join(one, key), [key, salt], how).drop(salt)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

@@ -17,8 +17,10 @@ Runs whose hash occurs ``HOT`` times or more do not meet in one bucket: their wi
 64-bit hashes of the whole window, each of a group's distinct windows once, so that only equal windows meet.
 
 Texts move once: steps 1, 2 and 4 read one shuffle. Results: a null text is empty and, as all texts under 100 bytes,
-keeps all bytes; equal doc_ids are ordered by text, and repeated rows follow each other, so later ones are removed;
-columns besides doc_id and text are kept by ``deduplicate``, and those named as its own are replaced; no rows give none.
+keeps all bytes; a very long text is hashed in steps of ``STEP`` bytes and its runs are cut at ``WIDE`` windows, so that
+none is held in more than a few copies; equal doc_ids are ordered by text, and repeated rows follow each other, so later
+ones are removed; columns besides doc_id and text are kept by ``deduplicate``, whatever their names, but for those named
+as the ones that ``report`` adds; no rows give none.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .blocks import BLOCK, blocks, frequent, grouped, known, mix, ordered, place, plan
-from .common import table
+from .common import quoted, table
 
 #: Bytes of a passage and of the strings whose least hash stands for it; occurrences of a hash that is dealt by windows.
 LENGTH, GRAM, HOT = 100, 32, 1024
@@ -193,9 +195,8 @@ def _windows(own: list[tuple], ids: np.ndarray, buckets: int, length: int, local
     again[1:] = (w["a"][1:] == w["a"][:-1]) & (w["b"][1:] == w["b"][:-1])
     local.extend(_joined(w["row"][again], w["start"][again].astype(np.int64), w["start"][again].astype(np.int64) + length))
     w = w[~again]
-    bucket = place(w["a"].astype(np.uint64), buckets)[0]
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    return [(b, w[cuts[b] : cuts[b + 1]]) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+    full, first = np.unique(place(w["a"].astype(np.uint64), buckets)[0], return_index=True)
+    return [(b, w[a:z]) for b, a, z in zip(full.tolist(), first.tolist(), [*first[1:].tolist(), len(w)], strict=True)]
 
 
 def _joined(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[tuple]:
@@ -378,32 +379,37 @@ def _intervals(base: DataFrame, buckets: int, length: int, hot: int) -> DataFram
     return sent.groupBy("bucket").applyInArrow(lambda rows: _answer(rows, length), BLOCK)
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """The same rows and columns with repeats cut out of ``text``, and n_bytes, n_removed, n_spans and kept_sha256.
+def deduplicate(docs: DataFrame, length: int = LENGTH, hot: int = HOT, report: bool = True) -> DataFrame:
+    """The same rows and columns with repeats cut out of ``text``; with ``report`` also n_bytes, n_removed, n_spans and kept_sha256.
 
     A cut may leave part of a character at its edges; such bytes go from ``text`` too, not from the digest.
     """
     groups, buckets = plan(docs, BUCKET_BYTES)
     own = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
-    docs = docs.drop(*(f.name for f in own))
-    fields = docs.schema.fields
+    own = own if report else []
+    made = {f.name.lower() for f in own}
+    kept_names = [c for c in docs.columns if c.lower() not in made]
+    # the caller's columns travel under numbers, so that no name of theirs can meet one of these
+    inner = [c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(kept_names)]
+    docs = docs.select(*[F.col(quoted(c)).alias(n) for c, n in zip(kept_names, inner, strict=True)])
     base = grouped(docs, groups)
-    schema = T.StructType([*fields, *own])
+    narrow = base.select("doc_id", "text", "g")
+    schema = T.StructType([*docs.schema.fields, *own])
 
     def cut(rows: pa.Table, answers: pa.Table) -> pa.Table:
         order, texts, spans = _spans(rows, answers)
         rows = rows.take(pa.array(order))
         rest = [kept(t, s) for t, s in zip(texts, spans, strict=True)]
         given = rows.column("text").is_null().to_pylist()
-        new = {
-            "text": [None if null else r.decode("utf-8", "ignore") for r, null in zip(rest, given, strict=True)],
-            "n_bytes": [len(t) for t in texts], "n_removed": [sum(z - a for a, z in s) for s in spans], "n_spans": [len(s) for s in spans],
-            "kept_sha256": [hashlib.sha256(r).hexdigest() for r in rest],
-        }
+        new = {"text": [None if null else r.decode("utf-8", "ignore") for r, null in zip(rest, given, strict=True)]}
+        if report:
+            new |= {"n_bytes": [len(t) for t in texts], "n_removed": [sum(z - a for a, z in s) for s in spans], "n_spans": [len(s) for s in spans]}
+            new["kept_sha256"] = [hashlib.sha256(r).hexdigest() for r in rest]
         kinds = to_arrow_schema(schema)
         return pa.table([pa.array(new[f.name], kinds.field(f.name).type) if f.name in new else rows.column(f.name).cast(kinds.field(f.name).type) for f in schema], names=schema.names)
 
-    return base.groupBy("g").cogroup(_intervals(base, buckets, length, hot).groupBy("g")).applyInArrow(cut, schema)
+    out = base.groupBy("g").cogroup(_intervals(narrow, buckets, length, hot).groupBy("g")).applyInArrow(cut, schema)
+    return out.toDF(*kept_names, *(f.name for f in own))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,14 +11,19 @@
    whose sets are in one component are done. Groups that rounds leave, with those that share sets with them, are families;
    a family's sets outside its largest component are compared with all of it, in blocks.
 5. Sets that meet the same set are a prefix tree in the order of frequent shingles first. It is walked in order; the
-   overlap at each depth is kept, so that a set continues from the part that it has in common with the one before; a
-   subtree is left as soon as what remains of both cannot reach the overlap that a link needs. Sets that a link has
-   connected meanwhile are passed over.
+   overlap at each depth is kept, so that a set continues from the part that it has in common with the one before; as
+   soon as what remains of both cannot reach the overlap that any set below would need, the walk goes on at the end of
+   the subtree. Sets without a prefix key in common with the probe, and sets that a link has connected meanwhile, are
+   passed over.
+
+Links are those that connect: of sets that are in one component already no more links are looked for, so the number of a
+document's links is not known. A key's rows are dealt over many tasks wherever one key may be hot (``spread_join``).
 
 Sets are 64-bit hashes: two different shingles of a pair of documents collide with a chance of about 1e-12 for sets of
 1000. Results: a text without words has no set and is linked with nothing; with one to four words their sequence is its
-shingle; rows of one doc_id are one document for components; a null doc_id has no component and links nothing; other
-columns are left out; no rows give no rows.
+shingle; a very long text is one set, held whole by the task that has it; equal texts are one set; centers, votes and
+labels that tie go to the smaller id; rows of one doc_id are one document for components; a null doc_id has no component
+and links nothing; other columns are left out; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import frequent, grouped, known, mix, ordered, plan
-from .common import table, written
+from .common import forget, spread_join, table, written
 from .components import components
 
 #: Words of a shingle, the similarity as a share of hundred, rounds against centers, and sets of a block.
@@ -83,6 +88,11 @@ def least_overlap(n: np.ndarray | int, m: np.ndarray | int, percent: int = PERCE
     return -(-percent * (n + m) // (100 + percent))
 
 
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    """How many of its rarest keys a set of n must show: sets that link have one of these in common."""
+    return n - -(-percent * n // 100) + 1
+
+
 SETS = "doc_id long, n_shingles long, digest binary, prefix int, tokens binary"
 
 
@@ -104,7 +114,7 @@ def sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 own = slice(bounds[k], bounds[k + 1])
                 level = np.minimum(63, 4 * np.log2(df[own].astype(np.float64))).astype(np.uint64)
                 keys = np.sort(level << np.uint64(58) | h[own] >> np.uint64(6))
-                prefix = int(n[k]) - -(-percent * int(n[k]) // 100) + 1
+                prefix = prefix_length(int(n[k]), percent)
                 once = int((level == 0).sum())  # no other document has these
                 if once < prefix:
                     raw = keys.astype("<u8").tobytes()
@@ -116,48 +126,85 @@ def sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 class PrefixTree:
-    """Sets as descending keys in lexicographic order, which is the order of a walk through their tree."""
+    """Sets as descending keys in lexicographic order, which is the order of a walk through their prefix tree.
+
+    ``shared[p]`` is the depth at which place p leaves the path of the place before it, and ``after[p]`` the next place
+    that leaves it less deep: from a node of depth d at place p, the end of its subtree is found by following ``after``
+    while ``shared`` is d or more.
+    """
 
     STEP = 64
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sets = sets
-        self.order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes(), reverse=True)
-        self.shared = [0]  # keys that each set has in common with the one before in the walk
-        for i, j in zip(self.order, self.order[1:], strict=False):
-            m = min(len(sets[i]), len(sets[j]))
-            differ = sets[i][:m] != sets[j][:m]
-            self.shared.append(int(differ.argmax()) if differ.any() else m)
-
-    def join(self, probe: np.ndarray, percent: int = PERCENT, skip: Callable[[int], bool] = lambda k: False) -> Iterator[int]:
-        """The sets that link with the probe (ascending keys), less those to skip."""
-        depth_overlap, dead, common = np.zeros(1, np.int64), -1, 0
-        for place, k in enumerate(self.order):
-            own = self.sets[k]
-            common = min(common, self.shared[place])  # with the last set that was walked
-            need = least_overlap(len(own), len(probe), percent)
-            if min(len(own), len(probe)) < need or skip(k):
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT) -> None:
+        """``sets`` are ascending keys."""
+        self.percent = percent
+        self.order = sorted(range(len(sets)), key=lambda k: sets[k][::-1].astype(">u8").tobytes(), reverse=True)
+        self.sets = [sets[k][::-1] for k in self.order]
+        self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        self.shared = np.zeros(len(sets), np.int64)
+        for p in range(1, len(self.sets)):
+            x, y = self.sets[p - 1], self.sets[p]
+            m = min(len(x), len(y))
+            differ = x[:m] != y[:m]
+            self.shared[p] = int(differ.argmax()) if differ.any() else m
+        self.after, open_places = [len(sets)] * len(sets), []
+        for p, depth in enumerate(self.shared.tolist()):
+            while open_places and self.shared[open_places[-1]] > depth:
+                self.after[open_places.pop()] = p
+            open_places.append(p)
+        # the rarest keys of each set, by key: sets that link have one of these in common
+        heads = [s[::-1][: prefix_length(len(s), percent)] for s in self.sets]
+        at = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+        keys = np.concatenate(heads) if heads else np.empty(0, np.uint64)
+        by = np.argsort(keys, kind="stable")
+        self.keys, self.places = keys[by], at[by]
+
+    def candidates(self, probe: np.ndarray) -> np.ndarray:
+        """Places of the sets that have a prefix key in common with the probe and whose size allows a link."""
+        head = probe[: prefix_length(len(probe), self.percent)]
+        low, high = np.searchsorted(self.keys, head), np.searchsorted(self.keys, head, "right")
+        found = np.unique(np.concatenate([self.places[a:z] for a, z in zip(low.tolist(), high.tolist(), strict=True) if a < z] or [np.empty(0, np.int64)]))
+        sizes = self.sizes[found]
+        return found[100 * np.minimum(sizes, len(probe)) >= self.percent * np.maximum(sizes, len(probe))]
+
+    def join(self, probe: np.ndarray, places: np.ndarray | None = None, skip: Callable[[int], bool] = lambda k: False) -> Iterator[int]:
+        """The numbers of the sets that link with the probe (ascending keys), of those at the places, less those to skip.
+
+        The overlap at each depth of the path is kept, so a set goes on from what it has in common with the one before.
+        At depth d with overlap o, when l keys of the probe can still follow, the best set below has d + l keys and the
+        overlap o + l: if that is too little the subtree is left, and the walk goes on at its end.
+        """
+        todo = (self.candidates(probe) if places is None else places).tolist()
+        m, overlap, last, barred = len(probe), np.zeros(1, np.int64), 0, 0
+        for p in todo:
+            if p < barred or skip(self.order[p]):
                 continue
-            if 0 <= dead <= common and int(depth_overlap[dead]) + min(len(own) - dead, self._left(probe, own, dead)) < need:
-                continue  # in a subtree that was left
-            at, dead = min(common, len(depth_overlap) - 1), -1
-            reached = depth_overlap[: at + 1]
-            while at < len(own):
+            own = self.sets[p]
+            common = int(self.shared[last + 1 : p + 1].min()) if p > last else 0
+            at = min(common, len(overlap) - 1)
+            overlap, last = overlap[: at + 1], p
+            need = least_overlap(len(own), m, self.percent)
+            while True:
+                left = int(np.searchsorted(probe, own[at - 1])) if at else m  # keys of the probe below the path's last
+                reached = int(overlap[-1])
+                if at < len(own) and reached + left < least_overlap(at + left, m, self.percent):
+                    barred = self._end(p, at)
+                    break
+                if at == len(own) or reached + min(len(own) - at, left) < need:
+                    break
                 part = own[at : at + self.STEP]
-                spots = np.minimum(np.searchsorted(probe, part), len(probe) - 1)
-                reached = np.concatenate([reached, reached[-1] + np.cumsum(probe[spots] == part)])
+                spots = np.minimum(np.searchsorted(probe, part), m - 1)
+                overlap = np.concatenate([overlap, reached + np.cumsum(probe[spots] == part)])
                 at += len(part)
-                if at < len(own) and int(reached[-1]) + min(len(own) - at, self._left(probe, own, at)) < need:
-                    dead = at
-                    break
-            depth_overlap, common = reached, len(own)
-            if dead < 0 and int(reached[-1]) >= need:
-                yield k
+            if at == len(own) and int(overlap[-1]) >= need:
+                yield self.order[p]
 
-    @staticmethod
-    def _left(probe: np.ndarray, own: np.ndarray, depth: int) -> int:
-        """Keys of the probe that can still follow: those below the key at the depth's end."""
-        return int(np.searchsorted(probe, own[depth - 1])) if depth else len(probe)
+    def _end(self, p: int, depth: int) -> int:
+        """The first place after p that is not below p's node of a depth."""
+        p += 1
+        while p < len(self.after) and self.shared[p] >= depth:
+            p = self.after[p]
+        return p
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,7 +217,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         center, probe = None, np.empty(0, np.uint64)
 
         def close() -> pa.RecordBatch:
-            links = list(PrefixTree([s[::-1] for _, s in held]).join(probe, percent))
+            tree = PrefixTree([s for _, s in held], percent)
+            links = list(tree.join(probe))
             out = pa.record_batch([pa.array([center] * len(links), pa.int64()), pa.array([held[k][0] for k in links], pa.int64())], ["a", "b"])
             held.clear()
             return out
@@ -185,7 +233,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if held:
             yield close()
 
-    joined = pairs.select("center", "rep").join(right, "rep").join(left, "center").select("center", "rep", "c_tokens", "r_tokens")
+    joined = spread_join(pairs.select("center", "rep").join(right, "rep"), left, "center", "rep").select("center", "rep", "c_tokens", "r_tokens")
     return joined.sortWithinPartitions("center").mapInArrow(run, "a long, b long")
 
 
@@ -205,21 +253,25 @@ def _entries(sets: DataFrame) -> DataFrame:
 
 
 def links(sets: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """a, b: enough links between distinct sets (rep, n, prefix, tokens) to connect all that are connected."""
+    """a, b: enough links between distinct sets (rep, n, prefix, tokens) to connect all that are connected, not each one."""
     spark = sets.sparkSession
     entries = written(_entries(sets), "entries")
     found = spark.createDataFrame([], "a long, b long")
     tried = spark.createDataFrame([], "center long, rep long")
     for turn in range(rounds + 1):
         if turn:
-            entries = entries.select("token", "rep", "n", "central").join(components(found).withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+            labels = components(found)
+            labelled = spread_join(entries.select("token", "rep", "n", "central"), labels.withColumnRenamed("node", "rep"), "rep", "token", "left").withColumn("label", F.coalesce("label", "rep"))
         else:
-            entries = entries.withColumn("label", F.col("rep"))
+            labelled = entries.withColumn("label", F.col("rep"))
         middle = F.max(F.struct("central", (-F.col("rep")).alias("m"), "n", "label"))
-        groups = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), middle.alias("c")).filter("low < high")
+        groups = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), middle.alias("c")).filter("low < high")
         groups = groups.select("token", (-F.col("c.m")).alias("center"), F.col("c.n").alias("c_n"), F.col("c.label").alias("c_label"))
-        entries = written(entries.join(groups, "token"), "entries")
+        entries = written(spread_join(labelled, groups, "token", "rep"), "entries", entries)
+        if turn:
+            forget(labels)
         if entries.isEmpty():
+            forget(entries)
             return found
         if turn == rounds:
             break
@@ -227,26 +279,31 @@ def links(sets: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> Data
         votes = met.groupBy("rep", "center").agg(F.count("*").alias("votes")).join(tried, ["center", "rep"], "left_anti")
         best = votes.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("center")).alias("m"))).alias("b"))
         pairs = written(best.select((-F.col("b.m")).alias("center"), "rep"), "pairs")
-        found = written(found.unionByName(_verified(pairs, sets, percent)), "found")
+        found = written(found.unionByName(_verified(pairs, sets, percent)), "found", found)
         tried = tried.unionByName(pairs)
-    return written(found.unionByName(_families(entries, sets, percent)), "found")
+    used: list[DataFrame] = []
+    rest = written(found.unionByName(_families(entries, sets, percent, used)), "found", found)
+    forget(entries, *used)
+    return rest
 
 
 MEMBER = "family long, rep long, label long, tokens binary"
 
 
-def _families(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _families(entries: DataFrame, sets: DataFrame, percent: int, used: list[DataFrame]) -> DataFrame:
     """The links that are left between components of groups, each family of groups that share sets compared in full.
 
-    Sets of a family's largest component are not compared with each other. Families of up to ``FAMILY`` sets are taken
-    several at once, larger ones by blocks of sets against blocks of sets, so no task holds more than two blocks.
+    Sets of a family's largest component are not compared with each other, and sets only if they have a prefix key in
+    common. Families of up to ``FAMILY`` sets are taken several at once, larger ones by blocks of sets against blocks of
+    sets, so no task holds more than two blocks. ``used`` gets the tables that the result reads.
     """
     labels = entries.select("rep", "label").distinct()
-    family = components(entries.select(F.col("rep").alias("a"), F.col("center").alias("b"))).select(F.col("node").alias("rep"), F.col("label").alias("family"))
-    own = written(labels.join(family, "rep"), "families")
+    family = components(entries.select(F.col("rep").alias("a"), F.col("center").alias("b")))
+    own = written(labels.join(family.select(F.col("node").alias("rep"), F.col("label").alias("family")), "rep"), "families", family)
     parts = own.groupBy("family", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("family").agg(F.sum("n").alias("size"), (-F.max(F.struct("n", (-F.col("label")).alias("m")))["m"]).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    members = written(own.join(main, "family").join(sets.select("rep", "tokens"), "rep").select("family", "rep", "label", "main", "size", "tokens"), "members")
+    members = written(own.join(main, "family").join(sets.select("rep", "tokens"), "rep").select("family", "rep", "label", "main", "size", "tokens"), "members", own)
+    used.append(members)
     few = members.filter(F.col("size") <= FAMILY)
     bins = max(1, -(-few.count() // FAMILY))
     small = few.withColumn("bin", F.pmod(F.xxhash64("family"), F.lit(bins)).cast("int"))
@@ -289,19 +346,28 @@ def _families(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _joined_blocks(probes: list[tuple], members: list[tuple], percent: int) -> list[tuple[int, int]]:
     """Links of (rep, label, set) probes with members, as many as connect what was not connected yet."""
-    above: dict[int, int] = {}
+    tree, out = PrefixTree([keys for _, _, keys in members], percent), []
+    label_of = np.array([members[k][1] for k in tree.order], np.int64)  # by place, as links join labels
+    now: dict[int, int] = {}
 
     def top(x: int) -> int:
-        while above.get(x, x) != x:
-            above[x] = x = above.get(above[x], above[x])
+        while now.get(x, x) != x:
+            x = now[x]
         return x
 
-    tree, out = PrefixTree([s[::-1] for _, _, s in members]), []
+    place = np.empty(len(members), np.int64)
+    place[tree.order] = np.arange(len(members))
     for rep, label, keys in probes:
-        for k in tree.join(keys, percent, lambda k: top(members[k][1]) == top(label)):  # noqa: B023
-            if (x := top(members[k][1])) != (y := top(label)):
-                above[max(x, y)] = min(x, y)
-                out.append((rep, members[k][0]))
+        own = top(label)
+        found = tree.candidates(keys)
+        found = found[label_of[found] != own]
+        for k in tree.join(keys, found, lambda k: label_of[place[k]] == own):  # noqa: B023
+            other = int(label_of[place[k]])
+            low, high = sorted((own, other))
+            now[high] = low
+            label_of[label_of == high] = low
+            own = low
+            out.append((rep, members[k][0]))
     return out
 
 
@@ -316,13 +382,13 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = written(equal.select("digest", "rep", "s.*"), "representatives")
     alike = components(links(reps.select("rep", "n", "prefix", "tokens"), percent).unionByName(_same_id(rows, reps)))
     labels = reps.select("digest", "rep").join(alike.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
+    out = spread_join(rows.select("doc_id", "n_shingles", "digest"), labels, "digest", "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def _same_id(rows: DataFrame, reps: DataFrame) -> DataFrame:
     """Links between the sets of rows that have one id, of which there are none where ids are unique."""
-    own = rows.filter("digest is not null").select("doc_id", "digest").join(reps.select("digest", "rep"), "digest")
+    own = spread_join(rows.filter("digest is not null").select("doc_id", "digest"), reps.select("digest", "rep"), "digest", "doc_id")
     return own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count_distinct("rep").alias("n")).filter("n > 1").select("a", "b")
 
 

@@ -62,6 +62,16 @@ def ids_of(library):
     return {i: library.encode(t or "", add_special_tokens=False).ids for i, t in ROWS}
 
 
+@pytest.mark.parametrize("words", ["backtracking", "library"])
+def test_every_code_point_is_encoded_as_the_library_does(library, words):
+    own = bpe.encoder(bpe.vocabulary(), words)
+    points = [c for c in range(0x110000) if c < 0x3000 or c % 16 == 0 and not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}b {chr(c)}" for c in points] + ["İstanbul", "İ", "Iİıi"]
+    flat, starts = own.encode_all(texts)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, z, x in zip(texts, starts, starts[1:], want, strict=False) if flat[a:z].tolist() != x] == []
+
+
 def test_words_are_encoded_as_the_library_does(library):
     own = bpe.encoder(bpe.vocabulary())
     for alphabet in ("ab", "etaoin", "aé!?", "0123456789", "'st"):
@@ -98,10 +108,21 @@ def test_op2(docs, none, hot):
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     found = op2_repeats.deduplicate(docs, hot=hot)
     assert got(found.select(columns)) == removed_by_brute_force(ROWS)
-    assert set(docs.columns) <= set(found.columns)
+    assert got(found.select([c for c in docs.columns if c != "text"])) == got(docs.drop("text"))
     assert got(op2_repeats.deduplicate(none).select(columns)) == []
 
 
+def test_op2_keeps_columns_whatever_their_names(spark):
+    rows = [(1, "z" * 150, "orig", 7, "h", "p"), (2, "z" * 150, "other", 8, None, "q"), (None, None, "G", 9, "i", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _group string, n_removed int, kept_sha256 string, `a.b` string")
+    found = op2_repeats.deduplicate(frame, report=False)
+    assert found.columns == frame.columns
+    assert sorted(tuple(r)[2:] for r in found.collect()) == sorted(r[2:] for r in rows)
+    assert {r.doc_id: r.text for r in found.collect()} == {1: "z", 2: "", None: None}
+    found = op2_repeats.deduplicate(frame.withColumnRenamed("_group", "g"))
+    assert sorted((r.g, r.n_removed) for r in found.collect()) == [("G", 0), ("orig", 149), ("other", 150)]
+
+
 def test_op2_without_spark():
     for seed in range(60):
         r = random.Random(seed)
@@ -174,11 +195,57 @@ def test_prefix_tree():
         sets = [np.sort(np.unique(np.concatenate([r.choice(center, r.integers(30, 80), replace=False), r.choice(pool, r.integers(0, 30))]))) for _ in range(20)]
         probe = np.sort(center)
         want = [k for k, s in enumerate(sets) if 100 * len(np.intersect1d(s, probe)) >= 75 * len(np.union1d(s, probe))]
-        tree = op3_jaccard.PrefixTree([s[::-1] for s in sets])
+        tree = op3_jaccard.PrefixTree(sets)
         assert sorted(tree.join(probe)) == want
+        assert sorted(tree.join(probe, np.arange(len(sets)))) == want
         assert sorted(tree.join(probe, skip=lambda k: k % 3 == 0)) == [k for k in want if k % 3]
 
 
+def test_prefix_tree_leaves_subtrees(monkeypatch):
+    walked = []
+    real = np.searchsorted
+    sets = [np.sort(np.concatenate([np.arange(1000, 1100), np.arange(5000 + 200 * k, 5100 + 200 * k)]).astype(np.uint64)) for k in range(400)]
+    probe = np.arange(1000, 1200).astype(np.uint64)
+    tree = op3_jaccard.PrefixTree(sets)
+    monkeypatch.setattr(np, "searchsorted", lambda *a: walked.append(1) or real(*a))
+    assert list(tree.join(probe, np.arange(len(sets)))) == [] and len(walked) < 2500
+    top = [np.sort(np.concatenate([np.arange(k), np.arange(10_000, 10_100)]).astype(np.uint64)) for k in range(1, 400)]
+    tree = op3_jaccard.PrefixTree(top)
+    walked.clear()  # all sets share the path of the largest keys, none of which the probe has
+    assert list(tree.join(probe, np.arange(len(top)))) == [] and len(walked) < 10
+
+
+def test_unrelated_sets_of_a_family_are_not_compared(monkeypatch):
+    r = np.random.default_rng(6)
+    sides = [(k, k, np.sort(np.concatenate([[1 << 63], r.integers(0, 2**62, 200)]).astype(np.uint64))) for k in range(400)]
+    monkeypatch.setattr(op3_jaccard, "least_overlap", lambda *a: pytest.fail("compared"))
+    assert op3_jaccard._joined_blocks(sides, [(k, k, np.sort(r.integers(0, 2**62, 201).astype(np.uint64))) for k in range(1000, 1400)], 75) == []
+
+
+def test_family_links_connect_all_that_are_connected():
+    r = np.random.default_rng(8)
+    for _ in range(30):
+        pool = [np.sort(r.choice(5000, 60, replace=False)) for _ in range(6)]
+        sets = []
+        for k in range(60):
+            base = pool[r.integers(6)]
+            own = np.unique(np.concatenate([r.choice(base, r.integers(45, 61), replace=False), r.integers(0, 5000, r.integers(0, 12))]))
+            sets.append((k, k, own.astype(np.uint64)))
+        joined = lambda pairs: {k: min(c) for c in _classes(range(60), pairs) for k in c}
+        want = [(a, b) for a, _, x in sets for b, _, y in sets if a < b and 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))]
+        assert joined(op3_jaccard._joined_blocks(sets, sets, 75)) == joined(want)
+
+
+def _classes(nodes, pairs):
+    of = {k: {k} for k in nodes}
+    for a, b in pairs:
+        if of[a] is not of[b]:
+            both = of[a] | of[b]
+            for k in both:
+                of[k] = both
+    return of.values()
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 101), (102, 101), (7, 7)]
     assert got(components(spark.createDataFrame(edges, "a long, b long"))) == sorted([(k, 0) for k in range(51)] + [(100, 100), (101, 100), (102, 100)])
