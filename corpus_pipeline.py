@@ -14,29 +14,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import op2_repeats, op3_jaccard, op5_pii, op7_rules, op9_packing
-from ledgerline.llm.common import table, written
+from ledgerline.llm.common import quoted, table, written
 
 
 def _with_text_of(changed: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of docs; n_chars follows the text."""
-    return changed.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return changed.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(quoted(c)) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that policy 1 of the rule ledger keeps."""
-    own = docs.withColumn("_row", F.struct(*docs.columns))
+    own = docs.withColumn("_row", F.struct(*map(quoted, docs.columns)))
     return op7_rules.apply(op7_rules.ledger(own, keep=["_row"])).filter("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least doc_id of each class of documents that link by word shingles."""
     others = op3_jaccard.classes(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(others, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 100 bytes and more that stand earlier in the corpus."""
-    return _with_text_of(op2_repeats.deduplicate(docs), docs)
+    return _with_text_of(op2_repeats.deduplicate(docs, report=False), docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
