@@ -11,30 +11,32 @@ one shard after the other and hold ``HELD`` of them. A document's score for a la
 character; the language with the least cross-entropy is chosen.
 
 A temperature turns cross-entropies into the score, and a rejection threshold for each language says whether the choice
-is accepted; both are calibrated on a sample of at most about ``SAMPLE`` training documents.
+is accepted; both are calibrated on about ``SAMPLE`` training documents, a tenth of all at most, which ``split`` keeps out
+of the counts.
 
-Results: a null text or one without letters is ``und`` with score 0 and not accepted; ties go to the first language in
-order; rows that repeat are learned as often; documents without lang or id are not learned from; without any
-training document every text is ``und``; other columns are left out.
+Results: a null text or one without letters (Unicode's category L) is ``und`` with score 0 and not accepted; a very long
+text is looked up by its distinct words; ties go to the first language in order; rows that repeat are learned as often;
+documents without lang or id are not learned from; without any training document every text is ``und``, and without one
+for calibration the temperature is 1 and all is accepted; other columns are left out; no rows give none.
 """
 
 from __future__ import annotations
 
 import functools
 import io
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, put, scratch, store, table, written
 
-#: Characters of the longest gram, documents for calibration, languages at most.
-ORDER, SAMPLE, LANGUAGES = 4, 4000, 1000
+#: Characters of the longest gram; documents kept for calibration, about, and the largest share of all that they may be.
+ORDER, SAMPLE, SHARE = 4, 4000, 0.1
 #: Bytes of a shard of the model, and shards that a process holds at once.
 SHARD, HELD = 1 << 20, 128
 PAD = " "
@@ -66,7 +68,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return ends[bounds - bounds[0]], numbers, distinct
 
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def _grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,9 +229,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     by_order = {order: top}
     for n in range(order - 1, 0, -1):  # a lower order counts the distinct characters before a gram
         by_order[n] = by_order[n + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
-    langs = sorted(r.lang for r in top.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    langs = sorted(r.lang for r in top.select("lang").distinct().collect())
     model = Model(langs, order)
     if not langs:
         return model
@@ -264,10 +264,17 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     return model
 
 
-def calibrate(model: Model, docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Sets the temperature under which the right languages of a bounded sample are likeliest, and the thresholds."""
-    n = docs.count()
-    part = docs.filter("text is not null and lang is not null").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, n)))).select("text", "lang")
+def split(docs: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
+    """The rows to count and those to calibrate with, by a hash of id and text: about ``sample`` rows, a tenth at most."""
+    part = min(SHARE, sample / max(1, docs.count()))
+    own = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * part)
+    rows = docs.select("doc_id", "text", "lang")
+    return rows.filter(~own), rows.filter(own)
+
+
+def calibrate(model: Model, docs: DataFrame) -> Model:
+    """Sets the temperature under which the right languages of the rows, a bounded sample, are likeliest, and the thresholds."""
+    part = docs.filter("text is not null and lang is not null").filter(F.col("lang").isin(model.langs)).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches):
@@ -311,4 +318,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     own = docs.filter(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    return predict(docs, calibrate(train(own), own))
+    fit, tune = split(own)
+    return predict(docs, calibrate(train(fit), tune))
