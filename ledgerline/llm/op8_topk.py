@@ -5,14 +5,18 @@ rows, each packed into one row. Every block meets every shard once: a tile is on
 of each query are selected at once, and lists are merged in a tree of ``FAN`` lists a step, so no task holds more than
 a tile or FAN lists however many shards there are.
 
-Components become floor(64 * x). Products are exact: in floating point where no sum can pass 2 ** 53, else in Python's
-integers. Results: vectors that are null, empty, or hold a null, NaN or infinity take no part; a shorter vector counts as
-padded with zeros; equal scores go to the smaller id; rows that repeat an id are candidates each, but rows with the
-query's own id are its own; null ids take no part; scores beyond 64 bits are held at the largest 64-bit number.
+Components become floor(64 * x), packed in two bytes each where they fit. Products are exact: in single precision where
+no sum can pass 2 ** 24, in double precision where none can pass 2 ** 53, else in Python's integers, also where 64 * x is
+beyond the largest double. Results: vectors that are null, empty, or hold a null, NaN or infinity take no part; a shorter
+vector counts as padded with zeros, a very long one makes its group's rows as wide; equal scores go to the smaller id;
+rows that repeat an id are candidates each, but rows with the query's own id are its own; null ids take no part; scores
+beyond 64 bits are held at the largest 64-bit number (the SQL covers scores within 64 bits); other columns are left out;
+no rows give none.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,16 +41,37 @@ def _packed(vectors: DataFrame, name: str) -> DataFrame:
         matrix = np.zeros((len(ids), int(sizes.max())))
         matrix[np.repeat(np.arange(len(ids)), sizes), np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy()
         order = np.argsort(ids, kind="stable")
-        return pa.table({name: pa.array([rows.column(name)[0].as_py()], pa.int32()), "ids": [ids[order].astype("<i8").tobytes()], "matrix": [np.floor(64.0 * matrix[order]).tobytes()], "dim": pa.array([matrix.shape[1]], pa.int32())})
+        return pa.table({name: pa.array([rows.column(name)[0].as_py()], pa.int32()), "ids": [ids[order].astype("<i8").tobytes()], "matrix": [pack_matrix(matrix[order])], "dim": pa.array([matrix.shape[1]], pa.int32())})
 
     return vectors.groupBy(name).applyInArrow(pack, f"{name} int, ids binary, matrix binary, dim int")
 
 
+def pack_matrix(x: np.ndarray) -> bytes:
+    """floor(64 x) in two bytes where all fit, else x itself."""
+    if np.abs(x).max(initial=0) < 511:
+        return b"i" + np.floor(64.0 * x).astype("<i2").tobytes()
+    return b"f" + x.astype("<f8").tobytes()
+
+
+def unpack_matrix(raw: bytes, dim: int) -> np.ndarray:
+    """floor(64 x) as doubles, or as Python's integers where some are beyond the largest double."""
+    if raw[:1] == b"i":
+        return np.frombuffer(raw, "<i2", offset=1).reshape(-1, dim).astype(np.float64)
+    x = np.frombuffer(raw, "<f8", offset=1).reshape(-1, dim)
+    if np.abs(x).max(initial=0) < 2.0**1000:
+        return np.floor(64.0 * x)
+    return np.frompyfunc(lambda v: math.floor(64 * v) if abs(v) < 2.0**1000 else 64 * int(v), 1, 1)(x)
+
+
 def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     dim = min(q.shape[1], v.shape[1])
     q, v = q[:, :dim], v[:, :dim]
-    if np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * max(1, dim) < 2.0**53:
-        return (q @ v.T).astype(np.int64)
+    if q.dtype != object and v.dtype != object:
+        bound = np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * max(1, dim)
+        if bound < 2.0**24:
+            return (q.astype(np.float32) @ v.T.astype(np.float32)).astype(np.int64)
+        if bound < 2.0**53:
+            return (q @ v.T).astype(np.int64)
     most = 2**63 - 1
     whole = np.frompyfunc(int, 1, 1)
     return np.clip(whole(q).dot(whole(v).T), -most, most).astype(np.int64)
@@ -82,7 +107,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHAR
             for i in range(b.num_rows):
                 t = {c: b.column(c)[i].as_py() for c in b.schema.names}
                 q_ids, ids = np.frombuffer(t["q_ids"], "<i8"), np.frombuffer(t["ids"], "<i8")
-                rows, columns, scores = _best(_scores(np.frombuffer(t["q_matrix"]).reshape(len(q_ids), t["q_dim"]), np.frombuffer(t["matrix"]).reshape(len(ids), t["dim"])), ids, q_ids, k)
+                rows, columns, scores = _best(_scores(unpack_matrix(t["q_matrix"], t["q_dim"]), unpack_matrix(t["matrix"], t["dim"])), ids, q_ids, k)
                 yield _list(t["block"], t["shard"], q_ids[rows], ids[columns], scores)
 
     lists, left = tiles.mapInArrow(tile, LISTS), shards
