@@ -4,18 +4,21 @@
 about ``FILE_BYTES``, sorts the captures by reversed-host URL key and writes them as compressed index blocks of ``LINES``
 lines. A part of the index is an ``.idx`` file of blocks and a sparse ``.dir`` file: the first key, the offset and the
 size of each block. ``CaptureIndex.find`` searches the parts' first keys, then a directory, and reads only the blocks and
-the records that it needs; ``read_back`` goes through every block of the index and reads every record at its range.
+the records that it needs; ``read_back`` goes through every block of the index, reads every record at its range, and
+checks length and digest of each payload.
 
 Payloads are compared and counted before any of them is moved: what is dealt by digest is a row of numbers, hot digests
 are summed before the shuffle and their pages are spread over ``SALTS`` partitions. Results: a null html is an empty
 payload; a null url has the empty key; payloads under ``LEAST`` bytes and rows that repeat the largest page_id are
-responses; a page without page_id is never the response of a group that has ids; other columns are left out.
+responses; a page without page_id is never the response of a group that has ids; a very long html is one record; other
+columns are left out; no rows give no files and no rows.
 """
 
 from __future__ import annotations
 
 import bisect
 import gzip
+import hashlib
 import json
 import zlib
 from collections.abc import Iterator
@@ -32,6 +35,8 @@ from .common import put, read_range, scratch, table
 FILE_BYTES, LINES, LEAST, SALTS = 32 << 20, 256, 1000, 16
 #: Rows of pages for each partition of the archive and of the index.
 PAGES, CAPTURES = 2000, 20_000
+#: Bytes between two records that are read rather than skipped, and bytes of a read of several records.
+NEAR, READ_BYTES = 64 << 10, 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 CAPTURE = "key string, page_id long, path string, offset long, size long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -88,6 +93,38 @@ def parse(member: bytes) -> dict:
     return {"headers": headers, "payload": None if headers["WARC-Type"] == "revisit" else payload, "length": length}
 
 
+def checked(r: dict) -> tuple:
+    """page_id, length and SHA-1 of the payload, type and target of a parsed record.
+
+    Of a response the length and digest are those of the payload that was read, and must be what the headers say; a
+    revisit has no payload, and its headers tell.
+    """
+    number = lambda urn: int(urn[10:-1]) if len(urn) > 11 else None  # noqa: E731  of <urn:page:7>
+    h, length = r["headers"], r["length"]
+    digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
+    if r["payload"] is not None:
+        read = len(r["payload"]), hashlib.sha1(r["payload"]).hexdigest()
+        if read != (length, digest):
+            raise ValueError(f"the payload of {h['WARC-Record-ID']} is not what its headers say")
+        length, digest = read
+    return number(h["WARC-Record-ID"]), length, digest, h["WARC-Type"], number(h["WARC-Refers-To"]) if "WARC-Refers-To" in h else None
+
+
+def _members(rows: list[tuple[str, int, int]]) -> Iterator[bytes]:
+    """The bytes of (file, offset, size) in order of file and offset; ranges of one file near each other are read at once."""
+    at = 0
+    while at < len(rows):
+        path, start, _ = rows[at]
+        stop, end = at, start
+        while stop < len(rows) and rows[stop][0] == path and rows[stop][1] - end <= NEAR and (stop == at or rows[stop][1] + rows[stop][2] - start <= READ_BYTES):
+            end = rows[stop][1] + rows[stop][2]
+            stop += 1
+        held = read_range(path, start, end - start)
+        for _, offset, size in rows[at:stop]:
+            yield held[offset - start : offset - start + size]
+        at = stop
+
+
 def archive(pages: DataFrame, folder: str, least: int = LEAST) -> list:
     """Writes archives and index; returns the index parts in the order of their keys: first key, name, captures."""
     spark = pages.sparkSession
@@ -186,14 +223,10 @@ def read_back(spark: SparkSession, parts: list) -> DataFrame:
                 yield pa.record_batch([pa.array([part] * len(directory)), *(pa.array([d[k] for d in directory], pa.int64()) for k in (1, 2))], ["part", "offset", "size"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda urn: int(urn[10:-1]) if len(urn) > 11 else None  # noqa: E731  of <urn:page:7>
         for b in batches:
             for part, offset, size in zip(*(b.column(c).to_pylist() for c in ("part", "offset", "size")), strict=True):
-                rows = []
-                for _, _, path, at, length in sorted(_lines(part, ["", offset, size]), key=lambda x: x[2:4]):
-                    r = parse(read_range(path, at, length))
-                    h = r["headers"]
-                    rows.append((number(h["WARC-Record-ID"]), r["length"], h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], number(h["WARC-Refers-To"]) if "WARC-Refers-To" in h else None))
+                ranges = sorted((path, at, length) for _, _, path, at, length in _lines(part, ["", offset, size]))
+                rows = [checked(parse(member)) for member in _members(ranges)]
                 columns = zip(*rows, strict=True)
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
