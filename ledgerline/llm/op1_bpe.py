@@ -1,8 +1,8 @@
 """BPE encoding and decoding of whole texts.
 
 ``encode`` and ``decode`` are maps over Arrow batches: no shuffle, memory bounded by a batch of 12 MB of text or one text.
-Results: a null text gives no ids and the empty string; rows repeat as often as given; columns besides the id and the
-text are left out; a table without rows gives none.
+Results: a null text gives no ids and the empty string; a very long text is one pass; rows, also equal ones, repeat as often
+as given and have equal results; columns besides the id and the text are left out; a table without rows gives none.
 """
 
 from __future__ import annotations

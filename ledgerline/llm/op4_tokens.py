@@ -1,11 +1,13 @@
 """Token ids in binary files of patched frame-of-reference blocks.
 
-``write`` sorts documents by id over a range partitioning, encodes them and writes files of about ``FILE_IDS`` ids in the
+``write`` sorts documents by id, and by text where ids are equal, over a range partitioning, encodes them and writes files of about ``FILE_IDS`` ids in the
 shared folder; a document lies in one file whole. It returns one manifest row a file. A file is written under another
 name and renamed, so a task that runs again replaces it with the same bytes. ``read`` reads manifest rows in parallel.
 
-Results: a null text is empty and gets the end id alone; rows that repeat are written each; null ids come first and are
-kept in the manifest's ``no_id`` count; other columns are left out; no rows give no files and no rows.
+Results: a null text is empty and gets the end id alone; a very long text lies in one file, which it may fill; rows that
+repeat are written each; equal and null ids are in the order of their texts, so that a run again gives the same bytes;
+null ids come first and are kept in the manifest's ``no_id`` count; other columns are left out; no rows give no files
+and no rows.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
         if ids:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
     return sorted(ordered.mapInArrow(run, MANIFEST).collect(), key=lambda r: (r.part, r.nth))
 
 

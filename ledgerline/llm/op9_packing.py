@@ -8,7 +8,8 @@ that a block's windows have left is filled with cuts of the documents that follo
 
 Only ids counts leave a batch, no shuffle is needed, and a block is the most that is held. Sequence numbers carry the
 partition in their upper bits, so that a task that runs again gives the same numbers. Results: a null text is empty and
-its end id is packed alone; repeated rows are packed each; other columns are left out.
+its end id is packed alone; a very long text is many whole windows and one tail; repeated rows are packed each; equal
+sizes are taken in the order of the stream; other columns are left out; no rows give none.
 """
 
 from __future__ import annotations
