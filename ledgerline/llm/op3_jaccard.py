@@ -208,7 +208,11 @@ class PrefixTree:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs (center, rep) of set ids. Sets that meet one center are taken in runs of at most 1000."""
+    """Links that connect what pairs (center, rep) of set ids connect. Sets that meet one center are taken in runs of at most 1000.
+
+    Of a run the linked sets and the center are linked with the least of them, so that no set has more than a run's links
+    and one for each of its runs.
+    """
     right = sets.select("rep", F.col("tokens").alias("r_tokens"))
     left = sets.select(F.col("rep").alias("center"), F.col("tokens").alias("c_tokens"))
 
@@ -218,8 +222,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             tree = PrefixTree([s for _, s in held], percent)
-            links = list(tree.join(probe))
-            out = pa.record_batch([pa.array([center] * len(links), pa.int64()), pa.array([held[k][0] for k in links], pa.int64())], ["a", "b"])
+            met = sorted([held[k][0] for k in tree.join(probe)] + [center])
+            out = pa.record_batch([pa.array(met[:1] * (len(met) - 1), pa.int64()), pa.array(met[1:], pa.int64())], ["a", "b"])
             held.clear()
             return out
 
@@ -261,7 +265,7 @@ def links(sets: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> Data
     for turn in range(rounds + 1):
         if turn:
             labels = components(found)
-            labelled = spread_join(entries.select("token", "rep", "n", "central"), labels.withColumnRenamed("node", "rep"), "rep", "token", "left").withColumn("label", F.coalesce("label", "rep"))
+            labelled = entries.select("token", "rep", "n", "central").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         else:
             labelled = entries.withColumn("label", F.col("rep"))
         middle = F.max(F.struct("central", (-F.col("rep")).alias("m"), "n", "label"))
@@ -302,7 +306,7 @@ def _families(entries: DataFrame, sets: DataFrame, percent: int, used: list[Data
     own = written(labels.join(family.select(F.col("node").alias("rep"), F.col("label").alias("family")), "rep"), "families", family)
     parts = own.groupBy("family", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("family").agg(F.sum("n").alias("size"), (-F.max(F.struct("n", (-F.col("label")).alias("m")))["m"]).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    members = written(own.join(main, "family").join(sets.select("rep", "tokens"), "rep").select("family", "rep", "label", "main", "size", "tokens"), "members", own)
+    members = written(spread_join(own, main, "family", "rep").join(sets.select("rep", "tokens"), "rep").select("family", "rep", "label", "main", "size", "tokens"), "members", own)
     used.append(members)
     few = members.filter(F.col("size") <= FAMILY)
     bins = max(1, -(-few.count() // FAMILY))
