@@ -60,6 +60,12 @@ def forget(*frames: DataFrame) -> None:
             files.delete_dir(folder)
 
 
+def owning(frame: DataFrame, table: DataFrame) -> DataFrame:
+    """The frame, made from a table that ``written`` gave; to forget it deletes that table."""
+    _FOLDERS[frame] = _FOLDERS.pop(table)
+    return frame
+
+
 def unused(frame: DataFrame, stem: str) -> str:
     """A column name that the frame has not, whatever the case of its letters."""
     taken = {c.lower() for c in frame.columns}

@@ -17,7 +17,8 @@
    passed over.
 
 Links are those that connect: of sets that are in one component already no more links are looked for, so the number of a
-document's links is not known. A key's rows are dealt over many tasks wherever one key may be hot (``spread_join``).
+document's links is not known. Entries of a hot shingle and rows of a hot text are dealt over many tasks
+(``spread_join``); pairs of a hot center, two numbers and two sets each, are dealt by adaptive execution's skew split.
 
 Sets are 64-bit hashes: two different shingles of a pair of documents collide with a chance of about 1e-12 for sets of
 1000. Results: a text without words has no set and is linked with nothing; with one to four words their sequence is its
@@ -163,7 +164,10 @@ class PrefixTree:
         """Places of the sets that have a prefix key in common with the probe and whose size allows a link."""
         head = probe[: prefix_length(len(probe), self.percent)]
         low, high = np.searchsorted(self.keys, head), np.searchsorted(self.keys, head, "right")
-        found = np.unique(np.concatenate([self.places[a:z] for a, z in zip(low.tolist(), high.tolist(), strict=True) if a < z] or [np.empty(0, np.int64)]))
+        met = np.zeros(len(self.sets), bool)
+        for a, z in zip(low[low < high].tolist(), high[low < high].tolist(), strict=True):
+            met[self.places[a:z]] = True
+        found = np.flatnonzero(met)
         sizes = self.sizes[found]
         return found[100 * np.minimum(sizes, len(probe)) >= self.percent * np.maximum(sizes, len(probe))]
 
@@ -237,7 +241,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if held:
             yield close()
 
-    joined = spread_join(pairs.select("center", "rep").join(right, "rep"), left, "center", "rep").select("center", "rep", "c_tokens", "r_tokens")
+    joined = pairs.select("center", "rep").join(right, "rep").join(left, "center").select("center", "rep", "c_tokens", "r_tokens")
     return joined.sortWithinPartitions("center").mapInArrow(run, "a long, b long")
 
 
@@ -306,7 +310,7 @@ def _families(entries: DataFrame, sets: DataFrame, percent: int, used: list[Data
     own = written(labels.join(family.select(F.col("node").alias("rep"), F.col("label").alias("family")), "rep"), "families", family)
     parts = own.groupBy("family", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("family").agg(F.sum("n").alias("size"), (-F.max(F.struct("n", (-F.col("label")).alias("m")))["m"]).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    members = written(spread_join(own, main, "family", "rep").join(sets.select("rep", "tokens"), "rep").select("family", "rep", "label", "main", "size", "tokens"), "members", own)
+    members = written(own.join(main, "family").join(sets.select("rep", "tokens"), "rep").select("family", "rep", "label", "main", "size", "tokens"), "members", own)
     used.append(members)
     few = members.filter(F.col("size") <= FAMILY)
     bins = max(1, -(-few.count() // FAMILY))
@@ -363,6 +367,8 @@ def _joined_blocks(probes: list[tuple], members: list[tuple], percent: int) -> l
     place[tree.order] = np.arange(len(members))
     for rep, label, keys in probes:
         own = top(label)
+        if (label_of == own).all():
+            continue
         found = tree.candidates(keys)
         found = found[label_of[found] != own]
         for k in tree.join(keys, found, lambda k: label_of[place[k]] == own):  # noqa: B023
@@ -392,8 +398,11 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _same_id(rows: DataFrame, reps: DataFrame) -> DataFrame:
     """Links between the sets of rows that have one id, of which there are none where ids are unique."""
-    own = spread_join(rows.filter("digest is not null").select("doc_id", "digest"), reps.select("digest", "rep"), "digest", "doc_id")
-    return own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count_distinct("rep").alias("n")).filter("n > 1").select("a", "b")
+    own = rows.filter("digest is not null").select("doc_id", "digest")
+    several = own.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("d")).filter("least <> d").select("doc_id", "least")
+    pairs = own.join(several, "doc_id").select("least", "digest").distinct()
+    rep = reps.select("digest", "rep")
+    return pairs.join(rep.withColumnRenamed("rep", "b"), "digest").join(rep.toDF("least", "a"), "least").select("a", "b")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

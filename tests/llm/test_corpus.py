@@ -176,6 +176,13 @@ def test_op3(docs, none):
     assert got(op3_jaccard.classes(none)) == []
 
 
+def test_op3_rows_of_one_id_are_one_document(spark):
+    a, b, c, d = ("".join(f"{w}{k} " for k in range(40)) for w in "abcd")
+    rows = [(1, a), (2, a), (2, b), (2, c), (3, c), (4, d), (4, b), (5, d), (None, d), (None, None), (6, b)]
+    found = {(r.doc_id, r.component_id) for r in op3_jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (None, None)}
+
+
 @pytest.mark.parametrize("family", [512, 4])
 def test_op3_finds_chains(spark, monkeypatch, family):
     monkeypatch.setattr(op3_jaccard, "FAMILY", family)
@@ -252,6 +259,16 @@ def _classes(nodes, pairs):
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 101), (102, 101), (7, 7)]
     assert got(components(spark.createDataFrame(edges, "a long, b long"))) == sorted([(k, 0) for k in range(51)] + [(100, 100), (101, 100), (102, 100)])
+    # both least nodes of a shared greater one are one component, also where no node stands between others
+    assert got(components(spark.createDataFrame([(1, 5), (2, 5), (3, 6)], "a long, b long"))) == [(1, 1), (2, 1), (3, 3), (5, 1), (6, 3)]
+    r = random.Random(12)
+    for n in (5, 60, 200):
+        pairs = [(r.randrange(n), r.randrange(n)) for _ in range(n)]
+        of = {k: {k} for p in pairs for k in p}
+        for a, b in pairs:
+            both = of[a] | of[b]
+            of |= dict.fromkeys(both, both)
+        assert got(components(spark.createDataFrame(pairs, "a long, b long"))) == sorted((k, min(c)) for k, c in of.items() if len(c) > 1)
 
 
 def test_token_blocks():
