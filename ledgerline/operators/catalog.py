@@ -9,32 +9,70 @@ from ..functions import text as X
 
 
 class Catalog:
-    """Search, point lookup and counts. One plan a call: filter by type, score, drop zeros, top k."""
+    """Search, point lookup and counts. One plan a call: filter by type, score once a row, top k.
+
+    ``items`` may have more columns (parent, source path, URLs); all but the content are given back. ``version`` is added
+    to each result if it is given; ``identity`` describes the release.
+    """
 
     LIMIT = 20
+    #: The types that a requirement is mapped to, and the type of exports.
+    MODEL_TYPES, EXPORT = ["business-domain", "service-domain", "service-operation", "entity", "relationship"], "export"
+
+    def __init__(self, items: DataFrame, version: str | None = None, identity: dict | None = None) -> None:
+        self.items, self.version, self.identity = items, version, identity or {}
 
-    def __init__(self, items: DataFrame) -> None:
-        self.items = items
+    def _versioned(self, found: DataFrame) -> DataFrame:
+        return found if self.version is None else found.withColumn("model_version", F.lit(self.version))
 
     def search(self, query: str, k: int = 10, types: list[str] | None = None) -> DataFrame:
         """The k best items without their content: score descending, id ascending; k is held within 1 ... 20."""
-        if len(query.strip()) < 2:
+        if len(query) < 2:
             raise ValueError("a query has two characters at least")
+        return self._search(query, k, types)
+
+    def _search(self, query: str, k: int, types: list[str] | None) -> DataFrame:
         found = self.items.filter(F.col("type").isin(types)) if types else self.items
-        scored = found.withColumn("score", X.relevance(query, F.col("id"), F.col("title"), F.col("description"), F.col("content"))).filter("score > 0")
-        return scored.drop("content").orderBy(F.desc("score"), "id").limit(max(1, min(self.LIMIT, k)))
+        score = X.relevance(query, F.col("id"), F.col("title"), F.col("description"), F.col("content"))
+        scored = found.withColumn("score", F.explode(score))
+        return self._versioned(scored.drop("content").orderBy(F.desc("score"), "id").limit(max(1, min(self.LIMIT, k))))
 
     def get(self, ident: str) -> DataFrame:
         """The item whose folded id is the given one, or no row."""
-        return self.items.filter(X.fold(F.col("id")) == X.fold(F.lit(ident))).orderBy("id").limit(1)
+        if len(ident) < 2:
+            raise ValueError("an identifier has two characters at least")
+        return self._versioned(self.items.filter(X.fold(F.col("id")) == X.fold_plain(ident)).orderBy("id").limit(1))
 
-    def suggestions(self, ident: str) -> DataFrame:
-        return self.search(ident, 5)
+    def get_or_suggest(self, ident: str) -> DataFrame:
+        """The item (found is true), or the five best matches for its identifier where there is none (found is false)."""
+        item = self.get(ident).drop("content")
+        others = self._search(ident, 5, None).join(F.broadcast(item.select(F.lit(1).alias("_one"))), F.lit(True), "left_anti")
+        return item.withColumns({"score": F.lit(None).cast("int"), "found": F.lit(True)}).unionByName(others.withColumn("found", F.lit(False)))
 
-    def map_requirement(self, requirement: str, types: list[str], k: int = 10) -> DataFrame:
-        if len(requirement.strip()) < 5:
+    def map_requirement(self, requirement: str, k: int = 10, types: list[str] | None = None) -> DataFrame:
+        """The k best model items for a requirement; terms of the glossary and exports are left out."""
+        if len(requirement) < 5:
             raise ValueError("a requirement has five characters at least")
-        return self.search(requirement, k, types)
+        return self._search(requirement, k, types or self.MODEL_TYPES)
+
+    def list_exports(self, query: str | None = None) -> DataFrame:
+        """All exports without their content, or the best of them for a query."""
+        if query:
+            return self._search(query, self.LIMIT, [self.EXPORT])
+        return self._versioned(self.items.filter(F.col("type") == self.EXPORT).drop("content"))
+
+    def get_identity(self) -> DataFrame:
+        """One row: version, official source, the identity as JSON, and the items of each type as a map."""
+        counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "count"))))
+        own = self.items.groupBy("type").count().agg(counts.alias("counts"))
+        described = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in self.identity.items()])) if self.identity else F.lit("{}")
+        return own.select(F.lit(self.version).alias("model_version"), F.lit(self.identity.get("official")).alias("official_source"), described.alias("identity"), "counts")
+
+    def resources(self) -> DataFrame:
+        """uri and text of the two read-only resources: the identity, and version with counts."""
+        own = self.get_identity()
+        summary = F.to_json(F.struct("model_version", "counts", "official_source"))
+        return own.select(F.explode(F.array(F.struct(F.lit("catalog://identity").alias("uri"), F.col("identity").alias("text")), F.struct(F.lit("catalog://summary").alias("uri"), summary.alias("text")))).alias("r")).select("r.*")
 
     def counts(self) -> DataFrame:
         return self.items.groupBy("type").count().orderBy("type")

@@ -1,25 +1,30 @@
-"""Walks over parent pointers and weighted ownership graphs, by rounds of joins with a bound on their number."""
+"""Walks over weighted ownership graphs, by rounds of joins until nothing is left to walk."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
-def look_through(edges: DataFrame, roots: DataFrame, depth: int = 10) -> DataFrame:
+def look_through(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """root, leaf, weight: ownership multiplied along all paths and summed at leaves, which own nothing.
 
-    ``edges`` has owner, owned and weight; ``roots`` has root. A path that meets itself ends; diamonds add up.
+    ``edges`` has owner, owned and weight; ``roots`` has root. A path that meets itself ends; diamonds add up. Paths of any
+    length count: rounds go on until no path is open, each written before the next.
     """
-    parents = edges.select("owner").distinct()
+    parents = edges.select(F.col("owner").alias("node")).distinct()
     front = roots.select("root", F.col("root").alias("node"), F.lit(1.0).alias("weight"), F.array("root").alias("path"))
-    leaves = None
-    for _ in range(depth):
-        step = front.join(edges.withColumnRenamed("weight", "w"), front.node == edges.owner).filter(~F.array_contains("path", F.col("owned")))
-        front = step.select("root", F.col("owned").alias("node"), (F.col("weight") * F.col("w")).alias("weight"), F.concat("path", F.array("owned")).alias("path"))
-        ended = front.join(parents, front.node == parents.owner, "left_anti").select("root", F.col("node").alias("leaf"), "weight")
-        leaves = ended if leaves is None else leaves.unionByName(ended)
-        front = front.join(parents, front.node == parents.owner, "left_semi")
-        if depth > 4 and front.isEmpty():
-            break
-    return leaves.groupBy("root", "leaf").agg(F.sum("weight").alias("weight"))
+    leaves = []
+    while not leaves or not front.isEmpty():
+        step = front.join(edges.select(F.col("owner").alias("node"), "owned", F.col("weight").alias("w")), "node").filter(~F.array_contains("path", F.col("owned")))
+        step = step.select("root", F.col("owned").alias("node"), (F.col("weight") * F.col("w")).alias("weight"), F.concat("path", F.array("owned")).alias("path"))
+        # paths that met no other are one row a place: weights of equal paths are summed before they go on
+        step = written(step.join(parents.withColumn("more", F.lit(True)), "node", "left"), "paths", front if leaves else None)
+        leaves.append(written(step.filter("more is null").groupBy("root", "node").agg(F.sum("weight").alias("weight")), "leaves"))
+        front = step.filter("more").drop("more")
+    whole = reduce(DataFrame.unionByName, leaves)
+    return whole.groupBy("root", F.col("node").alias("leaf")).agg(F.sum("weight").alias("weight"))

@@ -1,7 +1,10 @@
-"""Tax lots: sells are matched to buys in an order by overlap of cumulative quantities."""
+"""Tax lots: sells are matched to buys in an order by overlap of cumulative quantities, and what follows from the pieces."""
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,14 +12,73 @@ from pyspark.sql import functions as F
 def relieve(buys: DataFrame, sells: DataFrame, key: list[str], quantity: str, buy_order: list[Column | str], sell_order: list[Column | str]) -> DataFrame:
     """Pieces (lot, sale, matched quantity). Columns of buys get the prefix lot_, those of sells sale_.
 
-    Both sides become half-open intervals of cumulative quantity; one shuffle on the key serves both windows and the join.
+    Both sides become ends of cumulative quantity. The ends of both are one sequence: a piece lies between two of them,
+    its lot and its sale are the next of each side, which a running last over the sequence backwards carries along. One
+    shuffle on the key, no join, and no more rows than buys and sells.
     """
 
-    def laid(side: DataFrame, order: list, prefix: str) -> DataFrame:
+    def laid(side: DataFrame, order: list, prefix: str, none: DataFrame, other: str) -> DataFrame:
         w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        ended = side.withColumn("end", F.sum(quantity).over(w)).withColumn("start", F.col("end") - F.col(quantity))
-        return ended.select(*key, *[F.col(c).alias(prefix + c) for c in ended.columns if c not in key])
+        columns = [c for c in side.columns if c not in key]
+        ended = side.filter(F.col(quantity) > 0).withColumn("_end", F.sum(quantity).over(w))
+        own = F.struct(*[F.col(c).alias(prefix + c) for c in columns])
+        return ended.select(*key, "_end", own.alias(prefix), F.lit(None).cast(none.select(F.struct(*[F.col(c).alias(other + c) for c in none.columns if c not in key])).schema[0].dataType).alias(other))
+
+    both = laid(buys, buy_order, "lot_", sells, "sale_").unionByName(laid(sells, sell_order, "sale_", buys, "lot_"))
+    back = Window.partitionBy(*key).orderBy(F.desc("_end"), F.col("lot_").isNull())
+    carried = back.rowsBetween(Window.unboundedPreceding, 0)
+    pieces = both.select(*key, F.last("lot_", ignorenulls=True).over(carried).alias("_lot"), F.last("sale_", ignorenulls=True).over(carried).alias("_sale"), (F.col("_end") - F.coalesce(F.lead("_end").over(back), F.lit(0))).alias("matched"))
+    return pieces.filter("matched > 0 and _lot is not null and _sale is not null").select(*key, "_lot.*", "_sale.*", "matched")
+
+
+def relieve_least_tax(trades: DataFrame, key: str, short_rate: float = 0.35, long_rate: float = 0.2, long_days: int = 365) -> DataFrame:
+    """Pieces of sells matched to the open lot whose sale is taxed least, by unit; ``trades`` has key, day, side, qty, price, seq.
+
+    Among lots of one age class the dearest is taxed least, so each class is a heap and the better of two tops is taken:
+    one sorted pass over a key's trades. A sale beyond the open lots is left over. Trades of one key are one task's.
+    """
 
-    b, s = laid(buys, buy_order, "lot_"), laid(sells, sell_order, "sale_")
-    met = b.join(s, key).filter("lot_start < sale_end and sale_start < lot_end")
-    return met.withColumn("matched", F.least("lot_end", "sale_end") - F.greatest("lot_start", "sale_start"))
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        out, young, old, by_day = [], [], [], []
+        for day, _, seq, side, qty, price in sorted(zip(rows["day"], -rows["side"], rows["seq"], rows["side"], rows["qty"], rows["price"], strict=True)):
+            if side > 0:
+                lot = [qty, price, day]
+                heapq.heappush(young, (-price, day, seq, lot))
+                heapq.heappush(by_day, (day, seq, lot))
+                continue
+            while by_day and day - by_day[0][0] > long_days:
+                bought, at, lot = heapq.heappop(by_day)
+                heapq.heappush(old, (-lot[1], bought, at, lot))
+            while qty:
+                while young and (not young[0][3][0] or day - young[0][1] > long_days):
+                    heapq.heappop(young)
+                while old and not old[0][3][0]:
+                    heapq.heappop(old)
+                tops = [(short_rate * (price - young[0][3][1]), 0, young[0][3])] if young else []
+                tops += [(long_rate * (price - old[0][3][1]), 1, old[0][3])] if old else []
+                if not tops:
+                    break
+                _, is_long, lot = min(tops, key=lambda t: t[:2])
+                matched = min(qty, lot[0])
+                lot[0] -= matched
+                qty -= matched
+                out.append((rows[key].iloc[0], matched, matched * (price - lot[1]), bool(is_long)))
+        return pd.DataFrame(out, columns=[key, "matched", "gain", "is_long"])
+
+    kind = trades.schema[key].dataType.simpleString()
+    return trades.select(key, "day", "side", "qty", "price", "seq").groupBy(key).applyInPandas(fold, f"{key} {kind}, matched long, gain long, is_long boolean")
+
+
+def wash_sales(pieces: DataFrame, buys: DataFrame, key: str, days: int = 30) -> DataFrame:
+    """key, sale day, loss, loss quantity, replaced quantity and the disallowed part of the loss.
+
+    ``pieces`` has key, sale_day, matched, gain; ``buys`` key, day, qty. Losses are summed by day; the purchases within
+    ``days`` before and after come from one window over both kinds of rows, ordered by day. What is disallowed is the
+    loss of as many units as were replaced; it is added to the replacement's basis.
+    """
+    losses = pieces.filter("gain < 0").groupBy(key, F.col("sale_day").alias("day")).agg(F.sum("gain").alias("loss"), F.sum("matched").alias("loss_qty"))
+    both = losses.select(key, "day", "loss", "loss_qty", F.lit(0).cast("long").alias("bought")).unionByName(buys.groupBy(key, "day").agg(F.sum("qty").alias("bought")).select(key, "day", F.lit(None).cast("long").alias("loss"), F.lit(None).cast("long").alias("loss_qty"), "bought"))
+    near = Window.partitionBy(key).orderBy("n").rangeBetween(-days, days)
+    met = both.withColumn("n", F.datediff("day", F.lit("1970-01-01").cast("date"))).withColumn("replaced", F.sum("bought").over(near)).filter("loss is not null")
+    used = F.least("replaced", "loss_qty")
+    return met.withColumn("disallowed", F.expr("(-loss * least(replaced, loss_qty)) div loss_qty")).select(key, "day", "loss", "loss_qty", used.alias("replaced"), "disallowed")

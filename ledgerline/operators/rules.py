@@ -6,10 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Numbers of a range whose gaps are found at once; the ranges' edges, one row each, meet in one more window.
+RANGE = 1 << 20
+
+
 @dataclass(frozen=True)
 class Rule:
     """A rule's name and severity, and the frame of (subject, message) rows that break it."""
@@ -42,7 +46,12 @@ def gaps(table: str, number: str) -> Callable[[dict[str, DataFrame]], DataFrame]
     """Numbers that are missing between the least and the largest."""
 
     def run(t: dict[str, DataFrame]) -> DataFrame:
-        span = t[table].agg(F.min(number).alias("a"), F.max(number).alias("z")).select(F.explode(F.sequence("a", "z")).alias(number))
-        return span.join(t[table].select(number), number, "left_anti").select(F.col(number).alias("subject"), F.lit(f"{table}.{number} is missing").alias("message"))
+        # only gaps are spread: each from a number to the next one there is, within a range of numbers and to the next range
+        own = t[table].select(F.col(number).cast("long").alias("n")).distinct().withColumn("part", F.expr(f"n div {RANGE}"))
+        inside = own.withColumn("next", F.lead("n").over(Window.partitionBy("part").orderBy("n")))
+        edges = own.groupBy("part").agg(F.min("n").alias("first"), F.max("n").alias("last"))
+        across = edges.select("last", F.lead("first").over(Window.orderBy("part")).alias("next"))
+        spans = inside.select("n", "next").unionByName(across.select(F.col("last").alias("n"), "next")).filter("next > n + 1")
+        return spans.select(F.explode(F.sequence(F.col("n") + 1, F.col("next") - 1)).alias("subject")).select("subject", F.lit(f"{table}.{number} is missing").alias("message"))
 
     return run

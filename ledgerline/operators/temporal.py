@@ -28,9 +28,16 @@ def close_versions(frame: DataFrame, key: list[str], start: str, ties: list[str]
 
 
 def effective_at(facts: DataFrame, versions: DataFrame, on: list[str], date: str, start: str = "effective_from", end: str = "effective_to") -> DataFrame:
-    """Facts with the version in force at their date, by an equi-join with the interval as what remains to test."""
-    d = facts[date]
-    return facts.join(versions, [facts[c] == versions[c] for c in on] + [versions[start] <= d, versions[end].isNull() | (d < versions[end])], "left").drop(*[versions[c] for c in on])
+    """Facts with the version in force at their date, or nulls: the last version that starts at or before it, if it has not ended.
+
+    Versions of a key follow each other; of several that start on one day the one that lasts is taken. One shuffle on the
+    key, no join: an as-of merge.
+    """
+    values = [c for c in versions.columns if c not in on]
+    open_ended = F.coalesce(F.col(end) > F.col(start), F.lit(True))
+    met = as_of_join(facts, versions.filter(open_ended), on, date, start, values)
+    alive = F.col(end).isNull() | (F.col(date) < F.col(end))
+    return met.select(*facts.columns, *[F.when(alive & F.col("matched_time").isNotNull(), F.col(c)).alias(c) for c in values])
 
 
 def latest(frame: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -48,6 +48,24 @@ VIEWS: dict[str, str] = {
     "monthly": "select portfolio_id, year(trade_date) * 12 + month(trade_date) as m, sum(side * amount) as flow, sum(amount) as gross, count(*) as n from txn group by 1, 2",
     "holding": "select portfolio_id, instrument_id, sum(side * qty) as qty, sum(side * amount) as cost from txn group by 1, 2",
     "valued": "select portfolio_id, holding.instrument_id, issuer, class, qty, cost, qty * price as mv from holding join instrument on holding.instrument_id = instrument.instrument_id where qty <> 0",
+    # what the generated model trees say (modelfiles.py writes it as files): a tree for each hundred suppliers
+    "m_root": "select distinct IDIV(s_suppkey, 100) as root from supplier",
+    "m_bd": "select root, r_regionkey + 1 as bd, concat('BD-0', cast(r_regionkey + 1 as varchar(9))) as bd_id, r_name as name, case r_regionkey when 0 then 'Front' when 1 then 'Middle office' when 2 then 'back' when 3 then 'Crossing' else 'Commercial' end as office from region cross join m_root",
+    "m_place": "select n_nationkey as nk, cast(n_nationkey % 5 + 1 as bigint) as bd, cast(IDIV(n_nationkey, 5) + 1 as bigint) as sd, concat('SD-0', cast(n_nationkey % 5 + 1 as varchar(9)), '.', cast(cast(IDIV(n_nationkey, 5) + 1 as bigint) as varchar(9))) as sd_id, concat('BD-0', cast(n_nationkey % 5 + 1 as varchar(9))) as bd_id, concat('Asset Books of ', n_name) as name, case n_nationkey % 3 when 0 then 'PUB' when 1 then 'PRIV' else 'BOTH' end as applies from nation",
+    "m_sd": "select root, nk, bd, sd, sd_id, bd_id, name, applies from m_place cross join m_root",
+    "m_ent": "select root, suppkey, num, nk, name, prefix, pack, no, concat(prefix, '-', lpad(cast(no as varchar(9)), 2, '0')) as entity_id, case when prefix = 'E' then null when num % 13 = 0 then 'E-99' else concat('E-', lpad(cast(no as varchar(9)), 2, '0')) end as parent from (select IDIV(s_suppkey, 100) as root, s_suppkey as suppkey, s_suppkey % 100 as num, s_nationkey as nk, s_name as name, case IDIV(s_suppkey % 100, 17) when 0 then 'E' when 1 then 'PB' when 2 then 'FO' when 3 then 'PM' when 4 then 'DR' else 'RA' end as prefix, case IDIV(s_suppkey % 100, 17) when 0 then 'core' when 1 then 'public-markets' when 2 then 'fund-operations' when 3 then 'private-markets' when 4 then 'derivatives' else 'real-assets' end as pack, cast(s_suppkey % 100 % 17 + 1 as bigint) as no from supplier) as x",
+    "m_key": "select root, suppkey, entity_id, 'owner_id' as col, concat('E-', lpad(cast(num % 15 + 1 as varchar(9)), 2, '0')) as target from m_ent union all select root, suppkey, entity_id, 'other_id', 'E-03' from m_ent where num % 5 = 0 union all select root, suppkey, entity_id, 'other_id', 'PB-04' from m_ent where num % 5 = 0 union all select root, suppkey, entity_id, 'parent_id', entity_id from m_ent where num % 7 = 0 union all select root, suppkey, entity_id, 'lost_id', 'E-98' from m_ent where num % 11 = 3",
+    "m_fk": "select distinct root, entity_id, target, entity_id = target as is_self from m_key",
+    "m_link": "select root, entity_id, sd_id, 'owned_by' as kind from m_ent join m_place on m_place.nk = m_ent.nk union all select root, entity_id, sd_id, 'owned_by' from m_ent join m_place on m_place.nk = (m_ent.nk + 1) % 25 where num % 4 = 0 union all select root, entity_id, sd_id, 'consumed_by' from m_ent join m_place on m_place.nk = (m_ent.nk + 2) % 25 union all select root, entity_id, 'SD-77.1', 'consumed_by' from m_ent where num % 10 = 9",
+    "m_says": "select root, a.nk, a.sd_id, a.bd_id, b.sd_id as ref, 'consumes-sd' as kind from m_sd as a join m_place as b on b.nk = (a.nk + 1) % 25 where a.nk % 2 = 0 union all select root, nk, sd_id, bd_id, 'SD-99.1', 'produces-sd' from m_sd where nk % 8 = 5 union all select root, a.nk, a.sd_id, a.bd_id, b.sd_id, 'produces-sd' from m_sd as a join m_place as b on b.nk = (a.nk + 3) % 25 where a.nk % 3 = 0 union all select root, a.nk, a.sd_id, a.bd_id, b.sd_id, 'input' from m_sd as a join m_place as b on b.nk = (a.nk + 5) % 25 where a.nk % 4 = 1 union all select root, nk, sd_id, bd_id, concat('BD-0', cast(bd % 5 + 1 as varchar(9))), 'input' from m_sd where nk % 5 = 0 union all select root, nk, sd_id, bd_id, bd_id, 'input' from m_sd where nk % 6 = 0 union all select root, a.nk, a.sd_id, a.bd_id, b.sd_id, 'output' from m_sd as a join m_place as b on b.nk = (a.nk + 7) % 25 where a.nk % 5 = 2 union all select root, nk, sd_id, bd_id, 'BD-09', 'output' from m_sd where nk % 11 = 3",
+    "m_uses": "select root, sd_id, 'E-04' as ref, 'consumes-entity' as kind, nk from m_sd where nk % 3 <> 1 union all select root, sd_id, 'E-07', 'consumes-entity', nk from m_sd where nk % 3 <> 2 union all select distinct m_link.root, m_link.sd_id, m_link.entity_id, 'owns-entity', nk from m_link join m_sd on m_sd.root = m_link.root and m_sd.sd_id = m_link.sd_id where kind = 'owned_by' and nk % 6 <> 4 and m_link.entity_id not like '%-13'",
+    "m_ref": "select distinct root, sd_id, bd_id, ref, case kind when 'input' then 'upstream' when 'output' then 'downstream' else kind end as kind from m_says union select root, sd_id, bd_id, ref, case kind when 'consumes-sd' then 'upstream' else 'downstream' end from m_says where kind in ('consumes-sd', 'produces-sd') union select u.root, u.sd_id, s.bd_id, u.ref, u.kind from m_uses as u join m_sd as s on s.root = u.root and s.sd_id = u.sd_id",
+    "m_edge": "select distinct root, case when kind in ('consumes-sd', 'upstream') then ref else sd_id end as src, case when kind in ('consumes-sd', 'upstream') then sd_id else ref end as dst, case when kind = 'upstream' and ref like 'SD-%' then 'narrative-input' when kind = 'upstream' then 'narrative-bd-input' when kind = 'downstream' and ref like 'SD-%' then 'narrative-output' when kind = 'downstream' then 'narrative-bd-output' else kind end as kind from m_ref where kind in ('consumes-sd', 'produces-sd', 'upstream', 'downstream') and ref not in ('SD-99.1', 'BD-09') and ref <> bd_id",
+    "m_verb": "select p.verb, p.label, p.inverse, p.meaning, p.k from (select distinct upper(replace(o_orderpriority, '-', '_')) as verb, o_orderpriority as label, case when o_orderpriority < '3' then 'EARLY_OF' when o_orderpriority like '4%' then '' when o_orderpriority like '5%' then '3_MEDIUM' else concat(upper(replace(o_orderpriority, '-', '_')), '_OF') end as inverse, concat('From ', o_orderpriority, ' on.') as meaning, cast(substring(o_orderpriority, 1, 1) as bigint) as k from orders) as p",
+    "m_term": "select distinct term, concat('What a ', term, ' is.') as definition from (select p_type as term from part union all select p_brand from part) as x",
+    "m_bind": "select root, verb, entity_id, col from m_key join m_verb on k = cast(substring(entity_id, length(entity_id), 1) as bigint) % 4 + 1 where col = 'owner_id' and suppkey % 6 <> 5 union all select root, verb, entity_id, col from m_key join m_verb on k <= 2 where col = 'parent_id' union all select root, verb, entity_id, cast(null as varchar(20)) from m_ent join m_verb on k = 3 where parent is not null and num % 3 <> 0",
+    "m_map": "select root, entity_id, sd_id, 1 as nth from m_link where kind = 'owned_by' and entity_id not like '%-16' union all select root, entity_id, 'SD-01.1', 2 from m_ent where no = 17",
+    "m_count": "select root, bd, bd_id, count(*) as n from m_sd group by 1, 2, 3",
 }
 ORDER = list(VIEWS)
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -154,6 +172,7 @@ def frame(columns: str, build: Callable[[SparkSession, Callable[[str], DataFrame
             tables(spark, sf_dir, [t for t in TABLES if re.search(rf"\b{t}\b", text)])
             return spark.sql(_macros(text, 0))
 
+        view.spark, view.sf_dir = spark, sf_dir
         out = build(spark, view)
         return out.selectExpr(*[(f"round(cast({n} as double), {6 if k == 'd' else 2}) + 0.0 as {n}" if k in "dz" else f"cast({n} as {TYPES[k]}) as {n}") for n, k in own.items()])
 

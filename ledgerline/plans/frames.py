@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.hierarchy import look_through
 from ..operators.lots import relieve
 from ..operators.reconcile import allocate, reconcile
-from ..operators.returns import compile_metric, irr
+from ..operators.returns import compile_metric
 from ..operators.temporal import as_of_join, close_versions, effective_at, episodes, latest, restatements, with_unknown
 from ..streaming import replay
 from .dialect import Query, expand, frame
@@ -45,14 +45,14 @@ def _effective(spark, view):
     return effective_at(facts, v, ["portfolio_id"], "trade_date").groupBy("priority").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
 
 
-def _look(spark, view, of="portfolio_id < 40 and "):
-    ownership = view("txn").filter(f"{of}side = 1").groupBy("portfolio_id", "order_id", "instrument_id").agg(F.sum("qty").alias("q"))
+def _look(spark, view):
+    ownership = view("txn").filter("side = 1").groupBy("portfolio_id", "order_id", "instrument_id").agg(F.sum("qty").alias("q"))
     first = ownership.groupBy("portfolio_id", "order_id").agg(F.sum("q").alias("q"))
     total = first.groupBy("portfolio_id").agg(F.sum("q").alias("t"))
     name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     a = first.join(total, "portfolio_id").select(name("P", "portfolio_id").alias("owner"), name("O", "order_id").alias("owned"), (F.col("q") / F.col("t")).alias("weight"))
     b = ownership.join(first.select("order_id", F.col("q").alias("t")), "order_id").select(name("O", "order_id").alias("owner"), name("I", "instrument_id").alias("owned"), (F.col("q") / F.col("t")).alias("weight"))
-    return look_through(a.unionByName(b), a.select(F.col("owner").alias("root")).distinct(), 3)
+    return look_through(a.unionByName(b), a.select(F.col("owner").alias("root")).distinct())
 
 
 def _stream(build, mode="complete"):
@@ -71,9 +71,7 @@ QUERIES: dict[str, Query] = {
     "b02_06_unknown_member": frame("member l, docs l, chars l", lambda spark, view: with_unknown(view("documents"), view("labels"), "doc_id").groupBy((F.when(F.col("member") < 0, -1).otherwise(F.col("member") % 10)).alias("member")).agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars")), "with l as (select distinct doc_id as k from labels) select case when k is null then -1 else k % 10 end as member, count(*) as docs, sum(n_chars) as chars from documents left join l on doc_id = k group by 1"),
     "b02_08_threshold_at_date": frame("user_id l, event_id l, v l, threshold l", lambda spark, view: as_of_join(view("obs").filter("provider = 'purchase'").select("user_id", "event_id", "ts", "v"), view("obs").filter("provider = 'view'").groupBy("user_id", "ts").agg(F.max("v").alias("threshold")), ["user_id"], "ts", "ts", ["threshold"]), "select user_id, event_id, v, (select max(b.v) from obs as b where b.user_id = a.user_id and b.provider = 'view' and b.ts = (select max(c.ts) from obs as c where c.user_id = a.user_id and c.provider = 'view' and c.ts <= a.ts)) as threshold from obs as a where provider = 'purchase'"),
     "b02_09_record_date": frame("instrument_id l, record_date t, entitled l", lambda spark, view: as_of_join(view("instrument").select("instrument_id", F.expr("date '1999-12-31'").alias("record_date")), view("txn").groupBy("instrument_id", "trade_date").agg(F.sum(F.expr("side * qty")).alias("q")).selectExpr("instrument_id", "trade_date", "sum(q) over (partition by instrument_id order by trade_date) as entitled"), ["instrument_id"], "record_date", "trade_date", ["entitled"]), "select instrument_id, date '1999-12-31' as record_date, (select sum(side * qty) from txn where txn.instrument_id = instrument.instrument_id and trade_date <= date '1999-12-31') as entitled from instrument"),
-    "b05_02_irr": frame("portfolio_id l, irr d", lambda spark, view: irr(view("txn").withColumn("t", F.expr("datediff(trade_date, date '1995-01-01') / 365.25")).withColumn("a", F.expr("-side * amount")), ["portfolio_id"], "t", "a"), None),
-    "b08_04_look_through": frame("root s, leaf s, weight d", _look, "with o as (select portfolio_id, order_id, instrument_id, sum(qty) as q from txn where portfolio_id < 40 and side = 1 group by 1, 2, 3), f as (select portfolio_id, order_id, sum(q) as q from o group by 1, 2), t as (select portfolio_id, sum(q) as t from f group by 1) select concat('P', cast(o.portfolio_id as varchar(20))) as root, concat('I', cast(instrument_id as varchar(20))) as leaf, sum(f.q * 1.0 / t.t * (o.q * 1.0 / f.q)) as weight from o join f on o.order_id = f.order_id join t on o.portfolio_id = t.portfolio_id group by 1, 2"),
-    "b08_04_look_through_whole": frame("root s, leaf s, weight d", lambda spark, view: _look(spark, view, ""), "with o as (select portfolio_id, order_id, instrument_id, sum(qty) as q from txn where side = 1 group by 1, 2, 3), f as (select portfolio_id, order_id, sum(q) as q from o group by 1, 2), t as (select portfolio_id, sum(q) as t from f group by 1) select concat('P', cast(o.portfolio_id as varchar(20))) as root, concat('I', cast(instrument_id as varchar(20))) as leaf, sum(f.q * 1.0 / t.t * (o.q * 1.0 / f.q)) as weight from o join f on o.order_id = f.order_id join t on o.portfolio_id = t.portfolio_id group by 1, 2"),
+    "b08_04_look_through": frame("root s, leaf s, weight d", _look, "with o as (select portfolio_id, order_id, instrument_id, sum(qty) as q from txn where side = 1 group by 1, 2, 3), f as (select portfolio_id, order_id, sum(q) as q from o group by 1, 2), t as (select portfolio_id, sum(q) as t from f group by 1) select concat('P', cast(o.portfolio_id as varchar(20))) as root, concat('I', cast(instrument_id as varchar(20))) as leaf, sum(f.q * 1.0 / t.t * (o.q * 1.0 / f.q)) as weight from o join f on o.order_id = f.order_id join t on o.portfolio_id = t.portfolio_id group by 1, 2"),
     "b09_13_breach_episodes": frame("user_id l, episode l, first_day t, last_day t, days l", lambda spark, view: episodes(view("daily"), ["user_id"], ["d"], F.col("v") > 12000).groupBy("user_id", "episode").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count("*").alias("days")), "with x as (select user_id, d, v > 12000 as f, coalesce(lag(v > 12000) over (partition by user_id order by d), false) as p from daily), y as (select *, sum(case when f and not p then 1 else 0 end) over (partition by user_id order by d) as episode from x) select user_id, episode, min(d) as first_day, max(d) as last_day, count(*) as days from y where f group by 1, 2"),
     "b11_02_pro_rata": frame("order_id l, share l, lines l", lambda spark, view: allocate(view("txn").withColumn("pot", F.lit(100001)), ["order_id"], "qty", "pot", ["line", "instrument_id", "broker_id", "trade_date", "amount"]).groupBy("order_id").agg(F.max("share").alias("share"), F.count("*").alias("lines")), "with x as (select order_id, qty, IDIV(100001 * qty, sum(qty) over (partition by order_id)) as s, row_number() over (partition by order_id order by qty desc, line, instrument_id, broker_id, trade_date, amount) as k from txn), y as (select order_id, s + case when k = 1 then 100001 - sum(s) over (partition by order_id) else 0 end as s from x) select order_id, max(s) as share, count(*) as lines from y group by 1"),
     "b12_01_reconciliation": frame("instrument_id l, left_value l, right_value l, difference l, cause s", lambda spark, view: reconcile(view("txn").filter("flag = 'A'").groupBy("instrument_id").agg(F.sum("qty").alias("q")), view("txn").filter("flag = 'N'").groupBy("instrument_id").agg(F.sum("qty").alias("q")), ["instrument_id"], "q", 25), "with a as (select instrument_id, sum(qty) as x from txn where flag = 'A' group by 1), b as (select instrument_id, sum(qty) as y from txn where flag = 'N' group by 1) select coalesce(a.instrument_id, b.instrument_id) as instrument_id, x as left_value, y as right_value, coalesce(x, 0) - coalesce(y, 0) as difference, case when x is null then 'missing_left' when y is null then 'missing_right' when abs(x - y) > 25 then 'break' when x <> y then 'within_tolerance' else 'match' end as cause from a full outer join b on a.instrument_id = b.instrument_id"),
@@ -82,7 +80,6 @@ QUERIES: dict[str, Query] = {
     "b12_13_lots_lifo": _lot_query(lambda: [F.desc("trade_date")], "trade_date desc,"),
     "b12_13_lots_hifo": _lot_query(lambda: [F.expr("amount div qty").desc()], "IDIV(amount, qty) desc,"),
     "b12_17_lots_to_holding": frame("instrument_id l, bought l, relieved l, open_qty l", lambda spark, view: view("txn").filter("side = 1").groupBy("instrument_id").agg(F.sum("qty").alias("bought")).join(_lots(view, []).select("instrument_id", F.col("matched").alias("relieved")), "instrument_id", "left").withColumn("relieved", F.coalesce("relieved", F.lit(0))).withColumn("open_qty", F.col("bought") - F.col("relieved")), "with b as (select instrument_id, sum(case when side = 1 then qty else 0 end) as bought, sum(case when side = -1 then qty else 0 end) as sold from txn group by 1) select instrument_id, bought, least(bought, sold) as relieved, bought - least(bought, sold) as open_qty from b where bought > 0"),
-    "b12_14_wash_sale": frame("instrument_id l, washed l", lambda spark, view: view("txn").filter("side = -1").select("instrument_id", "order_id", "line", "broker_id", "qty", F.col("trade_date").alias("sold")).distinct().join(view("txn").filter("side = 1").select("instrument_id", "trade_date").distinct(), "instrument_id").filter("abs(datediff(trade_date, sold)) <= 30").select("instrument_id", "order_id", "line", "broker_id", "qty", "sold").distinct().groupBy("instrument_id").agg(F.sum("qty").alias("washed")), "select instrument_id, sum(qty) as washed from (select distinct instrument_id, order_id, line, broker_id, qty, trade_date from txn where side = -1) as s where exists (select 1 from txn as b where b.side = 1 and b.instrument_id = s.instrument_id and abs(DAYS(b.trade_date, s.trade_date)) <= 30) group by 1"),
     "b15_06_metric_formula": frame("segment s, value d", lambda spark, view: view("ord").join(view("portfolio"), "portfolio_id").groupBy("segment").agg(compile_metric('{"op": "div", "args": [{"op": "sum", "args": [{"op": "mul", "args": [{"col": "total"}, {"value": 3}]}]}, {"op": "count", "args": [{"col": "order_id"}]}]}').alias("value")), "select segment, sum(total * 3) * 1.0 / count(ord.order_id) as value from ord join portfolio on ord.portfolio_id = portfolio.portfolio_id group by segment"),
     "b18_03_custody": frame("broker_id l, left_value l, right_value l, difference l, cause s", lambda spark, view: reconcile(view("txn").groupBy("broker_id").agg(F.sum("qty").alias("q")), view("txn").filter("line_status = 'F'").groupBy("broker_id").agg((F.sum("qty") * 2).alias("q")), ["broker_id"], "q", 300), "with a as (select broker_id, sum(qty) as x from txn group by 1), b as (select broker_id, sum(qty) * 2 as y from txn where line_status = 'F' group by 1) select coalesce(a.broker_id, b.broker_id) as broker_id, x as left_value, y as right_value, coalesce(x, 0) - coalesce(y, 0) as difference, case when x is null then 'missing_left' when y is null then 'missing_right' when abs(x - y) > 300 then 'break' when x <> y then 'within_tolerance' else 'match' end as cause from a full outer join b on a.broker_id = b.broker_id"),
     "b18_12_tax_records": frame("instrument_id l, left_value l, right_value l, difference l, cause s", lambda spark, view: reconcile(_lots(view, []), view("txn").filter("side = -1").groupBy("instrument_id").agg(F.sum("qty").alias("matched")), ["instrument_id"], "matched", 0), "with t as (select instrument_id, sum(case when side = 1 then qty else 0 end) as b, sum(case when side = -1 then qty else 0 end) as s from txn group by 1) select instrument_id, case when least(b, s) > 0 then least(b, s) end as left_value, case when s > 0 then s end as right_value, least(b, s) - s as difference, case when s = 0 then 'x' when least(b, s) = 0 then 'missing_left' when least(b, s) <> s then 'break' else 'match' end as cause from t where s > 0"),

@@ -4,10 +4,6 @@ MOMENTS = "select user_id, count(*) as n, avg(r) as mean, stddev_samp(r) as sd,
 
 STATEMENTS: dict[str, tuple[str, str]] = {
     "b05_01_twr": ("user_id l, n l, twr d", "select user_id, count(*) as n, LINK(1 + r) - 1 as twr from rets group by user_id"),
-    "b05_03_modified_dietz": ("user_id l, bmv l, emv l, flow l, dietz d", """
-        with x as (select user_id, min(d) as a, max(d) as z, sum(v) as flow from daily group by 1), b as (select daily.user_id, v as bmv, a, z, flow from x join daily on x.user_id = daily.user_id and x.a = daily.d),
-        f as (select daily.user_id, sum(v * (DAYS(z, d) * 1.0 / 30)) as wf from daily join b on daily.user_id = b.user_id where d > a group by 1)
-        select b.user_id, bmv, flow * 2 as emv, flow, (flow * 2 - bmv - flow) / (bmv + coalesce(wf, 0)) as dietz from b left join f on b.user_id = f.user_id where bmv > 0"""),
     "b05_04_period_returns": ("user_id l, wk i, week_return d, to_date d", """
         with w as (select user_id, cast(IDIV(DAYS(d, date '2024-01-01'), 7) as int) as wk, sum(ln(1 + r)) as lr from rets group by 1, 2)
         select user_id, wk, exp(lr) - 1 as week_return, exp(sum(lr) over (partition by user_id order by wk)) - 1 as to_date from w"""),
@@ -38,10 +34,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "b07_02_multiples": ("portfolio_id l, dpi d, rvpi d, tvpi d", """
         with f as (select portfolio_id, sum(case when side = 1 then amount else 0 end) as paid, sum(case when side = -1 then amount else 0 end) as dist from txn group by 1), n as (select portfolio_id, sum(mv) as nav from valued group by 1)
         select f.portfolio_id, dist * 1.0 / paid as dpi, coalesce(nav, 0) * 1.0 / paid as rvpi, (dist + coalesce(nav, 0)) * 1.0 / paid as tvpi from f left join n on f.portfolio_id = n.portfolio_id where paid > 0"""),
-    "b07_04_pme": ("portfolio_id l, ks_pme d", """
-        with i as (select year(trade_date) * 12 + month(trade_date) as m, sum(amount) * 1.0 / sum(qty) as lvl from txn group by 1), e as (select lvl as last_lvl from i order by m desc limit 1)
-        select portfolio_id, sum(case when side = -1 then amount / lvl else 0 end) / sum(case when side = 1 then amount / lvl else 0 end) as ks_pme from txn join i on year(trade_date) * 12 + month(trade_date) = i.m group by 1 having sum(case when side = 1 then 1 else 0 end) > 0"""),
-    "b07_05_realised_split": ("portfolio_id l, realised d", "select portfolio_id, sum(case when side = -1 then amount else 0 end) * 1.0 / sum(amount) as realised from txn group by 1"),
     "b07_06_j_curve": ("portfolio_id l, trough l, trough_m l, final l", """
         with c as (select portfolio_id, m, -sum(flow) over (partition by portfolio_id order by m) as cum from monthly)
         select portfolio_id, max(case when k = 1 then cum end) as trough, max(case when k = 1 then m end) as trough_m, max(case when z = 1 then cum end) as final from (select *, row_number() over (partition by portfolio_id order by cum, m) as k, row_number() over (partition by portfolio_id order by m desc) as z from c) as x group by 1"""),
@@ -60,40 +52,27 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "b08_02_concentration": ("portfolio_id l, hhi d, top3 d, effective d", """
         with w as (select portfolio_id, instrument_id, mv * 1.0 / sum(mv) over (partition by portfolio_id) as w, row_number() over (partition by portfolio_id order by mv desc, instrument_id) as k from valued where mv > 0)
         select portfolio_id, sum(w * w) as hhi, sum(case when k <= 3 then w else 0 end) as top3, 1 / sum(w * w) as effective from w group by 1"""),
-    "b08_03_active_share": ("portfolio_id l, active_share d", """
-        with p as (select portfolio_id, issuer, sum(mv) as mv from valued where mv > 0 group by 1, 2), w as (select portfolio_id, issuer, mv * 1.0 / sum(mv) over (partition by portfolio_id) as wp from p), b as (select issuer, sum(mv) * 1.0 / sum(sum(mv)) over () as wb from p group by issuer), u as (select distinct portfolio_id from p), g as (select portfolio_id, issuer, wb from u cross join b)
-        select g.portfolio_id, sum(abs(coalesce(wp, 0) - wb)) / 2 as active_share from g left join w on g.portfolio_id = w.portfolio_id and g.issuer = w.issuer group by 1"""),
     "b08_05_overlap": ("instrument_id l, vehicles l", "select instrument_id, count(distinct portfolio_id) as vehicles from valued group by 1 having count(distinct portfolio_id) > 1"),
     "b08_06_threshold": ("issuer s, mv l, share d", "select issuer, mv, mv * 1.0 / total as share from (select issuer, sum(mv) as mv, sum(sum(mv)) over () as total from valued group by issuer) as x where mv * 100 > 4 * total"),
     "b08_07_group_issuer": ("class s, issuer s, mv l, group_mv l", "select class, issuer, mv, sum(mv) over (partition by class) as group_mv from (select class, issuer, sum(mv) as mv from valued group by 1, 2) as x"),
     "b08_08_counterparty": ("broker_id l, netted b, exposure l", "select broker_id, broker_id % 4 <> 0 as netted, case when broker_id % 4 <> 0 then greatest(sum(side * amount), 0) else sum(greatest(side * amount, 0)) end - max(IDIV(balance, 10)) as exposure from txn join party on broker_id = party_id and kind = 'S' group by 1, 2"),
-    "b08_09_manager_overlap": ("a l, b l, shared l", "with h as (select distinct broker_id, instrument_id from txn where broker_id < 12) select x.broker_id as a, y.broker_id as b, count(*) as shared from h as x join h as y on x.instrument_id = y.instrument_id and x.broker_id < y.broker_id group by 1, 2"),
-    "b08_09_manager_overlap_whole": ("a l, b l, shared l", "with h as (select distinct broker_id, instrument_id from txn) select x.broker_id as a, y.broker_id as b, count(*) as shared from h as x join h as y on x.instrument_id = y.instrument_id and x.broker_id < y.broker_id group by 1, 2"),
     "b09_01_var_es": ("user_id l, var d, es d", "with q as (select user_id, QUANTILE(r, 0.05) as var from rets group by 1) select rets.user_id, var, avg(case when r <= var then r end) as es from rets join q on rets.user_id = q.user_id group by 1, 2"),
     "b09_02_parametric_var": ("user_id l, var d", "select user_id, avg(r) - 1.645 * stddev_samp(r) as var from rets group by 1 having count(*) > 5"),
     "b09_04_var_backtest": ("user_id l, exceptions l, expected d", "with q as (select user_id, QUANTILE(r, 0.1) as var from rets where d < date '2024-01-16' group by 1) select rets.user_id, sum(case when r < var then 1 else 0 end) as exceptions, count(*) * 0.1 as expected from rets join q on rets.user_id = q.user_id where d >= date '2024-01-16' group by 1"),
-    "b09_05_duration": ("instrument_id l, pv d, duration d, dv01 d", """
-        with s as (select instrument_id, size, RANGE(1, 1 + size % 10) as k from instrument), c as (select instrument_id, k, (case when k = 1 + size % 10 then 105 else 5 end) / power(1.04, k) as pv from s)
-        select instrument_id, sum(pv) as pv, sum(k * pv) / sum(pv) as duration, sum(k * pv) / 1.04 / 10000 as dv01 from c group by 1"""),
     "b09_06_desmoothing": ("user_id l, d t, unsmoothed d", """
         with x as (select user_id, d, r, lag(r) over (partition by user_id order by d) as p from rets), c as (select user_id, corr(r, p) as rho from x group by 1 having count(p) > 4)
         select x.user_id, d, (r - rho * p) / (1 - rho) as unsmoothed from x join c on x.user_id = c.user_id where p is not null and abs(rho) < 0.9"""),
     "b09_07_risk_contribution": ("a l, contribution d", """
         with x as (select d, user_id % 4 as a, avg(r) as r from rets group by 1, 2), c as (select x.a as a, y.a as b, covar_samp(x.r, y.r) as cv from x join x as y on x.d = y.d group by 1, 2)
         select a, sum(cv) / (select sum(cv) from c) as contribution from c group by a"""),
-    "b09_08_cva": ("broker_id l, cva d", "select broker_id, sum(greatest(side * amount, 0) * 0.6 * 0.01 * power(0.97, year(trade_date) - 1994)) / 100 as cva from txn group by 1"),
     "b09_09_migration": ("was s, now s, n l", "select was, now, count(*) as n from (select lag(priority) over (partition by portfolio_id order by order_date, order_id) as was, priority as now from ord) as x where was is not null group by 1, 2"),
     "b09_10_liquidity_tier": ("tier i, positions l, mv l", "with v as (select instrument_id, sum(qty) * 1.0 / count(distinct trade_date) as adv from txn group by 1) select case when abs(qty) <= adv then 1 when abs(qty) <= 3 * adv then 2 when abs(qty) <= 10 * adv then 3 else 4 end as tier, count(*) as positions, sum(mv) as mv from valued join v on valued.instrument_id = v.instrument_id group by 1"),
     "b09_11_stress": ("scenario s, segment s, loss l", "with s as (select 'rates' as scenario, 'ECONOMY' as hit, 12 as pct union all select 'credit', 'PROMO', 25 union all select 'all', null, 7) select scenario, segment, sum(IDIV(greatest(mv, 0) * pct, 100)) as loss from valued join portfolio on valued.portfolio_id = portfolio.portfolio_id join s on hit is null or hit = class group by 1, 2"),
-    "b09_12_limits": ("user_id l, d t, used d, state s", "select user_id, d, v / 50000.0 as used, case when v > 50000 then 'breach' when v > 40000 then 'warning' else 'ok' end as state from daily"),
     "b09_14_escalation": ("priority s, open_items l, over_year l", "select priority, sum(case when status = 'O' then 1 else 0 end) as open_items, sum(case when status = 'O' and DAYS(date '2001-12-31', order_date) > 365 then 1 else 0 end) as over_year from ord group by 1"),
     "b10_01_pre_trade": ("order_id l, rules_failed l, verdict s", """
         with r as (select 'size' as rule_id, 40000000 as cap union all select 'cash', 30000000), j as (select order_id, rule_id, case when rule_id = 'size' then total > cap else total - cash > cap end as failed from ord join portfolio on ord.portfolio_id = portfolio.portfolio_id cross join r)
         select order_id, sum(case when failed then 1 else 0 end) as rules_failed, case when max(case when failed then 1 else 0 end) = 1 then 'fail' else 'pass' end as verdict from j group by 1"""),
     "b10_02_sweep": ("portfolio_id l, rule_id s, ok b", "with r as (select 'long_only' as rule_id union all select 'top_issuer'), p as (select portfolio_id, min(mv) as low, max(mv) as high, sum(abs(mv)) as gross from valued group by 1) select portfolio_id, rule_id, case when rule_id = 'long_only' then low >= 0 else high * 100 <= 40 * gross end as ok from p cross join r"),
-    "b10_03_screening": ("party_id l, listed l, distance l", "with l as (select party_id as listed, RX(name, '0', 'O') as alias from party where kind = 'S' and party_id % 25 = 0) select party_id, listed, EDIT(name, alias) as distance from party join l on substring(name, 1, 3) = substring(alias, 1, 3) and EDIT(name, alias) <= 9 where kind = 'S'"),
-    "b10_03_screening_whole": ("party_id l, listed l, distance l", "with l as (select party_id as listed, RX(name, '0', 'O') as alias from party where kind = 'S' and party_id % 25 = 0) select party_id, listed, EDIT(name, alias) as distance from party join l on abs(length(name) - length(alias)) <= 9 and EDIT(name, alias) <= 9 where kind = 'S'"),
-    "b10_04_wash_pattern": ("instrument_id l, pairs l", "select a.instrument_id, count(*) as pairs from txn as a join txn as b on a.instrument_id = b.instrument_id and a.side = 1 and b.side = -1 and DAYS(b.trade_date, a.trade_date) between 0 and 10 group by 1"),
     "b10_05_esg_screen": ("lang s, docs l, flagged l, share d", "select lang, count(*) as docs, sum(toxic) as flagged, sum(toxic) * 1.0 / count(*) as share from documents join labels on documents.doc_id = labels.doc_id group by lang"),
     "b10_06_mfn": ("instrument_id l, best i, below_best l", "select instrument_id, best, sum(case when disc < best then 1 else 0 end) as below_best from (select instrument_id, disc, max(disc) over (partition by instrument_id) as best from txn) as x group by 1, 2"),
 }

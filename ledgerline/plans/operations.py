@@ -16,11 +16,9 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "b12_04_break_recurrence": ("portfolio_id l, breaks l, repeats l, longest_gap l", "select portfolio_id, count(*) as breaks, sum(case when gap < 60 then 1 else 0 end) as repeats, max(gap) as longest_gap from (select portfolio_id, DAYS(order_date, lag(order_date) over (partition by portfolio_id order by order_date, order_id)) as gap from ord where status = 'P') as x group by 1"),
     "b12_05_shadow_nav": ("m l, own l, administrator l, within b", "select m, sum(gross) as own, sum(IDIV(gross * (990 + portfolio_id % 21), 1000)) as administrator, abs(sum(gross) - sum(IDIV(gross * (990 + portfolio_id % 21), 1000))) * 1000 <= sum(gross) as within from monthly group by m"),
     "b12_06_settlement_fails": ("broker_id l, late l, penalty l", "select broker_id, sum(case when DAYS(trade_date, order_date) > 30 then 1 else 0 end) as late, sum(IDIV(greatest(0, DAYS(trade_date, order_date) - 30) * amount, 100000)) as penalty from txn group by 1"),
-    "b12_07_entitlement": ("portfolio_id l, instrument_id l, record_qty l, paid l", "select portfolio_id, instrument_id, sum(side * qty) as record_qty, sum(side * qty) * 25 as paid from txn where trade_date <= date '1999-06-30' group by 1, 2 having sum(side * qty) > 0"),
     "b12_08_income": ("instrument_id l, expected l, received l, shortfall l", "select instrument_id, sum(amount * 5) as expected, sum(amount * tax) as received, sum(amount * 5) - sum(amount * tax) as shortfall from txn group by 1"),
     "b12_09_fee_accrual": ("portfolio_id l, gross_fee l, waiver l, net_fee l", "select portfolio_id, sum(amount * tax) as gross_fee, sum(case when disc >= 8 then amount else 0 end) as waiver, sum(amount * tax) - sum(case when disc >= 8 then amount else 0 end) as net_fee from txn group by 1"),
     "b12_10_ocf": ("segment s, ocf d", "select segment, sum(charge) / 10000.0 / avg(nav) as ocf from (select segment, m, sum(gross) as nav, sum(gross) * 12 as charge from monthly join portfolio on monthly.portfolio_id = portfolio.portfolio_id group by 1, 2) as x group by 1"),
-    "b12_15_holding_period": ("instrument_id l, short_qty l, long_qty l", "select a.instrument_id, sum(case when DAYS(b.last_sale, trade_date) <= 365 then qty else 0 end) as short_qty, sum(case when DAYS(b.last_sale, trade_date) > 365 then qty else 0 end) as long_qty from txn as a join (select instrument_id, max(trade_date) as last_sale from txn where side = -1 group by 1) as b on a.instrument_id = b.instrument_id where side = 1 group by 1"),
     "b12_16_harvest": ("portfolio_id l, instrument_id l, loss l", "select portfolio_id, valued.instrument_id, cost - mv as loss from valued where cost > mv and qty > 0 and not exists (select 1 from txn where txn.portfolio_id = valued.portfolio_id and txn.instrument_id = valued.instrument_id and trade_date > date '2001-07-01')"),
     "b12_18_deals_at_strike": ("order_id l, strike t, units d", "with s as (select MONTH_START(trade_date) as strike, sum(amount) * 1.0 / sum(qty) as per_unit from txn group by 1) select order_id, strike, total / per_unit as units from (select order_id, total, strike, per_unit, row_number() over (partition by order_id order by strike) as k from ord join s on strike >= order_date and DAYS(strike, order_date) < 100) as x where k = 1"),
     "b12_19_register": ("segment s, holder l, units l, payment l", "select segment, ord.portfolio_id as holder, sum(IDIV(total, 10000)) as units, sum(IDIV(total, 10000)) * 3 as payment from ord join portfolio on ord.portfolio_id = portfolio.portfolio_id group by 1, 2"),
@@ -49,7 +47,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         with recursive dep as (select 'price' as a, 'mv' as b union all select 'qty', 'mv' union all select 'mv', 'nav' union all select 'nav', 'twr' union all select 'nav', 'fee' union all select 'fee', 'net' union all select 'twr', 'net'),
         walk as (select a as metric, b as top, 1 as depth from dep union all select walk.metric, dep.b, walk.depth + 1 from walk join dep on walk.top = dep.a)
         select metric, top as dependent, max(depth) as depth from walk group by 1, 2"""),
-    "b15_07_extraction_versions": ("source s, doc_id l, size l", "select source, doc_id, n_chars as size from (select source, doc_id, n_chars, row_number() over (partition by source order by doc_id desc) as k from documents where n_chars > 100) as x where k = 1"),
     "b15_10_case_ageing": ("conv_id l, turns l, user_turns l, late b", "select conv_id, count(*) as turns, sum(case when role = 'user' then 1 else 0 end) as user_turns, max(turn) >= 4 as late from conversations group by 1"),
     "b16_01_overlay": ("nation l, exposure l, contracts l", "select nation, sum(balance) as exposure, IDIV(IDIV(sum(balance), 2), 100000) as contracts from party group by 1"),
     "b16_02_equitisation": ("segment s, idle l, contracts l", "select segment, sum(greatest(cash - 100000, 0)) as idle, IDIV(sum(greatest(cash - 100000, 0)), 250000) as contracts from portfolio group by 1"),
@@ -62,21 +59,14 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "b16_09_sources_uses": ("instrument_id l, supply l, demand l, reused l", "with a as (select instrument_id, sum(qty) as supply from txn where flag = 'N' group by 1), b as (select instrument_id, sum(qty) as demand from txn where flag = 'R' group by 1) select coalesce(a.instrument_id, b.instrument_id) as instrument_id, coalesce(supply, 0) as supply, coalesce(demand, 0) as demand, least(coalesce(supply, 0), coalesce(demand, 0)) as reused from a full outer join b on a.instrument_id = b.instrument_id"),
     "b16_10_liquidity_stress": ("scenario s, segment s, coverage d", "with s as (select 'mild' as scenario, 10 as redeem, 95 as keep union all select 'severe', 30, 70) select scenario, segment, sum(cash * keep) * 1.0 / sum(total_due * redeem) as coverage from portfolio join (select portfolio_id, sum(total) as total_due from ord group by 1) as o on portfolio.portfolio_id = o.portfolio_id cross join s group by 1, 2"),
     "b16_11_hedged_class": ("segment s, base_pnl l, hedge_pnl l, class_pnl l", "select segment, sum(flow) as base_pnl, case when segment = 'HOUSEHOLD' then IDIV(sum(gross), 50) else 0 end as hedge_pnl, sum(flow) + case when segment = 'HOUSEHOLD' then IDIV(sum(gross), 50) else 0 end as class_pnl from monthly join portfolio on monthly.portfolio_id = portfolio.portfolio_id group by 1"),
-    "b17_01_market_timing": ("user_id l, d t, adjusted d", "select user_id, d, case when last_hour < 16 then v * 1.01 else v * 1.0 end as adjusted from (select user_id, d, sum(v) as v, max(hour(ts)) as last_hour from obs group by 1, 2) as x"),
     "b17_03_mark_challenge": ("portfolio_id l, m l, rolled l, challenged b", "select portfolio_id, m, p + flow as rolled, abs(gross - (p + flow)) * 100 > 50 * gross as challenged from (select *, lag(gross) over (partition by portfolio_id order by m) as p from monthly) as x where p is not null"),
     "b17_04_reserves": ("instrument_id l, reserve l", "select instrument_id, case when sum(qty) > 1000 then IDIV(sum(amount) * 3, 100) when sum(qty) > 700 then IDIV(sum(amount) * 2, 100) else IDIV(sum(amount), 100) end as reserve from txn group by 1"),
     "b17_05_mark_verification": ("user_id l, a l, b l, exception b", "select user_id, a, b, abs(a - b) * 100 > 20 * a as exception from (select user_id, WHOLE(avg(case when provider = 'click' then v end)) as a, WHOLE(avg(case when provider = 'view' then v end)) as b from obs group by 1) as x where a is not null and b is not null"),
     "b17_06_what_if": ("class s, before_qty l, after_qty l", "with h as (select instrument_id, side * qty as q, 0 as extra from txn union all select instrument_id, 100, 1 from instrument where class = 'PROMO') select class, sum(case when extra = 0 then q else 0 end) as before_qty, sum(q) as after_qty from h join instrument on h.instrument_id = instrument.instrument_id group by 1"),
-    "b17_07_ex_ante": ("grp l, expected d, risk d", "select user_id % 10 as grp, avg(r) * 250 as expected, stddev_samp(r) * sqrt(250) as risk from rets group by 1"),
     "b17_10_grains": ("portfolio_id l, order_id l, multiple d", "select portfolio_id, order_id, sum(case when side = -1 then amount else 0 end) * 1.0 / sum(amount) as multiple from txn group by grouping sets ((portfolio_id), (portfolio_id, order_id))"),
-    "b17_11_side_pocket": ("portfolio_id l, pocket l, main l", "select portfolio_id, sum(case when priority = '1-URGENT' then total else 0 end) as pocket, sum(case when priority <> '1-URGENT' then total else 0 end) as main from ord group by 1"),
-    "b17_12_pacing": ("segment s, slope z, intercept z", "select segment, regr_slope(x, age) as slope, regr_intercept(x, age) as intercept from (select segment, year(order_date) - 1994 as age, sum(total) / 100.0 as x from ord join portfolio on ord.portfolio_id = portfolio.portfolio_id where year(order_date) < 2001 group by 1, 2) as y group by 1"),
-    "b17_13_issuer_credit": ("issuer s, expected_loss l", "select issuer, sum(IDIV(greatest(mv, 0) * 2 * 60, 10000)) as expected_loss from valued group by 1"),
     "b17_14_top_factor": ("segment s, top_issuer s, share d", "select segment, issuer as top_issuer, share from (select segment, issuer, mv * 1.0 / sum(mv) over (partition by segment) as share, row_number() over (partition by segment order by mv desc, issuer) as k from (select segment, issuer, sum(greatest(mv, 0)) as mv from valued join portfolio on valued.portfolio_id = portfolio.portfolio_id group by 1, 2) as x) as y where k = 1"),
     "b17_16_rank_ic": ("d t, n l, ic d", "select d, count(*) as n, corr(a, b) as ic from (select d, rank() over (partition by d order by w) as a, rank() over (partition by d order by nxt) as b from (select user_id, d, w, lead(v) over (partition by user_id order by d) as nxt from wealth) as x where nxt is not null) as y group by d having count(*) > 5"),
     "b17_17_screen": ("instrument_id l, pct d", "select instrument_id, pct from (select instrument_id, size, percent_rank() over (partition by class order by price) as pct from instrument) as x where size between 10 and 30 and pct < 0.2"),
-    "b17_18_track_record": ("broker_id l, y i, rolling l", "select broker_id, y, sum(a) over (partition by broker_id order by y rows between 2 preceding and current row) as rolling from (select broker_id, year(trade_date) as y, sum(side * amount) as a from txn group by 1, 2) as x"),
-    "b17_19_covenant": ("portfolio_id l, y i, headroom l, ok b", "select portfolio_id, year(order_date) as y, 100000000 - sum(total) as headroom, sum(total) <= 100000000 as ok from ord group by 1, 2"),
     "b17_20_reup": ("portfolio_id l, pct d, room l", "select portfolio_id, percent_rank() over (order by total) as pct, greatest(0, 500000000 - total) as room from (select portfolio_id, sum(total) as total from ord group by 1) as x"),
     "b18_01_correcting_entries": ("order_id l, line l, posted l, reversed l, net l", "select order_id, line, sum(amount) as posted, sum(amount) - max(amount) as reversed, max(amount) as net from txn group by 1, 2 having count(*) > 1"),
     "b18_02_affirmation": ("field s, mismatches l", "with x as (select total, order_id from ord), l as (select order_id, sum(amount) as s, min(trade_date) as a, count(*) as n from txn group by 1) select 'amount' as field, sum(case when total <> s then 1 else 0 end) as mismatches from x join l on x.order_id = l.order_id union all select 'lines', sum(case when n > 7 then 1 else 0 end) from l"),

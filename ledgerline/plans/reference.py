@@ -59,12 +59,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         with legs as (select order_id, amount * 10000 as dr, 0 as cr from txn union all select order_id, 0, amount * disc * 100 from txn union all select order_id, 0, amount * (10000 - disc * 100) from txn)
         select order_id, sum(dr) as debits, sum(cr) as credits, sum(dr) = sum(cr) as balanced from legs group by order_id"""),
     "b03_07_book_close": ("instrument_id l, m l, closing l", "select instrument_id, m, sum(q) over (partition by instrument_id order by m) as closing from (select instrument_id, year(trade_date) * 12 + month(trade_date) as m, sum(side * qty) as q from txn group by 1, 2) as x"),
-    "b03_08_income_accrual": ("instrument_id l, d t, accrued l", """
-        with days as (select instrument_id, price, DATE_RANGE(date '2024-01-01', date '2024-01-10') as d from instrument where instrument_id < 200)
-        select instrument_id, d, IDIV(price * 5 * DAYS(d, date '2023-12-31'), 36500) as accrued from days"""),
-    "b03_08_income_accrual_whole": ("instrument_id l, d t, accrued l", """
-        with days as (select instrument_id, price, DATE_RANGE(date '2024-01-01', date '2024-01-10') as d from instrument)
-        select instrument_id, d, IDIV(price * 5 * DAYS(d, date '2023-12-31'), 36500) as accrued from days"""),
     "b03_09_cash_positioning": ("region_name s, nation_name s, cash l, accounts l", "select region_name, nation_name, sum(cash) as cash, count(*) as accounts from portfolio group by rollup(region_name, nation_name)"),
     "b03_10_liquidity_forecast": ("m l, net l, cumulative l, low l", """
         with f as (select year(trade_date) * 12 + month(trade_date) as m, sum(-side * amount) as net from txn group by 1), c as (select min(m) as a, max(m) as z from f), cal as (select RANGE(a, z) as m from c)

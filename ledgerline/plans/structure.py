@@ -6,8 +6,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "a04_06_cross_domain": ("was l, now l, n l", "select p.region as was, q.region as now, count(*) as n from txn join portfolio as p on txn.portfolio_id = p.portfolio_id join party on broker_id = party_id and kind = 'S' join place as q on party.nation = q.nation where p.region <> q.region group by 1, 2"),
     "a05_04_resolving_refs": ("doc_id l, ref l", "select doc_id, ref from (select doc_id, (doc_id * 7) % 1500 as ref from documents) as x where ref <> doc_id and exists (select 1 from labels where labels.doc_id = ref)"),
     "a05_08_link_check": ("id l, defect s", "with a as (select distinct doc_id as l from labels), b as (select distinct (doc_id * 3) % 900 as r from documents) select coalesce(l, r) as id, case when l is null then 'dead_link' else 'unlinked' end as defect from a full outer join b on l = r where l is null or r is null"),
-    "a05_11_declaration_window": ("doc_id l, declared b", "select doc_id, substring(text, 1, 240) like '%the%' as declared from documents where lang = 'en'"),
-    "a05_12_cited_name": ("item_id l, cited b", "select item_id, exists (select 1 from documents where documents.doc_id = item_id and substring(documents.text, 1, 12) = substring(benchmark.text, 1, 12)) as cited from benchmark"),
     "a05_14_relation_coverage": ("portfolio_id l, verbs l", "select portfolio.portfolio_id, count(distinct ord.priority) as verbs from portfolio left join ord on portfolio.portfolio_id = ord.portfolio_id group by 1 having count(distinct ord.priority) <> 5"),
     "a05_15_all_edges": ("src_kind s, dst_kind s, n l", "select 'order' as src_kind, 'portfolio' as dst_kind, count(*) as n from ord union all select 'txn', 'order', count(*) from txn union all select 'txn', 'instrument', count(*) from txn union all select 'portfolio', 'nation', count(*) from portfolio"),
     "a05_18_polymorphic_key": ("kind s, resolved l", "with x as (select event_id, case when event_id % 2 = 0 then 'C' else 'S' end as discriminator, user_id as ref from obs) select discriminator as kind, count(party_id) as resolved from x left join party on discriminator = kind and ref = party_id group by 1"),
@@ -20,10 +18,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "a06_09_edge_kinds": ("portfolio_id l, broker_id l, kinds s", "select portfolio_id, broker_id, CAT(flag) as kinds from txn group by 1, 2 having count(distinct flag) > 1"),
     "a06_11_distinct_pairs": ("nation l, broker_nation l", "select distinct portfolio.nation, party.nation as broker_nation from txn join portfolio on txn.portfolio_id = portfolio.portfolio_id join party on broker_id = party_id and kind = 'S'"),
     "a07_01_numbering": ("conv_id l, turn l, ordinal i", "select conv_id, turn, row_number() over (partition by conv_id order by turn, role, text) as ordinal from conversations"),
-    "a07_05_union_dedup": ("src l, dst l, kind s", "select portfolio_id as src, instrument_id as dst, 'buy' as kind from txn where side = 1 and portfolio_id < 200 union select portfolio_id, instrument_id, 'sell' from txn where side = -1 and portfolio_id < 200"),
-    "a07_05_union_dedup_whole": ("src l, dst l, kind s", "select portfolio_id as src, instrument_id as dst, 'buy' as kind from txn where side = 1 union select portfolio_id, instrument_id, 'sell' from txn where side = -1"),
     "a07_06_set_difference": ("instrument_id l", "select instrument_id from instrument except select instrument_id from txn where side = -1 and trade_date >= date '2001-01-01'"),
-    "a10_02_index_agreement": ("source s, declared l, actual l", "with a as (select source, count(*) as actual from documents group by 1), d as (select source, count(*) as declared from documents where n_chars > 200 group by 1) select coalesce(a.source, d.source) as source, coalesce(declared, 0) as declared, coalesce(actual, 0) as actual from a full outer join d on a.source = d.source where coalesce(declared, 0) <> coalesce(actual, 0)"),
     "a10_15_deferral_language": ("doc_id l, hits l", "select doc_id, (case when lower(text) like '%later%' then 1 else 0 end) + (case when lower(text) like '%to be%' then 1 else 0 end) + (case when lower(text) like '%stupid%' then 1 else 0 end) as hits from documents where lower(text) like '%later%' or lower(text) like '%to be%' or lower(text) like '%stupid%'"),
     "a10_21_shape_constraints": ("constraint_id s, failed l", "select 'c_name:minCount' as constraint_id, sum(case when c_name is null then 1 else 0 end) as failed from customer union all select 'c_custkey:maxCount', count(*) - count(distinct c_custkey) from customer union all select 'o_custkey:class', sum(case when c_custkey is null then 1 else 0 end) from orders left join customer on o_custkey = c_custkey union all select 'p_size:datatype', sum(case when p_size < 0 then 1 else 0 end) from part"),
 }

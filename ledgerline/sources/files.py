@@ -1,31 +1,66 @@
-"""Sources and sinks: model files in Markdown, catalogues in JSON, graphs in CSV."""
+"""Sources and sinks: catalogues in JSON, graphs in CSV, text files by path, and the check of written files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import text as X
+from . import model
 
 
-def markdown_items(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def markdown_items(spark: SparkSession, path: str, kind: str, site: dict, pattern: str = r"\.md$") -> DataFrame:
     """One row a Markdown file below a path: id and title from the first heading, description, content and place."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True).withColumn("source_path", F.col("_metadata.file_path"))
-    head = X.heading(F.col("value"))
-    parts = F.split(head, r"\s+[—-]\s+", 2)
-    return files.select(F.trim(parts[0]).alias("id"), F.lit(kind).alias("type"), F.trim(F.coalesce(F.get(parts, F.lit(1)), parts[0])).alias("title"), X.clean_inline(F.coalesce(F.nullif(X.first_paragraph(X.section(F.col("value"), "Purpose")), F.lit("")), X.first_paragraph(F.col("value")))).alias("description"), X.clean_inline(F.col("value")).alias("content"), "source_path")
+    return model._markdown_items(model.tree(spark, path), pattern, kind, site).drop("value")
 
 
-def catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a catalogue document."""
-    return spark.read.option("multiLine", "true").json(path).select(F.explode("items").alias("i")).select("i.*")
+def catalogue(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Items of a catalogue: a document with ``items``, or one item a line."""
+    whole = spark.read.option("multiLine", "true")
+    if schema is not None:
+        whole = whole.schema(T.StructType([T.StructField("items", T.ArrayType(schema))]))
+    return whole.json(path).select(F.inline("items"))
 
 
-def write_catalogue(items: DataFrame, path: str) -> None:
-    """Items as JSON lines in the order of their ids."""
-    items.orderBy("id").write.mode("overwrite").json(path)
+def write_catalogue(items: DataFrame, path: str, version: str, identity: dict | None = None) -> None:
+    """One JSON document: version, identity, counts by type and the items in the order of their ids.
+
+    The items are sorted over all tasks and written as lines of a document: the first line opens it, the last closes it,
+    so no task holds all items. A file of the folder is a part of the document, in the order of the names.
+    """
+    import json
+
+    spark = items.sparkSession
+    counts = {r["type"]: r["count"] for r in items.groupBy("type").count().collect()}  # a row a type
+    opening = json.dumps({"modelVersion": version, "identity": identity or {}, "counts": dict(sorted(counts.items()))}, ensure_ascii=False)[:-1] + ', "items": ['
+    first = items.agg(F.min("id")).first()[0]
+    comma = F.when(F.col("id") == F.lit(first), "").otherwise(",")
+    lines = items.orderBy("id").select(F.concat(comma, F.to_json(F.struct(*items.columns))).alias("value"))
+    head, foot = (spark.createDataFrame([(x,)], "value string").coalesce(1) for x in (opening, "]}"))
+    head.unionByName(lines).unionByName(foot).write.mode("overwrite").text(path)
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """The items of a folder that ``write_catalogue`` wrote, line by line."""
+    lines = spark.read.text(path)
+    body = F.regexp_replace("value", "^,", "")
+    parsed = lines.select(body.alias("v")).filter(F.col("v").startswith('{"id"') | F.col("v").startswith('{"root"'))
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in model.ITEM])
+    return parsed.select(F.from_json("v", schema).alias("i")).select("i.*")
 
 
 def graph_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Nodes or edges with a header; what is empty is an empty string, not null, where the column is a string."""
     return spark.read.option("header", "true").schema(schema).csv(path).na.fill("")
+
+
+def write_csv(frame: DataFrame, path: str) -> None:
+    frame.write.mode("overwrite").option("header", "true").option("emptyValue", "").csv(path)
+
+
+def drift(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """path and state (missing, unexpected, changed) of files whose content is not what it should be, by their hashes."""
+    a = expected.select("path", F.sha2("value", 256).alias("a"))
+    b = found.select("path", F.sha2("value", 256).alias("b"))
+    state = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "unexpected").when(F.col("a") != F.col("b"), "changed")
+    return a.join(b, "path", "full_outer").select("path", state.alias("state")).filter("state is not null")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import scratch
+
 
 def events(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:
     """Events as a stream of files with a watermark."""
@@ -38,9 +39,28 @@ def positions(frame: DataFrame) -> DataFrame:
 
 
 def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """All rows that a stream of the files at hand gives."""
-    spark, name = stream.sparkSession, f"replay_{uuid.uuid4().hex[:10]}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    """All rows that a stream of the files at hand gives, from a table in the shared folder, not from the driver's memory.
+
+    Each micro-batch is written whole under its number; in complete mode the last batch is the result, in append mode all
+    are, so a batch that runs again replaces itself.
+    """
+    spark, path = stream.sparkSession, scratch(stream.sparkSession, "replay")
+    kept: list[int] = []
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{n}")
+        kept.append(n)
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not kept:
+        return spark.createDataFrame([], stream.schema)
+    parts = kept[-1:] if mode == "complete" else sorted(set(kept))
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/rows/{n}" for n in parts])
+
+
+def alerts(frame: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Events beyond the limit of their kind, with the rule that they break; a stateless join, so each event is told once."""
+    limit = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in limits.items()])
+    value = F.round(F.col("value") * 100).cast("long")
+    return frame.filter(value > limit).select("event_id", "user_id", F.concat(F.col("event_type"), F.lit(" above "), limit.cast("string")).alias("cause"), value.alias("v"))
