@@ -313,7 +313,7 @@ QUERIES: dict[str, Query] = {
         select vec_id, label, near, cosine from (select *, row_number() over (partition by vec_id order by cosine desc, near) as k from s) as r where k = 1"""),
     "b15_09_same_text": frame("doc_id l, same_as l, n l", _normalised, "with k as (select doc_id, trim(regexp_replace(lower(text), '[^a-zà-ÿ]+', ' ', 'g')) as t from documents) select doc_id, same_as, n from (select doc_id, min(doc_id) over (partition by t) as same_as, count(*) over (partition by t) as n from k) as x where n > 1"),
     "b17_01_market_timing": frame("user_id l, d t, v l, adjusted d", lambda spark, view: _timed(view), """
-        with f as (select d, d % 7 as k from (select distinct d from (select user_id, d, v from daily) as q) as x) select user_id, d, v, v * (1 + coalesce((select max_by(m, o) from (select cast(date '2024-01-01' + 3 * i as date) as o, (i % 5 - 2) / 1000.0 as m from range(0, 11) as t(i)) as g where o <= d), 0)) as adjusted from daily""".replace("with f as (select d, d % 7 as k from (select distinct d from (select user_id, d, v from daily) as q) as x) ", "")),
+        select user_id, d, v, v * (1 + coalesce((select max_by(m, o) from (select cast(date '2024-01-01' + cast(3 * i as integer) as date) as o, (i % 5 - 2) / 1000.0 as m from range(0, 11) as t(i)) as g where o <= d), 0)) as adjusted from daily"""),
     "b17_02_option_values": frame("instrument_id l, vol d, value z, put z", _options, """
         with o as (select instrument_id, price / 100 as f, price / 100 * (0.9 + size / 250) as k, (1 + size % 4) / 2 as t from instrument), s as (select *, 0.2 + 0.1 * abs(ln(k / f)) + 0.02 * sqrt(t) as vol from o), d as (select *, vol * sqrt(t) as sd, ln(f / k) / (vol * sqrt(t)) + vol * sqrt(t) / 2 as d1 from s),
         x as (select *, unnest([1, 2]) as w from d), y as (select *, case w when 1 then d1 else d1 - sd end as z from x), u as (select *, 1 / (1 + 0.2316419 * abs(z)) as q from y),
@@ -334,7 +334,7 @@ QUERIES: dict[str, Query] = {
         p as (select s.portfolio_id, coalesce(sum(x) filter (where side = 1), 0) as c, coalesce(sum(x) filter (where side = -1), 0) + max(nav) as d from s join n on n.portfolio_id = s.portfolio_id group by 1), g as (select segment, count(*) as k, sum(c) as c, sum(d) as d from p join portfolio on portfolio.portfolio_id = p.portfolio_id group by 1)
         select segment, k as portfolios, d / c as ks_pme, (d - c) / (select sum(d - c) from g) as share from g"""),
     "b17_11_side_pocket": frame("portfolio_id l, pocket_return d, main_return d, equalisation d", lambda spark, view: _side_pocket(view), """
-        with t as (select txn.portfolio_id, priority = '1-URGENT' as pocket, side * qty * price as mv, side * amount as cost, order_date, amount from txn join instrument on instrument.instrument_id = txn.instrument_id join ord on ord.order_id = txn.order_id),
+        with t as (select txn.portfolio_id, priority = '1-URGENT' as pocket, side * qty * price as mv, side * amount as cost, txn.order_date as order_date, amount from txn join instrument on instrument.instrument_id = txn.instrument_id join ord on ord.order_id = txn.order_id),
         e as (select portfolio_id, sum(amount * DAYS(date '2002-01-01', order_date)) * 1.0 / sum(amount) / 365 as q from t group by 1)
         select t.portfolio_id, sum(mv) filter (where pocket) * 1.0 / nullif(sum(cost) filter (where pocket), 0) - 1 as pocket_return, sum(mv) filter (where not pocket) * 1.0 / nullif(sum(cost) filter (where not pocket), 0) - 1 as main_return, max(q) as equalisation from t join e on e.portfolio_id = t.portfolio_id group by 1"""),
     "b17_12_pacing": frame("segment s, call_slope z, call_intercept z, dist_slope z, dist_intercept z", lambda spark, view: view("txn").join(view("portfolio").select("portfolio_id", "segment"), "portfolio_id").filter("year(trade_date) < 2001").groupBy("segment", F.expr("year(trade_date) - 1994").alias("age")).agg((F.sum(F.expr("if(side = 1, amount, 0)")) / 100).alias("c"), (F.sum(F.expr("if(side = -1, amount, 0)")) / 100).alias("x")).groupBy("segment").agg(F.regr_slope("c", "age").alias("call_slope"), F.regr_intercept("c", "age").alias("call_intercept"), F.regr_slope("x", "age").alias("dist_slope"), F.regr_intercept("x", "age").alias("dist_intercept")), """

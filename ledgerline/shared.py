@@ -52,6 +52,11 @@ def forget(*frames: DataFrame) -> None:
             files.delete_dir(folder)
 
 
+def move(old: DataFrame, new: DataFrame) -> None:
+    """From now on the table behind the old frame goes with the new one, which is made from it."""
+    _FOLDERS[new] = _FOLDERS.pop(old)
+
+
 def store(uri: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system of a URI and the path in it."""
     from pyarrow import fs
