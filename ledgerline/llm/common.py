@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import posixpath
-import tempfile
-import uuid
-import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
+from ..shared import forget, put, scratch, store, written
+
+__all__ = ["forget", "put", "scratch", "store", "written"]
+
 #: Bytes of text that a Python step holds at once.
 BATCH_BYTES = 12 << 20
 
@@ -20,49 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir, which driver and executors share.
-
-    Only on a local master, where all run on one machine, a folder of its own stands in for an unset one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-#: Folders of tables by the frame that reads them, for ``forget``.
-_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def written(frame: DataFrame, label: str, instead: DataFrame | None = None) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: cuts lineage and outlives executors.
-
-    ``instead`` is a frame that ``written`` gave and that nothing needs any more; its table is deleted.
-    """
-    spark, path = frame.sparkSession, scratch(frame.sparkSession, label)
-    frame.write.parquet(path)
-    if instead is not None:
-        forget(instead)
-    out = spark.read.schema(frame.schema).parquet(path)
-    _FOLDERS[out] = path
-    return out
-
-
-def forget(*frames: DataFrame) -> None:
-    """Deletes the tables behind frames that ``written`` gave."""
-    for frame in frames:
-        if path := _FOLDERS.pop(frame, None):
-            files, folder = store(path)
-            files.delete_dir(folder)
-
-
 def owning(frame: DataFrame, table: DataFrame) -> DataFrame:
     """The frame, made from a table that ``written`` gave; to forget it deletes that table."""
-    _FOLDERS[frame] = _FOLDERS.pop(table)
+    shared.move(table, frame)
     return frame
 
 
@@ -115,23 +76,6 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start)
 
 
-def store(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system of a URI and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
-def put(uri: str, data: bytes) -> None:
-    """Writes a whole file under another name and renames it, so that a task that is run again leaves the same file."""
-    files, path = store(uri)
-    files.create_dir(posixpath.dirname(path), recursive=True)
-    part = f"{path}.{uuid.uuid4().hex[:8]}.part"
-    with files.open_output_stream(part) as out:
-        out.write(data)
-    files.move(part, path)
-
-
 def read_range(uri: str, start: int = 0, size: int | None = None) -> bytes:
     files, path = store(uri)
     with files.open_input_file(path) as f:
