@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded, quoted, table
@@ -402,7 +403,9 @@ def mask(docs: DataFrame, key: bytes | None = None, report: bool = True) -> Data
     key = key or session_key(docs.sparkSession)
     added = [] if not report else [T.StructField("n_entities", T.LongType()), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("collisions", T.LongType())]
     names = {f.name.lower() for f in added}
-    fields = [f for f in docs.schema.fields if f.name.lower() not in names]
+    kept = [c for c in docs.columns if c.lower() not in names]
+    # the caller's columns travel under numbers, so that their names may be any
+    docs = docs.select(*[F.col(quoted(c)).alias("text" if c == "text" else f"c{k}") for k, c in enumerate(kept)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = surrogates(key)
@@ -413,7 +416,7 @@ def mask(docs: DataFrame, key: bytes | None = None, report: bool = True) -> Data
                 columns += [pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([sorted({*r[1]}) for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.int64())]
             yield pa.record_batch(columns, [*b.schema.names, *(f.name for f in added)])
 
-    return docs.select(*[quoted(f.name) for f in fields]).mapInArrow(run, T.StructType([*fields, *added]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added])).toDF(*kept, *(f.name for f in added))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

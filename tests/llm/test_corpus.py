@@ -3,7 +3,6 @@
 import collections
 import gzip
 import hashlib
-import json
 import math
 import random
 import re
@@ -613,16 +612,102 @@ def test_window_count_rises_until_the_fullest_fits():
         assert fill.max() - fill.min() <= max(sizes)
 
 
-def test_pipeline(spark, sf_dir):
+@pytest.fixture(scope="module")
+def pipeline_docs(spark):
+    """Rows with columns named as stages' own are; some texts are junk, copies, near copies, share passages or hold data."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows, passage = [], prose(40)
+    for k in range(60):
+        t = prose(r.randint(30, 200))
+        if k % 6 == 1:
+            t = f"{prose(60)} {passage} {prose(60)}"
+        if k % 6 == 2 and rows:
+            t = r.choice(rows)[1]
+        if k % 6 == 3 and rows:
+            t = r.choice(rows)[1] + " " + word()
+        if k % 10 == 4:
+            t = f"{t} mail a{k}@b{k}.org or call +1 (415) 555-{1000 + k}, Mr. {word().title()} {word().title()}"
+        rows.append((k, t))
+    rows += [(100, None), (101, ""), (102, "few words here"), (103, "# $ % & " * 40), (104, "one line\n" * 40), (105, "SHOUTED WORDS " * 30)]
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), f"g{i}", i * 7, f"k{i}", [str(i)], True) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, g string, n_removed long, kept_sha256 string, kinds array<string>, kept boolean"), rows
+
+
+def test_pipeline_stages_against_brute_force(spark, pipeline_docs):
     import corpus_pipeline as p
 
-    assert [n for n, _ in p.STAGES] == ["quality", "near_duplicates", "repeats", "private_data", "packing"]
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
-    for name, stage in p.STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+    assert [n for n, _ in p.STAGES] == ["quality", "near_duplicates", "repeats", "private_data", "packing"] and p.ORACLE_SQL is None
+    docs, rows = pipeline_docs
+    stage, texts = dict(p.STAGES), dict(rows)
+    others = lambda frame: {r.doc_id: (r.lang, r.source, r.g, r.n_removed, r.kept_sha256, r.kinds, r.kept) for r in frame.collect()}
+    given = others(docs)
+
+    good = stage["quality"](spark, docs, "")
+    assert good.columns == docs.columns and good.dtypes == docs.dtypes
+    failed = {i for i, *_, f in ledger_by_brute_force(rows) if f}
+    kept = others(good)
+    # what the base keeps stays, but for the texts made to fail another rule
+    assert set(kept) == set(texts) - failed - {103, 104, 105} and all(kept[i] == given[i] for i in kept)
+
+    good = good.persist()
+    single = stage["near_duplicates"](spark, good, "")
+    mine = [(i, t) for i, t in rows if i in kept]
+    left = {c for _, _, c in classes_by_brute_force(mine)}
+    assert single.columns == docs.columns and others(single) == {i: given[i] for i in left} and len(left) < len(mine)
+
+    single = single.persist()
+    cut = stage["repeats"](spark, single, "")
+    mine = sorted((i, t) for i, t in rows if i in left)
+    assert cut.columns == docs.columns and others(cut) == {i: given[i] for i in left}
+    seen, want = set(), {}
+    for i, t in mine:
+        b, mark = t.encode(), np.zeros(len(t.encode()), bool)
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                mark[k : k + 100] = True
+            seen.add(b[k : k + 100])
+        want[i] = bytes(np.frombuffer(b, np.uint8)[~mark]).decode("utf-8", "ignore")
+    found = {r.doc_id: (r.text, r.n_chars) for r in cut.collect()}
+    assert found == {i: (t, len(t)) for i, t in want.items()} and any(want[i] != texts[i] for i in want)
+
+    cut = cut.persist()
+    spark.conf.set(op5_pii.KEY_SETTING, "k")
+    try:
+        safe = stage["private_data"](spark, cut, "")
+        assert safe.columns == docs.columns and others(safe) == {i: given[i] for i in left}
+        own = op5_pii.Surrogates(b"k")
+        found = {r.doc_id: (r.text, r.n_chars) for r in safe.collect()}
+    finally:
+        spark.conf.unset(op5_pii.KEY_SETTING)
+    assert found == {i: ((n := op5_pii.masked(t, own)[0]), len(n)) for i, t in want.items()}
+    assert not any(f"a{i}@b{i}" in t for i, (t, _) in found.items()) and any(t != want[i] for i, (t, _) in found.items())
+
+    pieces = stage["packing"](spark, cut, "").collect()
+    assert {x.doc_id for x in pieces} == left and all(x.offset + x.length <= 2048 for x in pieces)
+    for x in (good, single, cut):
+        x.unpersist()
+
+
+def test_pipeline_runs_whole(spark, sf_dir):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    kept = {r.doc_id for r in p.quality(spark, docs, sf_dir).collect()}
-    assert all(not failed for i, *_, failed in ledger_by_brute_force(texts.items()) if i in kept)
-    assert {r.doc_id for r in p.near_duplicates(spark, docs, sf_dir).collect()} == {c for _, _, c in classes_by_brute_force(texts.items())}
-    assert json.dumps(p.ORACLE_SQL) == "null"
+    pieces = p.run(spark, sf_dir).collect()
+    by = collections.defaultdict(int)
+    for x in pieces:
+        by[x.doc_id] += x.length
+    assert all(by[x.doc_id] == x.doc_tokens for x in pieces) and set(by) <= set(texts)
+    good = {i for i, *_, f in ledger_by_brute_force(texts.items()) if not f}
+    assert set(by) <= good and len(by) > len(texts) // 2
+
+
+def test_pipeline_of_no_rows_and_of_clashing_names(spark, pipeline_docs):
+    import corpus_pipeline as p
+
+    docs = pipeline_docs[0].filter("false").withColumnRenamed("g", "a.b").withColumnRenamed("lang", "_row")
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() == 0, name
+    assert p.STAGES[-1][1](spark, docs, "").count() == 0
