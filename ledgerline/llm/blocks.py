@@ -30,8 +30,9 @@ def plan(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[int, int]:
 
 
 def grouped(docs: DataFrame, groups: int, name: str = "g") -> DataFrame:
-    """The rows with the group of each in a new column."""
-    return docs.withColumn(name, F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).cast("int"))
+    """The rows with the group of each in a new column, by its id; rows without an id, which may be many, by their text."""
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(1))).otherwise(F.xxhash64(F.col("doc_id").cast("long")))
+    return docs.withColumn(name, F.pmod(key, F.lit(groups)).cast("int"))
 
 
 def ordered(rows: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:

@@ -19,7 +19,7 @@ Runs whose hash occurs ``HOT`` times or more do not meet in one bucket: their wi
 Texts move once: steps 1, 2 and 4 read one shuffle. Results: a null text is empty and, as all texts under 100 bytes,
 keeps all bytes; a very long text is hashed in steps of ``STEP`` bytes and its runs are cut at ``WIDE`` windows, so that
 none is held in more than a few copies; equal doc_ids are ordered by text, and repeated rows follow each other, so later
-ones are removed; columns besides doc_id and text are kept by ``deduplicate``, whatever their names, but for those named
+ones are removed; rows without an id come before all others, in one order that is the same in each run of as many rows; columns besides doc_id and text are kept by ``deduplicate``, whatever their names, but for those named
 as the ones that ``report`` adds; no rows give none.
 """
 
@@ -257,8 +257,12 @@ def _scan(order: list[int], lcp: list[int], length: int, leave) -> None:
             stack.append((depth, start))
 
 
-def removed(entries: np.ndarray, text: bytes, length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """Entry, start and size, within its context, of what repeats something earlier, from the maximal repeats of a bucket."""
+def removed(entries: np.ndarray, text: bytes, length: int = LENGTH, groups: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Entry, start and size, within its context, of what repeats something earlier, from the maximal repeats of a bucket.
+
+    ``groups`` are the groups of the entries, which order rows without an id.
+    """
+    g = np.zeros(len(entries), np.int64) if groups is None else groups
     sizes = entries["size"].astype(np.int64)
     begin = np.cumsum(sizes) - sizes
     n = sizes - length + 1
@@ -278,7 +282,7 @@ def removed(entries: np.ndarray, text: bytes, length: int = LENGTH) -> list[tupl
     starts, own = pos[chosen].tolist(), of[chosen]
     left = np.where(step[chosen] > 0, buf[np.maximum(pos[chosen] - 1, 0)].astype(np.int64), -1 - own).tolist()
     ends = (begin[own] + sizes[own]).tolist()
-    keys = list(zip(entries["doc"][own].tolist(), entries["row"][own].tolist(), (entries["start"][own] + step[chosen]).tolist(), strict=True))
+    keys = list(zip(entries["doc"][own].tolist(), entries["row"][own].tolist(), g[own].tolist(), (entries["start"][own] + step[chosen]).tolist(), strict=True))
     order, lcp = _suffixes(text, ends, starts)
     out: list[tuple[int, int, int]] = []
     # each open interval keeps its earliest occurrence and its left bytes; a suffix is told when it first meets an earlier one
@@ -325,12 +329,12 @@ def _answer(rows: pa.Table, length: int) -> pa.Table:
             out.setdefault(g, []).extend(np.frombuffer(body, INTERVAL).tolist())
     if entries:
         e, g_of = np.concatenate(entries), np.concatenate(groups_c)
-        for k, a, size in removed(e, b"".join(texts), length):
+        for k, a, size in removed(e, b"".join(texts), length, g_of):
             start = int(e["start"][k]) + a
             out.setdefault(int(g_of[k]), []).append((int(e["row"][k]), start, start + size))
     if windows:
         w, g_of = np.concatenate(windows), np.concatenate(groups_w)
-        order = np.lexsort((w["start"], w["row"], w["doc"], w["b"], w["a"]))
+        order = np.lexsort((w["start"], g_of, w["row"], w["doc"], w["b"], w["a"]))
         w, g_of = w[order], g_of[order]
         again = np.append(False, (w["a"][1:] == w["a"][:-1]) & (w["b"][1:] == w["b"][:-1]))
         w, g_of = w[again], g_of[again]

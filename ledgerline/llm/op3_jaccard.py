@@ -17,8 +17,8 @@
    passed over.
 
 Links are those that connect: of sets that are in one component already no more links are looked for, so the number of a
-document's links is not known. Entries of a hot shingle and rows of a hot text are dealt over many tasks
-(``spread_join``); pairs of a hot center, two numbers and two sets each, are dealt by adaptive execution's skew split.
+document's links is not known. Entries of a hot shingle, rows of a hot text and pairs of a hot center are dealt over many
+tasks by a salt.
 
 Sets are 64-bit hashes: two different shingles of a pair of documents collide with a chance of about 1e-12 for sets of
 1000. Results: a text without words has no set and is linked with nothing; with one to four words their sequence is its
@@ -38,11 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import frequent, grouped, known, mix, ordered, plan
-from .common import forget, spread_join, table, written
+from .common import SALTS, forget, spread_join, table, written
 from .components import components
 
 #: Words of a shingle, the similarity as a share of hundred, rounds against centers, and sets of a block.
 WORDS, PERCENT, ROUNDS, FAMILY = 5, 75, 2, 512
+#: Bytes of the sets of a run.
+RUN_BYTES = 16 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 NO_ID = np.iinfo(np.int64).min
@@ -212,37 +214,42 @@ class PrefixTree:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that connect what pairs (center, rep) of set ids connect. Sets that meet one center are taken in runs of at most 1000.
+    """Links that connect what pairs (center, rep) of set ids connect.
 
-    Of a run the linked sets and the center are linked with the least of them, so that no set has more than a run's links
-    and one for each of its runs.
+    A center's pairs are dealt by a salt over up to ``SALTS`` tasks; its set goes once to each of them, before the sets
+    that meet it, which are taken in runs of at most 1000 sets and ``RUN_BYTES``. Of a run the linked sets and the center
+    are linked with the least of them, so that no set has more than a run's links and one for each of its runs.
     """
-    right = sets.select("rep", F.col("tokens").alias("r_tokens"))
-    left = sets.select(F.col("rep").alias("center"), F.col("tokens").alias("c_tokens"))
+    salted = pairs.select("center", "rep", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt"))
+    heads = salted.select("center", "salt").distinct().join(sets.select(F.col("rep").alias("center"), "tokens"), "center").select("center", "salt", F.lit(0).alias("kind"), F.col("center").alias("rep"), "tokens")
+    others = salted.join(sets.select("rep", "tokens"), "rep").select("center", "salt", F.lit(1).alias("kind"), "rep", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, np.ndarray]] = []
-        center, probe = None, np.empty(0, np.uint64)
+        center, probe, size = None, np.empty(0, np.uint64), 0
 
         def close() -> pa.RecordBatch:
             tree = PrefixTree([s for _, s in held], percent)
             met = sorted([held[k][0] for k in tree.join(probe)] + [center])
-            out = pa.record_batch([pa.array(met[:1] * (len(met) - 1), pa.int64()), pa.array(met[1:], pa.int64())], ["a", "b"])
             held.clear()
-            return out
+            return pa.record_batch([pa.array(met[:1] * (len(met) - 1), pa.int64()), pa.array(met[1:], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for c, r, x, y in zip(*(batch.column(n) for n in ("center", "rep", "c_tokens", "r_tokens")), strict=True):
-                if held and (c.as_py() != center or len(held) == 1000):
+            for c, kind, rep, raw in zip(*(batch.column(n) for n in ("center", "kind", "rep", "tokens")), strict=True):
+                own = np.frombuffer(raw.as_py(), "<u8")
+                if held and (not kind.as_py() or len(held) == 1000 or size > RUN_BYTES):
                     yield close()
-                if c.as_py() != center:
-                    center, probe = c.as_py(), np.frombuffer(x.as_py(), "<u8")
-                held.append((r.as_py(), np.frombuffer(y.as_py(), "<u8")))
+                    size = 0
+                if kind.as_py():
+                    held.append((rep.as_py(), own))
+                    size += own.nbytes
+                else:
+                    center, probe = c.as_py(), own
         if held:
             yield close()
 
-    joined = pairs.select("center", "rep").join(right, "rep").join(left, "center").select("center", "rep", "c_tokens", "r_tokens")
-    return joined.sortWithinPartitions("center").mapInArrow(run, "a long, b long")
+    dealt = heads.unionByName(others).repartition("center", "salt").sortWithinPartitions("center", "salt", "kind", "rep")
+    return dealt.select("center", "kind", "rep", "tokens").mapInArrow(run, "a long, b long")
 
 
 def _entries(sets: DataFrame) -> DataFrame:

@@ -125,6 +125,31 @@ def test_op2_keeps_columns_whatever_their_names(spark):
     assert sorted((r.g, r.n_removed) for r in found.collect()) == [("G", 0), ("orig", 149), ("other", 150)]
 
 
+@pytest.mark.parametrize("hot", [2, 1024])
+def test_op2_rows_without_an_id(spark, monkeypatch, hot):
+    monkeypatch.setattr("ledgerline.llm.blocks.GROUP_BYTES", 1000)
+    r = random.Random(31)
+    shared = [prose(40) for _ in range(4)]
+    rows = [(None if k % 3 else k, " ".join(r.choice(shared) if r.random() < 0.6 else prose(12) for _ in range(3))) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = op2_repeats.deduplicate(frame, hot=hot).collect()
+    assert sum(x.n_bytes for x in found) == sum(len(t.encode()) for _, t in rows)
+    # the rows without an id come first: what is removed in all is the same in whatever order they are
+    windows = lambda texts: {t[k : k + 100] for t in texts for k in range(len(t) - 99)}
+    mine = windows([t.encode() for i, t in rows if i is None])
+    seen = set(mine)
+    for i, t in sorted(x for x in rows if x[0] is not None):
+        b, mark = t.encode(), np.zeros(len(t.encode()), bool)
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                mark[k : k + 100] = True
+            seen.add(b[k : k + 100])
+        assert [x.n_removed for x in found if x.doc_id == i] == [int(mark.sum())]
+    again = op2_repeats.deduplicate(frame.repartition(5), hot=hot).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+    assert sum(x.n_removed for x in found if x.doc_id is None) > 0
+
+
 def test_op2_without_spark():
     for seed in range(60):
         r = random.Random(seed)
