@@ -31,7 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least doc_id of each class of documents that link by word shingles."""
     others = op3_jaccard.classes(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    # ids are hashed, so that texts are not sorted
+    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
