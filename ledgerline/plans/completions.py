@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lots as L
 from ..operators import returns as P
+from ..operators.ranking import in_order, percent_rank
 from ..operators.screening import screen
 from ..operators.temporal import as_of_join, effective_at
 from ..streaming import replay
@@ -232,6 +233,29 @@ def _style_drift(spark, view) -> DataFrame:
     return run.join(drift, ["broker_id", "y"])
 
 
+def _scorecard(spark, view) -> DataFrame:
+    """Fills and cost of each broker, and the mean of its two ranks."""
+    own = view("txn").groupBy("broker_id").agg(F.count("*").alias("fills"), (F.sum(F.expr("amount * disc")) * 1.0 / F.sum("amount")).alias("cost")).withColumn("cheap", -F.col("cost"))
+    return percent_rank(percent_rank(own, "fills", "a"), "cheap", "b").withColumn("score", F.expr("0.5 * a + 0.5 * b"))
+
+
+def _cheapest(spark, view) -> DataFrame:
+    """What is delivered of each instrument, the cheapest first, until 2,000 units are."""
+    own = view("txn").groupBy("instrument_id").agg(F.sum("qty").alias("q")).join(view("instrument").select("instrument_id", F.col("price").alias("cost")), "instrument_id")
+    return in_order(own, ["cost", "instrument_id"], "q").filter("running - q < 2000").withColumn("delivered", F.expr("greatest(0L, least(2000L, running) - (running - q))"))
+
+
+def _funding(spark, view) -> DataFrame:
+    """What is drawn from each source, the cheapest first, until 50,000.00 are."""
+    own = view("party").filter("kind = 'S'").selectExpr("party_id", "greatest(balance, 0L) as have", "party_id % 7 as cost")
+    return in_order(own, ["cost", "party_id"], "have").filter("running - have < 5000000").withColumn("drawn", F.expr("greatest(0L, least(5000000L, running) - (running - have))"))
+
+
+def _reup(spark, view) -> DataFrame:
+    own = view("ord").groupBy("portfolio_id").agg(F.sum("total").alias("total"))
+    return percent_rank(own, "total", "pct").withColumn("room", F.expr("greatest(0L, 500000000L - total)"))
+
+
 def _stream_alerts(spark, sf_dir: str) -> DataFrame:
     found = replay.finished(replay.alerts(replay.events(spark, f"{sf_dir}/events.parquet"), {"purchase": 15000, "click": 18000}), "append")
     return found.selectExpr("cast(event_id as bigint) as event_id", "cast(user_id as bigint) as user_id", "cause", "cast(v as bigint) as v")
@@ -287,6 +311,10 @@ QUERIES: dict[str, Query] = {
     "b09_12_limits": frame("user_id l, d t, used d, state s", _limits, f"select user_id, d, v * 1.0 / {LIMITS} as used, case when v > {LIMITS} then 'breach' when v > 0.8 * {LIMITS} then 'warning' else 'ok' end as state from daily"),
     "b10_03_screening": frame("party_id l, listed l, distance l", _screening, "with l as (select party_id as listed, case when party_id % 2 = 0 then name else concat(substring(name, 1, 11), substring(name, 13)) end as alias from party where kind = 'S' and party_id % 25 = 0) select party_id, listed, levenshtein(name, alias) as distance from party join l on levenshtein(name, alias) <= 1 where kind = 'S'"),
     "b10_04_wash_pattern": frame("instrument_id l, pairs l", lambda spark, view: _near_pairs(view), "select a.instrument_id, count(*) as pairs from txn as a join txn as b on a.instrument_id = b.instrument_id and a.side = 1 and b.side = -1 and DAYS(b.trade_date, a.trade_date) between 0 and 10 group by 1"),
+    "b11_05_broker_scorecard": frame("broker_id l, fills l, cost d, score d", _scorecard, """select broker_id, fills, cost, 0.5 * percent_rank() over (order by fills) + 0.5 * percent_rank() over (order by cost desc) as score from (select broker_id, count(*) as fills, sum(amount * disc) * 1.0 / sum(amount) as cost from txn group by 1) as x"""),
+    "b13_03_cheapest_to_deliver": frame("instrument_id l, delivered l", _cheapest, """select instrument_id, greatest(0, least(need, cum) - (cum - q)) as delivered from (select instrument_id, q, sum(q) over (order by cost, instrument_id) as cum, 2000 as need from (select txn.instrument_id, sum(qty) as q, max(price) as cost from txn join instrument on txn.instrument_id = instrument.instrument_id group by 1) as x) as y where cum - q < need"""),
+    "b16_08_funding_source": frame("party_id l, drawn l", _funding, """select party_id, greatest(0, least(5000000, cum) - (cum - have)) as drawn from (select party_id, have, sum(have) over (order by cost, party_id) as cum from (select party_id, greatest(balance, 0) as have, party_id % 7 as cost from party where kind = 'S') as x) as y where cum - have < 5000000"""),
+    "b17_20_reup": frame("portfolio_id l, pct d, room l", _reup, """select portfolio_id, percent_rank() over (order by total) as pct, greatest(0, 500000000 - total) as room from (select portfolio_id, sum(total) as total from ord group by 1) as x"""),
     "b12_07_entitlement": frame("portfolio_id l, instrument_id l, record_qty l, paid l", _entitlement, """
         with e as (select 0 as k, date '1998-06-30' as day, 2 as ratio union all select 1, date '1999-03-31', 3), t as (select portfolio_id, instrument_id, side * qty * coalesce((select cast(product(ratio) as bigint) from e where txn.instrument_id % 10 = 0 and (k = 0 or txn.instrument_id % 20 = 0) and day > trade_date), 1) as q from txn where trade_date <= date '1999-06-30')
         select portfolio_id, instrument_id, sum(q) as record_qty, sum(q) * 25 as paid from t group by 1, 2 having sum(q) > 0"""),

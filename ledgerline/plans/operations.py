@@ -6,7 +6,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         select instrument_id, trade_date, child, least(30, q - 30 * (child - 1)) as qty from s"""),
     "b11_03_vwap": ("instrument_id l, m l, vwap d, slippage d", "select instrument_id, m, vwap, max_u - vwap as slippage from (select instrument_id, year(trade_date) * 12 + month(trade_date) as m, sum(amount) * 1.0 / sum(qty) as vwap, max(amount * 1.0 / qty) as max_u from txn group by 1, 2) as x"),
     "b11_04_shortfall": ("order_id l, execution l, opportunity l", "select order_id, sum(amount - qty * price) as execution, sum(case when line_status = 'O' then qty * IDIV(price, 100) else 0 end) as opportunity from txn join instrument on txn.instrument_id = instrument.instrument_id group by 1"),
-    "b11_05_broker_scorecard": ("broker_id l, fills l, cost d, score d", "select broker_id, fills, cost, 0.5 * percent_rank() over (order by fills) + 0.5 * percent_rank() over (order by cost desc) as score from (select broker_id, count(*) as fills, sum(amount * disc) * 1.0 / sum(amount) as cost from txn group by 1) as x"),
     "b11_06_fill_rate": ("order_id l, ordered l, filled l, state s", "select order_id, sum(qty) as ordered, sum(case when line_status = 'F' then qty else 0 end) as filled, case when sum(case when line_status = 'F' then qty else 0 end) = 0 then 'new' when sum(case when line_status = 'F' then qty else 0 end) = sum(qty) then 'filled' else 'partial' end as state from txn group by 1"),
     "b11_07_settlement_chain": ("segment s, class s, region_name s, amount l, n l", "select c_mktsegment as segment, class, region_name, sum(amount) as amount, count(*) as n from txn join instrument on txn.instrument_id = instrument.instrument_id join party on broker_id = party_id and kind = 'S' join place on party.nation = place.nation join ord on txn.order_id = ord.order_id join customer on ord.portfolio_id = c_custkey group by 1, 2, 3"),
     "b12_02_matching": ("instrument_id l, matched l", """
@@ -27,7 +26,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "b12_22_leases": ("segment s, walt d, noi l", "select segment, sum(total * DAYS(PLUS_DAYS(order_date, 1500), date '1998-01-01') / 365.0) / sum(total) as walt, sum(total) - sum(IDIV(total * 35, 100)) as noi from ord join portfolio on ord.portfolio_id = portfolio.portfolio_id where PLUS_DAYS(order_date, 1500) > date '1998-01-01' group by 1"),
     "b13_01_margin_call": ("broker_id l, exposure l, held l, call_amount l", "select broker_id, exposure, held, case when greatest(exposure - 1000000, 0) - held >= 500000 then greatest(exposure - 1000000, 0) - held else 0 end as call_amount from (select broker_id, sum(side * amount) as exposure, max(balance) * 2 as held from txn join party on broker_id = party_id and kind = 'S' group by 1) as x"),
     "b13_02_haircut": ("class s, value l, eligible l", "with h as (select 'ECONOMY' as c, 5 as pct union all select 'STANDARD', 10 union all select 'PROMO', 25) select class, sum(price) as value, sum(IDIV(price * (100 - coalesce(pct, 100)), 100)) as eligible from instrument left join h on class = c group by class"),
-    "b13_03_cheapest_to_deliver": ("instrument_id l, delivered l", "select instrument_id, greatest(0, least(need, cum) - (cum - q)) as delivered from (select instrument_id, q, sum(q) over (order by cost, instrument_id) as cum, 2000 as need from (select txn.instrument_id, sum(qty) as q, max(price) as cost from txn join instrument on txn.instrument_id = instrument.instrument_id group by 1) as x) as y where cum - q < need"),
     "b13_04_inventory": ("instrument_id l, posted l, received l, available l", "select instrument_id, sum(case when flag = 'A' then qty else 0 end) as posted, sum(case when flag = 'N' then qty else 0 end) as received, sum(case when flag = 'R' then qty else 0 end) as available from txn group by 1"),
     "b13_05_borrowing_base": ("segment s, base_amount l, drawn l, covenant_ok b", "select segment, IDIV(sum(greatest(cash, 0)) * 80, 100) as base_amount, sum(greatest(-cash, 0)) as drawn, sum(greatest(-cash, 0)) <= IDIV(sum(greatest(cash, 0)) * 80, 100) as covenant_ok from portfolio group by 1"),
     "b14_01_drift": ("portfolio_id l, class s, weight d, drift d", "with w as (select portfolio_id, class, sum(mv) * 1.0 / sum(sum(mv)) over (partition by portfolio_id) as weight from valued where mv > 0 group by 1, 2) select portfolio_id, class, weight, weight - 1.0 / 6 as drift from w where abs(weight - 1.0 / 6) > 0.1"),
@@ -55,7 +53,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "b16_05_completion": ("class s, target d, actual d, gap d", "with a as (select class, sum(mv) * 1.0 / sum(sum(mv)) over () as actual from valued group by 1), t as (select class, count(*) * 1.0 / sum(count(*)) over () as target from instrument group by 1) select coalesce(a.class, t.class) as class, coalesce(target, 0) as target, coalesce(actual, 0) as actual, coalesce(target, 0) - coalesce(actual, 0) as gap from a full outer join t on a.class = t.class"),
     "b16_06_futures_roll": ("size i, next_size i, roll d", "select size, next_size, next_price * 1.0 / price - 1 as roll from (select size, price, lead(size) over (order by size) as next_size, lead(price) over (order by size) as next_price from (select size, WHOLE(avg(price)) as price from instrument group by 1) as x) as y where next_size is not null"),
     "b16_07_funding": ("nation_name s, need l, balance l, short l", "select nation_name, need, balance, greatest(0, need - balance) as short from (select nation_name, sum(case when status = 'P' and order_date >= date '2001-07-01' then total else 0 end) as need, max(cash) as balance from ord join portfolio on ord.portfolio_id = portfolio.portfolio_id group by 1) as x"),
-    "b16_08_funding_source": ("party_id l, drawn l", "select party_id, greatest(0, least(5000000, cum) - (cum - have)) as drawn from (select party_id, have, sum(have) over (order by cost, party_id) as cum from (select party_id, greatest(balance, 0) as have, party_id % 7 as cost from party where kind = 'S') as x) as y where cum - have < 5000000"),
     "b16_09_sources_uses": ("instrument_id l, supply l, demand l, reused l", "with a as (select instrument_id, sum(qty) as supply from txn where flag = 'N' group by 1), b as (select instrument_id, sum(qty) as demand from txn where flag = 'R' group by 1) select coalesce(a.instrument_id, b.instrument_id) as instrument_id, coalesce(supply, 0) as supply, coalesce(demand, 0) as demand, least(coalesce(supply, 0), coalesce(demand, 0)) as reused from a full outer join b on a.instrument_id = b.instrument_id"),
     "b16_10_liquidity_stress": ("scenario s, segment s, coverage d", "with s as (select 'mild' as scenario, 10 as redeem, 95 as keep union all select 'severe', 30, 70) select scenario, segment, sum(cash * keep) * 1.0 / sum(total_due * redeem) as coverage from portfolio join (select portfolio_id, sum(total) as total_due from ord group by 1) as o on portfolio.portfolio_id = o.portfolio_id cross join s group by 1, 2"),
     "b16_11_hedged_class": ("segment s, base_pnl l, hedge_pnl l, class_pnl l", "select segment, sum(flow) as base_pnl, case when segment = 'HOUSEHOLD' then IDIV(sum(gross), 50) else 0 end as hedge_pnl, sum(flow) + case when segment = 'HOUSEHOLD' then IDIV(sum(gross), 50) else 0 end as class_pnl from monthly join portfolio on monthly.portfolio_id = portfolio.portfolio_id group by 1"),
@@ -67,7 +64,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "b17_14_top_factor": ("segment s, top_issuer s, share d", "select segment, issuer as top_issuer, share from (select segment, issuer, mv * 1.0 / sum(mv) over (partition by segment) as share, row_number() over (partition by segment order by mv desc, issuer) as k from (select segment, issuer, sum(greatest(mv, 0)) as mv from valued join portfolio on valued.portfolio_id = portfolio.portfolio_id group by 1, 2) as x) as y where k = 1"),
     "b17_16_rank_ic": ("d t, n l, ic d", "select d, count(*) as n, corr(a, b) as ic from (select d, rank() over (partition by d order by w) as a, rank() over (partition by d order by nxt) as b from (select user_id, d, w, lead(v) over (partition by user_id order by d) as nxt from wealth) as x where nxt is not null) as y group by d having count(*) > 5"),
     "b17_17_screen": ("instrument_id l, pct d", "select instrument_id, pct from (select instrument_id, size, percent_rank() over (partition by class order by price) as pct from instrument) as x where size between 10 and 30 and pct < 0.2"),
-    "b17_20_reup": ("portfolio_id l, pct d, room l", "select portfolio_id, percent_rank() over (order by total) as pct, greatest(0, 500000000 - total) as room from (select portfolio_id, sum(total) as total from ord group by 1) as x"),
     "b18_01_correcting_entries": ("order_id l, line l, posted l, reversed l, net l", "select order_id, line, sum(amount) as posted, sum(amount) - max(amount) as reversed, max(amount) as net from txn group by 1, 2 having count(*) > 1"),
     "b18_02_affirmation": ("field s, mismatches l", "with x as (select total, order_id from ord), l as (select order_id, sum(amount) as s, min(trade_date) as a, count(*) as n from txn group by 1) select 'amount' as field, sum(case when total <> s then 1 else 0 end) as mismatches from x join l on x.order_id = l.order_id union all select 'lines', sum(case when n > 7 then 1 else 0 end) from l"),
     "b18_04_income_type": ("kind s, n l, amount l", "select case when tax = 0 then 'exempt' when tax < 5 then 'reduced' else 'full' end as kind, count(*) as n, sum(amount) as amount from txn group by 1"),

@@ -12,6 +12,7 @@ from ledgerline.operators import graph
 from ledgerline.operators.catalog import Catalog
 from ledgerline.operators.hierarchy import look_through
 from ledgerline.operators.lots import relieve, relieve_least_tax, wash_sales
+from ledgerline.operators.ranking import in_order, percent_rank
 from ledgerline.operators.reconcile import allocate, reconcile
 from ledgerline.operators.returns import black, bootstrap, compile_metric, evaluate_terms, irr, least_variance, normal_cdf, performance_fees
 from ledgerline.operators.rules import Rule, gaps, not_unique, report, unresolved
@@ -265,3 +266,13 @@ def test_gaps_within_and_between_ranges(spark):
 
     found = report([Rule("gap", "warning", gaps("e", "k"))], {"e": spark.createDataFrame([(RANGE - 2,), (RANGE + 2,), (RANGE + 4,)], "k long")})
     assert sorted(int(x) for (x,) in rows(found, "subject")) == [RANGE - 1, RANGE, RANGE + 1, RANGE + 3]
+
+
+def test_ranks_and_sums_over_all_rows(spark):
+    r = random.Random(9)
+    frame = spark.createDataFrame([(k, r.randint(0, 40), r.randint(0, 9)) for k in range(500)], "k int, v int, q long").repartition(7)
+    want = sorted(tuple(x) for x in frame.selectExpr("k", "percent_rank() over (order by v)").collect())
+    assert rows(percent_rank(frame, "v", "p"), "k", "p") == want
+    want = sorted(tuple(x) for x in frame.selectExpr("k", "sum(q) over (order by v, k)", "rank() over (order by v, k)").collect())
+    assert rows(in_order(frame, ["v", "k"], "q"), "k", "running", "rank") == want
+    assert rows(percent_rank(frame.limit(1), "v", "p"), "p") == [(0.0,)] and in_order(frame.filter("false"), ["v"]).count() == 0
