@@ -121,8 +121,8 @@ class TextEncoder:
     White-space separated chunks are looked up in a bounded memo first: most chunks repeat.
     """
 
-    #: Words kept in each of the memo's two generations, and the longest word that is kept.
-    MEMO, MEMO_CHARS = 350_000, 48
+    #: Words kept in each of the memo's two generations, the longest word that is kept, and words kept between partitions.
+    MEMO, MEMO_CHARS, KEPT = 350_000, 48, 100_000
 
     def __init__(self, path: str, words: str = "backtracking") -> None:
         from tokenizers import Tokenizer
@@ -213,6 +213,12 @@ class TextEncoder:
             flat, starts = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return flat.astype(np.int32, copy=False), starts.astype(np.int64)
 
+    def rest(self) -> None:
+        """At a partition's end: the memo goes, but for a small one, as the worker process goes on to other stages."""
+        self.old = {}
+        if len(self.young) > self.KEPT:
+            self.young = {}
+
     def encode(self, text: str | None) -> list[int]:
         return self.encode_all([text])[0].tolist()
 

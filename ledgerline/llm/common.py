@@ -74,6 +74,7 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
 
 def read_range(uri: str, start: int = 0, size: int | None = None) -> bytes:

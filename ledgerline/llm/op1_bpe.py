@@ -26,6 +26,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, words: str = "backtra
         for b in bounded(batches):
             flat, starts = bpe.encoder(path, words).encode_all(b.column("text").to_pylist())
             yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32()))], ["doc_id", "ids"])
+        bpe.encoder(path, words).rest()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -56,6 +57,7 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(entries.sizes[flat])])[starts].tolist()
                 columns.append(pa.array([hashlib.sha256(joined[a : max(a, z - 1)]).hexdigest() for a, z in zip(ends, ends[1:], strict=False)], pa.string()))
             yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.rest()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -42,7 +42,7 @@ from .common import SALTS, forget, spread_join, table, written
 from .components import components
 
 #: Words of a shingle, the similarity as a share of hundred, rounds against centers, and sets of a block.
-WORDS, PERCENT, ROUNDS, FAMILY = 5, 75, 2, 512
+WORDS, PERCENT, ROUNDS, FAMILY = 5, 75, 2, 256
 #: Bytes of the sets of a run.
 RUN_BYTES = 16 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

@@ -58,6 +58,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
                 yield close()
         if ids:
             yield close()
+        coder.rest()
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
     return sorted(ordered.mapInArrow(run, MANIFEST).collect(), key=lambda r: (r.part, r.nth))

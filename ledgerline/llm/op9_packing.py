@@ -131,6 +131,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
             if len(rows) > 20_000:
                 yield batch_of(rows)
                 rows.clear()
+        coder.rest()
         if tails:
             block(tails)
         if rows:
