@@ -80,9 +80,10 @@ def evaluate_terms(frame: DataFrame, terms: list[tuple[str, str, str]], key: str
 def bootstrap(rates: DataFrame, curve: list[str], maturity: str, rate: str) -> DataFrame:
     """curve, maturity, discount and zero rate from par rates of maturities 1, 2, ... years, each from those before it.
 
-    A curve's rates are an array (as long as its maturities), folded once.
+    A curve's rates are an array (as long as its maturities), folded once. It ends before the first maturity without a rate.
     """
-    arrays = rates.groupBy(*curve).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(maturity).alias("m"), F.col(rate).cast("double").alias("r")))), lambda x: x["r"]).alias("_r"))
+    sorted_rates = F.array_sort(F.collect_list(F.struct(F.col(maturity).alias("m"), F.col(rate).cast("double").alias("r"))))
+    arrays = rates.groupBy(*curve).agg(F.transform(F.filter(sorted_rates, lambda x, i: x["m"] == i + 1), lambda x: x["r"]).alias("_r"))
     fold = F.aggregate("_r", F.struct(F.lit(0.0).alias("annuity"), F.array().cast("array<double>").alias("d")), lambda a, r: F.struct((a["annuity"] + (1 - r * a["annuity"]) / (1 + r)).alias("annuity"), F.concat(a["d"], F.array((1 - r * a["annuity"]) / (1 + r))).alias("d")), lambda a: a["d"])
     placed = arrays.select(*curve, F.posexplode(fold).alias("k", "discount"))
     return placed.select(*curve, (F.col("k") + 1).alias(maturity), "discount", (F.pow(F.col("discount"), -1.0 / (F.col("k") + 1)) - 1).alias("zero"))

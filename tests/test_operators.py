@@ -239,7 +239,7 @@ def test_models(spark):
     x = one.select(*[normal_cdf(F.lit(v)).alias(f"x{k}") for k, v in enumerate((-3.0, -0.5, 0.0, 1.7))], black(F.lit(100.0), F.lit(95.0), F.lit(0.2), F.lit(0.5), F.lit(0.98)).alias("c"), black(F.lit(100.0), F.lit(95.0), F.lit(0.2), F.lit(0.5), F.lit(0.98), call=False).alias("p")).first()
     exact = lambda v: 0.5 * (1 + math.erf(v / 2**0.5))
     assert all(abs(x[k] - exact(v)) < 1e-7 for k, v in enumerate((-3.0, -0.5, 0.0, 1.7))) and abs(x.c - x.p - 0.98 * 5) < 1e-9
-    rates = spark.createDataFrame([("a", m, 0.05) for m in (1, 2, 3)], "c string, m int, r double")
+    rates = spark.createDataFrame([("a", m, 0.05) for m in (1, 2, 3, 5, 6)] + [("b", 2, 0.05)], "c string, m int, r double")
     assert rows(bootstrap(rates, ["c"], "m", "r"), "m", F.round("zero", 9)) == [(1, 0.05), (2, 0.05), (3, 0.05)]
     navs = spark.createDataFrame([("a", k, v) for k, v in enumerate((1000, 1200, 1100, 1300))], "u string, p int, nav long")
     # 20 % of 1200 - 1010 is 38; 1162 is the mark; 1100 - 38 is below it; 1300 - 38 less the mark is 100, of which 20
