@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_bpe, op2_repeats, op3_jaccard, op4_tokens, op5_pii, op6_language, op7_rules, op8_topk, op9_packing, op10_warc
+from . import op1_bpe, op2_repeats, op3_jaccard, op4_tokens, op5_pii, op6_language, op7_rules, op8_topk, op9_packing, op10_warc, op11_resample, op12_lines, op13_lexical
 
 QUERIES = {
     "op1_bpe": op1_bpe.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_topk": op8_topk.query,
     "op9_packing": op9_packing.query,
     "op10_warc_index": op10_warc.query,
+    "op11_resample": op11_resample.query,
+    "op12_line_dedup": op12_lines.query,
+    "op13_lexical": op13_lexical.query,
 }
-SQL = {"op7_rule_ledger": op7_rules.SQL, "op8_topk": op8_topk.SQL, "op10_warc_index": op10_warc.SQL}
+SQL = {"op7_rule_ledger": op7_rules.SQL, "op8_topk": op8_topk.SQL, "op10_warc_index": op10_warc.SQL, "op11_resample": op11_resample.SQL, "op12_line_dedup": op12_lines.SQL, "op13_lexical": op13_lexical.SQL}
