@@ -141,9 +141,10 @@ class TextEncoder:
         self.old: dict[str, bytes] = {}
         self.letters = dict(enumerate(byte_alphabet()))
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        # In this range lower-casing is one character to one, normal form needs no tables (U+0130 becomes two characters and
-        # is left out), and the pre-tokenizer's classes are these:
-        self.plain = re.compile("[\t-\r -~¡-įı-ƻǀ-ɏ]*")
+        # In this range lower-casing is one character to one of the range, normal form needs no tables, and the pre-tokenizer's
+        # classes are these. Letters whose lower case lies beyond the range, or is two characters, are left to the library.
+        within = [c for c in "".join(map(chr, [*range(9, 14), *range(32, 127), *range(0xA1, 0x1BC), *range(0x1C0, 0x250)])) if len(c.lower()) == 1 and ord(c.lower()) < 0x250]
+        self.plain = re.compile("[" + "".join(map(re.escape, within)) + "]*")
         letter = "".join(sorted({c for c in map(chr, range(0x250)) if c.isalpha()}))
         digit = "".join(c for c in map(chr, range(0x250)) if c.isnumeric())
         self.pieces = f"('s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^\\s{letter}{digit}]+)"

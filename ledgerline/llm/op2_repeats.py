@@ -10,15 +10,15 @@ each other mostly share it, so a text is a row of runs of windows, each with a h
 3. A bucket sorts its windows by a rolling hash. Where all equal windows have one byte before them, a longer repeat holds
    them. The rest, whose left extensions differ, are sorted as suffixes with common-prefix lengths, and a scan with a
    stack walks the tree of common-prefix intervals: each interval whose left extensions differ is a maximal repeat with
-   all its occurrences, of which all but the earliest are removed. An occurrence is told once, at its longest repeat.
+   all its occurrences, of which all but the earliest are removed. The longest repeat of an occurrence is told first.
 4. Documents are met with their removed intervals.
 
-Runs whose hash occurs ``HOT`` times or more do not meet in one bucket: their windows are dealt one by one, by two
-64-bit hashes of the whole window, each of a group's distinct windows once, so that only equal windows meet.
+Contexts of a hash that occurs ``HOT`` times or more are cut anew, by the least hash of their ``LONG``-byte strings in place
+of ``GRAM``, so that what only shares a short string is dealt apart; they go the same way.
 
 Texts move once: steps 1, 2 and 4 read one shuffle. Results: a null text is empty and, as all texts under 100 bytes,
-keeps all bytes; a very long text is hashed in steps of ``STEP`` bytes and its runs are cut at ``WIDE`` windows, so that
-none is held in more than a few copies; equal doc_ids are ordered by text, and repeated rows follow each other, so later
+keeps all bytes; a very long text is hashed in steps of ``STEP`` bytes, each with the bytes that its last windows cover, and
+its runs are cut at ``WIDE`` windows; equal doc_ids are ordered by text, and repeated rows follow each other, so later
 ones are removed; rows without an id come before all others, in one order that is the same in each run of as many rows; columns besides doc_id and text are kept by ``deduplicate``, whatever their names, but for those named
 as the ones that ``report`` adds; no rows give none.
 """
@@ -26,6 +26,7 @@ as the ones that ``report`` adds; no rows give none.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .blocks import BLOCK, blocks, frequent, grouped, known, mix, ordered, place, plan
 from .common import quoted, table
 
-#: Bytes of a passage and of the strings whose least hash stands for it; occurrences of a hash that is dealt by windows.
-LENGTH, GRAM, HOT = 100, 32, 1024
-#: Bytes of text for which hashes are made at once, and windows of a run at most, which bounds a context's bytes.
-STEP, WIDE = 1 << 20, 128
+#: Bytes of a passage and of the strings whose least hash stands for it; occurrences of a hash whose contexts are cut by
+#: longer strings, and the bytes of those.
+LENGTH, GRAM, HOT, LONG = 100, 32, 1024, 92
+#: Bytes of text for which hashes are made at once (about 30 bytes of memory each), and windows of a run at most, which bounds
+#: a context's bytes.
+STEP, WIDE = 1 << 18, 128
 #: Bytes of the corpus for each bucket, whose contexts are held and sorted at once.
 BUCKET_BYTES = 1 << 20
-B1, B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+B1 = np.uint64(0x9E3779B97F4A7C15)
 U8 = np.uint64
 
 
@@ -69,25 +72,30 @@ def _power(base: np.uint64, n: int) -> np.uint64:
     return np.uint64(pow(int(base), n, 1 << 64))
 
 
-def runs(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Row, first and last window start in the text, minimizer, and whether it stands there twice, of each run, in order."""
     out = []
     at = 0
     while at < len(texts):
         stop, held = at, 0
-        while stop < len(texts) and (stop == at or held + len(texts[stop]) <= STEP):
+        while stop < len(texts) and held + len(texts[stop]) <= STEP:
             held += len(texts[stop])
             stop += 1
-        if held >= length:
-            out.append(_runs(texts[at:stop], at, length))
+        if stop == at:  # a longer text, by steps of window starts
+            for a in range(0, len(texts[at]) - length + 1, STEP):
+                row, first, last, *rest = _runs([texts[at][a : a + STEP + length - 1]], at, length, gram)
+                out.append((row, first + a, last + a, *rest))
+            stop += 1
+        elif held >= length:
+            out.append(_runs(texts[at:stop], at, length, gram))
         at = stop
     kinds = (np.int64, np.int64, np.int64, np.uint64, bool)
     return tuple(np.concatenate([o[k] for o in out]) if out else np.empty(0, kinds[k]) for k in range(5))
 
 
-def _runs(texts: list[bytes], row: int, length: int) -> tuple[np.ndarray, ...]:
+def _runs(texts: list[bytes], row: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
     buf = np.frombuffer(b"".join(texts), np.uint8)
-    m, wide = mix(_rolling(buf, B1, GRAM)), length - GRAM + 1
+    m, wide = mix(_rolling(buf, B1, gram)), length - gram + 1
     at, have = np.arange(len(m), dtype=np.int32), 1  # the first place of the least hash
 
     def least(shift: int) -> None:
@@ -124,81 +132,52 @@ def _runs(texts: list[bytes], row: int, length: int) -> tuple[np.ndarray, ...]:
     return of + row, first - starts[of], last - starts[of], mix(m[first]), at[first] != at[last]
 
 
-#: What a bucket gets, in the payload's first byte: contexts, windows by hash, or intervals that are known.
-CONTEXTS, WINDOWS, INTERVALS = b"C", b"W", b"I"
+#: What a bucket gets, in the payload's first byte: contexts, or intervals that are known.
+CONTEXTS, INTERVALS = b"C", b"I"
 ENTRY = np.dtype([("doc", "<i8"), ("row", "<u4"), ("start", "<u4"), ("size", "<u4")])
-WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("start", "<u4")])
 INTERVAL = np.dtype([("row", "<u4"), ("start", "<u4"), ("stop", "<u4")])
 
 
 def _send(g: int, ids: np.ndarray, texts: list[bytes], answers: pa.Table, buckets: int, length: int, hot: int) -> pa.Table:
-    """A group's contexts and windows for the buckets."""
+    """A group's contexts for the buckets."""
     row, first, last, m, _ = runs(texts, length)
     count = known(m, answers, buckets)
     some = np.flatnonzero(count > 1)
-    bucket = place(m[some], buckets)[0] if len(some) else some
     by_bucket: dict[int, list[tuple]] = {}
-    seen: dict[bytes, bool] = {}
-    local, windows = [], []
-    for k, b, r, a, z, n in zip(some.tolist(), bucket.tolist(), row[some].tolist(), first[some].tolist(), last[some].tolist(), count[some].tolist(), strict=True):
-        context = texts[r][a : z + length]
-        if context in seen:  # rows and starts ascend, so this one is later
-            local.append((r, a, z + length))
-            continue
-        seen[context] = True
-        if n >= hot:
-            windows.append((r, a, context))
-        else:
+    seen: set[bytes] = set()
+    local: list[tuple] = []
+
+    def deal(own: list[tuple], hashes: np.ndarray) -> None:
+        for (r, a, context), b in zip(own, place(hashes, buckets)[0].tolist() if len(own) else [], strict=True):
             by_bucket.setdefault(b, []).append((r, a, context))
+
+    def new(r: int, a: int, context: bytes) -> bool:
+        if context in seen:  # rows and starts ascend, so this one is later
+            local.append((r, a, a + len(context)))
+            return False
+        seen.add(context)
+        return True
+
+    spans = zip(row[some].tolist(), first[some].tolist(), last[some].tolist(), strict=True)
+    fresh = [(k, (r, a, context)) for k, (r, a, z) in zip(some.tolist(), spans, strict=True) if new(r, a, context := texts[r][a : z + length])]
+    usual = [(k, own) for k, own in fresh if count[k] < hot]
+    deal([own for _, own in usual], m[[k for k, _ in usual]] if usual else m[:0])
+    fine = [own for k, own in fresh if count[k] >= hot]
+    seen = set()
+    of, start, stop, hashes, _ = runs([c for _, _, c in fine], length, min(LONG, length))
+    parts = [(j, (fine[k][0], fine[k][1] + a, context)) for j, (k, a, z) in enumerate(zip(of.tolist(), start.tolist(), stop.tolist(), strict=True)) if new(fine[k][0], fine[k][1] + a, context := fine[k][2][a : z + length])]
+    deal([own for _, own in parts], hashes[[j for j, _ in parts]] if parts else hashes[:0])
     where, payloads = [], []
     for b, own in by_bucket.items():
         entries = np.array([(ids[r], r, a, len(c)) for r, a, c in own], ENTRY)
         where.append(b)
         payloads.append(CONTEXTS + len(own).to_bytes(8, "little") + entries.tobytes() + b"".join([c for _, _, c in own]))
-    for b, own in _windows(windows, ids, buckets, length, local):
-        where.append(b)
-        payloads.append(WINDOWS + own.tobytes())
     if local:
         where.append(g % buckets)
-        payloads.append(INTERVALS + np.array(local, INTERVAL).tobytes())
+        payloads.append(INTERVALS + np.array(_joined(*np.array(local, np.int64).T), INTERVAL).tobytes())
     return blocks(np.array(where, np.int64), g, payloads)
 
 
-def _windows(own: list[tuple], ids: np.ndarray, buckets: int, length: int, local: list[tuple]) -> list[tuple[int, np.ndarray]]:
-    """Each distinct window of the contexts once, at its first place, by bucket; later places are added to ``local``."""
-    parts, at = [], 0
-    while at < len(own):
-        stop, held = at, 0
-        while stop < len(own) and (stop == at or held < STEP):
-            held += len(own[stop][2])
-            stop += 1
-        buf = np.frombuffer(b"".join([c for _, _, c in own[at:stop]]), np.uint8)
-        sizes = np.array([len(c) for _, _, c in own[at:stop]], np.int64)
-        n = sizes - length + 1
-        begin = np.cumsum(sizes) - sizes
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        pos = np.repeat(begin, n) + step
-        part = np.empty(len(pos), WINDOW)
-        part["a"], part["b"] = mix(_rolling(buf, B1, length)[pos]), mix(_rolling(buf, B2, length)[pos])
-        rows = np.array([r for r, _, _ in own[at:stop]], np.int64)
-        part["row"] = np.repeat(rows, n)
-        part["doc"] = ids[part["row"]]
-        part["start"] = np.repeat(np.array([a for _, a, _ in own[at:stop]], np.int64), n) + step
-        parts.append(part)
-        at = stop
-    if not parts:
-        return []
-    w = np.concatenate(parts)
-    order = np.lexsort((w["start"], w["row"], w["b"], w["a"]))
-    w = w[order]
-    again = np.zeros(len(w), bool)
-    again[1:] = (w["a"][1:] == w["a"][:-1]) & (w["b"][1:] == w["b"][:-1])
-    local.extend(_joined(w["row"][again], w["start"][again].astype(np.int64), w["start"][again].astype(np.int64) + length))
-    w = w[~again]
-    full, first = np.unique(place(w["a"].astype(np.uint64), buckets)[0], return_index=True)
-    return [(b, w[a:z]) for b, a, z in zip(full.tolist(), first.tolist(), [*first[1:].tolist(), len(w)], strict=True)]
-
-
 def _joined(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[tuple]:
     """Intervals of each row with those that meet joined."""
     if not len(row):
@@ -218,14 +197,7 @@ def maximal_repeats(text: bytes, ends: list[int], starts: list[int], left: list[
     ``left`` is the byte before each, or a number below zero of its own where nothing comes before.
     """
     order, lcp = _suffixes(text, ends, starts)
-    out: list[tuple[int, list[int]]] = []
-
-    def leave(depth: int, members: list[int]) -> None:
-        if len({left[k] for k in members}) > 1:
-            out.append((depth, [starts[k] for k in members]))
-
-    _scan(order, lcp, length, leave)
-    return out
+    return [(depth, [starts[k] for k in order[a:z]]) for depth, a, z in _groups(order, lcp, left, length)]
 
 
 def _suffixes(text: bytes, ends: list[int], starts: list[int]) -> tuple[list[int], list[int]]:
@@ -245,14 +217,21 @@ def _suffixes(text: bytes, ends: list[int], starts: list[int]) -> tuple[list[int
     return order, lcp
 
 
-def _scan(order: list[int], lcp: list[int], length: int, leave) -> None:
-    """Walks common-prefix intervals of at least ``length`` bottom up; ``leave`` gets each one's depth and suffixes."""
+def _groups(order: list[int], lcp: list[int], left: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+    """Depth and place in the suffix array (from, to) of each maximal repeat: deeper ones before those that hold them.
+
+    Walks common-prefix intervals of at least ``length`` bottom up, and leaves out those with one byte before all.
+    """
+    changes = [0]  # of the byte before, up to each place
+    for i, j in zip(order, order[1:], strict=False):
+        changes.append(changes[-1] + (left[i] != left[j]))
     stack: list[tuple[int, int]] = []  # depth, first place
     for k in range(1, len(order) + 1):
         depth, start = lcp[k] if k < len(order) else 0, k - 1
         while stack and stack[-1][0] > depth:
             top, start = stack.pop()
-            leave(top, order[start:k])
+            if changes[k - 1] > changes[start]:
+                yield top, start, k
         if depth >= length and (not stack or stack[-1][0] < depth):
             stack.append((depth, start))
 
@@ -279,69 +258,42 @@ def removed(entries: np.ndarray, text: bytes, length: int = LENGTH, groups: np.n
     chosen = by[np.repeat(diverse, width)]
     if not len(chosen):
         return []
-    starts, own = pos[chosen].tolist(), of[chosen]
-    left = np.where(step[chosen] > 0, buf[np.maximum(pos[chosen] - 1, 0)].astype(np.int64), -1 - own).tolist()
-    ends = (begin[own] + sizes[own]).tolist()
-    keys = list(zip(entries["doc"][own].tolist(), entries["row"][own].tolist(), g[own].tolist(), (entries["start"][own] + step[chosen]).tolist(), strict=True))
+    starts, own_of = pos[chosen].tolist(), of[chosen]
+    left = np.where(step[chosen] > 0, buf[np.maximum(pos[chosen] - 1, 0)].astype(np.int64), -1 - own_of).tolist()
+    ends = (begin[own_of] + sizes[own_of]).tolist()
+    keys = list(zip(entries["doc"][own_of].tolist(), entries["row"][own_of].tolist(), g[own_of].tolist(), (entries["start"][own_of] + step[chosen]).tolist(), strict=True))
     order, lcp = _suffixes(text, ends, starts)
-    out: list[tuple[int, int, int]] = []
-    # each open interval keeps its earliest occurrence and its left bytes; a suffix is told when it first meets an earlier one
-    stack: list[list] = []  # depth, earliest, left byte or None for several
-    places, steps = own.tolist(), step[chosen].tolist()
-
-    def join(node: list, k: int, byte: int | None) -> None:
-        later, earlier = (k, node[1]) if keys[k] > keys[node[1]] else (node[1], k)
-        out.append((places[later], steps[later], node[0]))
-        node[1] = earlier
-        node[2] = node[2] if node[2] == byte else None
-
-    for i in range(1, len(order) + 1):
-        depth = lcp[i] if i < len(order) else 0
-        child = [1 << 62, order[i - 1], left[order[i - 1]]]
-        while stack and stack[-1][0] > depth:
-            node = stack.pop()
-            join(node, child[1], child[2])
-            child = node
-        if depth >= length:
-            if stack and stack[-1][0] == depth:
-                join(stack[-1], child[1], child[2])
-            else:
-                stack.append([depth, child[1], child[2]])
-        elif stack:
-            raise AssertionError("an interval was left open")
-    return out
+    rank = np.empty(len(keys), np.int64)  # of an occurrence in the corpus, by place in the suffix array
+    rank[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
+    rank = rank[order]
+    size = np.zeros(len(keys), np.int64)  # of the longest repeat in which an occurrence is not the earliest
+    for depth, a, z in _groups(order, lcp, left, length):
+        first = a + int(rank[a:z].argmin())
+        own = size[first]
+        np.maximum(size[a:z], depth, out=size[a:z])
+        size[first] = own
+    places, steps = own_of[order], step[chosen][order]
+    some = np.flatnonzero(size)
+    return list(zip(places[some].tolist(), steps[some].tolist(), size[some].tolist(), strict=True))
 
 
 def _answer(rows: pa.Table, length: int) -> pa.Table:
     """A bucket's removed intervals for each group."""
-    entries, texts, windows, groups_c, groups_w, out = [], [], [], [], [], {}
+    entries, texts, groups, out = [], [], [], {}
     for g, p in sorted(zip(rows.column("g").to_pylist(), rows.column("payload").to_pylist(), strict=True)):
         kind, body = p[:1], p[1:]
         if kind == CONTEXTS:
             n = int.from_bytes(body[:8], "little")
             entries.append(np.frombuffer(body, ENTRY, n, 8))
             texts.append(body[8 + n * ENTRY.itemsize :])
-            groups_c.append(np.full(n, g))
-        elif kind == WINDOWS:
-            windows.append(np.frombuffer(body, WINDOW))
-            groups_w.append(np.full(len(windows[-1]), g))
+            groups.append(np.full(n, g))
         else:
             out.setdefault(g, []).extend(np.frombuffer(body, INTERVAL).tolist())
     if entries:
-        e, g_of = np.concatenate(entries), np.concatenate(groups_c)
+        e, g_of = np.concatenate(entries), np.concatenate(groups)
         for k, a, size in removed(e, b"".join(texts), length, g_of):
             start = int(e["start"][k]) + a
             out.setdefault(int(g_of[k]), []).append((int(e["row"][k]), start, start + size))
-    if windows:
-        w, g_of = np.concatenate(windows), np.concatenate(groups_w)
-        order = np.lexsort((w["start"], g_of, w["row"], w["doc"], w["b"], w["a"]))
-        w, g_of = w[order], g_of[order]
-        again = np.append(False, (w["a"][1:] == w["a"][:-1]) & (w["b"][1:] == w["b"][:-1]))
-        w, g_of = w[again], g_of[again]
-        for g in np.unique(g_of).tolist():
-            own = w[g_of == g]
-            start = own["start"].astype(np.int64)
-            out.setdefault(g, []).extend(_joined(own["row"], start, start + length))
     bucket = rows.column("bucket")[0].as_py()
     payloads = []
     for spans in out.values():

@@ -16,10 +16,11 @@ Collisions are checked in each document: an entity whose surrogate is another en
 surrogate, moves on in its space (``P^-1(P(x) + 2)`` and so on) until it is neither, in the order of first mention. So
 entities that differ stay different and one entity has one surrogate in the document; only such an entity has another
 surrogate there than in other documents. ``collisions`` is their number. Where a pool of given names is used up by the
-text itself, the entity stays with the first step.
+text itself, names are spelt letter by letter, and where a whole space is, entities change places with each other.
 
-Limits: names without a title whose given name is in no pool, numbers of ten digits without separators and without a
-word for phones before them, postal addresses, and dates of birth are not looked for.
+Secrets are told by a word before them (password, pwd, secret, token, key ...): eight characters and more, or four and more
+with a digit or symbol. Limits: names without a title whose given name is in no pool, numbers of ten digits without
+separators and without a word for phones before them, postal addresses, and dates of birth are not looked for.
 
 A row is masked by itself: no shuffle, memory bounded by a batch of 12 MB of text or one text. Results: a null text stays
 null with no entities and an empty text stays empty; a very long text is searched once, by patterns whose steps are
@@ -70,16 +71,16 @@ SHORT_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49
 #: Private blocks of addresses in ascending order: first address and size.
 BLOCKS = [(10 << 24, 1 << 24), (127 << 24, 1 << 24), (172 << 24 | 16 << 16, 1 << 20), (192 << 24 | 168 << 16, 1 << 16)]
 
-#: Kinds in the order in which they claim text; of secrets and tel the first group is what is replaced.
+#: Kinds in the order in which they claim text; of secrets and tel a group is what is replaced: a secret goes up to the closing quote, or the next white space.
 PATTERNS: list[tuple[str, str]] = [
     ("email", r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[^\W_][\w-]{0,62}\.){1,8}[^\W\d_]{2,24}(?![\w-])"),
     ("aws_key", r"(?<![A-Za-z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    ("secret", r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)([A-Za-z0-9+/_.-]{8,}(?:=|\b))"),
+    ("secret", r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3})(?:\"([^\"\n]{4,200})\"|'([^'\n]{4,200})'|[\"'`]?([^\s\"'`<>]{8,}(?<![.,;:!?)\]}])|(?=[^\s\"'`<>]{0,6}[\d$&!#%*@^~+=/])[^\s\"'`<>]{4,7}(?<![.,;:!?)\]}])))"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ipv6", r"(?<![\w:.])(?=[0-9A-Fa-f:]{0,39}\d)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"),
-    ("phone", r"(?<![\w+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d){7,12}(?![\w-])"),
+    ("phone", r"(?<![\w+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-])|(?<![\w+(/.])0\d{1,4}/\d{5,8}(?![\w/-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d){7,12}(?![\w-])"),
     ("tel", r"(?i:(?<!\w)(?:phone|tel|telephone|mobile|cell|fax|whatsapp|call)(?: no| number| me at| at| is)?[.:]? {0,2})(\d{10,11})(?!\w)"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
 ]
@@ -164,8 +165,8 @@ class Surrogates:
 
     @staticmethod
     def _free(text: str) -> list[str]:
-        """Alphabets that keep lower case, upper case and digits in place, and all else as it is."""
-        return [LOWER if c in LOWER else UPPER if c in UPPER else DIGITS if c in DIGITS else c for c in text]
+        """Alphabets that keep lower case, upper case and digits in place, other letters among those like them, and all else as it is."""
+        return [LOWER if c in LOWER else UPPER if c in UPPER else DIGITS if c in DIGITS else alphabet(c) if c.isalnum() else c for c in text]
 
     def of(self, kind: str, text: str, by: int = 1) -> str:
         if by == 1 and (kind, text) in self.memo:
@@ -259,7 +260,7 @@ class Surrogates:
         script = "cyrillic" if "Ѐ" <= low[0] <= "ӿ" else "greek" if "Ͱ" <= low[0] <= "Ͽ" else "latin"
         for g in "fm":
             pool = GIVEN[script, g]
-            if low in pool:
+            if low in pool and by < len(pool):  # beyond, the pool is used up
                 new = pool[self.shift(pool.index(low), len(pool), f"name{script}{g}".encode(), by)]
                 return new.upper() if text.isupper() and len(text) > 1 else new.capitalize() if text[0].isupper() else new
         new = low
@@ -316,7 +317,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if NUMBERS.search(text) or any(x in folded for x in SECRETS):
         for m in ALL.finditer(text):
             kind = m.lastgroup or ""
-            a, z = INNER[kind].match(text, m.start()).span(1) if kind in INNER else m.span()
+            a, z = m.span()
+            if kind in INNER:  # the group that is there
+                inner = INNER[kind].match(text, m.start())
+                a, z = inner.span(inner.lastindex)
             if kind == "ipv6" and not _is_ipv6(m[0]):
                 continue
             out.append((a, z, "phone" if kind == "tel" else kind))
@@ -371,6 +375,18 @@ def _parts(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int,
     return out
 
 
+def _step(kind: str, text: str, own: Surrogates, originals: set, used: set) -> int:
+    """The least step to a surrogate that is free; where the whole space is in the text, to one that no other entity has."""
+    apart = 0
+    for k in range(1, len(originals) + len(used) + 2):  # one of so many different strings is free, if the space has them
+        new = (kind, canonical(kind, own.of(kind, text, k)))
+        if new not in used:
+            if new not in originals:
+                return k
+            apart = apart or k
+    return apart or 1
+
+
 def masked(text: str, own: Surrogates) -> tuple[str, list[str], int]:
     """The text with surrogates, the kinds of its entities in order, and the entities that moved on for a collision."""
     found = find(text)
@@ -380,7 +396,7 @@ def masked(text: str, own: Surrogates) -> tuple[str, list[str], int]:
     originals, used, steps, collisions = {key for *_, key in parts}, set(), {}, 0
     for a, z, kind, key in parts:
         if key not in steps:
-            steps[key] = next((k for k in range(1, 65) if (new := (kind, canonical(kind, own.of(kind, text[a:z], k)))) not in originals and new not in used), 1)
+            steps[key] = _step(kind, text[a:z], own, originals, used)
             used.add((kind, canonical(kind, own.of(kind, text[a:z], steps[key]))))
             collisions += steps[key] > 1
     out, at = [], 0

@@ -1,14 +1,15 @@
 """Exact top-k inner products by tiled matrix products.
 
 Vectors are dealt by a hash of their id into shards of about ``SHARD`` rows, queries into blocks of about ``BLOCK``
-rows, each packed into one row. Every block meets every shard once: a tile is one matrix product, of which the k best
+rows, each packed into one row. A shard holds vectors of like width (up to the same power of two) and fewer rows of wide
+ones, ``CELLS`` numbers at most or one row, so a wide vector widens no narrow ones. Every block meets every shard once: a tile is one matrix product, of which the k best
 of each query are selected at once, and lists are merged in a tree of ``FAN`` lists a step, so no task holds more than
 a tile or FAN lists however many shards there are.
 
 Components become floor(64 * x), packed in two bytes each where they fit. Products are exact: in single precision where
 no sum can pass 2 ** 24, in double precision where none can pass 2 ** 53, else in Python's integers, also where 64 * x is
 beyond the largest double. Results: vectors that are null, empty, or hold a null, NaN or infinity take no part; a shorter
-vector counts as padded with zeros, a very long one makes its group's rows as wide; equal scores go to the smaller id;
+vector counts as padded with zeros, and a product is cut at the shorter side's width; equal scores go to the smaller id;
 rows that repeat an id are candidates each, but rows with the query's own id are its own; null ids take no part; scores
 beyond 64 bits are held at the largest 64-bit number (the SQL covers scores within 64 bits); other columns are left out;
 no rows give none.
@@ -21,13 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 #: Rows of a shard and of a query block, lists merged in one step, results of a query, and what divides a query's id.
 SHARD, BLOCK, FAN, K, EVERY = 8192, 1024, 16, 20, 20
+#: Numbers of a shard or query block at most, unless one row has more.
+CELLS = 1 << 21
 LISTS = "block int, shard int, queries binary, vectors binary, scores binary"
 
 
@@ -46,6 +49,16 @@ def _packed(vectors: DataFrame, name: str) -> DataFrame:
     return vectors.groupBy(name).applyInArrow(pack, f"{name} int, ids binary, matrix binary, dim int")
 
 
+def _dealt(rows: dict[int, int], most: int) -> tuple[Column, int]:
+    """The group of a vector by its width and a hash of its id, and the number of groups."""
+    first, parts, groups = [0] * 33, [1] * 33, 0
+    for bits, n in rows.items():
+        first[bits], parts[bits] = groups, -(-n // max(1, min(most, CELLS >> bits)))
+        groups += parts[bits]
+    of = lambda x: F.element_at(F.array(*map(F.lit, x)), F.col("bits") + 1)
+    return (of(first) + F.pmod(F.xxhash64("vec_id"), of(parts))).cast("int"), max(1, groups)
+
+
 def pack_matrix(x: np.ndarray) -> bytes:
     """floor(64 x) in two bytes where all fit, else x itself."""
     if np.abs(x).max(initial=0) < 511:
@@ -95,11 +108,12 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple
 def search(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of the k best of each query; queries are rows whose vec_id is divisible by ``every``."""
     valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    counted = valid.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
-    shards, blocks = max(1, -(-counted["n"] // shard)), max(1, -(-counted["q"] // block))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    packed = _packed(valid.withColumn("shard", deal(shards)), "shard")
-    asked = _packed(valid.filter(F.col("vec_id") % every == 0).withColumn("block", deal(blocks)), "block").select("block", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("dim").alias("q_dim"))
+    valid = valid.withColumn("bits", F.expr("length(bin(size(v) - 1))"))  # of the width, less one: 32 at most
+    widths = sorted(tuple(r) for r in valid.groupBy("bits").agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).collect())
+    shard_of, shards = _dealt({bits: n for bits, n, _ in widths}, shard)
+    block_of, _ = _dealt({bits: n for bits, _, n in widths if n}, block)
+    packed = _packed(valid.withColumn("shard", shard_of), "shard")
+    asked = _packed(valid.filter(F.col("vec_id") % every == 0).withColumn("block", block_of), "block").select("block", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("dim").alias("q_dim"))
     tiles = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(packed, "shard")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

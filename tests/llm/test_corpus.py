@@ -74,6 +74,16 @@ def test_every_code_point_is_encoded_as_the_library_does(library, words):
     assert [t for t, a, z, x in zip(texts, starts, starts[1:], want, strict=False) if flat[a:z].tolist() != x] == []
 
 
+@pytest.mark.parametrize("words", ["backtracking", "library"])
+def test_characters_of_the_plain_range_in_mixed_chunks(library, words):
+    own = bpe.encoder(bpe.vocabulary(), words)
+    texts = [shape.replace("@", chr(c)) for c in range(9, 0x250) for shape in ("a@b", "a@1", "1@V", "@.", "(@", "'@", "?@", "@'s 1@", "@@1")]
+    texts += ["".join(chr(rng.randrange(32, 0x250)) for _ in range(rng.randint(1, 30))) for _ in range(1500)]
+    flat, starts = own.encode_all(texts)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, z, x in zip(texts, starts, starts[1:], want, strict=False) if flat[a:z].tolist() != x] == []
+
+
 def test_words_are_encoded_as_the_library_does(library):
     own = bpe.encoder(bpe.vocabulary())
     for alphabet in ("ab", "etaoin", "aé!?", "0123456789", "'st"):
@@ -172,6 +182,27 @@ def test_op2_without_spark():
         assert [int(x.sum()) for x in marks] == [r[2] for r in removed_by_brute_force(rows)], seed
 
 
+def test_op2_hashes_a_long_text_in_steps(monkeypatch):
+    r = random.Random(9)
+    texts = [bytes(r.choice(b"abcdefgh") for _ in range(n)) for n in (50, 900, 3000, 99, 100, 101)]
+    whole = op2_repeats.runs(texts)
+    monkeypatch.setattr(op2_repeats, "STEP", 700)
+    parts = op2_repeats.runs(texts)
+    windows = lambda x: {(row, k): h for row, a, z, h in zip(*(c.tolist() for c in x[:4]), strict=True) for k in range(a, z + 1)}
+    assert windows(parts) == windows(whole) and len(windows(whole)) == sum(max(0, len(t) - 99) for t in texts)
+
+
+def test_op2_memory_of_a_long_text():
+    import tracemalloc
+
+    text = np.random.default_rng(1).integers(97, 123, 16 << 20, dtype=np.uint8).tobytes()
+    tracemalloc.start()
+    op2_repeats.runs([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * (1 << 20) + 2.2 * len(text)  # what it gives is as large as the text
+
+
 def test_maximal_repeats_have_all_occurrences():
     text = b"xabcdeyabcdezabcdw"
     starts = list(range(len(text)))
@@ -428,6 +459,28 @@ def test_op5_finds_each_kind_alone(kind, text):
         assert kinds == [kind] and text not in new and new.startswith(before) and new.endswith(", and it answers.")
 
 
+@pytest.mark.parametrize(
+    ("before", "text", "after"),
+    [("password=", "abc$1234", " x"), ("pwd: ", "hunter2", ""), ("password = ", "Tr0ub4dor&3", ". x"), ("token='", "a b;c 9", "' x"), ('"secret": "', "x{y}z", '", x'), ("password: ", "pässwörd1", ", x"), ("call ", "030/1234567", " x")],
+)
+def test_op5_takes_whole_secrets(before, text, after):
+    new, kinds, _ = op5_pii.masked(before + text + after, op5_pii.Surrogates(b"k"))
+    assert len(kinds) == 1 and new.startswith(before) and new.endswith(after)
+    inner = new[len(before) : len(new) - len(after)]
+    stays = [a == b for a, b in zip(inner, text, strict=True) if a.isalnum()]
+    assert sum(stays) <= len(stays) / 2
+
+
+def test_op5_keeps_entities_apart_where_a_pool_or_a_space_is_used_up():
+    own = op5_pii.Surrogates(b"k")
+    names = [n.capitalize() for n in op5_pii.GIVEN["latin", "f"]]
+    new = re.findall(r"Ms (\w+)", op5_pii.masked(" ".join(f"Ms {n} went." for n in names), own)[0])
+    assert len(set(new)) == len(names) and not {*new} & {*names}
+    vowels = [f"{a}{b}".capitalize() for a in "aeiou" for b in "aeiou"]
+    new = re.findall(r"Mr (\w+)", op5_pii.masked(" ".join(f"Mr {n} went." for n in vowels), own)[0])
+    assert len(set(new)) == 25 and not any(a == b for a, b in zip(new, vowels, strict=True))
+
+
 def test_op5_takes_digits_of_any_script():
     for text in ("\u0661\u0662\u0663-\u0664\u0665-\u0666\u0667\u0668\u0669", "+\u0661 \u0662 \u0663 \u0664 \u0665 \u0666 \u0667 \u0668 \u0669", "\u0664 " * 15 + "\u0661"):
         new, kinds, _ = op5_pii.masked(f"is {text}, so", op5_pii.Surrogates(b"k"))
@@ -551,6 +604,17 @@ def test_op8(spark):
     assert got(op8_topk.search(frame.filter("false"))) == []
 
 
+def test_op8_one_wide_vector_widens_no_others(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    wide = [float(x) for x in r.integers(-3, 4, 400_000)]
+    rows = [(k, [float(x) for x in r.integers(-3, 4, 8)]) for k in range(3000)] + [(4000, wide), (4001, wide[:9]), (4002, [1.0])]
+    found = op8_topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).filter("query_id in (0, 4000)").collect()
+    for q in (0, 4000):
+        a = dict(rows)[q]
+        want = sorted((-sum(int(64 * x) * int(64 * y) for x, y in zip(a, b, strict=False)), i) for i, b in rows if i != q)[:20]
+        assert sorted((x.rank, x.vec_id, x.score) for x in found if x.query_id == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
 def test_op9(docs, none, library):
     ids = ids_of(library)
     ids = {i: [*x, 1] for i, x in ids.items()}
