@@ -6,8 +6,8 @@ occurrences of hashes at the threshold or over it give each document the positio
 again from the slices of its lines between those positions.
 
 A text moves once, by its id and its hash; of lines only hashes, ids and positions move. Documents of a hash are told
-apart before they are counted, so a line of a third of all documents is one row a task there. The join with the frequent
-hashes reads a shuffle that nothing else needs, so adaptive execution may split a hot line's partition.
+apart before they are counted, so a line of a third of all documents is one row a task there. The occurrences of lines that
+hold a ``HOT``-th of all that go, which are ``HOT`` lines at most, meet their hash over ``SALTS`` tasks.
 
 Results: a null or empty text is one empty line; keys of fewer than ``chars`` code points always stay; lines that occur
 twice in a document count once; rows that share a doc_id are one document where lines are counted, as are rows without an
@@ -23,10 +23,12 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted, table
+from .common import SALTS, owning, quoted, table, written
 
 #: Documents in which a key must be found to be dropped, and code points that it must have.
 LEAST, CHARS = 10, 1
+#: Lines are hot if they are at least this part of all that go: so many at most, by which what is broadcast is bounded.
+HOT = 4096
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -55,7 +57,13 @@ def frequent(docs: DataFrame, least: int = LEAST, chars: int = CHARS) -> DataFra
 
 def deduplicate(docs: DataFrame, least: int = LEAST, chars: int = CHARS) -> DataFrame:
     """The columns of docs with the text that is left, and n_lines (before) and n_dropped."""
-    gone = _occurrences(docs, chars).join(frequent(docs, least, chars).hint("shuffle_hash"), ["_a", "_b"])
+    going = written(frequent(docs, least, chars), "frequent")
+    total = going.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    going = owning(going.select("_a", "_b", (F.col("n_docs") * HOT >= total).alias("_hot")), going)
+    salts = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt")
+    marked = _occurrences(docs, chars).join(F.broadcast(going.filter("_hot")), ["_a", "_b"], "left")
+    salted = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_id", "_text"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("_hot")
+    gone = salted.join(going.select("_a", "_b", salts).hint("shuffle_hash"), ["_a", "_b", "_salt"])
     gone = gone.groupBy("_id", "_text").agg(F.array_sort(F.collect_set("_at")).alias("_gone"))
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     own = docs.select(F.struct(*map(quoted, kept)).alias("_row"), F.col("doc_id").alias("_own_id"), F.xxhash64(F.col("text")).alias("_own_text"))
@@ -65,7 +73,7 @@ def deduplicate(docs: DataFrame, least: int = LEAST, chars: int = CHARS) -> Data
     bounds = split.withColumn("_bounds", F.concat(F.array(F.lit(-1)), "_gone", F.array(F.size("_lines"))))
     left = F.expr("array_join(flatten(transform(sequence(0, size(_gone)), k -> slice(_lines, _bounds[k] + 2, _bounds[k + 1] - _bounds[k] - 1))), '\\n')")
     result = bounds.select("_row", F.when(F.size("_gone") == 0, F.col("_row.text")).otherwise(left).alias("_left"), F.size("_lines").cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_dropped"))
-    return result.select(*[F.col("_left").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in kept], "n_lines", "n_dropped")
+    return owning(result.select(*[F.col("_left").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in kept], "n_lines", "n_dropped"), going)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
