@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..shared import written
+from ..shared import scratch, written
 from ..sources import model as M
 
 #: Fill and stroke of the five offices in the landscape, in its order.
@@ -56,16 +56,39 @@ def one_sided(left: DataFrame, right: DataFrame, key: list[str], baseline: DataF
 def walk(edges: DataFrame, verb: str | None = None) -> DataFrame:
     """start, node, depth: every node that a start reaches over a verb, at its least depth, to the fixed point.
 
-    A round is one join; what was reached before is dropped, so cycles end. Rounds are written, so plans don't grow.
+    A round is one join; what was reached before is dropped, so cycles end. Rounds are written into one folder, a part a
+    depth, so what was reached is one table and plans don't grow.
     """
-    own = (edges if verb is None else edges.filter(F.col("verb") == verb)).select("src", "dst").distinct()
-    front = written(own.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth")), "walk")
-    reached = [front]
-    while not reached[-1].isEmpty():
-        step = reached[-1].join(own, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
-        before = reduce(DataFrame.unionByName, reached).select("start", "node")
-        reached.append(written(step.join(before, ["start", "node"], "left_anti"), "walk"))
-    return reduce(DataFrame.unionByName, reached)
+    spark = edges.sparkSession
+    own = written((edges if verb is None else edges.filter(F.col("verb") == verb)).select("src", "dst").distinct(), "edges")
+    kind = own.schema["src"].dataType.simpleString()
+    folder, depth = scratch(spark, "walk"), 1
+    own.select(F.col("src").alias("start"), F.col("dst").alias("node")).write.parquet(f"{folder}/depth=1")
+    reached = lambda path: spark.read.schema(f"start {kind}, node {kind}").option("basePath", path).parquet(path)
+    while not (front := reached(f"{folder}/depth={depth}")).isEmpty():
+        step = front.join(own, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        depth += 1
+        step.join(reached(folder), ["start", "node"], "left_anti").write.parquet(f"{folder}/depth={depth}")
+    return spark.read.schema(f"start {kind}, node {kind}, depth int").option("basePath", folder).parquet(folder)
+
+
+def chain_ends(edges: DataFrame) -> DataFrame:
+    """start, last, depth: the end of the chain that begins at each node with an edge, where no node has two.
+
+    Pointers are doubled: a round joins each pointer with that of the node it points to, so a chain of n nodes takes as
+    many rounds as n has bits, and nothing but a pointer a node is held. A node whose chain has no end, as it runs into a
+    cycle, has no row.
+    """
+    pointers = written(edges.select(F.col("src").alias("start"), F.col("dst").alias("last"), F.lit(1).cast("long").alias("depth")), "pointers")
+    nodes, reach = pointers.count(), 1
+    while True:
+        onward = pointers.select(F.col("start").alias("last"), F.col("last").alias("next"), F.col("depth").alias("more"))
+        met = pointers.join(onward, "last", "left")
+        # beyond as many steps as there are nodes, what goes on is in a cycle
+        if reach > nodes or met.filter("next is not null").isEmpty():
+            return met.filter("next is null").select("start", "last", F.col("depth").cast("int").alias("depth"))
+        pointers = written(met.select("start", F.coalesce("next", "last").alias("last"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "pointers", instead=pointers)
+        reach *= 2
 
 
 def ends(walked: DataFrame) -> DataFrame:

@@ -9,15 +9,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+
+#: Days of flows in a bucket whose rates are found together.
+ROWS = 100_000
+
 
 def irr(flows: DataFrame, key: list[str], day: str, amount: str, low: float = -0.9, high: float = 10.0, steps: int = 60, buckets: int | None = None) -> DataFrame:
     """The yearly rate at which dated flows are worth nothing, by bisection; null without a change of sign.
 
     ``day`` is a number of days. Flows of one key and day are summed before they are dealt, so a key has a row a day at
-    most, however many flows it has; keys are dealt in buckets, whose rates are found together.
+    most, however many flows it has; keys are dealt in buckets of about ``ROWS`` rows, whose rates are found together.
     """
     daily = flows.groupBy(*key, F.col(day).alias("_day")).agg(F.sum(F.col(amount)).cast("double").alias("_amount"))
-    n = buckets or int(flows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not buckets:
+        daily = written(daily, "flows")
+    n = buckets or max(1, -(-daily.count() // ROWS))
     dealt = daily.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(n)))
     kinds = ", ".join(f"{c} {flows.schema[c].dataType.simpleString()}" for c in key)
 

@@ -128,12 +128,12 @@ CHECKS: dict[str, Query] = {
     "a08_03_property_graph": frame("src s, dst s, verb s, src_label s, dst_label s", lambda spark, view: G.match(_bound(view).withColumns({"src": F.concat_ws("/", "root", "src"), "dst": F.concat_ws("/", "root", "dst")}).select("src", "dst", "verb"), ents(view).select(F.concat_ws("/", "root", "entity_id").alias("id"), F.col("pack").alias("label")), "1_URGENT"), f"""
         select concat('r', cast(x.root as varchar), '/', src) as src, concat('r', cast(x.root as varchar), '/', dst) as dst, verb, a.pack as src_label, b.pack as dst_label from {BOUND} as x
         join m_ent as a on a.root = x.root and a.entity_id = src join m_ent as b on b.root = x.root and b.entity_id = dst where verb = '1_URGENT'"""),
-    "a08_04_typed_schema": frame("src s, dst s, verb s", lambda spark, view: G.ill_typed(_bound(view).filter("root = 'r0'").select("src", "dst", "verb"), ents(view).filter("root = 'r0'").select(F.col("entity_id").alias("id"), F.col("pack").alias("label")), spark.createDataFrame([(v, p, "core") for v in ("1_URGENT", "2_HIGH", "3_MEDIUM") for p in ("core", "derivatives")], "verb string, src_label string, dst_label string")), f"""
-        select src, dst, verb from {BOUND} as x left join m_ent as a on a.root = 0 and a.entity_id = src left join m_ent as b on b.root = 0 and b.entity_id = dst where x.root = 0 and not (verb in ('1_URGENT', '2_HIGH', '3_MEDIUM') and coalesce(a.pack, '') in ('core', 'derivatives') and coalesce(b.pack, '') = 'core')"""),
+    "a08_04_typed_schema": frame("src s, dst s, verb s", lambda spark, view: G.ill_typed(_bound(view).select(F.concat_ws("/", "root", "src").alias("src"), F.concat_ws("/", "root", "dst").alias("dst"), "verb"), ents(view).select(F.concat_ws("/", "root", "entity_id").alias("id"), F.col("pack").alias("label")), spark.createDataFrame([(v, p, "core") for v in ("1_URGENT", "2_HIGH", "3_MEDIUM") for p in ("core", "derivatives")], "verb string, src_label string, dst_label string")), f"""
+        select concat('r', cast(x.root as varchar), '/', src) as src, concat('r', cast(x.root as varchar), '/', dst) as dst, verb from {BOUND} as x left join m_ent as a on a.root = x.root and a.entity_id = src left join m_ent as b on b.root = x.root and b.entity_id = dst where not (verb in ('1_URGENT', '2_HIGH', '3_MEDIUM') and coalesce(a.pack, '') in ('core', 'derivatives') and coalesce(b.pack, '') = 'core')"""),
     "a08_05_graph_statements": frame("root s, line s", lambda spark, view: G.cypher(ents(view).select("root", F.col("entity_id").alias("id"), "name", "pack"), _bound(view)).select("root", "line"), f"""
         select {R}, concat('CREATE (:Entity {{id: ''', entity_id, ''', name: ''', name, ''', pack: ''', pack, '''}});') as line from m_ent
         union all select {R}, concat('MATCH (a:Entity {{id: ''', src, '''}}), (b:Entity {{id: ''', dst, '''}}) CREATE (a)-[:`', verb, '` {{kind: ''association'', inverse: ''', inverse, ''', cardinality: ''n-1'', column: ''owner_id''}}]->(b);') from {BOUND} as x"""),
-    "a08_07_hierarchy": frame("start l, last l, depth i", lambda spark, view: G.ends(G.walk(_chain(spark, view).filter("dst > 0"))), "with recursive tr as (select 1 as depth, instrument_id as start, IDIV(instrument_id, 2) as node from instrument where instrument_id > 1 union all select depth + 1, start, IDIV(node, 2) from tr where node > 1) select start, max_by(node, depth) as last, max(depth) as depth from tr group by 1"),
+    "a08_07_hierarchy": frame("start l, last l, depth i", lambda spark, view: G.chain_ends(_chain(spark, view).filter("dst > 0")), "with recursive tr as (select 1 as depth, instrument_id as start, IDIV(instrument_id, 2) as node from instrument where instrument_id > 1 union all select depth + 1, start, IDIV(node, 2) from tr where node > 1) select start, max_by(node, depth) as last, max(depth) as depth from tr group by 1"),
     "a09_03_map_requirement": frame("id s, type s, title s, description s, score i, model_version s", lambda spark, view: _no_content(view).map_requirement("book asset nation 12", 15), f"with {CATALOG} select id, type, title, description, {_points('book asset nation 12')} as score, '1' as model_version from it where score > 0 order by score desc, id limit 15"),
     "a09_04_list_exports": frame("id s, title s, description s, source_path s, source_url s, official_url s", lambda spark, view: catalog(view).list_exports(), """
         select concat('r', cast(root as varchar), '/export:', f) as id, f as title, concat('Released ', upper(x), ' model artefact.') as description, concat('exports/', f) as source_path, concat('https://code.example/model/raw/v1/exports/', f) as source_url, concat('https://model.example/exports/', f) as official_url

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
+from ..operators import risk, similar
 from ..operators.funds import waterfall
 from ..operators.linkage import candidates, link
 from ..operators.matching import match
+from ..operators.rules import gaps
 from ..operators.screening import screen_names
 from ..shared import scratch
 from ..streaming import monitor, replay
@@ -131,14 +133,48 @@ f as (select portfolio_id, k, order_id, cost, proceeds, least(cost, proceeds) as
       from f join dl on dl.portfolio_id = f.portfolio_id and dl.k = f.k + 1) as a) as b)
 select portfolio_id, order_id, cost, proceeds, returned, paid as preferred_paid, caught as catch_up, caught + IDIV((proceeds - returned - paid - caught) * 20, 100) as carried, proceeds - caught - IDIV((proceeds - returned - paid - caught) * 20, 100) as to_investors from f"""
 
+FACTORS = "fv as (select provider, d, sum(v) as v from obs group by 1, 2), fr as (select provider, d, v * 1.0 / lag(v) over (partition by provider order by d) - 1 as r from fv)"
+
+
+def _factors(view) -> DataFrame:
+    daily = view("obs").groupBy("provider", "d").agg(F.sum("v").alias("v"))
+    return daily.withColumn("r", F.col("v") / F.lag("v").over(Window.partitionBy("provider").orderBy("d")) - 1).filter("r is not null")
+
+
+def _exposed(view) -> DataFrame:
+    return view("obs").groupBy("user_id", "provider").agg((F.sum("v") / 100).alias("w"))
+
+
+def _exposure(view) -> DataFrame:
+    """Loss expected of each broker: default in a year, on what a simulated net of its trades is worth by then."""
+    yearly = view("txn").groupBy("broker_id", F.expr("year(trade_date) - 1994").alias("k")).agg((F.sum(F.expr("side * amount")) / 100).alias("m"), (F.sum("amount") / 2000).alias("s"))
+    held = risk.expected_exposure(yearly, "broker_id", "k", "m", "s")
+    hazard = F.expr("(broker_id % 5 + 1) / 100D")
+    default = F.exp(-hazard * (F.col("k") - 1)) - F.exp(-hazard * F.col("k"))
+    return held.groupBy("broker_id").agg(F.sum(default * 0.6 * F.col("exposure") * F.pow(F.lit(1.03), -F.col("k"))).alias("cva"), F.max("peak").alias("peak"))
+
+
+def _near_vectors(spark: SparkSession, view) -> DataFrame:
+    """Pairs of like vectors, and copies as pairs with their first one, which are of cosine 1."""
+    pairs, members = similar.similar(view("embeddings"), 0.9)
+    return pairs.unionByName(members.select("a", F.col("member").alias("b"), F.lit(1.0).alias("cosine")))
+
+
 QUERIES: dict[str, Query] = {
+    "a06_07_gaps": frame("doc_id l", lambda spark, view: gaps("labels", "doc_id")({"labels": view("labels")}).select(F.col("subject").alias("doc_id")), "with s as (select RANGE((select min(doc_id) from labels), (select max(doc_id) from labels)) as doc_id) select s.doc_id from s where not exists (select 1 from labels where labels.doc_id = s.doc_id)"),
     "b01_01_linkage": frame("left_id l, right_id l, weight d, state s", _linked, None),
     "b07_10_american_waterfall": frame("portfolio_id l, order_id l, cost l, proceeds l, returned l, preferred_paid l, catch_up l, carried l, to_investors l", _american, FOLD),
+    "b09_02_portfolio_sigma": frame("user_id l, sigma d, var99 d", lambda spark, view: risk.sigma(_exposed(view), risk.covariance(_factors(view), "provider", "d", "r"), "user_id", "provider", "w").withColumn("var99", F.col("sigma") * 2.326348), f"""
+        with {FACTORS}, c as (select x.provider as i, y.provider as j, covar_samp(x.r, y.r) as c from fr as x join fr as y on x.d = y.d where x.r is not null and y.r is not null group by 1, 2),
+        e as (select user_id, provider, sum(v) / 100.0 as w from obs group by 1, 2) select a.user_id, sqrt(sum(a.w * b.w * c)) as sigma, sqrt(sum(a.w * b.w * c)) * 2.326348 as var99 from e as a join e as b on a.user_id = b.user_id join c on i = a.provider and j = b.provider group by 1"""),
+    "b09_03_correlated_var": frame("user_id l, var z, es z", lambda spark, view: risk.simulate(_exposed(view), risk.covariance(_factors(view), "provider", "d", "r"), "user_id", "provider", "w"), None),
+    "b09_08_expected_exposure": frame("broker_id l, cva z, peak z", lambda spark, view: _exposure(view), None),
     "b10_03_near_names": frame("party_id l, listed l, form s, distance l, score d", _near_names, NEAR),
     "b12_02_tolerance_match": frame("left_id l, right_id l, stage s, days l, gap l", _matched, None),
     "b15_08_index_search": frame("item_id l, rank l, doc_id l, score l", _searched, SEARCHED),
     "b15_08_links": frame("order_id l, line l, broker_id l, instrument_id l, trade_date t, amount l, target_type s, target_id s, label s, state s", _links, f"""
         with k as (select {LINKED} from txn), n as (select 'party' as target_type, party_id as target_id, name as label from party where kind = 'S' union all select 'instrument', instrument_id, name from instrument union all select 'order', order_id, priority from ord)
         select k.*, label, case when k.target_type = 'contract' then 'unknown_type' when k.target_id is null then 'empty' when label is null then 'dangling' else 'resolved' end as state from k left join n on n.target_type = k.target_type and n.target_id = k.target_id"""),
+    "b15_09_near_vectors": frame("a l, b l, cosine d", _near_vectors, "with u as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where vec_id is not null and embedding is not null) select x.vec_id as a, y.vec_id as b, list_cosine_similarity(x.e, y.e) as cosine from u as x join u as y on x.vec_id < y.vec_id where list_cosine_similarity(x.e, y.e) >= 0.9"),
     "b18_13_monitor": Query(_monitored, MONITORED),
 }

@@ -21,6 +21,25 @@ from ledgerline.operators.temporal import as_of_join, close_versions, effective_
 from ledgerline.plans.dialect import expand
 
 
+def test_look_through_of_layers_of_diamonds(spark):
+    """Twenty layers of two nodes have a million paths, and two rows a round."""
+    edges = [(f"{k}{a}", f"{k + 1}{b}", 0.5) for k in range(20) for a in "xy" for b in "xy"] + [("r", "0x", 0.25), ("r", "0y", 0.75)]
+    found = look_through(spark.createDataFrame(edges, "owner string, owned string, weight double"), spark.createDataFrame([("r",)], "root string"))
+    assert rows(found, "root", "leaf", "weight") == [("r", "20x", 0.5), ("r", "20y", 0.5)]
+
+
+def test_look_through_of_cycles_with_ways_in_and_out(spark):
+    edges = [("r", "a", 0.5), ("r", "x", 0.5), ("a", "b", 0.4), ("b", "a", 0.3), ("b", "z", 0.7), ("a", "y", 0.6), ("x", "y", 1.0), ("s", "s", 0.5), ("s", "y", 0.5)]
+    found = look_through(spark.createDataFrame(edges, "owner string, owned string, weight double"), spark.createDataFrame([("r",), ("b",), ("s",)], "root string"))
+    assert [(a, b, round(w, 9)) for a, b, w in rows(found, "root", "leaf", "weight")] == [("b", "y", 0.18), ("b", "z", 0.7), ("r", "y", 0.8), ("r", "z", 0.14), ("s", "y", 0.5)]
+
+
+def test_chain_ends(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (102, 100), (103, 100), (200, 40)]
+    found = graph.chain_ends(spark.createDataFrame(edges, "src int, dst int"))
+    assert rows(found, "start", "last", "depth") == [(k, 40, 40 - k) for k in range(40)] + [(200, 40, 1)]
+
+
 def rows(frame, *columns):
     return sorted(tuple(r) for r in frame.select(*columns).collect())
 

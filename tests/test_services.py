@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import documents, funds, linkage, matching, screening
+from ledgerline.operators import documents, funds, linkage, matching, risk, screening, similar
 from ledgerline.shared import scratch
 from ledgerline.streaming import monitor, replay
 
@@ -237,3 +237,65 @@ def test_monitor_with_late_and_repeated_events(spark):
     for key, rule, action, at, _ in sorted(found, key=lambda x: x[3]):
         by[key, rule].append(action)
     assert len(by) > 4 and all(a == ["raised", "cleared"] * (len(a) // 2) + ["raised"] * (len(a) % 2) for a in by.values())
+
+
+@pytest.mark.parametrize("full", [512, 8])
+def test_similar_vectors(spark, full):
+    """Clusters at several angles: nine pairs of ten and more are found, none that is not one, and copies make none."""
+    r = np.random.default_rng(7)
+    rows_, n = [], 0
+    for _ in range(60):
+        center = r.standard_normal(32)
+        for _ in range(r.integers(1, 6)):
+            rows_.append((n, (center + r.standard_normal(32) * r.choice([0.05, 0.15, 0.25])).tolist()))
+            n += 1
+    rows_ += [(5000, None), (5001, []), (5002, [0.0] * 32), (5003, [1.0, None]), (5004, [1.0, 0.0]), (None, [1.0] * 32)]
+    rows_ += [(6000 + k, [x * (k + 1) for x in rows_[0][1]]) for k in range(50)]  # of one direction
+    close = r.standard_normal(32)
+    rows_ += [(7000 + k, (close + r.standard_normal(32) * 1e-4).tolist()) for k in range(40)]
+    pairs, members = similar.similar(spark.createDataFrame(rows_, "vec_id long, embedding array<double>"), 0.9, full=full)
+    own = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows_ if i is not None and v and i < 5000]
+    want = {(i, j): float(a @ b) for (i, a), (j, b) in itertools.combinations(own, 2) if a @ b >= 0.9}
+    found = {(p.a, p.b): p.cosine for p in pairs.collect()}
+    usual = {k: c for k, c in found.items() if k[1] < 5000}
+    assert set(usual) <= set(want) and len(usual) >= 0.9 * len(want) and all(abs(c - want[k]) < 1e-9 for k, c in usual.items())
+    assert rows(members) == [(0, 6000 + k) for k in range(50)] and not any(6000 <= b < 7000 for _, b in found)
+    cluster = {k for k in found if k[0] >= 7000}
+    assert {b for _, b in cluster} == {7000 + k for k in range(1, 40)}  # each is linked to an earlier one, whether all pairs are told or not
+    none, alone = similar.similar(spark.createDataFrame([], "vec_id long, embedding array<double>"), 0.9)
+    assert none.collect() == alone.collect() == []
+
+
+def test_covariance_and_simulated_loss(spark):
+    r = np.random.default_rng(5)
+    mix = r.standard_normal((6, 6))
+    x = r.standard_normal((400, 6)) @ mix.T
+    returns = spark.createDataFrame([(f"f{j}", i, float(x[i, j])) for i in range(400) for j in range(6) if not (j == 5 and i < 100)], "f string, d int, x double")
+    for block in (2, 64):
+        found = {(c.i, c.j): c.cov for c in risk.covariance(returns, "f", "d", "x", block).collect()}
+        assert len(found) == 36
+        for i, j in itertools.product(range(6), range(6)):
+            a, b = (x[100:, i], x[100:, j]) if 5 in (i, j) else (x[:, i], x[:, j])
+            assert abs(found[f"f{i}", f"f{j}"] - np.cov(a, b)[0, 1]) < 1e-9
+    cov = risk.covariance(returns.filter("f <> 'f5'"), "f", "d", "x")
+    exposures = spark.createDataFrame([(p, f"f{j}", float(r.standard_normal())) for p in range(300) for j in range(5)] + [(900, "f0", 1.0), (900, "f0", -1.0), (901, "other", 5.0)], "p int, f string, w double")
+    exact = {s.p: s.sigma for s in risk.sigma(exposures, cov, "p", "f", "w").collect()}
+    c = np.cov(x[:, :5].T)
+    w = {p: np.zeros(5) for p in range(300)}
+    for e in exposures.filter("p < 300").collect():
+        w[e.p][int(e.f[1])] = e.w
+    assert all(abs(exact[p] - np.sqrt(v @ c @ v)) < 1e-9 for p, v in w.items()) and exact[900] == 0
+    found = {s.p: s for s in risk.simulate(exposures, cov, "p", "f", "w", 20_000).collect()}
+    assert all(abs(found[p].var / exact[p] - 2.3263) < 0.12 and abs(found[p].es / exact[p] - 2.6652) < 0.14 for p in range(300))
+    assert found[900].var == found[901].var == 0
+    again = {s.p: s.var for s in risk.simulate(exposures.repartition(7), cov, "p", "f", "w", 20_000).collect()}
+    assert all(abs(again[p] - found[p].var) < 1e-9 for p in found)  # whatever the partitions
+
+
+def test_expected_exposure(spark):
+    paths = spark.createDataFrame([(1, 1, 10.0, 20.0), (1, 2, 5.0, 20.0), (2, 1, -50.0, 1.0), (3, 1, 7.0, 0.0)], "k int, step int, m double, s double")
+    found = {(e.k, e.step): e for e in risk.expected_exposure(paths, "k", "step", "m", "s", 50_000).collect()}
+    phi, cdf = lambda z: math.exp(-z * z / 2) / math.sqrt(2 * math.pi), lambda z: (1 + math.erf(z / math.sqrt(2))) / 2
+    held = lambda m, s: m * cdf(m / s) + s * phi(m / s)
+    assert abs(found[1, 1].exposure - held(10, 20)) < 0.25 and abs(found[1, 2].exposure - held(15, 20 * math.sqrt(2))) < 0.4
+    assert found[2, 1].exposure == 0 and found[3, 1].exposure == found[3, 1].peak == 7
