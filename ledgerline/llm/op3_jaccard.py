@@ -341,12 +341,14 @@ def _families(entries: DataFrame, sets: DataFrame, percent: int, used: list[Data
 
     def pack(rows: pa.Table) -> pa.Table:
         raw = rows.column("tokens").to_pylist()
-        return pa.table({"family": [rows.column("family")[0].as_py()], "block": pa.array([rows.column("block")[0].as_py()], pa.int32()), "reps": [rows.column("rep").to_pylist()], "labels": [rows.column("label").to_pylist()], "sets": pa.array([raw], pa.list_(pa.binary()))})
-
-    kind = "family long, block int, reps array<long>, labels array<long>, sets array<binary>"
-    blocks = large.select("family", "block", "rep", "label", "tokens").groupBy("family", "block").applyInArrow(pack, kind)
-    probes = large.filter("label <> main").select("family", "block", "rep", "label", "tokens").groupBy("family", "block").applyInArrow(pack, kind)
-    met = probes.join(blocks.toDF("family", "b_block", "b_reps", "b_labels", "b_sets"), "family")
+        return pa.table({"family": [rows.column("family")[0].as_py()], "size": rows.column("size")[:1], "block": pa.array([rows.column("block")[0].as_py()], pa.int32()), "reps": [rows.column("rep").to_pylist()], "labels": [rows.column("label").to_pylist()], "sets": pa.array([raw], pa.list_(pa.binary()))})
+
+    kind = "family long, size long, block int, reps array<long>, labels array<long>, sets array<binary>"
+    blocks = large.select("family", "size", "block", "rep", "label", "tokens").groupBy("family", "block").applyInArrow(pack, kind)
+    probes = large.filter("label <> main").select("family", "size", "block", "rep", "label", "tokens").groupBy("family", "block").applyInArrow(pack, kind)
+    # a probe block goes once to each block of its family, so that two blocks are a key of their own
+    asked = probes.withColumn("b_block", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / FAMILY) - 1).cast("int"))))
+    met = asked.join(blocks.drop("size").toDF("family", "b_block", "b_reps", "b_labels", "b_sets"), ["family", "b_block"])
 
     def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

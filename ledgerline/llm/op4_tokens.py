@@ -21,16 +21,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import in_order
 from . import bpe, pfor
-from .common import bounded, put, read_range, scratch, table, text_bytes
+from .common import bounded, put, read_range, scratch, table, text_bytes, written
 
 #: Ids after which a file ends, the end id, and bytes of text for each range partition.
 FILE_IDS, END_ID, PARTITION_BYTES = 4_000_000, 1, 24 << 20
+#: Tasks that read files at most.
+READERS = 65_536
 MANIFEST = "part int, nth int, path string, docs long, ids long, no_id long"
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID) -> list:
-    """Writes all files; the manifest rows in the order of document ids, a row a file of millions of ids."""
+def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """Writes all files; path, docs, ids, no_id and start (ids of all files before) of each, a row a file of millions of ids.
+
+    Starts are running sums over the manifest, which is a table in the shared folder and never comes to the driver.
+    """
     path = vocabulary or bpe.vocabulary()
     parts = max(1, -(-text_bytes(docs) // PARTITION_BYTES))
 
@@ -61,25 +67,23 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
         coder.rest()
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    return sorted(ordered.mapInArrow(run, MANIFEST).collect(), key=lambda r: (r.part, r.nth))
+    files = written(ordered.mapInArrow(run, MANIFEST), "files")
+    placed = in_order(files, ["part", "nth"], "ids")
+    return written(placed.select("path", "docs", "ids", "no_id", (F.col("running") - F.col("ids")).alias("start")), "manifest", instead=files)
 
 
-def read(spark: SparkSession, manifest: list) -> DataFrame:
+def read(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and the ids of each document, from the files."""
-    return _reader(spark, manifest, "ids array<long>", lambda own: pa.array([x.tolist() for x in own], pa.list_(pa.int64())))
+    return _reader(manifest, "ids array<long>", lambda own: pa.array([x.tolist() for x in own], pa.list_(pa.int64())))
 
 
-def digests(spark: SparkSession, manifest: list) -> DataFrame:
+def digests(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the unsigned crc32 of the document's ids as little-endian uint32, from the files."""
-    return _reader(spark, manifest, "ids_crc32 long", lambda own: pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64()))
+    return _reader(manifest, "ids_crc32 long", lambda own: pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64()))
 
 
-def _reader(spark: SparkSession, manifest: list, last: str, of) -> DataFrame:
-    rows, start = [], 0
-    for m in manifest:
-        rows.append((m.path, start, m.no_id))
-        start += m.ids
-    files = spark.createDataFrame(rows, "path string, start long, no_id long")
+def _reader(manifest: DataFrame, last: str, of) -> DataFrame:
+    files = manifest.select("path", "start", "no_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,8 +97,8 @@ def _reader(spark: SparkSession, manifest: list, last: str, of) -> DataFrame:
                     own = [numbers[x:y] for x, y in zip(starts[some].tolist(), stops[some].tolist(), strict=True)]
                     yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts[some] + f["start"], pa.int64()), pa.array(file.counts[some], pa.int64()), of(own)], ["doc_id", "start", "n_tokens", last.split()[0]])
 
-    return files.repartition(max(1, min(len(rows), 4096))).mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
+    return files.repartition(max(1, min(manifest.count(), READERS))).mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(spark, write(table(spark, sf_dir, "documents"), scratch(spark, "tokens")))
+    return digests(write(table(spark, sf_dir, "documents"), scratch(spark, "tokens")))
