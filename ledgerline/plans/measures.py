@@ -28,7 +28,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         with x as (select user_id, d, v, max(v) over (partition by user_id order by d) as hwm from daily) select user_id, min(v * 1.0 / hwm - 1) as max_drawdown, max(hwm) as peak, sum(case when v < hwm then 1 else 0 end) as under from x group by user_id"""),
     "b06_06_capture": ("user_id l, up d, down d", "select user_id, avg(case when m > a then r end) / avg(case when m > a then m end) as up, avg(case when m <= a then r end) / avg(case when m <= a then m end) as down from paired cross join (select avg(m) as a from market) as x group by user_id having count(*) > 5"),
     "b06_07_skill": ("user_id l, t_stat d, adequate b", "select user_id, avg(r - m) / (stddev_samp(r - m) / sqrt(count(*))) as t_stat, count(*) >= 20 as adequate from paired group by user_id having count(*) > 5"),
-    "b06_08_peer_quartile": ("portfolio_id l, segment s, y i, quartile i, pct d", "select portfolio_id, segment, y, ntile(4) over (partition by segment, y order by total desc, portfolio_id) as quartile, percent_rank() over (partition by segment, y order by total) as pct from (select ord.portfolio_id, segment, year(order_date) as y, sum(total) as total from ord join portfolio on ord.portfolio_id = portfolio.portfolio_id group by 1, 2, 3) as x"),
     "b06_09_high_water_mark": ("user_id l, d t, hwm l, excess l", "select user_id, d, hwm, greatest(0, v - coalesce(lag(hwm) over (partition by user_id order by d), 0)) as excess from (select user_id, d, v, max(v) over (partition by user_id order by d) as hwm from daily) as x"),
     "b07_01_paid_in": ("portfolio_id l, committed l, paid_in l, recallable l, unfunded l", "select portfolio_id, sum(amount) * 2 as committed, sum(case when side = 1 then amount else 0 end) as paid_in, sum(case when side = -1 and line_status = 'O' then amount else 0 end) as recallable, sum(amount) * 2 - sum(case when side = 1 then amount else 0 end) + sum(case when side = -1 and line_status = 'O' then amount else 0 end) as unfunded from txn group by 1"),
     "b07_02_multiples": ("portfolio_id l, dpi d, rvpi d, tvpi d", """

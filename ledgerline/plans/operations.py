@@ -19,7 +19,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "b12_09_fee_accrual": ("portfolio_id l, gross_fee l, waiver l, net_fee l", "select portfolio_id, sum(amount * tax) as gross_fee, sum(case when disc >= 8 then amount else 0 end) as waiver, sum(amount * tax) - sum(case when disc >= 8 then amount else 0 end) as net_fee from txn group by 1"),
     "b12_10_ocf": ("segment s, ocf d", "select segment, sum(charge) / 10000.0 / avg(nav) as ocf from (select segment, m, sum(gross) as nav, sum(gross) * 12 as charge from monthly join portfolio on monthly.portfolio_id = portfolio.portfolio_id group by 1, 2) as x group by 1"),
     "b12_16_harvest": ("portfolio_id l, instrument_id l, loss l", "select portfolio_id, valued.instrument_id, cost - mv as loss from valued where cost > mv and qty > 0 and not exists (select 1 from txn where txn.portfolio_id = valued.portfolio_id and txn.instrument_id = valued.instrument_id and trade_date > date '2001-07-01')"),
-    "b12_18_deals_at_strike": ("order_id l, strike t, units d", "with s as (select MONTH_START(trade_date) as strike, sum(amount) * 1.0 / sum(qty) as per_unit from txn group by 1) select order_id, strike, total / per_unit as units from (select order_id, total, strike, per_unit, row_number() over (partition by order_id order by strike) as k from ord join s on strike >= order_date and DAYS(strike, order_date) < 100) as x where k = 1"),
     "b12_19_register": ("segment s, holder l, units l, payment l", "select segment, ord.portfolio_id as holder, sum(IDIV(total, 10000)) as units, sum(IDIV(total, 10000)) * 3 as payment from ord join portfolio on ord.portfolio_id = portfolio.portfolio_id group by 1, 2"),
     "b12_20_lending": ("instrument_id l, lendable l, lent l, utilisation d, revenue l", "select instrument_id, sum(qty) as lendable, sum(case when line_status = 'O' then qty else 0 end) as lent, sum(case when line_status = 'O' then qty else 0 end) * 1.0 / sum(qty) as utilisation, sum(case when line_status = 'O' then amount * disc else 0 end) as revenue from txn group by 1"),
     "b12_21_etf_basket": ("class s, basket l, cash_residual l", "select class, sum(price * 3) as basket, 100000000 - sum(price * 3) as cash_residual from instrument group by class"),
@@ -62,8 +61,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "b17_06_what_if": ("class s, before_qty l, after_qty l", "with h as (select instrument_id, side * qty as q, 0 as extra from txn union all select instrument_id, 100, 1 from instrument where class = 'PROMO') select class, sum(case when extra = 0 then q else 0 end) as before_qty, sum(q) as after_qty from h join instrument on h.instrument_id = instrument.instrument_id group by 1"),
     "b17_10_grains": ("portfolio_id l, order_id l, multiple d", "select portfolio_id, order_id, sum(case when side = -1 then amount else 0 end) * 1.0 / sum(amount) as multiple from txn group by grouping sets ((portfolio_id), (portfolio_id, order_id))"),
     "b17_14_top_factor": ("segment s, top_issuer s, share d", "select segment, issuer as top_issuer, share from (select segment, issuer, mv * 1.0 / sum(mv) over (partition by segment) as share, row_number() over (partition by segment order by mv desc, issuer) as k from (select segment, issuer, sum(greatest(mv, 0)) as mv from valued join portfolio on valued.portfolio_id = portfolio.portfolio_id group by 1, 2) as x) as y where k = 1"),
-    "b17_16_rank_ic": ("d t, n l, ic d", "select d, count(*) as n, corr(a, b) as ic from (select d, rank() over (partition by d order by w) as a, rank() over (partition by d order by nxt) as b from (select user_id, d, w, lead(v) over (partition by user_id order by d) as nxt from wealth) as x where nxt is not null) as y group by d having count(*) > 5"),
-    "b17_17_screen": ("instrument_id l, pct d", "select instrument_id, pct from (select instrument_id, size, percent_rank() over (partition by class order by price) as pct from instrument) as x where size between 10 and 30 and pct < 0.2"),
     "b18_01_correcting_entries": ("order_id l, line l, posted l, reversed l, net l", "select order_id, line, sum(amount) as posted, sum(amount) - max(amount) as reversed, max(amount) as net from txn group by 1, 2 having count(*) > 1"),
     "b18_02_affirmation": ("field s, mismatches l", "with x as (select total, order_id from ord), l as (select order_id, sum(amount) as s, min(trade_date) as a, count(*) as n from txn group by 1) select 'amount' as field, sum(case when total <> s then 1 else 0 end) as mismatches from x join l on x.order_id = l.order_id union all select 'lines', sum(case when n > 7 then 1 else 0 end) from l"),
     "b18_04_income_type": ("kind s, n l, amount l", "select case when tax = 0 then 'exempt' when tax < 5 then 'reduced' else 'full' end as kind, count(*) as n, sum(amount) as amount from txn group by 1"),
@@ -79,7 +76,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "b18_17_pipeline_sla": ("provider s, days_seen l, days_missed l, worst_hour i", "select provider, count(distinct d) as days_seen, 30 - count(distinct d) as days_missed, max(hour(ts)) as worst_hour from obs group by 1"),
     "b18_18_index_series": ("m l, lvl d", "select m, 100 * exp(sum(ln(p * 1.0 / q)) over (order by m)) as lvl from (select m, p, coalesce(lag(p) over (order by m), p) as q from (select m, sum(gross) as p from monthly group by m) as x) as y"),
     "b18_19_report": ("segment s, priority s, n l, total l", "select segment, priority, count(*) as n, sum(total) as total from ord join portfolio on ord.portfolio_id = portfolio.portfolio_id group by grouping sets ((segment), (priority), ())"),
-    "b18_20_funnel": ("stage i, provider s, users l", "select 1 as stage, 'view' as provider, count(distinct user_id) as users from obs where provider = 'view' union all select 2, 'click', count(distinct a.user_id) from obs as a where a.provider = 'click' and exists (select 1 from obs as b where b.user_id = a.user_id and b.provider = 'view' and b.ts < a.ts) union all select 3, 'purchase', count(distinct a.user_id) from obs as a where a.provider = 'purchase' and exists (select 1 from obs as b where b.user_id = a.user_id and b.provider = 'click' and b.ts < a.ts)"),
     "b18_21_complaints": ("role s, turn l, n l", "select role, turn, count(*) as n from conversations group by rollup(role, turn)"),
     "b18_22_budget_variance": ("y i, plan l, actual l, variance l", "select y, plan, actual, actual - plan as variance from (select y, IDIV(sum(total) over (), 7) as plan, total as actual from (select year(order_date) as y, sum(total) as total from ord group by 1) as x) as z"),
     "b18_23_substantiation": ("order_id l, ledger l, subledger l, ok b", "with s as (select order_id, sum(amount) as s from txn group by 1) select coalesce(ord.order_id, s.order_id) as order_id, coalesce(total, 0) as ledger, coalesce(s, 0) as subledger, abs(coalesce(total, 0) - coalesce(s, 0)) <= 100 as ok from ord full outer join s on ord.order_id = s.order_id"),

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import derivatives as V
 from ..operators import documents as D
+from ..operators import returns as P
 from ..operators import risk, similar
 from ..operators.funds import waterfall
 from ..operators.linkage import candidates, link
 from ..operators.matching import match
+from ..operators.ranking import in_groups, ntile
 from ..operators.rules import gaps
 from ..operators.screening import screen_names
 from ..shared import scratch
@@ -160,6 +163,85 @@ def _near_vectors(spark: SparkSession, view) -> DataFrame:
     return pairs.unionByName(members.select("a", F.col("member").alias("b"), F.lit(1.0).alias("cosine")))
 
 
+def _quotes(view) -> DataFrame:
+    """A call on each instrument at a price of the closed form, and the volatility that the price implies."""
+    own = view("instrument").withColumns({"f": F.col("price") / 100, "strike": F.expr("price / 100D * (0.9 + size / 250D)"), "t": F.expr("(1 + size % 4) / 2D")})
+    own = own.withColumn("given", F.expr("0.2 + 0.1 * abs(ln(strike / f)) + 0.02 * sqrt(t)"))
+    own = own.withColumn("value", P.black(F.col("f"), F.col("strike"), F.col("given"), F.col("t"), F.exp(-0.03 * F.col("t"))))
+    implied = V.implied_vol(F.col("value"), F.col("f"), F.col("strike"), F.col("t"), F.exp(-0.03 * F.col("t")))
+    return own.select("instrument_id", "class", "t", F.log(F.col("strike") / F.col("f")).alias("k"), implied.alias("vol"))
+
+
+GIVEN = "qv as (select instrument_id, class, t, k, 0.2 + 0.1 * abs(k) + 0.02 * sqrt(t) as vol from (select instrument_id, class, (1 + size % 4) / 2.0 as t, ln(0.9 + size / 250.0) as k from instrument) as x)"
+GRID = [-0.1, -0.05, 0.0, 0.05, 0.1]
+#: Least squares with centred powers, another way to the same fit.
+FITTED = f"""{GIVEN}, qc as (select *, k - avg(k) over p as x, vol * vol * t as w, avg(k) over p as k0, k * k - avg(k * k) over p - (k - avg(k) over p) * regr_slope(k * k, k) over p as y from qv window p as (partition by class, t)),
+qs as (select class, t, max(k0) as k0, count(*) as n, count(distinct k) as strikes, avg(w) as w0, regr_slope(k * k, k) as m, avg(k * k) as q0, sum(x * w) / sum(x * x) as l1, sum(y * w) / sum(y * y) as c from qc group by 1, 2),
+qf as (select class, t, n, c, l1 - c * m as b, w0 - l1 * k0 + c * (m * k0 - q0) as a from qs where strikes >= 3)"""
+
+
+def _compressed(view) -> DataFrame:
+    """Notionals between nations by class and year, compressed."""
+    owner = view("portfolio").select("portfolio_id", F.col("nation").alias("payer"))
+    dealer = view("party").filter("kind = 'S'").select(F.col("party_id").alias("broker_id"), F.col("nation").alias("receiver"))
+    trades = view("txn").join(owner, "portfolio_id").join(dealer, "broker_id").join(view("instrument").select("instrument_id", "class"), "instrument_id").withColumn("y", F.year("trade_date"))
+    return V.compress(trades, ["class", "y"], "payer", "receiver", "amount")
+
+
+COMPRESSED = """
+with x as (select class, year(trade_date) as y, portfolio.nation as payer, party.nation as receiver, amount from txn join portfolio on portfolio.portfolio_id = txn.portfolio_id join party on party_id = broker_id and party.kind = 'S' join instrument on instrument.instrument_id = txn.instrument_id),
+n as (select class, y, party, sum(q) as q from (select class, y, payer as party, -amount as q from x union all select class, y, receiver, amount from x) as l group by 1, 2, 3),
+a as (select class, y, party, -q as q, sum(-q) over (partition by class, y order by party) as z from n where q < 0), b as (select class, y, party, q, sum(q) over (partition by class, y order by party) as z from n where q > 0)
+select a.class, a.y, a.party as payer, b.party as receiver, least(a.z, b.z) - greatest(a.z - a.q, b.z - b.q) as notional from a join b on a.class = b.class and a.y = b.y and a.z - a.q < b.z and b.z - b.q < a.z"""
+
+
+def _leg_cash(view) -> DataFrame:
+    """Each order as a floating leg of ninety days over the rate that its priority's orders fixed last."""
+    fixings = view("ord").groupBy("priority", F.col("order_date").alias("fixed_on")).agg(F.expr("(sum(total) div count(*)) % 500").alias("rate"))
+    periods = view("ord").selectExpr("order_id", "priority", "total", "order_date as starts", "date_add(order_date, 90) as ends", "portfolio_id % 50 as spread")
+    return V.leg_cash(periods, fixings, ["priority"], "starts", "ends", "total", "spread", "fixed_on", "rate")
+
+
+def _struck(view) -> DataFrame:
+    """Orders at the first strike within a hundred days, of the month starts that can be one."""
+    strikes = view("txn").groupBy(F.date_trunc("month", "trade_date").cast("date").alias("strike")).agg((F.sum("amount") / F.sum("qty")).alias("per_unit"))
+    months = F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.add_months(F.trunc("order_date", "month"), k))).alias("strike")
+    met = view("ord").select("order_id", "total", "order_date", months).filter("strike >= order_date and datediff(strike, order_date) < 100").join(strikes, "strike")
+    first = met.groupBy("order_id").agg(F.min(F.struct("strike", "total", "per_unit")).alias("m"))
+    return first.select("order_id", "m.strike", (F.col("m.total") / F.col("m.per_unit")).alias("units"))
+
+
+def _share(rank: str = "rank", rows: str = "rows"):
+    return F.when(F.col(rows) > 1, (F.col(rank) - 1) / (F.col(rows) - 1)).otherwise(F.lit(0.0))
+
+
+def _screened(view) -> DataFrame:
+    placed = in_groups(view("instrument").select("instrument_id", "size", "class", "price"), ["class"], [F.col("price")])
+    return placed.withColumn("pct", _share()).filter("size between 10 and 30 and pct < 0.2").select("instrument_id", "pct")
+
+
+def _rank_ic(view) -> DataFrame:
+    own = view("wealth").select("d", "w", F.lead("v").over(Window.partitionBy("user_id").orderBy("d")).alias("nxt")).filter("nxt is not null")
+    first = in_groups(own, ["d"], [F.col("w")]).withColumnRenamed("rank", "a").drop("row", "rows")
+    both = in_groups(first, ["d"], [F.col("nxt")]).withColumnRenamed("rank", "b")
+    return both.groupBy("d").agg(F.count("*").alias("n"), F.corr("a", "b").alias("ic")).filter("n > 5")
+
+
+def _funnel(view) -> DataFrame:
+    """A user is at a stage whose last event is after the first of the stage before."""
+    at = lambda f, p: f(F.when(F.col("provider") == p, F.col("ts")))
+    users = view("obs").groupBy("user_id").agg(at(F.min, "view").alias("v"), at(F.min, "click").alias("c"), at(F.max, "click").alias("c2"), at(F.max, "purchase").alias("p2"))
+    n = lambda when: F.count(F.when(F.expr(when), 1))
+    row = users.agg(n("v is not null").alias("view"), n("c2 > v").alias("click"), n("p2 > c").alias("purchase"))
+    return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), F.lit(p).alias("provider"), F.col(p).alias("users")) for k, p in enumerate(("view", "click", "purchase"), 1)])).alias("s")).select("s.*")
+
+
+def _quartiles(view) -> DataFrame:
+    own = view("ord").join(view("portfolio").select("portfolio_id", "segment"), "portfolio_id").groupBy("portfolio_id", "segment", F.year("order_date").alias("y")).agg(F.sum("total").alias("total"))
+    placed = in_groups(own, ["segment", "y"], [-F.col("total"), F.col("portfolio_id")]).withColumn("quartile", ntile(F.col("row"), F.col("rows"), 4)).drop("row", "rank", "rows")
+    return in_groups(placed, ["segment", "y"], [F.col("total")]).withColumn("pct", _share())
+
+
 QUERIES: dict[str, Query] = {
     "a06_07_gaps": frame("doc_id l", lambda spark, view: gaps("labels", "doc_id")({"labels": view("labels")}).select(F.col("subject").alias("doc_id")), "with s as (select RANGE((select min(doc_id) from labels), (select max(doc_id) from labels)) as doc_id) select s.doc_id from s where not exists (select 1 from labels where labels.doc_id = s.doc_id)"),
     "b01_01_linkage": frame("left_id l, right_id l, weight d, state s", _linked, None),
@@ -171,10 +253,24 @@ QUERIES: dict[str, Query] = {
     "b09_08_expected_exposure": frame("broker_id l, cva z, peak z", lambda spark, view: _exposure(view), None),
     "b10_03_near_names": frame("party_id l, listed l, form s, distance l, score d", _near_names, NEAR),
     "b12_02_tolerance_match": frame("left_id l, right_id l, stage s, days l, gap l", _matched, None),
+    "b06_08_peer_quartile": frame("portfolio_id l, segment s, y i, quartile i, pct d", lambda spark, view: _quartiles(view), "select portfolio_id, segment, y, ntile(4) over (partition by segment, y order by total desc, portfolio_id) as quartile, percent_rank() over (partition by segment, y order by total) as pct from (select ord.portfolio_id, segment, year(order_date) as y, sum(total) as total from ord join portfolio on ord.portfolio_id = portfolio.portfolio_id group by 1, 2, 3) as x"),
+    "b12_18_deals_at_strike": frame("order_id l, strike t, units d", lambda spark, view: _struck(view), "with s as (select MONTH_START(trade_date) as strike, sum(amount) * 1.0 / sum(qty) as per_unit from txn group by 1) select order_id, strike, total / per_unit as units from (select order_id, total, strike, per_unit, row_number() over (partition by order_id order by strike) as k from ord join s on strike >= order_date and DAYS(strike, order_date) < 100) as x where k = 1"),
+    "b17_16_rank_ic": frame("d t, n l, ic d", lambda spark, view: _rank_ic(view), "select d, count(*) as n, corr(a, b) as ic from (select d, rank() over (partition by d order by w) as a, rank() over (partition by d order by nxt) as b from (select user_id, d, w, lead(v) over (partition by user_id order by d) as nxt from wealth) as x where nxt is not null) as y group by d having count(*) > 5"),
+    "b17_17_screen": frame("instrument_id l, pct d", lambda spark, view: _screened(view), "select instrument_id, pct from (select instrument_id, size, percent_rank() over (partition by class order by price) as pct from instrument) as x where size between 10 and 30 and pct < 0.2"),
+    "b18_20_funnel": frame("stage i, provider s, users l", lambda spark, view: _funnel(view), "select 1 as stage, 'view' as provider, count(distinct user_id) as users from obs where provider = 'view' union all select 2, 'click', count(distinct a.user_id) from obs as a where a.provider = 'click' and exists (select 1 from obs as b where b.user_id = a.user_id and b.provider = 'view' and b.ts < a.ts) union all select 3, 'purchase', count(distinct a.user_id) from obs as a where a.provider = 'purchase' and exists (select 1 from obs as b where b.user_id = a.user_id and b.provider = 'click' and b.ts < a.ts)"),
     "b15_08_index_search": frame("item_id l, rank l, doc_id l, score l", _searched, SEARCHED),
     "b15_08_links": frame("order_id l, line l, broker_id l, instrument_id l, trade_date t, amount l, target_type s, target_id s, label s, state s", _links, f"""
         with k as (select {LINKED} from txn), n as (select 'party' as target_type, party_id as target_id, name as label from party where kind = 'S' union all select 'instrument', instrument_id, name from instrument union all select 'order', order_id, priority from ord)
         select k.*, label, case when k.target_type = 'contract' then 'unknown_type' when k.target_id is null then 'empty' when label is null then 'dangling' else 'resolved' end as state from k left join n on n.target_type = k.target_type and n.target_id = k.target_id"""),
     "b15_09_near_vectors": frame("a l, b l, cosine d", _near_vectors, "with u as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where vec_id is not null and embedding is not null) select x.vec_id as a, y.vec_id as b, list_cosine_similarity(x.e, y.e) as cosine from u as x join u as y on x.vec_id < y.vec_id where list_cosine_similarity(x.e, y.e) >= 0.9"),
+    "b17_02_implied_vol": frame("instrument_id l, vol d", lambda spark, view: _quotes(view), f"with {GIVEN} select instrument_id, vol from qv"),
+    "b17_02_surface": frame("class s, t d, a d, b d, c d, n l", lambda spark, view: V.surface(_quotes(view), "class", "t", "k", "vol"), f"with {FITTED} select class, t, a, b, c, n from qf"),
+    "b17_02_arbitrage": frame("class s, t d, k d, kind s", lambda spark, view: V.arbitrage(V.surface(_quotes(view), "class", "t", "k", "vol"), "class", "t", GRID), f"""
+        with {FITTED}, p as (select class, t, a + b * k + c * k * k as w, b + 2 * c * k as d, c, k from qf cross join (select unnest({GRID}) as k) as g), o as (select *, lag(w) over (partition by class, k order by t) as before from p)
+        select class, t, k, 'calendar' as kind from o where w < before union all select class, t, k, 'butterfly' from o where w <= 0 or power(1 - k * d / (2 * w), 2) - d * d / 4 * (1 / w + 0.25) + c < 0"""),
+    "b18_08_multilateral": frame("class s, y i, payer i, receiver i, notional l", lambda spark, view: _compressed(view), COMPRESSED),
+    "b18_08_leg_cash": frame("order_id l, rate l, cash l", lambda spark, view: _leg_cash(view), """
+        with f as (select priority, order_date as fixed_on, IDIV(sum(total), count(*)) % 500 as rate from ord group by 1, 2), p as (select order_id, priority, total, order_date, portfolio_id % 50 as spread from ord)
+        select order_id, rate, IDIV(total * (rate + spread) * 90, 3600000) as cash from p asof left join f on p.priority = f.priority and p.order_date > f.fixed_on"""),
     "b18_13_monitor": Query(_monitored, MONITORED),
 }

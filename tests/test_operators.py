@@ -12,7 +12,7 @@ from ledgerline.operators import graph
 from ledgerline.operators.catalog import Catalog
 from ledgerline.operators.hierarchy import look_through
 from ledgerline.operators.lots import relieve, relieve_least_tax, wash_sales
-from ledgerline.operators.ranking import in_order, percent_rank
+from ledgerline.operators.ranking import in_groups, in_order, ntile, percent_rank
 from ledgerline.operators.reconcile import allocate, reconcile
 from ledgerline.operators.returns import black, bootstrap, compile_metric, evaluate_terms, irr, least_variance, normal_cdf, performance_fees
 from ledgerline.operators.rules import Rule, gaps, not_unique, report, unresolved
@@ -34,6 +34,18 @@ def test_look_through_of_cycles_with_ways_in_and_out(spark):
     assert [(a, b, round(w, 9)) for a, b, w in rows(found, "root", "leaf", "weight")] == [("b", "y", 0.18), ("b", "z", 0.7), ("r", "y", 0.8), ("r", "z", 0.14), ("s", "y", 0.5)]
 
 
+def test_ranks_in_groups_that_span_ranges(spark):
+    r = random.Random(2)
+    made = [(r.choice("aaab") if k else "z", r.randint(0, 20), k) for k in range(300)]
+    found = in_groups(spark.createDataFrame(made, "g string, v int, id int"), ["g"], [F.col("v")]).withColumn("part", ntile(F.col("row"), F.col("rows"), 4)).collect()
+    for g in "abz":
+        own = sorted(v for h, v, _ in made if h == g)
+        mine = sorted((f.row, f.v, f.rank, f.rows, f.part) for f in found if f.g == g)
+        assert [m[:4] for m in mine] == [(k + 1, v, own.index(v) + 1, len(own)) for k, v in enumerate(own)]
+        sizes = [sum(m[4] == q for m in mine) for q in (1, 2, 3, 4)]
+        assert sum(sizes) == len(own) and sizes == sorted(sizes, reverse=True) and sizes[0] - sizes[-1] <= 1
+
+
 def test_chain_ends(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (102, 100), (103, 100), (200, 40)]
     found = graph.chain_ends(spark.createDataFrame(edges, "src int, dst int"))

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import documents, funds, linkage, matching, risk, screening, similar
+from ledgerline.operators import derivatives, documents, funds, linkage, matching, risk, screening, similar
+from ledgerline.operators.returns import black
 from ledgerline.shared import scratch
 from ledgerline.streaming import monitor, replay
 
@@ -299,3 +300,54 @@ def test_expected_exposure(spark):
     held = lambda m, s: m * cdf(m / s) + s * phi(m / s)
     assert abs(found[1, 1].exposure - held(10, 20)) < 0.25 and abs(found[1, 2].exposure - held(15, 20 * math.sqrt(2))) < 0.4
     assert found[2, 1].exposure == 0 and found[3, 1].exposure == found[3, 1].peak == 7
+
+
+def test_implied_volatility_reprices(spark):
+    rows_ = [(float(f), float(k), t, v) for f in (50, 100) for k in (40, 90, 100, 130) for t in (0.1, 1.0, 5.0) for v in (0.05, 0.3, 1.5)]
+    frame = spark.createDataFrame(rows_, "f double, k double, t double, v double").withColumn("d", F.exp(-0.02 * F.col("t")))
+    args = [F.col(c) for c in ("f", "k", "t", "d")]
+    for call in (True, False):
+        priced = frame.withColumn("p", black(args[0], args[1], F.col("v"), args[2], args[3], call))
+        found = priced.withColumn("x", derivatives.implied_vol(F.col("p"), *args, call=call)).withColumn("again", black(args[0], args[1], F.col("x"), args[2], args[3], call)).collect()
+        assert all(abs(r.again - r.p) < 1e-6 for r in found if r.x is not None)
+        assert all(abs(r.x - r.v) < 1e-4 for r in found if r.v >= 0.3 and r.t >= 1)
+    out = frame.limit(1).withColumn("x", derivatives.implied_vol(F.lit(1e9), *args)).first()
+    assert out.x is None
+
+
+def test_surface_fits_and_tells_arbitrage(spark):
+    k = [-0.2, -0.1, 0.0, 0.1, 0.2]
+    w = lambda t, a, b, c: [("u", t, x, math.sqrt((a + b * x + c * x * x) / t)) for x in k]
+    quotes = spark.createDataFrame(w(1.0, 0.04, -0.01, 0.1) + w(2.0, 0.03, 0.0, 0.2) + w(3.0, 0.2, 0.0, -1.5) + [("u", 9.0, 0.0, 0.2), ("u", 9.0, 0.1, 0.2)], "u string, t double, k double, v double")
+    fitted = derivatives.surface(quotes, "u", "t", "k", "v")
+    found = {r.t: (r.a, r.b, r.c) for r in fitted.collect()}
+    assert set(found) == {1.0, 2.0, 3.0} and np.allclose(found[1.0], (0.04, -0.01, 0.1)) and np.allclose(found[2.0], (0.03, 0, 0.2)) and fitted.agg(F.max("error")).first()[0] < 1e-6
+    told = rows(derivatives.arbitrage(fitted, "u", "t", [0.0, 0.1]), "t", "k", "kind")
+    assert (2.0, 0.0, "calendar") in told and (3.0, 0.0, "butterfly") in told and not any(t == 1.0 for t, _, _ in told)
+
+
+def test_compression_keeps_nets_and_takes_cycles_out(spark):
+    r = random.Random(3)
+    trades = [(g, r.choice("abcde"), r.choice("abcde"), r.randint(1, 50)) for g in range(6) for _ in range(30)] + [(9, "a", "b", 10), (9, "b", "c", 10), (9, "c", "a", 10), (8, "a", "b", 7), (8, "b", "c", 7), (7, "a", "a", 5)]
+    found = rows(derivatives.compress(spark.createDataFrame(trades, "g int, p string, q string, n long"), ["g"], "p", "q", "n"), "g", "payer", "receiver", "notional")
+
+    def nets(ts):
+        out = collections.Counter()
+        for g, p, q, n in ts:
+            out[g, p] -= n
+            out[g, q] += n
+        return {k: v for k, v in out.items() if v}
+
+    assert nets(found) == nets(trades)
+    assert [f for f in found if f[0] >= 7] == [(8, "a", "c", 7)]
+    for g in range(6):
+        gross = sum(n for h, _, _, n in found if h == g)
+        assert gross == sum(v for (h, _), v in nets(trades).items() if h == g and v > 0) <= sum(n for h, _, _, n in trades if h == g)
+        assert sum(h == g for h, *_ in found) <= 4
+
+
+def test_leg_cash_takes_the_fixing_before(spark):
+    periods = spark.createDataFrame([(1, "x", day(10), day(100), 36_000_000, 5), (2, "x", day(5), day(95), 100, 0), (3, "y", day(10), day(20), 1, 1)], "id int, i string, s date, e date, n long, spread int")
+    fixings = spark.createDataFrame([("x", day(5), 100), ("x", day(9), 295), ("x", day(10), 999)], "i string, f date, r int")
+    found = derivatives.leg_cash(periods, fixings, ["i"], "s", "e", "n", "spread", "f", "r")
+    assert rows(found, "id", "r", "cash") == [(1, 295, 36_000_000 * 300 * 90 // 3_600_000), (2, None, None), (3, None, None)]
