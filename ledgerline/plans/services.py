@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import derivatives as V
 from ..operators import documents as D
+from ..operators import performance as perf
 from ..operators import returns as P
 from ..operators import risk, similar
 from ..operators.funds import waterfall
@@ -242,14 +243,49 @@ def _quartiles(view) -> DataFrame:
     return in_groups(placed, ["segment", "y"], [F.col("total")]).withColumn("pct", _share())
 
 
+def _effects(view) -> DataFrame:
+    """Segments below regions: cost shares and gains of what is held against all portfolios' by class."""
+    own = view("valued").join(view("portfolio").select("portfolio_id", "region_name", "segment"), "portfolio_id").filter("cost > 0")
+    part = own.groupBy("region_name", "segment").agg(F.sum("cost").alias("c"), F.sum("mv").alias("m"), F.sum("qty").alias("q"), F.count("*").alias("k"))
+    all_of = part.agg(F.sum("c").alias("tc"), F.sum("m").alias("tm"), F.sum("k").alias("tk"))  # one row
+    leaves = part.crossJoin(F.broadcast(all_of)).select("region_name", "segment", (F.col("c") / F.col("tc")).alias("w"), (F.col("m") / F.col("c") - 1).alias("r"), (F.col("k") / F.col("tk")).alias("b"), ((F.col("m") / F.col("q")) / 100_000 - 1).alias("s"))
+    return perf.attribution_tree(leaves, ["region_name", "segment"], "w", "r", "b", "s")
+
+
+EFFECTS = """
+with h as (select region_name, segment, valued.* from valued join portfolio on portfolio.portfolio_id = valued.portfolio_id where cost > 0),
+l as (select region_name, segment, sum(cost) * 1.0 / sum(sum(cost)) over () as w, sum(mv) * 1.0 / sum(cost) - 1 as r, count(*) * 1.0 / sum(count(*)) over () as b, sum(mv) * 1.0 / sum(qty) / 100000 - 1 as s from h group by 1, 2),
+g as (select region_name, sum(w) as w, sum(b) as b, sum(b * s) / sum(b) as rate from l group by 1), t as (select sum(b * s) / sum(b) as rate from l)
+select 1 as depth, region_name, cast(null as varchar) as segment, (w - b) * (g.rate - t.rate) as allocation, 0.0 as selection from g, t
+union all select 2, l.region_name, segment, (l.w - g.w * l.b / g.b) * (s - g.rate), l.w * (r - s) from l join g on g.region_name = l.region_name"""
+SPANS = """
+with x as (select user_id, d, v, max(v) over (partition by user_id order by d) as peak from daily), y as (select *, (select max(d) from x as z where z.user_id = x.user_id and z.d <= x.d and z.v = z.peak) as start from x where v < peak),
+g as (select user_id, start, min(v) as low, max(peak) as peak, count(*) as days from y group by 1, 2)
+select g.user_id, g.start, (select min(d) from y where y.user_id = g.user_id and y.start = g.start and y.v = g.low) as trough, (select min(d) from x where x.user_id = g.user_id and x.d > g.start and x.v >= g.peak) as recovery, low * 1.0 / peak - 1 as depth, days from g"""
+
 QUERIES: dict[str, Query] = {
     "a06_07_gaps": frame("doc_id l", lambda spark, view: gaps("labels", "doc_id")({"labels": view("labels")}).select(F.col("subject").alias("doc_id")), "with s as (select RANGE((select min(doc_id) from labels), (select max(doc_id) from labels)) as doc_id) select s.doc_id from s where not exists (select 1 from labels where labels.doc_id = s.doc_id)"),
     "b01_01_linkage": frame("left_id l, right_id l, weight d, state s", _linked, None),
+    "b05_14_effects": frame("depth l, region_name s, segment s, allocation d, selection d", lambda spark, view: _effects(view), EFFECTS),
+    "b06_03_appraisal": frame("user_id l, n l, appraisal d", lambda spark, view: perf.regression(view("paired"), ["user_id"], "r", "m"), "select user_id, n, (my - s * mx) / sqrt((vy - s * s * vx) * n / (n - 2)) as appraisal from (select user_id, count(*) as n, avg(m) as mx, avg(r) as my, var_pop(m) as vx, var_pop(r) as vy, regr_slope(r, m) as s from paired group by 1) as x where n > 2"),
+    "b06_04_calmar": frame("user_id l, yearly d, worst d, calmar d", lambda spark, view: perf.calmar(view("daily"), ["user_id"], "d", "v", 30.0), """
+        with x as (select user_id, d, v * 1.0 / max(v) over (partition by user_id order by d) - 1 as f from daily), w as (select user_id, min(f) as worst from x group by 1), e as (select user_id, min_by(v, d) as a, max_by(v, d) as z, DAYS(max(d), min(d)) as n from daily group by 1)
+        select e.user_id, power(z * 1.0 / a, 30.0 / n) - 1 as yearly, case when worst < 0 then worst end as worst, case when worst < 0 then (power(z * 1.0 / a, 30.0 / n) - 1) / -worst end as calmar from e join w on w.user_id = e.user_id where a > 0 and n > 0"""),
+    "b06_05_spans": frame("user_id l, start t, trough t, recovery t, depth d, days l", lambda spark, view: perf.drawdown_spans(view("daily"), ["user_id"], "d", "v"), SPANS),
+    "b06_06_linked_capture": frame("user_id l, up d, down d", lambda spark, view: perf.capture(view("paired").filter("r < 5").crossJoin(F.broadcast(view("market").agg(F.avg("m").alias("a")))), ["user_id"], "r", "m", F.col("m") > F.col("a")), """
+        with c as (select avg(m) as a from market), p as (select user_id, m > a as up, power(product(1 + r), 1.0 / count(*)) - 1 as r, power(product(1 + m), 1.0 / count(*)) - 1 as m from paired, c where r < 5 group by 1, 2)
+        select user_id, max(case when up then r / m end) as up, max(case when not up then r / m end) as down from p group by 1"""),
+    "b06_07_alpha_t": frame("user_id l, alpha d, alpha_t d", lambda spark, view: perf.regression(view("paired"), ["user_id"], "r", "m"), """
+        with x as (select user_id, count(*) as n, avg(m) as mx, regr_slope(r, m) as s, regr_intercept(r, m) as i, regr_sxx(r, m) as sxx from paired group by 1), e as (select paired.user_id, sum(power(r - i - s * m, 2)) as rss from paired join x on x.user_id = paired.user_id group by 1)
+        select x.user_id, i as alpha, i / sqrt(rss / (n - 2) * (1.0 / n + mx * mx / sxx)) as alpha_t from x join e on e.user_id = x.user_id where n > 2"""),
     "b07_10_american_waterfall": frame("portfolio_id l, order_id l, cost l, proceeds l, returned l, preferred_paid l, catch_up l, carried l, to_investors l", _american, FOLD),
     "b09_02_portfolio_sigma": frame("user_id l, sigma d, var99 d", lambda spark, view: risk.sigma(_exposed(view), risk.covariance(_factors(view), "provider", "d", "r"), "user_id", "provider", "w").withColumn("var99", F.col("sigma") * 2.326348), f"""
         with {FACTORS}, c as (select x.provider as i, y.provider as j, covar_samp(x.r, y.r) as c from fr as x join fr as y on x.d = y.d where x.r is not null and y.r is not null group by 1, 2),
         e as (select user_id, provider, sum(v) / 100.0 as w from obs group by 1, 2) select a.user_id, sqrt(sum(a.w * b.w * c)) as sigma, sqrt(sum(a.w * b.w * c)) * 2.326348 as var99 from e as a join e as b on a.user_id = b.user_id join c on i = a.provider and j = b.provider group by 1"""),
     "b09_03_correlated_var": frame("user_id l, var z, es z", lambda spark, view: risk.simulate(_exposed(view), risk.covariance(_factors(view), "provider", "d", "r"), "user_id", "provider", "w"), None),
+    "b09_04_kupiec": frame("user_id l, n l, breaches l, statistic d, rejected b", lambda spark, view: perf.kupiec(view("rets").join(view("rets").groupBy("user_id").agg((F.avg("r") - F.stddev_samp("r")).alias("line")), "user_id"), ["user_id"], F.col("r") < F.col("line"), 0.05), """
+        with l as (select user_id, avg(r) - stddev_samp(r) as line from rets group by 1), c as (select rets.user_id, count(*) as n, count(*) filter (where r < line) as x from rets join l on l.user_id = rets.user_id group by 1)
+        select user_id, n, x as breaches, s as statistic, s > 3.841459 as rejected from (select *, 2 * (case when x > 0 then x * ln(x * 1.0 / n / 0.05) else 0 end + case when x < n then (n - x) * ln((1 - x * 1.0 / n) / 0.95) else 0 end) as s from c) as y"""),
     "b09_08_expected_exposure": frame("broker_id l, cva z, peak z", lambda spark, view: _exposure(view), None),
     "b10_03_near_names": frame("party_id l, listed l, form s, distance l, score d", _near_names, NEAR),
     "b12_02_tolerance_match": frame("left_id l, right_id l, stage s, days l, gap l", _matched, None),

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import derivatives, documents, funds, linkage, matching, risk, screening, similar
+from ledgerline.operators import derivatives, documents, funds, linkage, matching, performance, risk, screening, similar
 from ledgerline.operators.returns import black
 from ledgerline.shared import scratch
 from ledgerline.streaming import monitor, replay
@@ -351,3 +351,46 @@ def test_leg_cash_takes_the_fixing_before(spark):
     fixings = spark.createDataFrame([("x", day(5), 100), ("x", day(9), 295), ("x", day(10), 999)], "i string, f date, r int")
     found = derivatives.leg_cash(periods, fixings, ["i"], "s", "e", "n", "spread", "f", "r")
     assert rows(found, "id", "r", "cash") == [(1, 295, 36_000_000 * 300 * 90 // 3_600_000), (2, None, None), (3, None, None)]
+
+
+def test_drawdown_spans_and_calmar(spark):
+    levels = [100, 90, 80, 95, 100, 120, 110, 120, 60, 70]
+    frame = spark.createDataFrame([("a", day(k), v) for k, v in enumerate(levels)] + [("b", day(0), 5), ("b", day(9), 7)], "k string, d date, v int")
+    spans = performance.drawdown_spans(frame, ["k"], "d", "v").orderBy("start").collect()
+    assert [(s.k, s.start, s.trough, s.recovery, round(s.depth, 9), s.days) for s in spans] == [("a", day(0), day(2), day(4), -0.2, 3), ("a", day(5), day(6), day(7), round(110 / 120 - 1, 9), 1), ("a", day(7), day(8), None, -0.5, 2)]
+    found = {c.k: c for c in performance.calmar(frame, ["k"], "d", "v").collect()}
+    assert abs(found["a"].calmar - ((0.7 ** (365 / 9) - 1) / 0.5)) < 1e-12 and found["b"].calmar is None and found["b"].yearly > 0
+
+
+def test_capture_links_rates(spark):
+    rates = [(0.1, 0.2), (-0.1, -0.05), (0.3, 0.1), (0.0, -0.2)]
+    found = performance.capture(spark.createDataFrame([("k", r, m) for r, m in rates] + [("gone", -1.0, 0.1)], "k string, r double, m double"), ["k"], "r", "m", F.col("m") > 0)
+    up, down = ((1.1 * 1.3) ** 0.5 - 1) / ((1.2 * 1.1) ** 0.5 - 1), (0.9**0.5 - 1) / ((0.95 * 0.8) ** 0.5 - 1)
+    got = {c.k: (c.up, c.down) for c in found.collect()}
+    assert np.allclose(got["k"], (up, down)) and got["gone"] == (None, None)
+
+
+def test_regression_and_back_test(spark):
+    r = np.random.default_rng(2)
+    x = r.standard_normal(60)
+    y = 0.3 + 1.5 * x + 0.4 * r.standard_normal(60)
+    a = np.column_stack([np.ones(60), x])
+    coef, rss, *_ = np.linalg.lstsq(a, y, rcond=None)
+    s2 = rss[0] / 58
+    found = performance.regression(spark.createDataFrame([(1, float(p), float(q)) for p, q in zip(y, x, strict=True)] + [(2, 1.0, 1.0)], "k int, r double, m double"), ["k"], "r", "m").collect()
+    assert len(found) == 1 and np.allclose([found[0].alpha, found[0].beta, found[0].alpha_t, found[0].appraisal], [*coef, coef[0] / np.sqrt(s2 * np.linalg.inv(a.T @ a)[0, 0]), coef[0] / np.sqrt(s2)])
+    days = spark.createDataFrame([(k, int(i < x)) for k, x in ((1, 10), (2, 0), (3, 100), (4, 5)) for i in range(100)], "k int, hit int")
+    found = {d.k: d for d in performance.kupiec(days, ["k"], F.col("hit") == 1, 0.05).collect()}
+    assert abs(found[1].statistic - 2 * (10 * math.log(0.1 / 0.05) + 90 * math.log(0.9 / 0.95))) < 1e-9 and found[1].rejected
+    assert abs(found[2].statistic + 200 * math.log(0.95)) < 1e-9 and abs(found[3].statistic + 200 * math.log(0.05)) < 1e-9 and abs(found[4].statistic) < 1e-9 and not found[4].rejected
+
+
+def test_effects_of_a_tree_add_up(spark):
+    r = random.Random(4)
+    leaves = [(a, f"{a}{b}", r.random(), r.uniform(-0.2, 0.3), r.random(), r.uniform(-0.2, 0.3)) for a in "xyz" for b in range(4)] + [("x", "only own", 0.3, 0.1, 0.0, 0.0)]
+    w, b = sum(x[2] for x in leaves), sum(x[4] for x in leaves)
+    leaves = [(*x[:2], x[2] / w, x[3], x[4] / b, x[5]) for x in leaves]
+    found = performance.attribution_tree(spark.createDataFrame(leaves, "a string, b string, w double, r double, v double, s double"), ["a", "b"], "w", "r", "v", "s")
+    assert found.filter("depth = 1").count() == 3 and found.filter("depth = 2").count() == 13
+    total = found.agg(F.sum(F.col("allocation") + F.col("selection"))).first()[0]
+    assert abs(total - (sum(x[2] * x[3] for x in leaves) - sum(x[4] * x[5] for x in leaves))) < 1e-12
