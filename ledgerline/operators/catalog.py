@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -16,18 +16,26 @@ class Catalog:
     """
 
     LIMIT = 20
+    #: Characters that an input of each tool has at least.
+    LEAST = {"search": 2, "get": 2, "map_requirement": 5}
     #: The types that a requirement is mapped to, and the type of exports.
     MODEL_TYPES, EXPORT = ["business-domain", "service-domain", "service-operation", "entity", "relationship"], "export"
 
     def __init__(self, items: DataFrame, version: str | None = None, identity: dict | None = None) -> None:
         self.items, self.version, self.identity = items, version, identity or {}
 
+    @classmethod
+    def accepts(cls, tool: Column, given: Column) -> Column:
+        """Whether a tool takes an input: the same rule for a column of inputs; unknown tools take none."""
+        least = F.coalesce(*[F.when(tool == name, n) for name, n in cls.LEAST.items()])
+        return F.coalesce(F.length(given) >= least, F.lit(False))
+
     def _versioned(self, found: DataFrame) -> DataFrame:
         return found if self.version is None else found.withColumn("model_version", F.lit(self.version))
 
     def search(self, query: str, k: int = 10, types: list[str] | None = None) -> DataFrame:
         """The k best items without their content: score descending, id ascending; k is held within 1 ... 20."""
-        if len(query) < 2:
+        if len(query) < self.LEAST["search"]:
             raise ValueError("a query has two characters at least")
         return self._search(query, k, types)
 
@@ -39,7 +47,7 @@ class Catalog:
 
     def get(self, ident: str) -> DataFrame:
         """The item whose folded id is the given one, or no row."""
-        if len(ident) < 2:
+        if len(ident) < self.LEAST["get"]:
             raise ValueError("an identifier has two characters at least")
         return self._versioned(self.items.filter(X.fold(F.col("id")) == X.fold_plain(ident)).orderBy("id").limit(1))
 
@@ -51,7 +59,7 @@ class Catalog:
 
     def map_requirement(self, requirement: str, k: int = 10, types: list[str] | None = None) -> DataFrame:
         """The k best model items for a requirement; terms of the glossary and exports are left out."""
-        if len(requirement) < 5:
+        if len(requirement) < self.LEAST["map_requirement"]:
             raise ValueError("a requirement has five characters at least")
         return self._search(requirement, k, types or self.MODEL_TYPES)
 

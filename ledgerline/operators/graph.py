@@ -54,16 +54,22 @@ def one_sided(left: DataFrame, right: DataFrame, key: list[str], baseline: DataF
 
 
 def walk(edges: DataFrame, verb: str | None = None) -> DataFrame:
-    """start, node, depth: every node that a start reaches over a verb, at its least depth, to the fixed point.
+    """start, node, depth: every node that a start reaches over a verb, at its least depth, to the fixed point."""
+    return reach(edges if verb is None else edges.filter(F.col("verb") == verb))
+
+
+def reach(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """start, node, depth: what the given starts (all sources, if none are given) reach, at its least depth.
 
     A round is one join; what was reached before is dropped, so cycles end. Rounds are written into one folder, a part a
     depth, so what was reached is one table and plans don't grow.
     """
     spark = edges.sparkSession
-    own = written((edges if verb is None else edges.filter(F.col("verb") == verb)).select("src", "dst").distinct(), "edges")
+    own = written(edges.select("src", "dst").distinct(), "edges")
     kind = own.schema["src"].dataType.simpleString()
     folder, depth = scratch(spark, "walk"), 1
-    own.select(F.col("src").alias("start"), F.col("dst").alias("node")).write.parquet(f"{folder}/depth=1")
+    first = own.select(F.col("src").alias("start"), F.col("dst").alias("node"))
+    (first if starts is None else first.join(starts.select("start").distinct(), "start")).write.parquet(f"{folder}/depth=1")
     reached = lambda path: spark.read.schema(f"start {kind}, node {kind}").option("basePath", path).parquet(path)
     while not (front := reached(f"{folder}/depth={depth}")).isEmpty():
         step = front.join(own, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()

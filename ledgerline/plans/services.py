@@ -10,15 +10,19 @@ from ..operators import documents as D
 from ..operators import performance as perf
 from ..operators import returns as P
 from ..operators import risk, similar
+from ..operators.catalog import Catalog
 from ..operators.funds import waterfall
+from ..operators.graph import reach
 from ..operators.linkage import candidates, link
 from ..operators.matching import match
 from ..operators.ranking import in_groups, ntile
 from ..operators.rules import gaps
 from ..operators.screening import screen_names
 from ..shared import scratch
+from ..sources import model as M
 from ..streaming import monitor, replay
-from .dialect import Query, expand, frame
+from .dialect import Query, frame
+from .model import ents
 
 
 def _searched(spark: SparkSession, view) -> DataFrame:
@@ -243,6 +247,39 @@ def _quartiles(view) -> DataFrame:
     return in_groups(placed, ["segment", "y"], [F.col("total")]).withColumn("pct", _share())
 
 
+def _pack_entities(view) -> DataFrame:
+    """Entities of each tree by the registry's packs, none counted as none."""
+    found = ents(view).select("root", F.col("pack").alias("slug"))
+    packs = M.packs(view.spark).select("prefix", "slug")
+    every = found.select("root").distinct().crossJoin(F.broadcast(packs))  # a row a pack of the registry
+    return every.join(found.groupBy("root", "slug").agg(F.count("*").alias("n")), ["root", "slug"], "left").select("root", "prefix", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _inputs(view) -> DataFrame:
+    """Inputs of documents that each tool takes and refuses."""
+    tools = F.explode(F.array(*map(F.lit, sorted(Catalog.LEAST)))).alias("tool")
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("given")) for c in ("lang", "source", "text")])).alias("f")
+    given = view("documents").select("lang", "source", "text", tools).select("tool", fields)
+    return given.select("tool", "f.field", Catalog.accepts(F.col("tool"), F.col("f.given")).alias("valid")).groupBy("tool", "field", "valid").agg(F.count("*").alias("n"))
+
+
+def _impact(view) -> DataFrame:
+    """What a broker's data feeds: orders, their portfolios, nations and regions, each counted once however it is reached."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    edges = [
+        view("txn").select(name("B", "broker_id").alias("src"), name("O", "order_id").alias("dst")),
+        view("ord").select(name("O", "order_id").alias("src"), name("P", "portfolio_id").alias("dst")),
+        view("portfolio").select(name("P", "portfolio_id").alias("src"), name("N", "nation").alias("dst")),
+        view("place").select(name("N", "nation").alias("src"), name("R", "region").alias("dst")),
+    ]
+    whole = edges[0]
+    for e in edges[1:]:
+        whole = whole.unionByName(e)
+    starts = edges[0].select(F.col("src").alias("start")).distinct()
+    reached = reach(whole, starts)
+    return reached.groupBy(F.expr("cast(substring(start, 2) as bigint)").alias("broker_id"), F.substring("node", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
 def _effects(view) -> DataFrame:
     """Segments below regions: cost shares and gains of what is held against all portfolios' by class."""
     own = view("valued").join(view("portfolio").select("portfolio_id", "region_name", "segment"), "portfolio_id").filter("cost > 0")
@@ -264,6 +301,12 @@ g as (select user_id, start, min(v) as low, max(peak) as peak, count(*) as days
 select g.user_id, g.start, (select min(d) from y where y.user_id = g.user_id and y.start = g.start and y.v = g.low) as trough, (select min(d) from x where x.user_id = g.user_id and x.d > g.start and x.v >= g.peak) as recovery, low * 1.0 / peak - 1 as depth, days from g"""
 
 QUERIES: dict[str, Query] = {
+    "a01_24_pack_entities": frame("root s, prefix s, n l", lambda spark, view: _pack_entities(view), """
+        with p as (select * from (values ('E', 'core'), ('PB', 'public-markets'), ('FO', 'fund-operations'), ('PM', 'private-markets'), ('DR', 'derivatives'), ('RA', 'real-assets')) as t(prefix, pack)), r as (select distinct root from m_ent)
+        select concat('r', cast(r.root as varchar)) as root, p.prefix, count(m_ent.suppkey) as n from r cross join p left join m_ent on m_ent.root = r.root and m_ent.pack = p.pack group by 1, 2"""),
+    "a04_07_valid_inputs": frame("tool s, field s, valid b, n l", lambda spark, view: _inputs(view), """
+        with x as (select 'lang' as field, lang as given from documents union all select 'source', source from documents union all select 'text', text from documents), t as (select * from (values ('get', 2), ('map_requirement', 5), ('search', 2)) as v(tool, least))
+        select tool, field, coalesce(length(given) >= least, false) as valid, count(*) as n from x cross join t group by 1, 2, 3"""),
     "a06_07_gaps": frame("doc_id l", lambda spark, view: gaps("labels", "doc_id")({"labels": view("labels")}).select(F.col("subject").alias("doc_id")), "with s as (select RANGE((select min(doc_id) from labels), (select max(doc_id) from labels)) as doc_id) select s.doc_id from s where not exists (select 1 from labels where labels.doc_id = s.doc_id)"),
     "b01_01_linkage": frame("left_id l, right_id l, weight d, state s", _linked, None),
     "b05_14_effects": frame("depth l, region_name s, segment s, allocation d, selection d", lambda spark, view: _effects(view), EFFECTS),
@@ -294,6 +337,10 @@ QUERIES: dict[str, Query] = {
     "b17_16_rank_ic": frame("d t, n l, ic d", lambda spark, view: _rank_ic(view), "select d, count(*) as n, corr(a, b) as ic from (select d, rank() over (partition by d order by w) as a, rank() over (partition by d order by nxt) as b from (select user_id, d, w, lead(v) over (partition by user_id order by d) as nxt from wealth) as x where nxt is not null) as y group by d having count(*) > 5"),
     "b17_17_screen": frame("instrument_id l, pct d", lambda spark, view: _screened(view), "select instrument_id, pct from (select instrument_id, size, percent_rank() over (partition by class order by price) as pct from instrument) as x where size between 10 and 30 and pct < 0.2"),
     "b18_20_funnel": frame("stage i, provider s, users l", lambda spark, view: _funnel(view), "select 1 as stage, 'view' as provider, count(distinct user_id) as users from obs where provider = 'view' union all select 2, 'click', count(distinct a.user_id) from obs as a where a.provider = 'click' and exists (select 1 from obs as b where b.user_id = a.user_id and b.provider = 'view' and b.ts < a.ts) union all select 3, 'purchase', count(distinct a.user_id) from obs as a where a.provider = 'purchase' and exists (select 1 from obs as b where b.user_id = a.user_id and b.provider = 'click' and b.ts < a.ts)"),
+    "b15_05_impact": frame("broker_id l, kind s, n l", lambda spark, view: _impact(view), """
+        with x as (select broker_id, txn.order_id, txn.portfolio_id, nation, region from txn join portfolio on portfolio.portfolio_id = txn.portfolio_id)
+        select broker_id, 'O' as kind, count(distinct order_id) as n from x group by 1 union all select broker_id, 'P', count(distinct portfolio_id) from x group by 1
+        union all select broker_id, 'N', count(distinct nation) from x group by 1 union all select broker_id, 'R', count(distinct region) from x group by 1"""),
     "b15_08_index_search": frame("item_id l, rank l, doc_id l, score l", _searched, SEARCHED),
     "b15_08_links": frame("order_id l, line l, broker_id l, instrument_id l, trade_date t, amount l, target_type s, target_id s, label s, state s", _links, f"""
         with k as (select {LINKED} from txn), n as (select 'party' as target_type, party_id as target_id, name as label from party where kind = 'S' union all select 'instrument', instrument_id, name from instrument union all select 'order', order_id, priority from ord)
