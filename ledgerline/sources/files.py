@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,31 +26,35 @@ def catalogue(spark: SparkSession, path: str, schema: T.StructType | None = None
     return whole.json(path).select(F.inline("items"))
 
 
-def write_catalogue(items: DataFrame, path: str, version: str, identity: dict | None = None) -> None:
-    """One JSON document: version, identity, counts by type and the items in the order of their ids.
+def write_catalogue(items: DataFrame, path: str, version: str, identity: dict | None = None, files: int | None = None) -> None:
+    """JSON documents: version, identity, counts by type of all items, and items in the order of their ids.
 
-    The items are sorted over all tasks and written as lines of a document: the first line opens it, the last closes it,
-    so no task holds all items. A file of the folder is a part of the document, in the order of the names.
+    Each file of the folder is a whole document of a range of ids, whose names are in the order of the ids, so any reader of
+    JSON takes a file, and ``catalogue`` all of them; ``files=1`` gives one. A document is written line by line: no task
+    holds its items.
     """
-    import json
-
-    spark = items.sparkSession
     counts = {r["type"]: r["count"] for r in items.groupBy("type").count().collect()}  # a row a type
     opening = json.dumps({"modelVersion": version, "identity": identity or {}, "counts": dict(sorted(counts.items()))}, ensure_ascii=False)[:-1] + ', "items": ['
-    first = items.agg(F.min("id")).first()[0]
-    comma = F.when(F.col("id") == F.lit(first), "").otherwise(",")
-    lines = items.orderBy("id").select(F.concat(comma, F.to_json(F.struct(*items.columns))).alias("value"))
-    head, foot = (spark.createDataFrame([(x,)], "value string").coalesce(1) for x in (opening, "]}"))
-    head.unionByName(lines).unionByName(foot).write.mode("overwrite").text(path)
+
+    def document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda values: pa.record_batch([pa.array(values, pa.string())], ["value"])
+        yield line([opening])
+        comma = ""
+        for b in batches:
+            values = b.column("value").to_pylist()
+            if values:
+                yield line([comma + values[0], *("," + v for v in values[1:])])
+                comma = ","
+        yield line(["]}"])
+
+    dealt = items.repartitionByRange(files, "id") if files else items.repartitionByRange("id")
+    lines = dealt.sortWithinPartitions("id").select(F.to_json(F.struct(*items.columns)).alias("value"))
+    lines.mapInArrow(document, "value string").write.mode("overwrite").text(path)
 
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """The items of a folder that ``write_catalogue`` wrote, line by line."""
-    lines = spark.read.text(path)
-    body = F.regexp_replace("value", "^,", "")
-    parsed = lines.select(body.alias("v")).filter(F.col("v").startswith('{"id"') | F.col("v").startswith('{"root"'))
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in model.ITEM])
-    return parsed.select(F.from_json("v", schema).alias("i")).select("i.*")
+    """The items that ``write_catalogue`` wrote, with the columns of a model's items."""
+    return catalogue(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in model.ITEM]))
 
 
 def graph_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on planted rows: what must be found, what must not."""
 
+import json
 import math
 import random
 
@@ -152,7 +153,13 @@ def test_markdown_source(spark, tmp_path):
     items = markdown_items(spark, str(tmp_path / "md"), "entity", {"repository": "r", "tag": "t", "official": "o"})
     assert rows(items, "id", "title", "description") == [("E-01", "Legal Entity", "A party to trades."), ("E-02", "Asset", "No purpose here.")]
     write_catalogue(items, str(tmp_path / "out"), "1")
-    assert read_document(spark, str(tmp_path / "out")).count() == 2
+    assert read_document(spark, str(tmp_path / "out")).count() == catalogue(spark, str(tmp_path / "out")).count() == 2
+    write_catalogue(items, str(tmp_path / "one"), "1", {"by": "us"}, files=1)
+    (one,) = (tmp_path / "one").glob("part-*")
+    whole = json.loads(one.read_text())
+    assert [i["id"] for i in whole["items"]] == sorted(r.id for r in items.collect()) and whole["modelVersion"] == "1" and sum(whole["counts"].values()) == 2
+    for part in (tmp_path / "out").glob("part-*"):
+        json.loads(part.read_text())
     (tmp_path / "c.json").write_text('{"items": [{"id": "a"}, {"id": "b"}]}')
     assert rows(catalogue(spark, str(tmp_path / "c.json")), "id") == [("a",), ("b",)]
     (tmp_path / "n.csv").write_text("id,label\na,\n")
