@@ -102,11 +102,12 @@ SMALL = ["&", "of", "the", "and", "for", "in", "on", "to", "at"]
 def cited_names(files: DataFrame, domains: DataFrame) -> DataFrame:
     """Citations of a service domain by a name that is not its own: no prefix of two words or more is part of its title.
 
-    A longer prefix that is part of the title holds the first two words, so these decide. The text is cut before each id;
-    what follows an id is told by a letter a word (C: a word of capital initial, E: the same at a stop, s: a small word
-    inside names), and the name is the run of such words.
+    The files of service domains and entities are read; what is navigation, such as a README, is not. A longer prefix that
+    is part of the title holds the first two words, so these decide. The text is cut before each id; what
+    follows an id is told by a letter a word (C: a word of capital initial, E: the same at a stop, s: a small word inside
+    names), and the name is the run of such words.
     """
-    own = M.below(files, r"\.md$")
+    own = M.below(files, rf"model/(?:service-domains/BD-[^/]+/SD-[^/]*|entities/core/E-\d+-[^/]*|entities/specialisations/[^/]+/(?:{M.PREFIX})-\d+-[^/]*)\.md$")
     prose = F.regexp_replace("value", r"(?s)```.*?```", "")
     cut = own.select("root", "source_path", F.posexplode(F.split(prose, "(?=SD-)")).alias("k", "piece"), F.split(prose, "(?=SD-)").alias("pieces"))
     before = F.when(F.col("k") > 0, F.get("pieces", F.col("k") - 1)).otherwise("")

@@ -1,5 +1,6 @@
 """Parsers, rules and graphs on hand-made files with what a grammar does not allow, and text functions against plain Python."""
 
+import os
 import re
 import unicodedata
 
@@ -136,7 +137,7 @@ def test_partition_window_ends_at_the_next_entity(spark):
 def test_cited_names(spark):
     domains = M.service_domains(frame(spark, [("model/service-domains/BD-01-a/SD-01.1-x.md", DOMAIN)]))
     text = "SD-01.1 Making & Keeping feeds SD-01.1 Making Up Things, SD-09.9 Lost Domain; SD-01.1 IPV policy. ```SD-01.1 Not Seen Here``` a / SD-01.1 Whole List"
-    found = I.cited_names(frame(spark, [("model/notes.md", text)]), domains).collect()
+    found = I.cited_names(frame(spark, [("model/service-domains/BD-01-a/SD-01.2-y.md", text), ("model/service-domains/BD-01-a/README.md", text), ("model/notes.md", text)]), domains).collect()
     assert sorted((r.sd_id, r.cited, r.defect) for r in found) == [("SD-01.1", "Making Up Things", "other_name"), ("SD-09.9", "Lost Domain", "no_domain")]
 
 
@@ -196,3 +197,13 @@ def test_labels_are_escaped(spark):
     edges = spark.createDataFrame([], "root string, src string, dst string, kind string")
     line = G.landscape(business, domains, edges).first().line
     assert 'label="BD-01\\\\nA \\"b\\" \\\\c' in line.replace("\\\\\\\\", "\\\\") and G.quoted(F.lit("x")) is not None
+
+
+@pytest.mark.skipif("MODEL_TREE" not in os.environ, reason="the folder of a released model tree")
+def test_a_released_tree_has_no_defects(spark):
+    """The parsers and the rules on a tree of the released layout, with the released numbers of files."""
+    files = M.tree(spark, os.environ["MODEL_TREE"])
+    bds, sds, ents = M.business_domains(files), M.service_domains(files), M.entities(files)
+    assert (bds.count(), sds.count(), ents.count()) == (17, 171, 86)
+    for found in (bds.filter("error is not null") if "error" in bds.columns else bds.filter("false"), sds.filter("error is not null"), ents.filter("error is not null"), I.domain_references(sds, bds), I.entity_references(ents), I.entity_domains(ents, sds), I.partitions(files), I.cited_names(files, sds)):
+        assert found.collect() == []
