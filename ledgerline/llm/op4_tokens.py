@@ -1,11 +1,11 @@
 """Token ids in binary files of patched frame-of-reference blocks.
 
-``write`` sorts documents by id, and by text where ids are equal, over a range partitioning, encodes them and writes files of about ``FILE_IDS`` ids in the
-shared folder; a document lies in one file whole. It returns one manifest row a file. A file is written under another
-name and renamed, so a task that runs again replaces it with the same bytes. ``read`` reads manifest rows in parallel.
+``write`` sorts documents by id over a range partitioning (by a hash of the text where ids are equal, so that what is sampled
+for the ranges holds no texts), encodes them and writes files of about ``FILE_IDS`` ids in the shared folder; a document
+lies in one file whole. It gives a manifest, a row a file. A file is written under another name and renamed, so a task that runs again replaces it with the same bytes. ``read`` reads manifest rows in parallel.
 
 Results: a null text is empty and gets the end id alone; a very long text lies in one file, which it may fill; rows that
-repeat are written each; equal and null ids are in the order of their texts, so that a run again gives the same bytes;
+repeat are written each; equal and null ids are in the order of a hash of their texts, then of their texts, so that a run again gives the same bytes;
 null ids come first and are kept in the manifest's ``no_id`` count; other columns are left out; no rows give no files
 and no rows.
 """
@@ -66,7 +66,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
             yield close()
         coder.rest()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_h")).repartitionByRange(parts, "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").drop("_h")
     files = written(ordered.mapInArrow(run, MANIFEST), "files")
     placed = in_order(files, ["part", "nth"], "ids")
     return written(placed.select("path", "docs", "ids", "no_id", (F.col("running") - F.col("ids")).alias("start")), "manifest", instead=files)
