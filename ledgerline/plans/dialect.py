@@ -28,6 +28,10 @@ MACROS: dict[str, tuple[str, str]] = {
     "RX": ("regexp_replace({0}, {1}, {2})", "regexp_replace({0}, {1}, {2}, 'g')"),
     "CAT": ("array_join(array_sort(collect_set({0})), ',')", "array_to_string(list_sort(list_distinct(list({0}))), ',')"),
     "LINK": ("exp(sum(ln({0})))", "exp(sum(ln({0})))"),
+    # by zero, as doubles are divided: infinite with the sign of what is divided, or not a number
+    "RATIO": ("(case when {1} = 0 then {0} * double('infinity') else {0} / {1} end)", "{0} / {1}"),
+    # null where the slope is not a number
+    "INTERCEPT": ("(case when not isnan(regr_slope({0}, {1})) then regr_intercept({0}, {1}) end)", "regr_intercept({0}, {1})"),
 }
 TYPES = {"l": "bigint", "i": "int", "s": "string", "b": "boolean", "t": "date", "d": "double", "z": "double"}
 
@@ -42,7 +46,7 @@ VIEWS: dict[str, str] = {
     "obs": "select event_id, user_id, event_type as provider, cast(ts as date) as d, ts, cast(round(value * 100) as bigint) as v, props from events",
     "daily": "select user_id, d, sum(v) as v from obs group by user_id, d",
     "wealth": "select user_id, d, v, sum(v) over (partition by user_id order by d) as w from daily",
-    "rets": "select user_id, d, r from (select user_id, d, v / lag(w) over (partition by user_id order by d) as r from wealth) as x where r is not null",
+    "rets": "select user_id, d, r from (select user_id, d, RATIO(v, lag(w) over (partition by user_id order by d)) as r from wealth) as x where r is not null",
     "market": "select d, sum(r * 1) / count(*) as m from rets group by d",
     "paired": "select user_id, rets.d, r, m from rets join market on rets.d = market.d",
     "monthly": "select portfolio_id, year(trade_date) * 12 + month(trade_date) as m, sum(side * amount) as flow, sum(amount) as gross, count(*) as n from txn group by 1, 2",

@@ -8,7 +8,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         with w as (select user_id, cast(IDIV(DAYS(d, date '2024-01-01'), 7) as int) as wk, sum(ln(1 + r)) as lr from rets group by 1, 2)
         select user_id, wk, exp(lr) - 1 as week_return, exp(sum(lr) over (partition by user_id order by wk)) - 1 as to_date from w"""),
     "b05_05_gross_net": ("instrument_id l, gross d, net d, drag d", "select txn.instrument_id, sum(amount) * 1.0 / sum(qty * price) - 1 as gross, sum(amount * (100 - disc)) / 100.0 / sum(qty * price) - 1 as net, sum(amount * disc) / 100.0 / sum(qty * price) as drag from txn join instrument on txn.instrument_id = instrument.instrument_id group by 1"),
-    "b05_06_composite": ("grp l, d t, composite d, members l", "with x as (select rets.user_id, rets.d, r, w - v as base from rets join wealth on rets.user_id = wealth.user_id and rets.d = wealth.d) select user_id % 5 as grp, d, sum(base * r) / sum(base) as composite, count(*) as members from x group by 1, 2"),
+    "b05_06_composite": ("grp l, d t, composite d, members l", "with x as (select rets.user_id, rets.d, r, w - v as base from rets join wealth on rets.user_id = wealth.user_id and rets.d = wealth.d) select user_id % 5 as grp, d, RATIO(sum(base * r), sum(base)) as composite, count(*) as members from x group by 1, 2"),
     "b05_07_currency_decomposition": ("nation l, local_r d, fx_r d, cross_r d, total_r d", "select nation, l as local_r, f as fx_r, l * f as cross_r, (1 + l) * (1 + f) - 1 as total_r from (select nation, avg(balance) / 10000000.0 as l, (nation % 7 - 3) / 100.0 as f from party group by nation) as x"),
     "b05_08_return_to_book": ("user_id l, breaks l, worst d", "select x.user_id, count(*) as breaks, max(abs(r * (w - v) - v)) as worst from rets as x join wealth on x.user_id = wealth.user_id and x.d = wealth.d group by 1"),
     "b05_09_blended_benchmark": ("d t, blended d", "select d, 0.6 * max(case when k = 0 then r end) + 0.4 * max(case when k = 1 then r end) as blended from (select d, user_id % 2 as k, avg(r) as r from rets group by 1, 2) as x group by d"),
@@ -18,16 +18,16 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         p as (select segment, class, mv * 1.0 / sum(mv) over (partition by segment) as wp, mv * 1.0 / cost - 1 as rp from x where cost > 0), b as (select class, sum(mv) * 1.0 / sum(sum(mv)) over () as wb, sum(mv) * 1.0 / sum(cost) - 1 as rb from x where cost > 0 group by class),
         t as (select sum(wb * rb) as rt from b)
         select segment, sum((wp - wb) * (rb - rt)) as allocation, sum(wb * (rp - rb)) as selection, sum((wp - wb) * (rp - rb)) as interaction from p join b on p.class = b.class cross join t group by segment"""),
-    "b05_12_factor_regression": ("user_id l, beta d, alpha d, r2 d", "select user_id, regr_slope(r, m) as beta, regr_intercept(r, m) as alpha, regr_r2(r, m) as r2 from paired group by user_id having count(*) > 5"),
+    "b05_12_factor_regression": ("user_id l, beta d, alpha d, r2 d", "select user_id, regr_slope(r, m) as beta, INTERCEPT(r, m) as alpha, regr_r2(r, m) as r2 from paired group by user_id having count(*) > 5"),
     "b05_14_multi_level": ("region_name s, nation_name s, flow l, gross l", "select region_name, nation_name, sum(flow) as flow, sum(gross) as gross from monthly join portfolio on monthly.portfolio_id = portfolio.portfolio_id group by rollup(region_name, nation_name)"),
-    "b06_01_tracking_error": ("user_id l, te d, ir d", "select user_id, stddev_samp(r - m) as te, avg(r - m) / stddev_samp(r - m) as ir from paired group by user_id having count(*) > 5"),
-    "b06_02_alpha_beta": ("user_id l, beta d, alpha d, treynor d", f"select user_id, cv / vm as beta, mean - cv / vm * mm as alpha, mean / (cv / vm) as treynor from ({MOMENTS}) as x where abs(cv) > 0.000001"),
-    "b06_03_sharpe": ("user_id l, sharpe d, m2 d", f"select user_id, (mean - 0.0001) / sd as sharpe, 0.0001 + (mean - 0.0001) / sd * sqrt(vm) as m2 from ({MOMENTS}) as x"),
-    "b06_04_sortino": ("user_id l, sortino d", "select user_id, (avg(r) - 0.05) / sqrt(avg(power(least(r - 0.05, 0), 2))) as sortino from rets group by user_id having min(r) < 0.04"),
+    "b06_01_tracking_error": ("user_id l, te d, ir d", "select user_id, stddev_samp(r - m) as te, RATIO(avg(r - m), stddev_samp(r - m)) as ir from paired group by user_id having count(*) > 5"),
+    "b06_02_alpha_beta": ("user_id l, beta d, alpha d, treynor d", f"select user_id, RATIO(cv, vm) as beta, mean - RATIO(cv, vm) * mm as alpha, RATIO(mean, (RATIO(cv, vm))) as treynor from ({MOMENTS}) as x where abs(cv) > 0.000001"),
+    "b06_03_sharpe": ("user_id l, sharpe d, m2 d", f"select user_id, RATIO((mean - 0.0001), sd) as sharpe, 0.0001 + RATIO((mean - 0.0001), sd) * sqrt(vm) as m2 from ({MOMENTS}) as x"),
+    "b06_04_sortino": ("user_id l, sortino d", "select user_id, RATIO((avg(r) - 0.05), sqrt(avg(power(least(r - 0.05, 0), 2)))) as sortino from rets group by user_id having min(r) < 0.04"),
     "b06_05_drawdown": ("user_id l, max_drawdown d, peak l, under l", """
-        with x as (select user_id, d, v, max(v) over (partition by user_id order by d) as hwm from daily) select user_id, min(v * 1.0 / hwm - 1) as max_drawdown, max(hwm) as peak, sum(case when v < hwm then 1 else 0 end) as under from x group by user_id"""),
-    "b06_06_capture": ("user_id l, up d, down d", "select user_id, avg(case when m > a then r end) / avg(case when m > a then m end) as up, avg(case when m <= a then r end) / avg(case when m <= a then m end) as down from paired cross join (select avg(m) as a from market) as x group by user_id having count(*) > 5"),
-    "b06_07_skill": ("user_id l, t_stat d, adequate b", "select user_id, avg(r - m) / (stddev_samp(r - m) / sqrt(count(*))) as t_stat, count(*) >= 20 as adequate from paired group by user_id having count(*) > 5"),
+        with x as (select user_id, d, v, max(v) over (partition by user_id order by d) as hwm from daily) select user_id, min(RATIO(v * 1.0, hwm) - 1) as max_drawdown, max(hwm) as peak, sum(case when v < hwm then 1 else 0 end) as under from x group by user_id"""),
+    "b06_06_capture": ("user_id l, up d, down d", "select user_id, RATIO(avg(case when m > a then r end), avg(case when m > a then m end)) as up, RATIO(avg(case when m <= a then r end), avg(case when m <= a then m end)) as down from paired cross join (select avg(m) as a from market) as x group by user_id having count(*) > 5"),
+    "b06_07_skill": ("user_id l, t_stat d, adequate b", "select user_id, RATIO(avg(r - m), (stddev_samp(r - m) / sqrt(count(*)))) as t_stat, count(*) >= 20 as adequate from paired group by user_id having count(*) > 5"),
     "b06_09_high_water_mark": ("user_id l, d t, hwm l, excess l", "select user_id, d, hwm, greatest(0, v - coalesce(lag(hwm) over (partition by user_id order by d), 0)) as excess from (select user_id, d, v, max(v) over (partition by user_id order by d) as hwm from daily) as x"),
     "b07_01_paid_in": ("portfolio_id l, committed l, paid_in l, recallable l, unfunded l", "select portfolio_id, sum(amount) * 2 as committed, sum(case when side = 1 then amount else 0 end) as paid_in, sum(case when side = -1 and line_status = 'O' then amount else 0 end) as recallable, sum(amount) * 2 - sum(case when side = 1 then amount else 0 end) + sum(case when side = -1 and line_status = 'O' then amount else 0 end) as unfunded from txn group by 1"),
     "b07_02_multiples": ("portfolio_id l, dpi d, rvpi d, tvpi d", """
@@ -63,7 +63,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         select x.user_id, d, (r - rho * p) / (1 - rho) as unsmoothed from x join c on x.user_id = c.user_id where p is not null and abs(rho) < 0.9"""),
     "b09_07_risk_contribution": ("a l, contribution d", """
         with x as (select d, user_id % 4 as a, avg(r) as r from rets group by 1, 2), c as (select x.a as a, y.a as b, covar_samp(x.r, y.r) as cv from x join x as y on x.d = y.d group by 1, 2)
-        select a, sum(cv) / (select sum(cv) from c) as contribution from c group by a"""),
+        select a, RATIO(sum(cv), (select sum(cv) from c)) as contribution from c group by a"""),
     "b09_09_migration": ("was s, now s, n l", "select was, now, count(*) as n from (select lag(priority) over (partition by portfolio_id order by order_date, order_id) as was, priority as now from ord) as x where was is not null group by 1, 2"),
     "b09_10_liquidity_tier": ("tier i, positions l, mv l", "with v as (select instrument_id, sum(qty) * 1.0 / count(distinct trade_date) as adv from txn group by 1) select case when abs(qty) <= adv then 1 when abs(qty) <= 3 * adv then 2 when abs(qty) <= 10 * adv then 3 else 4 end as tier, count(*) as positions, sum(mv) as mv from valued join v on valued.instrument_id = v.instrument_id group by 1"),
     "b09_11_stress": ("scenario s, segment s, loss l", "with s as (select 'rates' as scenario, 'ECONOMY' as hit, 12 as pct union all select 'credit', 'PROMO', 25 union all select 'all', null, 7) select scenario, segment, sum(IDIV(greatest(mv, 0) * pct, 100)) as loss from valued join portfolio on valued.portfolio_id = portfolio.portfolio_id join s on hit is null or hit = class group by 1, 2"),

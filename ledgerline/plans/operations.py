@@ -33,7 +33,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "b14_04_tilt": ("segment s, tilted d", "select segment, least(0.3, greatest(0.1, 0.2 + (avg(cash) - 450000) / 1000000.0)) as tilted from portfolio group by 1"),
     "b14_05_cash_drag": ("segment s, drag d", "select segment, sum(greatest(cash, 0)) * 1.0 / (sum(greatest(cash, 0)) + sum(coalesce(mv, 0))) * 0.04 as drag from portfolio left join (select portfolio_id, sum(mv) as mv from valued group by 1) as v on portfolio.portfolio_id = v.portfolio_id group by 1"),
     "b14_06_maturity": ("class s, wam d", "select class, sum(amount * DAYS(trade_date, date '1995-01-01')) * 1.0 / sum(amount) as wam from txn join instrument on txn.instrument_id = instrument.instrument_id group by 1"),
-    "b14_07_risk_budget": ("user_id l, budget l, cut b", "select user_id, sum(v) as budget, min(v * 1.0 / hwm) < 0.2 as cut from (select user_id, d, v, max(v) over (partition by user_id order by d) as hwm from daily) as x group by 1"),
+    "b14_07_risk_budget": ("user_id l, budget l, cut b", "select user_id, sum(v) as budget, min(RATIO(v * 1.0, hwm)) < 0.2 as cut from (select user_id, d, v, max(v) over (partition by user_id order by d) as hwm from daily) as x group by 1"),
     "b14_08_funded_ratio": ("segment s, assets l, liabilities d, ratio d", "with a as (select segment, sum(cash) as assets from portfolio group by 1), b as (select segment, sum(total / power(1.03, year(order_date) - 1994)) / 100 as pv from ord join portfolio on ord.portfolio_id = portfolio.portfolio_id where status = 'O' group by 1) select a.segment, assets, pv as liabilities, assets / pv / 100 as ratio from a join b on a.segment = b.segment"),
     "b14_09_adequacy": ("portfolio_id l, required l, funded d, adequate b", "select portfolio.portfolio_id, IDIV(sum(total), 100) as required, max(cash) * 100.0 / sum(total) as funded, max(cash) * 100 >= sum(total) as adequate from portfolio join ord on portfolio.portfolio_id = ord.portfolio_id group by 1"),
     "b15_01_divergence": ("user_id l, providers l, spread l", "select user_id, count(*) as providers, max(a) - min(a) as spread from (select user_id, provider, WHOLE(avg(v)) as a from obs group by 1, 2) as x group by 1"),
