@@ -1,6 +1,6 @@
 """Ranked lexical search with block-max pruning over a forward index.
 
-``index`` turns documents into shards, a row each: a vocabulary with document counts, and blocks of ``BLOCK`` documents in
+``index`` turns documents into shards, a file each and a row that names it: a vocabulary with document counts, and blocks of ``BLOCK`` documents in
 ascending order of ids. A block has a forward index (of each document its terms and their numbers of occurrences) and, of
 each of its terms, the most occurrences in a document and the least length of a document that has it. What the pair can
 score at most is a bound for every document of the block, whatever else joins the corpus, so an index is never rewritten
@@ -12,8 +12,8 @@ Then each shard goes through its other blocks in descending order of their bound
 threshold, which its own finds raise. Blocks whose bound equals the threshold are scored, as a smaller id wins a tie.
 
 Shards are made where the documents are read; what is shuffled is a row a term and shard, and k rows a query and task.
-Packed queries of at most ``SENT`` bytes are broadcast; beyond, a query block is dealt to each part and joins by it. No
-list grows with the documents of a term.
+Shards and packed blocks of queries are files, so that rows are names and a task holds one shard at a time, however many it
+goes through; it keeps query blocks of at most ``SENT`` bytes. No list grows with the documents of a term.
 
 Results: a null text or one without words scores nothing and is none of N; a very long text is a document of its block, which
 it may fill alone; rows without a doc_id take no part; rows that repeat an id are documents each; rows of ``queries`` that
@@ -31,18 +31,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, forget, table, written
+from .common import bounded, forget, put, read_range, scratch, table, written
 from .words import Dictionary, words
 
-#: Results of a query; documents and entries of a block; documents and entries of a shard; queries of a block; bytes sent.
+#: Results of a query; documents and entries of a block; documents and entries of a shard; queries of a block; bytes kept.
 K, BLOCK, BLOCK_ENTRIES, SHARD, SHARD_ENTRIES, QUERIES, SENT = 10, 128, 1 << 16, 4096, 1 << 19, 512, 8 << 20
-#: vocab: terms with a space between. docs: ids, lengths and the n + 1 bounds of entries. blocks: bounds of documents and of maxima.
-SHARDS = "part int, n_docs long, n_terms long, vocab binary, df binary, ids binary, lengths binary, bounds binary, term binary, tf binary, block_docs binary, block_bounds binary, block_term binary, block_tf binary, block_length binary"
+#: Shards of a task.
+DEALT = 4
+SHARDS = "path string, n_docs long, n_terms long"
+#: Of a shard's file, besides vocab (terms with a space between). docs: ids, lengths and the n + 1 bounds of entries. blocks: bounds of documents and of maxima.
 _KINDS = {"df": "<i4", "ids": "<i8", "lengths": "<i8", "bounds": "<i8", "term": "<u4", "tf": "<u4", "block_docs": "<i4", "block_bounds": "<i8", "block_term": "<u4", "block_tf": "<u4", "block_length": "<i8"}
 
 
 def _shard(ids: np.ndarray, texts: list[bytes]) -> dict | None:
-    """The columns of a shard; None if no document has a term."""
+    """What a shard's file holds; None if no document has a term."""
     order = np.argsort(ids, kind="stable")
     vocab = Dictionary()
     numbers, at = vocab.numbers([texts[k] for k in order])
@@ -70,16 +72,38 @@ def _shard(ids: np.ndarray, texts: list[bytes]) -> dict | None:
     return {"n_docs": len(ids), "n_terms": int(lengths.sum()), "vocab": b" ".join(vocab)} | {c: x.astype(_KINDS[c]).tobytes() for c, x in out.items()}
 
 
+def _save(path: str, row: dict) -> None:
+    """The binary values of a row as a file of one compressed Arrow batch."""
+    batch = pa.RecordBatch.from_pylist([row], pa.schema([(c, pa.large_binary()) for c in row]))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    put(path, sink.getvalue().to_pybytes())
+
+
+def _load(path: str) -> dict:
+    return pa.ipc.open_stream(read_range(path)).read_all().to_pylist()[0]
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows that name files, ``DEALT`` a task."""
+    return rows.repartition(max(1, -(-rows.count() // DEALT)))
+
+
 def index(docs: DataFrame) -> DataFrame:
-    """The shards, as a table in the shared folder."""
+    """The shards: files in the shared folder, and a table of their names."""
+    base = scratch(docs.sparkSession, "shards")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(c, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[kind]) for c, kind in (x.split() for x in SHARDS.split(", "))])
-        part, ids, texts, held = TaskContext.get().partitionId(), [], [], 0
+        part, ids, texts, held, n = TaskContext.get().partitionId(), [], [], 0, 0
 
         def row() -> Iterator[pa.RecordBatch]:
+            nonlocal n
             if ids and (made := _shard(np.array(ids, np.int64), texts)):
-                yield pa.RecordBatch.from_pylist([{"part": part} | made], schema)
+                path = f"{base}/{part}-{n}.arrow"
+                _save(path, {c: made[c] for c in ("vocab", *_KINDS)})
+                yield pa.record_batch([pa.array([path]), pa.array([made["n_docs"]]), pa.array([made["n_terms"]])], ["path", "n_docs", "n_terms"])
+                n += 1
             ids.clear()
             texts.clear()
 
@@ -93,7 +117,7 @@ def index(docs: DataFrame) -> DataFrame:
                 held += len(t or b"") // 6  # about the terms
         yield from row()
 
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(build, SHARDS), "lexical")
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(build, SHARDS), "lexical", beside=base)
 
 
 def _frequencies(shards: DataFrame) -> DataFrame:
@@ -101,10 +125,11 @@ def _frequencies(shards: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for vocab, df in zip(b.column("vocab").to_pylist(), b.column("df").to_pylist(), strict=True):
-                yield pa.record_batch([pa.array(vocab.split(b" "), pa.binary()), pa.array(np.frombuffer(df, "<i4").astype(np.int64))], ["term", "df"])
+            for path in b.column("path").to_pylist():
+                row = _load(path)
+                yield pa.record_batch([pa.array(row["vocab"].split(b" "), pa.binary()), pa.array(np.frombuffer(row["df"], "<i4").astype(np.int64))], ["term", "df"])
 
-    return shards.select("vocab", "df").mapInArrow(rows, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return _dealt(shards.select("path")).mapInArrow(rows, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def _terms(queries: DataFrame) -> DataFrame:
@@ -121,7 +146,8 @@ def _terms(queries: DataFrame) -> DataFrame:
 
 
 def _packed(weights: DataFrame, blocks: int) -> DataFrame:
-    """q, n_items, asked: a row a block of queries, with the weights of its terms and the thresholds of its items."""
+    """asked: the name of a file a block of queries, with the weights of its terms and the thresholds of its items."""
+    base = scratch(weights.sparkSession, "packed")
 
     def pack(rows: pa.Table) -> pa.Table:
         items, item = np.unique(rows.column("item_id").to_numpy(), return_inverse=True)
@@ -130,12 +156,15 @@ def _packed(weights: DataFrame, blocks: int) -> DataFrame:
         order = np.lexsort((col, item))
         least = np.zeros(len(items), np.int64)
         least[item] = rows.column("least").to_numpy()
-        return pa.table({
-            "q": rows.column("q")[:1], "items": [items.astype("<i8").tobytes()], "least": [least.astype("<i8").tobytes()], "terms": [b" ".join(terms.dictionary.to_pylist())], "col": [col[order].astype("<i4").tobytes()],
-            "weight": [rows.column("weight").to_numpy()[order].astype("<i8").tobytes()], "item_bounds": [np.searchsorted(item[order], np.arange(len(items) + 1)).astype("<i8").tobytes()],
+        path = f"{base}/{rows.column('q')[0].as_py()}.arrow"
+        _save(path, {
+            "items": items.astype("<i8").tobytes(), "least": least.astype("<i8").tobytes(), "terms": b" ".join(terms.dictionary.to_pylist()), "col": col[order].astype("<i4").tobytes(),
+            "weight": rows.column("weight").to_numpy()[order].astype("<i8").tobytes(), "item_bounds": np.searchsorted(item[order], np.arange(len(items) + 1)).astype("<i8").tobytes(),
         })
+        return pa.table({"asked": [path]})
 
-    return weights.withColumn("q", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")).groupBy("q").applyInArrow(pack, "q int, items binary, least binary, terms binary, col binary, weight binary, item_bounds binary")
+    packed = weights.withColumn("q", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")).groupBy("q").applyInArrow(pack, "asked string")
+    return written(packed, "asked", beside=base)
 
 
 def impact(tf: np.ndarray, length: np.ndarray, n: int, total: int) -> np.ndarray:
@@ -184,13 +213,19 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
-def _found(tiles: DataFrame, n: int, total: int, k: int, first: bool) -> DataFrame:
+def _found(shards: DataFrame, asked: DataFrame, n: int, total: int, k: int, first: bool, sent: int) -> DataFrame:
     """item_id, doc_id, score: k rows at most of each query and shard, from the first block of each or from the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_hand, shard, kept = None, {}, {}
         for b in batches:
-            for i in range(b.num_rows):
-                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
+            for path, block_of in sorted(zip(b.column("path").to_pylist(), b.column("asked").to_pylist(), strict=True)):
+                if path != at_hand:
+                    at_hand, shard = path, _load(path)
+                if block_of not in kept:
+                    held = sum(len(x) for block in kept.values() for x in block.values())
+                    kept = (kept if held <= sent else {}) | {block_of: _load(block_of)}
+                row = shard | kept[block_of]
                 tile = _Tile(row, n, total)
                 items, least, at = (np.frombuffer(row[c], "<i8") for c in ("items", "least", "item_bounds"))
                 cols, weights = np.frombuffer(row["col"], "<i4"), np.frombuffer(row["weight"], "<i8")
@@ -211,31 +246,26 @@ def _found(tiles: DataFrame, n: int, total: int, k: int, first: bool) -> DataFra
                 if out:
                     yield pa.record_batch([pa.array(np.repeat([x[0] for x in out], [len(x[1]) for x in out])), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out]))], ["item_id", "doc_id", "score"])
 
+    tiles = _dealt(shards.select("path")).crossJoin(F.broadcast(asked))
     return tiles.mapInArrow(run, "item_id long, doc_id long, score long")
 
 
-def _tiles(shards: DataFrame, asked: DataFrame, blocks: int, parts: int, sent: int) -> DataFrame:
-    """Each shard with each block of queries."""
-    kept = shards.drop("n_docs", "n_terms", "df")
-    if (asked.agg(F.sum(sum(F.octet_length(c) for c in asked.columns if c != "q"))).first()[0] or 0) <= sent:
-        return kept.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(F.broadcast(asked), "q")
-    return asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(kept, "part")
-
-
 def search(shards: DataFrame, queries: DataFrame, k: int = K, per_block: int = QUERIES, sent: int = SENT) -> DataFrame:
     """item_id, rank, doc_id and score of the k best documents of each item, by an index."""
     ranked = Window.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id")
-    sums = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_terms"), F.lit(1)).alias("total"), F.coalesce(F.max("part"), F.lit(0)).alias("part")).first()
-    n, total, parts = sums["n"], sums["total"], sums["part"] + 1
+    sums = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_terms"), F.lit(1)).alias("total")).first()
+    n, total = sums["n"], sums["total"]
     weight = F.floor(F.lit(1000.0) * F.log(F.lit(float(2 * n + 2)) / (F.lit(2.0) * F.col("df") + F.lit(1.0)))).cast("long")
-    weights = written(_terms(queries).join(_frequencies(shards), "term").select("item_id", "term", (weight * F.col("times")).alias("weight")).filter("weight > 0"), "asked")
+    # names of files tell nothing of the terms in them, so the size that would be broadcast is not known
+    weights = written(_terms(queries).join(_frequencies(shards).hint("merge"), "term").select("item_id", "term", (weight * F.col("times")).alias("weight")).filter("weight > 0"), "asked")
     blocks = max(1, -(-(weights.agg(F.count_distinct("item_id")).first()[0]) // per_block))
 
-    asked = written(_packed(weights.withColumn("least", F.lit(0).cast("long")), blocks), "asked")
-    some = written(_found(_tiles(shards, asked, blocks, parts, sent), n, total, k, first=True), "found")
+    asked = _packed(weights.withColumn("least", F.lit(0).cast("long")), blocks)
+    some = written(_found(shards, asked, n, total, k, True, sent), "found")
+    forget(asked)
     least = some.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") == k).select("item_id", F.col("score").alias("least"))
-    asked = written(_packed(weights.join(least, "item_id", "left").fillna(0, ["least"]), blocks), "asked", instead=asked)
-    rest = _found(_tiles(shards, asked, blocks, parts, sent), n, total, k, first=False)
+    asked = _packed(weights.join(least, "item_id", "left").fillna(0, ["least"]), blocks)
+    rest = _found(shards, asked, n, total, k, False, sent)
     top = some.unionByName(rest).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
     out = written(top, "ranked")
     forget(weights, asked, some)

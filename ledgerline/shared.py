@@ -26,30 +26,32 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-#: Folders of tables by the frame that reads them, for ``forget``.
-_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Folders of tables, and of files that go with them, by the frame that reads them, for ``forget``.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, tuple[str, ...]] = weakref.WeakKeyDictionary()
 
 
-def written(frame: DataFrame, label: str, instead: DataFrame | None = None) -> DataFrame:
+def written(frame: DataFrame, label: str, instead: DataFrame | None = None, beside: str | None = None) -> DataFrame:
     """The frame as a Parquet table in the shared folder: cuts lineage and outlives executors.
 
-    ``instead`` is a frame that ``written`` gave and that nothing needs any more; its table is deleted.
+    ``instead`` is a frame that ``written`` gave and that nothing needs any more; its table is deleted. ``beside`` is a
+    folder of files that the rows name; it is deleted with the table.
     """
     spark, path = frame.sparkSession, scratch(frame.sparkSession, label)
     frame.write.parquet(path)
     if instead is not None:
         forget(instead)
     out = spark.read.schema(frame.schema).parquet(path)
-    _FOLDERS[out] = path
+    _FOLDERS[out] = (path, beside) if beside else (path,)
     return out
 
 
 def forget(*frames: DataFrame) -> None:
     """Deletes the tables behind frames that ``written`` gave."""
     for frame in frames:
-        if path := _FOLDERS.pop(frame, None):
+        for path in _FOLDERS.pop(frame, ()):
             files, folder = store(path)
-            files.delete_dir(folder)
+            if files.get_file_info(folder).type.name == "Directory":  # no file, no folder
+                files.delete_dir(folder)
 
 
 def move(old: DataFrame, new: DataFrame) -> None:

@@ -199,3 +199,16 @@ def test_bounds_hold_and_blocks_are_left_out():
     best = [int(tile.scores(b, col, weight)[1].max(initial=0)) for b in order]
     assert all(x <= y for x, y in zip(best, bound.tolist(), strict=True))
     assert bound[-1] < max(best)  # a block that need not be scored
+
+
+def test_rows_of_op13_are_names_and_files_go_with_them(spark, docs):
+    """However many shards a task goes through, what Spark hands it is no more than their names."""
+    from ledgerline.llm.common import store
+
+    shards = op13_lexical.index(docs)
+    rows = shards.collect()
+    assert sum(len(str(r)) for r in rows) < 400 * len(rows)
+    held = {r["path"] for r in rows}
+    assert all(op13_lexical._load(p)["vocab"] for p in held)
+    forget(shards)
+    assert not any(store(p)[0].get_file_info(store(p)[1]).is_file for p in held)
