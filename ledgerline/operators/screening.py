@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,10 +67,44 @@ def edits(a: str, b: str) -> int:
     return d[len(a), len(b)]
 
 
+def edits_of_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    """``edits`` of each pair, all pairs at once for each pair of places."""
+    n, m = max(map(len, a)), max(map(len, b))
+    size = [np.fromiter(map(len, side), np.int64, len(side)) for side in (a, b)]
+    # letters as numbers of this call; places past a text's end are letters that nothing has
+    texts = [np.frombuffer("".join(x.ljust(k, end) for x in side).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(side), k) if k else np.empty((len(side), 0), "<u4") for side, k, end in ((a, n, "\ufffe"), (b, m, "\uffff"))]
+    letters, codes = np.unique(np.concatenate([t.ravel() for t in texts]), return_inverse=True)
+    x, y = codes[: texts[0].size].reshape(texts[0].shape), codes[texts[0].size :].reshape(texts[1].shape)
+    pair, far = np.arange(len(a)), n + m
+    last = np.zeros((len(a), len(letters)), np.int16)
+    d = np.full((n + 2, m + 2, len(a)), far, np.int16)  # a place further than the texts', as an exchange looks two back
+    d[1:, 1] = np.arange(n + 1)[:, None]
+    d[1, 1:] = np.arange(m + 1)[:, None]
+    for i in range(1, n + 1):
+        match = np.zeros(len(a), np.int16)
+        for j in range(1, m + 1):
+            k, same = last[pair, y[:, j - 1]], x[:, i - 1] == y[:, j - 1]
+            least = np.minimum(np.minimum(d[i, j + 1], d[i + 1, j]) + 1, d[i, j] + ~same)
+            met = np.flatnonzero((k > 0) & (match > 0))
+            least[met] = np.minimum(least[met], d[k[met], match[met], met] + (i - k[met] - 1) + 1 + (j - match[met] - 1))
+            d[i + 1, j + 1] = least
+            match[same] = j
+        last[pair, x[:, i - 1]] = i
+    return d[size[0] + 1, size[1] + 1, pair].astype(np.int32)
+
+
+#: Spellings, and pairs of them, of a task.
+NAMES, MET = 2000, 100_000
+#: Pairs whose edits are counted at once, and places of their texts against each other.
+PAIRS, PLACES = 4096, 1 << 22
+
+
 @F.pandas_udf(T.IntegerType())
 def _edits(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
-        yield pd.Series([edits(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+        n = max(1, min(PAIRS, PLACES // ((a.str.len().max() + 2) * (b.str.len().max() + 2)))) if len(a) else 1
+        a, b = a.tolist(), b.tolist()
+        yield pd.Series(np.concatenate([edits_of_pairs(a[k : k + n], b[k : k + n]) for k in range(0, len(a), n)] or [np.empty(0, np.int32)]))
 
 
 def screen_names(names: DataFrame, listed: DataFrame, key: str = "party_id", name: str = "name", entry: str = "listed", alias: str = "alias", most: int = 2) -> DataFrame:
@@ -90,9 +125,11 @@ def screen_names(names: DataFrame, listed: DataFrame, key: str = "party_id", nam
         return spelt.select("s", F.explode(F.array(F.struct(F.lit("written").alias("form"), F.col("s").alias("t")), F.struct(F.lit("words").alias("form"), words.alias("t")))).alias("f")).select("s", "f.*")
 
     a, b = written(forms(names, name), "forms"), written(forms(listed, alias), "forms")
-    keys = lambda frame, t: frame.select("form", F.col("t").alias(t)).distinct().withColumn("_k", F.explode(near_keys(F.col(t))))
-    met = keys(a, "t").join(keys(b, "u"), ["form", "_k"]).select("form", "t", "u").distinct()
-    near = met.filter(F.abs(F.length("t") - F.length("u")) <= most).withColumn("distance", _edits("t", "u")).filter(F.col("distance") <= most)
+    # rows are short and what is made of them is long or slow, so tasks are told by rows, not by bytes
+    dealt = lambda frame, rows: frame.repartition(max(1, -(-frame.count() // rows)))
+    keys = lambda frame, t: dealt(frame.select("form", F.col("t").alias(t)).distinct(), NAMES).withColumn("_k", F.explode(near_keys(F.col(t))))
+    met = keys(a, "t").join(keys(b, "u"), ["form", "_k"]).filter(F.abs(F.length("t") - F.length("u")) <= most).select("form", "t", "u").distinct()
+    near = dealt(written(met, "met"), MET).withColumn("distance", _edits("t", "u")).filter(F.col("distance") <= most)
     pairs = a.join(near, ["form", "t"]).join(b.select(F.col("s").alias("s2"), "form", F.col("t").alias("u")), ["form", "u"])
     longer = F.greatest(F.length("t"), F.length("u"))
     best = pairs.groupBy("s", "s2").agg(F.min(F.struct("distance", F.when(F.col("form") == "written", 0).otherwise(1).alias("o"), "form", (1 - F.col("distance") / longer).alias("score"))).alias("m"))

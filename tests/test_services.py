@@ -394,3 +394,22 @@ def test_effects_of_a_tree_add_up(spark):
     assert found.filter("depth = 1").count() == 3 and found.filter("depth = 2").count() == 13
     total = found.agg(F.sum(F.col("allocation") + F.col("selection"))).first()[0]
     assert abs(total - (sum(x[2] * x[3] for x in leaves) - sum(x[4] * x[5] for x in leaves))) < 1e-12
+
+
+def test_edits_of_many_pairs_are_those_of_each():
+    r = random.Random(3)
+    pairs = []
+    for _ in range(3000):
+        a = "".join(r.choice("abcd é") for _ in range(r.randint(0, 9)))
+        b = list(a)
+        for _ in range(r.randint(0, 4)):
+            k = r.randint(0, len(b))
+            how = r.random()
+            if how < 0.3:
+                b.insert(k, r.choice("abcdeж😀"))
+            elif how < 0.6:
+                b[k : k + 1] = []
+            else:
+                b[k : k + 2] = b[k : k + 2][::-1]
+        pairs.append((a, "".join(b)))
+    assert screening.edits_of_pairs(*map(list, zip(*pairs, strict=True))).tolist() == [screening.edits(a, b) for a, b in pairs]
