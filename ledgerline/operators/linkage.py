@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -43,31 +44,62 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, start: floa
     return Weights(m, u, part)
 
 
-def candidates(left: DataFrame, right: DataFrame, blocks: list[list[Column]], left_id: str, right_id: str, most: int = 1000) -> DataFrame:
-    """Pairs of ids that share a block, each once.
+def keyed(left: DataFrame, right: DataFrame, blocks: list[tuple[list[Column], list[Column]]], most: int = 1000) -> list[DataFrame]:
+    """Both sides with ``_k0``, ``_k1`` ...: the key of each row's block, by each list of expressions.
 
-    A block is given by a list of expressions: the first is its key, and the rest refine it. A block of more than ``most``
-    rows of a side is split by the next expression, and so on, so no block is cut; what is still larger after the last
-    expression is equal in all of them, and stays whole. A key that is null gives no block. Pairs that only a split
-    separates are for another block of the list to find.
+    A block is given by a list of expressions of each side: the first is its key, and the rest refine it. A block of more
+    than ``most`` rows of a side is split by the next expression, and so on, so no block is cut; what is still larger after
+    the last expression is equal in all of them, and stays whole. A key that is null gives no block.
     """
-    found = None
-    for expressions in blocks:
-        sides = [frame.select(F.col(i).alias("id"), F.array(*[e.cast("string") for e in expressions]).alias("e")).filter("e[0] is not null") for frame, i in ((left, left_id), (right, right_id))]
-        open_sides = [s.withColumn("key", F.array(F.col("e")[0])) for s in sides]
-        for k in range(len(expressions)):
-            sizes = [s.groupBy("key").agg(F.count("*").alias("n")) for s in open_sides]
-            large = sizes[0].unionByName(sizes[1]).groupBy("key").agg(F.max("n").alias("n")).filter(F.col("n") > most).select("key", F.lit(True).alias("large"))
-            large = written(large, "large")
-            last = k == len(expressions) - 1
-            marked = [s.join(large, "key", "left") for s in open_sides]
-            small = [s if last else s.filter("large is null") for s in marked]
-            met = small[0].select("key", F.col("id").alias("left_id")).join(small[1].select("key", F.col("id").alias("right_id")), "key").select("left_id", "right_id")
-            found = met if found is None else found.unionByName(met)
-            if last or large.isEmpty():
+    sides = [left, right]
+    for j, both in enumerate(blocks):
+        key = f"_k{j}"
+        sides = [s.withColumn("_e", F.array(*[e.cast("string") for e in own])).withColumn(key, F.when(F.col("_e")[0].isNotNull(), F.slice("_e", 1, 1))) for s, own in zip(sides, both, strict=True)]
+        for k in range(1, len(both[0])):
+            sizes = [s.filter(F.size(key) == k).groupBy(key).agg(F.count("*").alias("n")) for s in sides]
+            large = written(sizes[0].unionByName(sizes[1]).groupBy(key).agg(F.max("n").alias("n")).filter(F.col("n") > most).select(key, F.lit(True).alias("_large")), "large")
+            if large.isEmpty():
                 break
-            open_sides = [s.filter("large").drop("large").withColumn("key", F.concat("key", F.array(F.coalesce(F.col("e")[k + 1], F.lit(""))))) for s in marked]
-    return found.distinct()
+            finer = F.when(F.col("_large"), F.concat(key, F.array(F.coalesce(F.col("_e")[k], F.lit(""))))).otherwise(F.col(key))
+            sides = [s.join(large, key, "left").withColumn(key, finer).drop("_large") for s in sides]
+        sides = [s.drop("_e") for s in sides]
+    return sides
+
+
+def in_blocks(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
+    """Pairs of rows that share one of ``n`` blocks, with the columns of both, each pair at the first block that it shares.
+
+    Only rows are shuffled, once a block: whether two rows have met before is told by their keys, so pairs need no other
+    exchange to be each once.
+    """
+    found = None
+    for j in range(n):
+        met = left.filter(F.col(f"_k{j}").isNotNull()).join(right.filter(F.col(f"_k{j}").isNotNull()).withColumnsRenamed({f"_k{i}": f"_m{i}" for i in range(n)}), F.col(f"_k{j}") == F.col(f"_m{j}"))
+        for i in range(j):
+            met = met.filter(~F.coalesce(F.col(f"_k{i}") == F.col(f"_m{i}"), F.lit(False)))
+        met = met.drop(*[f"_{c}{i}" for c in "km" for i in range(n)])
+        found = met if found is None else found.unionByName(met)
+    return found
+
+
+def candidates(left: DataFrame, right: DataFrame, blocks: list[list[Column]], left_id: str, right_id: str, most: int = 1000) -> DataFrame:
+    """Pairs of ids that share a block (see ``keyed``; the expressions are the same for both sides), each once.
+
+    Pairs that only a split separates are for another block of the list to find.
+    """
+    sides = keyed(left, right, [(b, b) for b in blocks], most)
+    own = [s.select(F.col(i).alias(f"{side}_id"), *[f"_k{j}" for j in range(len(blocks))]) for s, i, side in zip(sides, (left_id, right_id), ("left", "right"), strict=True)]
+    return in_blocks(*own, len(blocks)).select("left_id", "right_id").distinct()
+
+
+def link_blocks(left: DataFrame, right: DataFrame, fields: dict[str, Column], blocks: list[tuple[list[Column], list[Column]]], left_id: str, right_id: str, lower: float, upper: float, most: int = 1000) -> tuple[DataFrame, Weights]:
+    """As ``link``, of the pairs that share a block (see ``keyed``); sides have a row an id, and columns of other names.
+
+    Pairs are formed twice, for the fit and for the weights, and never shuffled: what is written are those of ``lower``
+    bits and more.
+    """
+    sides = [written(s.withColumnRenamed(i, f"{side}_id"), "keyed") for s, i, side in zip(keyed(left, right, blocks, most), (left_id, right_id), ("left", "right"), strict=True)]
+    return judged(in_blocks(*sides, len(blocks)), fields, lower, upper)
 
 
 def link(left: DataFrame, right: DataFrame, fields: dict[str, Column], pairs: DataFrame, left_id: str, right_id: str, lower: float, upper: float) -> tuple[DataFrame, Weights]:
@@ -79,7 +111,12 @@ def link(left: DataFrame, right: DataFrame, fields: dict[str, Column], pairs: Da
     are ``other``. Distinct patterns, two to the number of fields at most, are what the fit gets.
     """
     met = pairs.join(left.withColumnRenamed(left_id, "left_id"), "left_id").join(right.withColumnRenamed(right_id, "right_id"), "right_id")
-    agreed = written(met.select("left_id", "right_id", *[F.coalesce(c, F.lit(False)).cast("int").alias(f"_{k}") for k, c in enumerate(fields.values())]), "agreed")
+    return judged(met, fields, lower, upper)
+
+
+def judged(met: DataFrame, fields: dict[str, Column], lower: float, upper: float) -> tuple[DataFrame, Weights]:
+    """What ``link`` gives, of pairs that have the columns of both sides."""
+    agreed = met.select("left_id", "right_id", *[F.coalesce(c, F.lit(False)).cast("int").alias(f"_{k}") for k, c in enumerate(fields.values())])
     own = [f"_{k}" for k in range(len(fields))]
     rows = agreed.groupBy(*own).agg(F.count("*").alias("n")).orderBy(*own).collect()
     if not rows:
@@ -87,9 +124,13 @@ def link(left: DataFrame, right: DataFrame, fields: dict[str, Column], pairs: Da
     weights = fit(np.array([[r[c] for c in own] for r in rows]), np.array([r["n"] for r in rows]))
     bits = sum(F.when(F.col(c) == 1, float(a)).otherwise(float(d)) for c, a, d in zip(own, weights.agree, weights.differ, strict=True))
     scored = agreed.select("left_id", "right_id", F.round(bits, 9).alias("weight"))
+    kept = written(scored.filter(F.col("weight") >= min(lower, upper)), "scored")
+    # a pair of ``upper`` bits is the best of its sides, or not, by pairs of as many bits alone
     rank = lambda side: F.rank().over(Window.partitionBy(side).orderBy(F.desc("weight")))
     ties = lambda side: F.count("*").over(Window.partitionBy(side, "weight"))
-    ranked = scored.withColumns({"_l": rank("left_id"), "_r": rank("right_id"), "_tl": ties("left_id"), "_tr": ties("right_id")})
+    ranked = kept.filter(F.col("weight") >= upper).withColumns({"_l": rank("left_id"), "_tl": ties("left_id"), "_r": rank("right_id"), "_tr": ties("right_id")})
     best = (F.col("_l") == 1) & (F.col("_r") == 1) & (F.col("_tl") == 1) & (F.col("_tr") == 1)
-    state = F.when((F.col("weight") >= upper) & best, "match").when(F.col("weight") >= lower, "review").otherwise("other")
-    return ranked.select("left_id", "right_id", "weight", state.alias("state")), weights
+    queued = F.when(F.col("weight") >= lower, "review").otherwise("other")
+    parts = [ranked.withColumn("state", F.when(best, "match").otherwise(queued)), kept.filter(F.col("weight") < upper).withColumn("state", queued), scored.filter(F.col("weight") < min(lower, upper)).withColumn("state", F.lit("other"))]
+    out = reduce(DataFrame.unionByName, [p.select("left_id", "right_id", "weight", "state") for p in parts])
+    return out, weights

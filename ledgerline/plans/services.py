@@ -13,7 +13,7 @@ from ..operators import risk, similar
 from ..operators.catalog import Catalog
 from ..operators.funds import waterfall
 from ..operators.graph import reach
-from ..operators.linkage import candidates, link
+from ..operators.linkage import link_blocks
 from ..operators.matching import match
 from ..operators.ranking import in_groups, ntile
 from ..operators.rules import gaps
@@ -83,19 +83,11 @@ def _linked(spark: SparkSession, view) -> DataFrame:
     nation = F.when(F.col("party_id") % 7 == 0, (F.col("nation") + 1) % 25).otherwise(F.col("nation"))
     feed = own.filter("party_id % 3 <> 2").select((F.col("party_id") + 1_000_000_000).alias("feed_id"), spoilt.alias("name2"), nation.alias("nation2"), F.when(F.col("party_id") % 11 != 0, F.col("segment")).alias("segment2"), (F.col("balance") + F.when(F.col("party_id") % 4 == 0, 1).otherwise(0)).alias("balance2"))
     blocks = lambda n: [[F.col(f"name{n}")], [F.col(f"nation{n}"), F.col(f"segment{n}"), F.expr(f"balance{n} div 10000")], [F.expr(f"balance{n} div 1000"), F.col(f"segment{n}")]]
-    pairs = None
-    for a, b in zip(blocks(""), blocks("2"), strict=True):
-        met = candidates(own.withColumn("_k", a[0]), feed.withColumn("_k", b[0]), [[F.col("_k")]], "party_id", "feed_id") if len(a) == 1 else candidates(_keyed(own, a), _keyed(feed, b), [[F.col(f"_k{k}") for k in range(len(a))]], "party_id", "feed_id", most=200)
-        pairs = met if pairs is None else pairs.unionByName(met)
     fields = {"name": F.col("name") == F.col("name2"), "nation": F.col("nation") == F.col("nation2"), "segment": F.col("segment") == F.col("segment2"), "balance": F.abs(F.col("balance") - F.col("balance2")) <= 100}
-    scored, _ = link(own, feed, fields, pairs.distinct(), "party_id", "feed_id", 0.0, 6.0)
+    scored, _ = link_blocks(own, feed, fields, list(zip(blocks(""), blocks("2"), strict=True)), "party_id", "feed_id", 0.0, 6.0, most=200)
     return scored.filter("state <> 'other'")
 
 
-def _keyed(rows: DataFrame, keys: list) -> DataFrame:
-    return rows.withColumns({f"_k{k}": e for k, e in enumerate(keys)})
-
-
 RULES = [monitor.Range("high", -(10**15), 20_000), monitor.Range("low", -20_000, 10**15)]
 SIGNED = "case when event_type in ('view', 'purchase') then 1 when event_type in ('click', 'error') then -1 else 0 end * cast(round(value * 100) as bigint)"
 

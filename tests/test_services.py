@@ -184,6 +184,23 @@ def test_linkage_finds_spoilt_records(spark):
     assert weights.agree[0] > weights.agree[1] > 0
 
 
+def test_pairs_of_blocks_are_scored_without_an_exchange_of_pairs(spark):
+    r = random.Random(2)
+    left = spark.createDataFrame([(i, f"n{r.randint(0, 40)}", r.randint(0, 4), r.randint(0, 9)) for i in range(150)], "l int, name string, nation int, v int")
+    right = spark.createDataFrame([(1000 + i, f"n{r.randint(0, 40)}", r.randint(0, 4), r.randint(0, 9)) for i in range(150)], "r int, name2 string, nation2 int, v2 int")
+    fields = {"name": F.col("name") == F.col("name2"), "nation": F.col("nation") == F.col("nation2"), "v": F.col("v") == F.col("v2")}
+    blocks = [([F.col("name")], [F.col("name2")]), ([F.col("nation"), F.col("v")], [F.col("nation2"), F.col("v2")])]
+    common = [left.selectExpr("l", "name as a", "nation as b", "v as c"), right.selectExpr("r", "name2 as a", "nation2 as b", "v2 as c")]
+    pairs = linkage.candidates(*common, [[F.col("a")], [F.col("b"), F.col("c")]], "l", "r", most=20)
+    given, one = linkage.link(left, right, fields, pairs, "l", "r", -1.0, 3.0)
+    found, other = linkage.link_blocks(left, right, fields, blocks, "l", "r", -1.0, 3.0, most=20)
+    columns = ["left_id", "right_id", "weight", "state"]
+    assert rows(found, *columns) == rows(given, *columns) and len({s for *_, s in rows(found, *columns)}) > 1
+    assert np.allclose(one.m, other.m) and np.allclose(one.u, other.u)
+    met = linkage.in_blocks(*linkage.keyed(left, right, blocks, 20), 2).select("l", "r")
+    assert met.count() == met.distinct().count() == pairs.count()  # each once, without a distinct
+
+
 def waterfall_by_a_ledger(deals, carry=20):
     lost = owed = due = 0
     out = []
