@@ -6,6 +6,7 @@ for one of them, puts the canonical views that it names before it, and casts its
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -72,6 +73,13 @@ VIEWS: dict[str, str] = {
     "m_count": "select root, bd, bd_id, count(*) as n from m_sd group by 1, 2, 3",
 }
 ORDER = list(VIEWS)
+#: Views as Spark reads them: rows of large tables are dealt by key before they are sorted and counted, so that a task has no more of them.
+DEALT: dict[str, str] = {
+    "txn": VIEWS["txn"].replace("from lineitem join ord on", "from (select /*+ repartition(:parts, l_orderkey) */ * from lineitem) as l join (select /*+ repartition(:parts, order_id) */ * from ord) as o on"),
+}
+#: Lines of a part; up to ``FEW`` parts, adaptive execution decides alone.
+LINES, FEW = 500_000, 8
+_LINES: dict[str, int] = {}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -106,6 +114,26 @@ def _views(sql: str) -> list[str]:
     return [v for v in ORDER if v in needed]
 
 
+def _view(name: str, which: int) -> str:
+    return VIEWS[name] if which else DEALT.get(name, VIEWS[name])
+
+
+def parts(spark: SparkSession, sf_dir: str, lines: int | None = None) -> int:
+    """In how many parts the lines are dealt; 0 where they are few. Lines are counted from the file's footers, once a path."""
+    if sf_dir not in _LINES:
+        _LINES[sf_dir] = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    n = math.ceil(_LINES[sf_dir] / (lines or LINES))
+    return n if n > FEW else 0
+
+
+def _sized(spark: SparkSession, sf_dir: str, text: str) -> str:
+    """The statement with the number of parts in its hints, or without the hints."""
+    if ":parts" not in text:
+        return text
+    n = parts(spark, sf_dir)
+    return text.replace(":parts", str(n)) if n else re.sub(r"/\*\+ repartition\(:parts[^*]*\*/ ", "", text)
+
+
 def expand(sql: str, columns: str, which: int) -> str:
     """The statement for Spark (0) or for the checking engine (1). ``columns`` is 'name type, ...': l long, i int, s string, b boolean, t date, d a double to 6 places, z one to 2."""
     own = dict(c.split() for c in columns.split(","))
@@ -115,7 +143,7 @@ def expand(sql: str, columns: str, which: int) -> str:
     body = sql.strip()
     recursive = bool(re.match(r"with recursive\b", body, re.I))
     inner = re.sub(r"^with( recursive)?\s+", "", body, flags=re.I) if re.match("with ", body, re.I) else None
-    parts = [f"{v} as ({VIEWS[v]})" for v in _views(body)]
+    parts = [f"{v} as ({_view(v, which)})" for v in _views(body)]
     if inner is None:
         parts.append(f"result_ as ({body})")
     else:  # the statement's own views come after, and its last select becomes one more
@@ -160,7 +188,7 @@ def statement(columns: str, sql: str) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables(spark, sf_dir, used)
-        return spark.sql(text)
+        return spark.sql(_sized(spark, sf_dir, text))
 
     return Query(run, expand(sql, columns, 1))
 
@@ -172,11 +200,11 @@ def frame(columns: str, build: Callable[[SparkSession, Callable[[str], DataFrame
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         def view(name: str) -> DataFrame:
             body = f"select * from {name}"
-            text = ("with " + ", ".join(f"{v} as ({VIEWS[v]})" for v in _views(body)) + " " if _views(body) else "") + body
+            text = ("with " + ", ".join(f"{v} as ({_view(v, 0)})" for v in _views(body)) + " " if _views(body) else "") + body
             tables(spark, sf_dir, [t for t in TABLES if re.search(rf"\b{t}\b", text)])
-            return spark.sql(_macros(text, 0))
+            return spark.sql(_sized(spark, sf_dir, _macros(text, 0)))
 
-        view.spark, view.sf_dir = spark, sf_dir
+        view.spark, view.sf_dir, view.parts = spark, sf_dir, lambda lines=None: parts(spark, sf_dir, lines)
         out = build(spark, view)
         return out.selectExpr(*[(f"round(cast({n} as double), {6 if k == 'd' else 2}) + 0.0 as {n}" if k in "dz" else f"cast({n} as {TYPES[k]}) as {n}") for n, k in own.items()])
 
