@@ -76,6 +76,7 @@ ORDER = list(VIEWS)
 #: Views as Spark reads them: rows of large tables are dealt by key before they are sorted and counted, so that a task has no more of them.
 DEALT: dict[str, str] = {
     "txn": VIEWS["txn"].replace("from lineitem join ord on", "from (select /*+ repartition(:parts, l_orderkey) */ * from lineitem) as l join (select /*+ repartition(:parts, order_id) */ * from ord) as o on"),
+    "holding": VIEWS["holding"].replace("from txn group by", "from (select /*+ repartition(:parts, portfolio_id, instrument_id) */ portfolio_id, instrument_id, side, qty, amount from txn) as t group by"),
 }
 #: Lines of a part; up to ``FEW`` parts, adaptive execution decides alone.
 LINES, FEW = 500_000, 8

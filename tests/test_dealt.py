@@ -6,7 +6,7 @@ import pytest
 from ledgerline import registry
 from ledgerline.plans import dialect
 
-NAMES = ["a06_02_duplicates", "a06_03_contiguity", "b02_05_restatement", "b15_04_data_quality", "b18_01_correcting_entries"]
+NAMES = ["a06_02_duplicates", "a06_03_contiguity", "b02_05_restatement", "b08_05_overlap", "b12_16_harvest", "b15_04_data_quality", "b18_01_correcting_entries"]
 
 
 @pytest.fixture(scope="module")
