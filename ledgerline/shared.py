@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import posixpath
 import tempfile
 import uuid
@@ -54,6 +55,12 @@ def forget(*frames: DataFrame) -> None:
                 files.delete_dir(folder)
 
 
+def dealt(frame: DataFrame, rows: int, *keys: str, each: int = 500_000, few: int = 8) -> DataFrame:
+    """The frame by hashes of its keys in parts of so many of ``rows``, for what sorts or counts by them; as it is, where parts would be few."""
+    n = math.ceil(rows / each)
+    return frame.repartition(n, *keys) if n > few else frame
+
+
 def move(old: DataFrame, new: DataFrame) -> None:
     """From now on the table behind the old frame goes with the new one, which is made from it."""
     _FOLDERS[new] = _FOLDERS.pop(old)
