@@ -28,17 +28,18 @@ def without(edges: DataFrame, nodes: DataFrame, verb: str) -> DataFrame:
 
 
 def inverse(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """Edges and, for each verb with an inverse name, the edges that go back."""
-    back = edges.join(names.select("verb", "inverse"), "verb").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("inverse").alias("verb"))
+    """Edges and, for each verb with an inverse name, the edges that go back; names are a row a verb, so no verb's edges are one task's."""
+    back = edges.join(F.broadcast(names.select("verb", "inverse")), "verb").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("inverse").alias("verb"))
     return edges.select("src", "dst", "verb").unionByName(back)
 
 
-def union_edges(*kinds: DataFrame) -> DataFrame:
-    """Edges of several kinds without repeats and without loops."""
+def union_edges(*kinds: DataFrame, parts: int = 0) -> DataFrame:
+    """Edges of several kinds without repeats and without loops, dealt in ``parts``, if given, before they are told apart."""
     out = kinds[0]
     for k in kinds[1:]:
         out = out.unionByName(k)
-    return out.filter("src <> dst").dropDuplicates(["src", "dst", "verb"])
+    out = out.filter("src <> dst")
+    return (out.repartition(parts, "src", "dst", "verb") if parts else out).dropDuplicates(["src", "dst", "verb"])
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:

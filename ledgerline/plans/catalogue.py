@@ -50,6 +50,7 @@ def _edges(view) -> DataFrame:
         t.select(name("P", "portfolio_id").alias("src"), name("B", "broker_id").alias("dst"), F.lit("trades_with").alias("verb")),
         t.select(name("B", "broker_id").alias("src"), name("I", "instrument_id").alias("dst"), F.lit("makes").alias("verb")),
         view("portfolio").select(name("P", "portfolio_id").alias("src"), name("N", "nation").alias("dst"), F.lit("domiciled").alias("verb")),
+        parts=view.parts(250_000),  # two edges a line
     )
 
 

@@ -59,3 +59,8 @@ def test_look_through_of_many_edges_is_dealt(spark, monkeypatch):
     found = hierarchy.look_through(spark.createDataFrame(edges, "owner string, owned string, weight double"), spark.createDataFrame([(f"r{i}",) for i in range(100)] + [("x",)], "root string"))
     expected = sorted([(f"r{i}", f"l{k}", 0.125) for i in range(100) for k in range(4)] + [("x", "l0", 0.5)])
     assert sorted(tuple(r) for r in found.collect()) == expected and max(counted) == len(edges)
+
+
+def test_edges_of_a_verb_are_not_one_task(spark, sf_dir):
+    plan = registry.everything()["a08_06_inverse"].run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [verb" not in plan
