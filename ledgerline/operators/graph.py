@@ -63,11 +63,14 @@ def reach(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """start, node, depth: what the given starts (all sources, if none are given) reach, at its least depth.
 
     A round is one join; what was reached before is dropped, so cycles end. Rounds are written into one folder, a part a
-    depth, so what was reached is one table and plans don't grow.
+    depth, so what was reached is one table and plans don't grow. Where no source has two edges and all are starts, rounds
+    double the depth, so what was reached is read as many times as the longest way has bits.
     """
     spark = edges.sparkSession
     own = written(edges.select("src", "dst").distinct(), "edges")
     kind = own.schema["src"].dataType.simpleString()
+    if starts is None and own.groupBy("src").count().filter("count > 1").isEmpty():
+        return _doubled(own, kind)
     folder, depth = scratch(spark, "walk"), 1
     first = own.select(F.col("src").alias("start"), F.col("dst").alias("node"))
     (first if starts is None else first.join(starts.select("start").distinct(), "start")).write.parquet(f"{folder}/depth=1")
@@ -79,6 +82,36 @@ def reach(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     return spark.read.schema(f"start {kind}, node {kind}, depth int").option("basePath", folder).parquet(folder)
 
 
+def _doubled(own: DataFrame, kind: str) -> DataFrame:
+    """What all sources reach, each by its one edge: a round joins the nodes at the greatest depth so far with all that these reach."""
+    spark, folder, depth = own.sparkSession, scratch(own.sparkSession, "walk"), 1
+    own.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth")).write.parquet(f"{folder}/round=1")
+    reached = lambda: spark.read.schema(f"start {kind}, node {kind}, depth int").parquet(folder)
+    while not (front := reached().filter(F.col("depth") == depth)).isEmpty():
+        onward = reached().select(F.col("start").alias("via"), F.col("node").alias("next"), F.col("depth").alias("more"))
+        step = front.join(onward, F.col("node") == F.col("via")).select("start", F.col("next").alias("node"), (F.col("depth") + F.col("more")).alias("depth"))
+        depth *= 2
+        step.join(reached().select("start", "node"), ["start", "node"], "left_anti").write.parquet(f"{folder}/round={depth}")
+    return reached().select("start", "node", "depth")
+
+
+def layers(hops: list[DataFrame]) -> DataFrame:
+    """start, node, depth: what the sources of the first hop's edges reach through one hop after another, each node once.
+
+    The nodes of each hop are a layer of their own, so what one hop reaches no other does: nothing is read again to drop it.
+    """
+    spark, folder, depth = hops[0].sparkSession, scratch(hops[0].sparkSession, "layers"), 1
+    step = hops[0].select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct()
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in step.schema)
+    step.write.parquet(f"{folder}/depth=1")
+    for hop in hops[1:]:
+        front = spark.read.schema(fields).parquet(f"{folder}/depth={depth}")
+        step = front.join(hop.select("src", "dst"), F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        depth += 1
+        step.write.parquet(f"{folder}/depth={depth}")
+    return spark.read.schema(f"{fields}, depth int").option("basePath", folder).parquet(folder)
+
+
 def chain_ends(edges: DataFrame) -> DataFrame:
     """start, last, depth: the end of the chain that begins at each node with an edge, where no node has two.
 
