@@ -12,7 +12,7 @@ from ..operators import returns as P
 from ..operators import risk, similar
 from ..operators.catalog import Catalog
 from ..operators.funds import waterfall
-from ..operators.graph import reach
+from ..operators.graph import layers
 from ..operators.linkage import link_blocks
 from ..operators.matching import match
 from ..operators.ranking import in_groups, ntile
@@ -257,19 +257,10 @@ def _inputs(view) -> DataFrame:
 
 def _impact(view) -> DataFrame:
     """What a broker's data feeds: orders, their portfolios, nations and regions, each counted once however it is reached."""
-    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    edges = [
-        view("txn").select(name("B", "broker_id").alias("src"), name("O", "order_id").alias("dst")),
-        view("ord").select(name("O", "order_id").alias("src"), name("P", "portfolio_id").alias("dst")),
-        view("portfolio").select(name("P", "portfolio_id").alias("src"), name("N", "nation").alias("dst")),
-        view("place").select(name("N", "nation").alias("src"), name("R", "region").alias("dst")),
-    ]
-    whole = edges[0]
-    for e in edges[1:]:
-        whole = whole.unionByName(e)
-    starts = edges[0].select(F.col("src").alias("start")).distinct()
-    reached = reach(whole, starts)
-    return reached.groupBy(F.expr("cast(substring(start, 2) as bigint)").alias("broker_id"), F.substring("node", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
+    edges = lambda name, src, dst: view(name).select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
+    hops = [edges("txn", "broker_id", "order_id"), edges("ord", "order_id", "portfolio_id").distinct(), edges("portfolio", "portfolio_id", "nation").distinct(), edges("place", "nation", "region").distinct()]
+    kind = F.element_at(F.array(*[F.lit(k) for k in "OPNR"]), F.col("depth"))
+    return layers(hops).groupBy(F.col("start").alias("broker_id"), kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 def _effects(view) -> DataFrame:
