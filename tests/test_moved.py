@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline import registry
-from ledgerline.operators import documents, graph
+from ledgerline.operators import documents, graph, matching
 from ledgerline.shared import scratch
 
 
@@ -58,3 +58,11 @@ def test_layers_are_not_read_again(spark):
     b = spark.createDataFrame([(10, 1), (11, 1), (11, 2)], "src long, dst long")  # numbers of another layer
     c = spark.createDataFrame([(1, 1), (2, 1)], "src long, dst long")
     assert sorted(tuple(r) for r in graph.layers([a, b, c]).collect()) == [(1, 1, 2), (1, 1, 3), (1, 2, 2), (1, 10, 1), (1, 11, 1), (2, 1, 2), (2, 1, 3), (2, 2, 2), (2, 11, 1)]
+
+
+def test_rounds_of_matching_hold_what_can_match(spark, moved):
+    far = spark.range(2_000).selectExpr("1 as k", "id * 1000 as amount", "date '2024-01-01' as d", "id")  # nothing near them
+    near = spark.range(8).selectExpr("1 as k", "3000000 + id * id as amount", "date '2024-01-01' as d", "10000 + id as id")
+    found = matching.match(far.union(near.filter("id % 2 = 0")), near.filter("id % 2 = 1"), ["k"], "amount", "d", "id", 50, 0)
+    assert sorted(r.left_id for r in found.collect()) == [10000, 10002, 10004, 10006]
+    assert moved() < 3 * 2_000  # once for equal amounts, once for the runs; each round would move them twice again
