@@ -37,34 +37,31 @@ class Range:
 
 
 class Monitor(StatefulProcessor):
-    """State of a key: updates that wait, by time and id, and what the folded ones came to."""
+    """State of a key: updates that wait, and what the folded ones came to. Updates that come or go together are one call of the store."""
 
     def __init__(self, rules: list[Range], gap: int) -> None:
         self.rules, self.gap = rules, gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, id long", "value long")
+        self.waiting = handle.getListState("waiting", "at long, id long, value long")
         # the total, the last update's time and id, whether the key is stale, and a bit for each rule that is broken
         self.folded = handle.getValueState("folded", "total long, at long, id long, stale boolean, broken long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        least = None
-        for part in rows:
-            for at, i, v in zip(part["at"].tolist(), part["id"].tolist(), part["value"].tolist(), strict=True):
-                self.waiting.updateValue((at, i), (v,))
-                least = at if least is None else min(least, at)
-        if least is not None:
-            self._timer(least)
+        came = [row for part in rows for row in zip(part["at"].tolist(), part["id"].tolist(), part["value"].tolist(), strict=True)]
+        if came:
+            self.waiting.appendList(came)
+            self._timer(min(at for at, _, _ in came))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted((tuple(k), v[0]) for k, v in self.waiting.iterator())
-        total, last, last_id, stale, broken = self.folded.get() if self.folded.exists() else (0, None, None, False, 0)
+        waiting = sorted({(at, i): v for at, i, v in self.waiting.get()}.items())  # of repeated ones the last
+        total, last, last_id, stale, broken = self.folded.get() or (0, None, None, False, 0)
+        kept = [(*w, v) for w, v in waiting if w[0] > until]
         out: list[tuple] = []
-        for (at, i), v in [w for w in waiting if w[0][0] <= until]:
-            self.waiting.removeKey((at, i))
+        for (at, i), v in waiting[: len(waiting) - len(kept)]:
             if last is not None and (stale or at > last + self.gap):
                 out += [] if stale else [("stale", "raised", last + self.gap, f"none since {last_id}")]
                 out.append(("stale", "cleared", at, f"update {i}"))
@@ -79,7 +76,9 @@ class Monitor(StatefulProcessor):
             stale = True
         if last is not None:
             self.folded.update((total, last, last_id, stale, broken))
-        later = [w[0][0] for w in waiting if w[0][0] > until] + ([last + self.gap] if last is not None and not stale else [])
+        if len(kept) < len(waiting):
+            self.waiting.put(kept) if kept else self.waiting.clear()
+        later = [at for at, _, _ in kept[:1]] + ([last + self.gap] if last is not None and not stale else [])
         if later:
             self._timer(min(later))
         if out:

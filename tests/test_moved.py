@@ -1,11 +1,15 @@
 """How many rows queries move between tasks: shuffles follow the input, not the rounds or the pairs."""
 
+from unittest import mock
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline import registry
 from ledgerline.operators import documents, graph, matching
 from ledgerline.shared import scratch
+from ledgerline.streaming import monitor
 
 
 @pytest.fixture
@@ -66,3 +70,17 @@ def test_rounds_of_matching_hold_what_can_match(spark, moved):
     found = matching.match(far.union(near.filter("id % 2 = 0")), near.filter("id % 2 = 1"), ["k"], "amount", "d", "id", 50, 0)
     assert sorted(r.left_id for r in found.collect()) == [10000, 10002, 10004, 10006]
     assert moved() < 3 * 2_000  # once for equal amounts, once for the runs; each round would move them twice again
+
+
+def test_updates_that_come_or_go_together_are_one_call_of_the_store():
+    handle = mock.MagicMock()
+    waiting, folded = handle.getListState.return_value, handle.getValueState.return_value
+    own = monitor.Monitor([monitor.Range("high", -1000, 10)], 10**9)
+    own.init(handle)
+    came = [(1000 * k, k, 1) for k in range(50)] + [(3000, 3, 5), (10**6, 99, 1)]
+    list(own.handleInputRows((7,), iter([pd.DataFrame(came, columns=["at", "id", "value"])]), None))
+    assert waiting.appendList.call_args_list == [mock.call(came)]
+    waiting.get.return_value, folded.get.return_value = iter(came), None
+    out = pd.concat(own.handleExpiredTimer((7,), mock.Mock(getCurrentWatermarkInMs=lambda: 100), None))
+    assert list(out["cause"]) == ["update 6: 11"]  # the third counts 5, once
+    assert waiting.put.call_args_list == [mock.call([(10**6, 99, 1)])] and folded.update.call_args_list == [mock.call((54, 49000, 49, False, 1))]
