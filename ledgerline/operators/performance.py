@@ -21,15 +21,23 @@ def drawdown_spans(levels: DataFrame, key: list[str], day: str, level: str) -> D
     return spans.select(*key, "start", F.col("low.d").alias("trough"), "recovery", (F.col("low.v") / F.col("peak") - 1).alias("depth"), "days")
 
 
+def ratio(over: Column, under: Column) -> Column:
+    """Division as of doubles: by zero, infinite with the sign of what is divided, or not a number."""
+    return F.when(under == 0, over * float("inf")).otherwise(over / under)
+
+
 def linked(rates: Column) -> Column:
     """The rate a period at which the given ones compound to the same: an aggregate; null where one loses all or more."""
     return F.when(F.min(rates) > -1, F.exp(F.avg(F.when(rates > -1, F.log1p(rates)))) - 1)
 
 
 def capture(paired: DataFrame, key: list[str], own: str, market: str, parting: Column) -> DataFrame:
-    """key, up, down: linked own rate over the market's, in periods where the condition holds and where it does not."""
+    """key, up, down: linked own rate over the market's, in periods where the condition holds and where it does not.
+
+    Over a market that stood still, the rate is infinite or not a number.
+    """
     side = lambda when, c: linked(F.when(when, F.col(c)))
-    return paired.groupBy(*key).agg(*[(side(w, own) / side(w, market)).alias(n) for n, w in (("up", parting), ("down", ~parting))])
+    return paired.groupBy(*key).agg(*[ratio(side(w, own), side(w, market)).alias(n) for n, w in (("up", parting), ("down", ~parting))])
 
 
 def calmar(levels: DataFrame, key: list[str], day: str, level: str, year: float = 365.0) -> DataFrame:
