@@ -26,6 +26,12 @@ def ratio(over: Column, under: Column) -> Column:
     return F.when(under == 0, over * float("inf")).otherwise(over / under)
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Of pairs: an aggregate; not a number where either side stands still."""
+    own, other = F.regr_syy(a, b), F.regr_sxx(a, b)
+    return F.when((own == 0) | (other == 0), float("nan")).otherwise(F.regr_sxy(a, b) / F.sqrt(own) / F.sqrt(other))
+
+
 def linked(rates: Column) -> Column:
     """The rate a period at which the given ones compound to the same: an aggregate; null where one loses all or more."""
     return F.when(F.min(rates) > -1, F.exp(F.avg(F.when(rates > -1, F.log1p(rates)))) - 1)

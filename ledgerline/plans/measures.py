@@ -59,7 +59,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "b09_02_parametric_var": ("user_id l, var d", "select user_id, avg(r) - 1.645 * stddev_samp(r) as var from rets group by 1 having count(*) > 5"),
     "b09_04_var_backtest": ("user_id l, exceptions l, expected d", "with q as (select user_id, QUANTILE(r, 0.1) as var from rets where d < date '2024-01-16' group by 1) select rets.user_id, sum(case when r < var then 1 else 0 end) as exceptions, count(*) * 0.1 as expected from rets join q on rets.user_id = q.user_id where d >= date '2024-01-16' group by 1"),
     "b09_06_desmoothing": ("user_id l, d t, unsmoothed d", """
-        with x as (select user_id, d, r, lag(r) over (partition by user_id order by d) as p from rets), c as (select user_id, corr(r, p) as rho from x group by 1 having count(p) > 4)
+        with x as (select user_id, d, r, lag(r) over (partition by user_id order by d) as p from rets), c as (select user_id, CORR(r, p) as rho from x group by 1 having count(p) > 4)
         select x.user_id, d, (r - rho * p) / (1 - rho) as unsmoothed from x join c on x.user_id = c.user_id where p is not null and abs(rho) < 0.9"""),
     "b09_07_risk_contribution": ("a l, contribution d", """
         with x as (select d, user_id % 4 as a, avg(r) as r from rets group by 1, 2), c as (select x.a as a, y.a as b, covar_samp(x.r, y.r) as cv from x join x as y on x.d = y.d group by 1, 2)

@@ -221,7 +221,7 @@ def _rank_ic(view) -> DataFrame:
     own = view("wealth").select("d", "w", F.lead("v").over(Window.partitionBy("user_id").orderBy("d")).alias("nxt")).filter("nxt is not null")
     first = in_groups(own, ["d"], [F.col("w")]).withColumnRenamed("rank", "a").drop("row", "rows")
     both = in_groups(first, ["d"], [F.col("nxt")]).withColumnRenamed("rank", "b")
-    return both.groupBy("d").agg(F.count("*").alias("n"), F.corr("a", "b").alias("ic")).filter("n > 5")
+    return both.groupBy("d").agg(F.count("*").alias("n"), perf.correlation(F.col("a"), F.col("b")).alias("ic")).filter("n > 5")
 
 
 def _funnel(view) -> DataFrame:
