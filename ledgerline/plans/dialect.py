@@ -33,6 +33,7 @@ MACROS: dict[str, tuple[str, str]] = {
     "RATIO": ("(case when {1} = 0 then {0} * double('infinity') else {0} / {1} end)", "{0} / {1}"),
     # not a number where either side, or what the slope is on, stands still
     "CORR": ("(case when regr_sxx({0}, {1}) = 0 or regr_syy({0}, {1}) = 0 then double('nan') else regr_sxy({0}, {1}) / sqrt(regr_sxx({0}, {1})) / sqrt(regr_syy({0}, {1})) end)", "corr({0}, {1})"),
+    "SLOPE": ("(case when regr_sxx({0}, {1}) = 0 then double('nan') else regr_slope({0}, {1}) end)", "regr_slope({0}, {1})"),
     # null where the slope is not a number
     "INTERCEPT": ("(case when not isnan(regr_slope({0}, {1})) then regr_intercept({0}, {1}) end)", "regr_intercept({0}, {1})"),
 }

@@ -18,7 +18,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         p as (select segment, class, mv * 1.0 / sum(mv) over (partition by segment) as wp, mv * 1.0 / cost - 1 as rp from x where cost > 0), b as (select class, sum(mv) * 1.0 / sum(sum(mv)) over () as wb, sum(mv) * 1.0 / sum(cost) - 1 as rb from x where cost > 0 group by class),
         t as (select sum(wb * rb) as rt from b)
         select segment, sum((wp - wb) * (rb - rt)) as allocation, sum(wb * (rp - rb)) as selection, sum((wp - wb) * (rp - rb)) as interaction from p join b on p.class = b.class cross join t group by segment"""),
-    "b05_12_factor_regression": ("user_id l, beta d, alpha d, r2 d", "select user_id, regr_slope(r, m) as beta, INTERCEPT(r, m) as alpha, regr_r2(r, m) as r2 from paired group by user_id having count(*) > 5"),
+    "b05_12_factor_regression": ("user_id l, beta d, alpha d, r2 d", "select user_id, SLOPE(r, m) as beta, INTERCEPT(r, m) as alpha, regr_r2(r, m) as r2 from paired group by user_id having count(*) > 5"),
     "b05_14_multi_level": ("region_name s, nation_name s, flow l, gross l", "select region_name, nation_name, sum(flow) as flow, sum(gross) as gross from monthly join portfolio on monthly.portfolio_id = portfolio.portfolio_id group by rollup(region_name, nation_name)"),
     "b06_01_tracking_error": ("user_id l, te d, ir d", "select user_id, stddev_samp(r - m) as te, RATIO(avg(r - m), stddev_samp(r - m)) as ir from paired group by user_id having count(*) > 5"),
     "b06_02_alpha_beta": ("user_id l, beta d, alpha d, treynor d", f"select user_id, RATIO(cv, vm) as beta, mean - RATIO(cv, vm) * mm as alpha, RATIO(mean, (RATIO(cv, vm))) as treynor from ({MOMENTS}) as x where abs(cv) > 0.000001"),
