@@ -55,13 +55,16 @@ def calmar(levels: DataFrame, key: list[str], day: str, level: str, year: float
 
 
 def regression(paired: DataFrame, key: list[str], own: str, market: str) -> DataFrame:
-    """key, n, beta, alpha, residual (its deviation), alpha_t and appraisal (alpha over residual) of own on market rates."""
+    """key, n, beta, alpha, residual (its deviation), alpha_t and appraisal (alpha over residual) of own on market rates.
+
+    Of three pairs or more. Over a market that stood still, or without a residual, they are infinite or not a number.
+    """
     x, y = F.col(market), F.col(own)
-    sums = paired.filter(x.isNotNull() & y.isNotNull()).groupBy(*key).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("c")).filter("n > 2 and vx > 0")
-    left = F.greatest(F.col("vy") - F.col("c") * F.col("c") / F.col("vx"), F.lit(0.0)) * F.col("n") / (F.col("n") - 2)
-    out = sums.withColumns({"beta": F.col("c") / F.col("vx"), "residual": F.sqrt(left)}).withColumn("alpha", F.col("my") - F.col("beta") * F.col("mx"))
-    spread = F.sqrt((1 + F.col("mx") * F.col("mx") / F.col("vx")) / F.col("n")) * F.col("residual")
-    return out.select(*key, "n", "beta", "alpha", "residual", F.when(spread > 0, F.col("alpha") / spread).alias("alpha_t"), F.when(F.col("residual") > 0, F.col("alpha") / F.col("residual")).alias("appraisal"))
+    sums = paired.filter(x.isNotNull() & y.isNotNull()).groupBy(*key).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("c")).filter("n > 2")
+    left = F.greatest(F.col("vy") - ratio(F.col("c") * F.col("c"), F.col("vx")), F.lit(0.0)) * F.col("n") / (F.col("n") - 2)
+    out = sums.withColumns({"beta": ratio(F.col("c"), F.col("vx")), "residual": F.sqrt(left)}).withColumn("alpha", F.col("my") - F.col("beta") * F.col("mx"))
+    spread = F.sqrt((1 + ratio(F.col("mx") * F.col("mx"), F.col("vx"))) / F.col("n")) * F.col("residual")
+    return out.select(*key, "n", "beta", "alpha", "residual", ratio(F.col("alpha"), spread).alias("alpha_t"), ratio(F.col("alpha"), F.col("residual")).alias("appraisal"))
 
 
 def kupiec(days: DataFrame, key: list[str], breach: Column, rate: float) -> DataFrame:
