@@ -301,7 +301,7 @@ QUERIES: dict[str, Query] = {
     "b06_06_linked_capture": frame("user_id l, up d, down d", lambda spark, view: perf.capture(view("paired").filter("r < 5").crossJoin(F.broadcast(view("market").agg(F.avg("m").alias("a")))), ["user_id"], "r", "m", F.col("m") > F.col("a")), """
         with c as (select avg(m) as a from market), p as (select user_id, m > a as up, power(product(1 + r), 1.0 / count(*)) - 1 as r, power(product(1 + m), 1.0 / count(*)) - 1 as m from paired, c where r < 5 group by 1, 2)
         select user_id, max(case when up then r / m end) as up, max(case when not up then r / m end) as down from p group by 1"""),
-    "b06_07_alpha_t": frame("user_id l, alpha d, alpha_t d", lambda spark, view: perf.regression(view("paired"), ["user_id"], "r", "m").withColumns({c: F.nullif(F.col(c), F.lit(float("nan"))) for c in ("alpha", "alpha_t")}), """
+    "b06_07_alpha_t": frame("user_id l, alpha d, alpha_t d", lambda spark, view: perf.regression(view("paired"), ["user_id"], "r", "m").withColumns({c: F.when(~F.isnan("alpha"), F.col(c)) for c in ("alpha_t", "alpha")}), """
         with x as (select user_id, count(*) as n, avg(m) as mx, regr_slope(r, m) as s, regr_intercept(r, m) as i, regr_sxx(r, m) as sxx from paired group by 1), e as (select paired.user_id, sum(power(r - i - s * m, 2)) as rss from paired join x on x.user_id = paired.user_id group by 1)
         select x.user_id, i as alpha, i / sqrt(rss / (n - 2) * (1.0 / n + mx * mx / sxx)) as alpha_t from x join e on e.user_id = x.user_id where n > 2"""),
     "b07_10_american_waterfall": frame("portfolio_id l, order_id l, cost l, proceeds l, returned l, preferred_paid l, catch_up l, carried l, to_investors l", _american, FOLD),

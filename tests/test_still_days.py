@@ -8,7 +8,7 @@ import pytest
 from ledgerline import registry
 from ledgerline.plans.dialect import TABLES
 
-NAMES = ["b06_06_linked_capture", "b09_06_desmoothing", "b05_12_factor_regression", "b06_03_appraisal", "b17_16_rank_ic", "b17_16_signal_decay"]
+NAMES = ["b06_06_linked_capture", "b09_06_desmoothing", "b05_12_factor_regression", "b06_03_appraisal", "b06_07_alpha_t", "b17_16_rank_ic", "b17_16_signal_decay"]
 
 
 @pytest.fixture(scope="module", params=["true", "e.user_id in (5, 8)"])
