@@ -1,4 +1,4 @@
-"""Distribution waterfalls: whole-fund and deal by deal, as running shortfalls instead of a loop over deals."""
+"""Distribution waterfalls, whole-fund and deal by deal, as running shortfalls instead of a loop over deals; commitments projected over years."""
 
 from __future__ import annotations
 
@@ -44,3 +44,17 @@ def waterfall(deals: DataFrame, key: list[str], order: list[str], capital: str,
     share = F.expr(f"(_left * {carry}) div 100")
     out = steps.withColumn("carried", F.col("catch_up") + share)
     return out.withColumn("to_investors", F.col("returned") + F.col("preferred_paid") + F.col("_left") - share).drop("_owed", "_left", "_sum", "_open")
+
+
+def projection(commitments: DataFrame, key: list[str], commitment: str, years: int) -> DataFrame:
+    """The key, age, called and nav of each commitment at the end of each year, in whole cents.
+
+    Each year calls a quarter of what is not yet called, and a tenth is added to what was held. The years are columns of a
+    row before they are rows: as a recursion, the rows of all years count towards Spark's limit of rows.
+    """
+    steps = commitments.withColumns({"_called0": F.lit(0).cast("long"), "_nav0": F.lit(0).cast("long")})
+    for k in range(1, years + 1):
+        steps = steps.withColumn("_call", F.expr(f"({commitment} - _called{k - 1}) div 4"))
+        steps = steps.withColumns({f"_called{k}": F.expr(f"_called{k - 1} + _call"), f"_nav{k}": F.expr(f"_nav{k - 1} + _nav{k - 1} div 10 + _call")})
+    made = [F.struct(F.lit(k).alias("age"), F.col(f"_called{k}").alias("called"), F.col(f"_nav{k}").alias("nav")) for k in range(1, years + 1)]
+    return steps.select(*key, F.inline(F.array(*made)))
